@@ -14,39 +14,27 @@ from seqsieve.plans import pattern as P
 SPAN_TYPE = "array<struct<match:string,start:int,end:int>>"
 
 
-def running_sum(values: Column) -> Column:
-    """Prefix sums of an integer array in log2(n) rounds of shift-and-add."""
-
-    def add_shifted(acc: Column, step: Column) -> Column:
-        shift = F.least(F.call_function("shiftleft", F.lit(1), step), F.size(acc))
-        shifted = F.concat(
-            F.array_repeat(F.lit(0), shift), F.slice(acc, F.lit(1), F.size(acc) - shift)
-        )
-        return F.zip_with(acc, shifted, lambda a, b: a + b)
-
-    rounds = F.ceil(F.log2(F.size(values))).cast("int")
-    return F.aggregate(F.sequence(F.lit(0), rounds), values, add_shifted)
-
-
-def spans_from_pieces(matches: Column, pieces: Column) -> Column:
+def running_sum(values: str) -> str:
+    """SQL for the prefix sums of an integer array, in log2(n) rounds of shift-and-add."""
+    shift = "least(shiftleft(1, round), size(acc))"
+    return f"""aggregate(
+        sequence(0, cast(ceil(log2(size({values}))) AS int)),
+        {values},
+        (acc, round) -> zip_with(
+            acc,
+            concat(array_repeat(0, {shift}), slice(acc, 1, size(acc) - {shift})),
+            (a, b) -> a + b))"""
+
+
+def spans_from_pieces(matches: str, pieces: str) -> Column:
     """Spans from all matches of a record and the text pieces between them.
 
     Needs at least one match. A match ends after all pieces and matches up to it.
     """
-    widths = F.zip_with(
-        F.slice(pieces, F.lit(1), F.size(matches)),
-        matches,
-        lambda piece, match: F.coalesce(F.length(piece) + F.length(match), F.lit(0)),
-    )
-    return F.zip_with(
-        matches,
-        running_sum(widths),
-        lambda match, end: F.struct(
-            match.alias("match"),
-            (end - F.length(match)).alias("start"),
-            end.alias("end"),
-        ),
-    )
+    widths = f"""zip_with(slice({pieces}, 1, size({matches})), {matches},
+        (piece, match) -> coalesce(length(piece) + length(match), 0))"""
+    return F.expr(f"""zip_with({matches}, {running_sum(widths)}, (match, end) ->
+        named_struct('match', match, 'start', end - length(match), 'end', end))""")
 
 
 class LongestMatcher:

@@ -47,13 +47,11 @@ def _kmer_hits(index: MotifIndex, rows: list[tuple]) -> DataFrame:
         return _bloom_hits(index, wanted)
     keys = sorted({row[4] for row in rows})
     prefix = min(index.meta["prefix"], index.k)
-    stored = index.table("postings").where(
-        F.col("prefix").isin(sorted({key[:prefix] for key in keys}))  # directories
-        & F.col("kmer").between(keys[0], keys[-1])  # row groups, sorted by k-mer
-    )
+    near = F.col("prefix").isin(sorted({key[:prefix] for key in keys}))  # directories
+    near &= F.col("kmer").between(keys[0], keys[-1])  # row groups, sorted by k-mer
     if len(keys) <= 100:
-        stored = stored.where(F.col("kmer").isin(keys))
-    return stored.drop("prefix").join(wanted, F.col("kmer") == F.col("key")).drop("kmer")
+        near &= F.col("kmer").isin(keys)
+    return index.table("postings").where(near).drop("prefix").join(wanted, F.col("kmer") == F.col("key")).drop("kmer")
 
 
 def _bloom_hits(index: MotifIndex, wanted: DataFrame) -> DataFrame:
@@ -97,6 +95,9 @@ def _hits(index: MotifIndex, rows: list[tuple]) -> DataFrame:
 def _by_alternatives(index: MotifIndex, rows: list[tuple]) -> DataFrame:
     return (
         _hits(index, rows)
+        # one shuffle serves both aggregations; a key occurs once per block, so there
+        # is nothing to combine before it
+        .repartition("motif_id", "block")
         .groupBy("motif_id", "part", "needed", "block")
         .agg(F.bit_and("mask").alias("mask"), F.count("*").alias("found"))
         .where((F.col("found") == F.col("needed")) & (F.col("mask") != 0))

@@ -3,7 +3,7 @@
 On disk an index is a folder of parquet tables:
 
 * ``bins``      one row per bin with its block, lane and counts
-* ``records``   the searchable records, one directory per block
+* ``records``   the searchable records, blocks spread over directories (``shard``)
 * ``postings``  (kmer, block, mask), one directory per k-mer prefix, sorted by k-mer
 * ``bloom``     (position, block, mask) instead of postings for the Bloom layout
 * ``dgrams``    (code, block, mask) of gapped k-mers, when asked for
@@ -26,7 +26,8 @@ from seqsieve.session import scratch_folder
 
 BINS_PER_GROUP = 4096  # bins numbered together; bounds the sort that numbers them
 BROADCAST_BYTES = 64 << 20  # a side is broadcast only when known to be smaller
-SMALL_SHARE = 16 << 20  # residues per core below which a collection counts as small
+SHARD_RESIDUES = 256 << 20  # residues per directory of stored records ...
+MAX_SHARDS = 20_000  # ... unless that makes too many directories
 MAX_LETTERS = 64  # with more distinct letters, wildcards are not spelled out
 
 
@@ -67,9 +68,17 @@ class MotifIndex:
             else None,
         )
 
-    def block_masks(self) -> DataFrame:
-        """All bins, as one mask per block."""
-        return self.bins.groupBy("block").agg(F.bit_or(K.lane_bit()).alias("mask"))
+    def in_blocks(self, masks: DataFrame) -> DataFrame:
+        """Records joined with rows per block (given ``block``, ``mask``), lanes tested.
+
+        The join names the directory column too, so that Spark reads only directories
+        with a wanted block.
+        """
+        keys = ["block"]
+        if (self.meta["shards"] or 1) > 1:
+            masks = masks.withColumn("shard", F.col("block") % self.meta["shards"])
+            keys = ["shard", "block"]
+        return self.records.join(masks, keys).where(K.has_lane("mask", "lane"))
 
 
 def _number_bins(stats: DataFrame, n_bins: int) -> DataFrame:
@@ -138,16 +147,20 @@ def _place(records: DataFrame, bins: DataFrame, bin_bytes: int) -> DataFrame:
     return records.join(F.broadcast(slots) if bin_bytes <= BROADCAST_BYTES else slots, "bin")
 
 
-def _by_block(placed: DataFrame, residues: int) -> DataFrame:
-    """Lay records out for writing: one block per task, a hot block over several tasks.
+def _shards(residues: int, n_blocks: int) -> int:
+    """Directories of the records table; a block lies in one of them."""
+    return max(1, min(n_blocks, MAX_SHARDS, math.ceil(residues / SHARD_RESIDUES)))
+
+
+def _laid_out(placed: DataFrame, shards: int) -> DataFrame:
+    """Arrange records for writing: a shard per task, a hot shard over several tasks.
 
-    A small collection is spread over all cores instead, so that reading it back is
-    parallel too.
+    A collection of one shard is spread over all cores instead, so that reading it
+    back is parallel too.
     """
-    cores = placed.sparkSession.sparkContext.defaultParallelism
-    if residues < cores * SMALL_SHARE:
-        return placed.repartition(cores)
-    return placed.hint("rebalance", "block")  # adaptive execution splits what is too large
+    if shards == 1:
+        return placed.repartition(placed.sparkSession.sparkContext.defaultParallelism)
+    return placed.hint("rebalance", "shard")  # adaptive execution splits what is too large
 
 
 def build_index(
@@ -194,9 +207,12 @@ def build_index(
     _number_bins(stats, total["n_bins"]).write.parquet(f"{path}/bins")
     bins = spark.read.parquet(f"{path}/bins")
 
+    n_blocks = bins.select("block").distinct().count()
+    shards = _shards(int(total["residues"]), n_blocks)
     placed = _place(records, bins, total["bin_bytes"])
     if store_records:
-        _by_block(placed, int(total["residues"])).write.partitionBy("block").parquet(f"{path}/records")
+        sharded = placed.withColumn("shard", F.col("block") % shards)
+        _laid_out(sharded, shards).write.partitionBy("shard").parquet(f"{path}/records")
         placed = spark.read.parquet(f"{path}/records")
 
     ascii_only = total["n_not_ascii"] == 0
@@ -211,10 +227,11 @@ def build_index(
         "bin_bits": bloom_bits(int(total["largest_bin"]), fpr),
         "dgram_gaps": list(dgram_gaps) if dgram_gaps else None,
         "store_records": store_records,
+        "n_blocks": n_blocks,
+        "shards": shards if store_records else None,
         "prefix": _prefix_length(molecule, total["residues"]),
         **{c: int(v) for c, v in total.items()},
     }
-    meta["n_blocks"] = bins.select("block").distinct().count()
 
     postings = K.kmer_postings(placed, k, molecule, reduction, ascii_only)
     # the Bloom layout keeps its bit table only; exact postings are a stage of building it

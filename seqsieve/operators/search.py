@@ -35,7 +35,10 @@ class Motif:
 
 
 def prepare(
-    pattern: str, motif_id: str = "motif", reduction: str | None = None, longest: bool = True
+    pattern: str,
+    motif_id: str | None = None,
+    reduction: str | None = None,
+    longest: bool = True,
 ) -> Motif:
     """Parse a pattern and decide how its matches are found.
 
@@ -49,11 +52,12 @@ def prepare(
     if longest and not P.first_match_is_longest(node):
         runnable = P.longest_first(node)
         needs_walk = runnable is None
+    regex = P.render(node if needs_walk else runnable)
     return Motif(
-        motif_id,
+        regex if motif_id is None else motif_id,
         pattern,
         node,
-        P.render(node if needs_walk else runnable),
+        regex,
         P.required_literal(node),
         needs_walk,
     )
@@ -94,22 +98,27 @@ def _motif_table(index: MotifIndex, motifs: list[Motif]) -> DataFrame:
 def _candidates(index: MotifIndex, masks: DataFrame, motifs: list[Motif]) -> DataFrame:
     """Texts of candidate bins that a motif matches, one row per text and motif.
 
-    The pattern comes from a joined table. That keeps the test behind the joins: as a
+    The pattern comes from a joined table (of a single motif: is its id). That keeps the test behind the joins: as a
     predicate on the records alone it would be pushed below them and run on every
-    record of a block. ``block`` is the directory of the stored records, so blocks
-    without candidates are not even listed.
+    record of a block.
     """
-    if index.n_blocks * len(motifs) <= BROADCAST_ROWS:
-        masks = F.broadcast(masks)
-    placed = index.records.join(masks, "block").where(has_lane("mask", "lane"))
-    return (
-        _texts(placed, index.meta["molecule"], index.meta["reduction"])
-        .join(_motif_table(index, motifs), "motif_id")
-        .where(
-            F.contains("seq", F.col("literal"))
-            & (F.regexp_instr("seq", F.col("regex")) > 0)
-        )
-    )
+    if index.n_blocks * len(motifs) > BROADCAST_ROWS >= index.n_blocks:
+        # too many masks to broadcast: first drop the records no motif wants, by one
+        # combined mask per block, so that only the rest is shuffled to its masks
+        combined = F.broadcast(masks.groupBy("block").agg(F.bit_or("mask").alias("mask")))
+        placed = index.in_blocks(combined).drop("mask").join(masks, "block")
+        placed = placed.where(has_lane("mask", "lane"))
+    else:
+        few = index.n_blocks * len(motifs) <= BROADCAST_ROWS
+        placed = index.in_blocks(F.broadcast(masks) if few else masks)
+    texts = _texts(placed, index.meta["molecule"], index.meta["reduction"])
+    if len(motifs) == 1 and motifs[0].id == motifs[0].regex:  # its id is the pattern
+        literal, regex = F.lit(motifs[0].literal), F.col("motif_id")
+        texts = texts.withColumn("regex", regex)
+    else:
+        literal, regex = F.col("literal"), F.col("regex")
+        texts = texts.join(_motif_table(index, motifs), "motif_id")
+    return texts.where(F.contains("seq", literal) & (F.regexp_instr("seq", regex) > 0))
 
 
 def _everywhere(texts: DataFrame, motifs: list[Motif]) -> DataFrame:
@@ -140,7 +149,7 @@ def _matches(hits: DataFrame, motifs: list[Motif]) -> DataFrame:
             *kept,
             F.regexp_extract_all("seq", F.col("regex"), F.lit(0)).alias("matches"),
             F.split("seq", F.col("regex"), -1).alias("pieces"),
-        ).select(*kept, spans_from_pieces(F.col("matches"), F.col("pieces")).alias("spans"))
+        ).select(*kept, spans_from_pieces("matches", "pieces").alias("spans"))
     # every hit has a match; plain inline would add a filter that computes spans twice
     return found.select(*kept, F.inline_outer("spans"))
 
@@ -287,7 +296,9 @@ def search_all_of(
         size = index.n_blocks * sum(len(m.regex) + 64 for m in filtered)
         common = F.broadcast(common) if size <= BROADCAST_BYTES else common
         # as in _candidates, tests that read the joined patterns stay behind the join
-        records = records.join(common, "block").where(has_lane("mask", "lane"))
+        records = index.in_blocks(common)
+        if reduction:
+            records = records.withColumn("seq", alphabet.reduce_alphabet(F.col("seq"), reduction))
         for i in range(len(filtered)):
             own = F.col("patterns")[i]
             records = records.where(

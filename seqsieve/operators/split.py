@@ -35,6 +35,26 @@ def record_size(
     return residues + F.length(name) + 1 + len(eol) * (1 + lines)
 
 
+def with_order(records: DataFrame) -> DataFrame:
+    """Number the records of one file read by ``read_fasta`` in file order, as ``ord``.
+
+    ``rec_id`` rises within a file split; counting the records of every split gives
+    each one its offset.
+    """
+    by_split = records.withColumn("_chunk", F.struct("split_start", F.shiftright("rec_id", 33)))
+    chunks = by_split.groupBy("_chunk").agg(F.count("*").alias("_count"))
+    earlier = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = chunks.select(
+        "_chunk", F.coalesce(F.sum("_count").over(earlier), F.lit(0)).alias("_offset")
+    )
+    inside = Window.partitionBy("_chunk").orderBy("rec_id")
+    return (
+        by_split.join(offsets, "_chunk")
+        .withColumn("ord", F.col("_offset") + F.row_number().over(inside) - 1)
+        .drop("_chunk", "_offset")
+    )
+
+
 def _running(
     rows: DataFrame, order: str, values: dict[str, tuple[Callable, Column]], whole: list[str] = ()
 ) -> DataFrame:

@@ -34,10 +34,11 @@ def _file_bin(path: Column) -> Column:
 
 
 def read_fasta(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """FASTA files as records: bin (the file), name, comment, seq, rec_id.
+    """FASTA files as records: bin (the file), name, comment, seq, rec_id, split_start.
 
     Splittable: one row per ``>`` record straight from the text source, ``.gz`` included.
-    Files start with a record; ``rec_id`` rises in file order within a file split.
+    Files start with a record. ``rec_id`` is unique and rises in file order within the
+    file split that begins at byte ``split_start``.
     """
     chunks = spark.read.option("lineSep", "\n>").text(expand_paths(spark, paths))
     record = F.regexp_replace("value", r"^\s*>", "")
@@ -46,10 +47,11 @@ def read_fasta(spark: SparkSession, paths: list[str]) -> DataFrame:
         chunks.select(
             _file_bin(F.col("_metadata.file_path")).alias("bin"),
             F.monotonically_increasing_id().alias("rec_id"),
+            F.col("_metadata.file_block_start").alias("split_start"),
             record.alias("record"),
         )
         .where("trim(record) != ''")
-        .select("bin", "rec_id", "record", F.split(header, r"[ \t]", 2).alias("words"))
+        .select("bin", "rec_id", "split_start", "record", F.split(header, r"[ \t]", 2).alias("words"))
         .select(
             "bin",
             F.col("words")[0].alias("name"),
@@ -62,6 +64,7 @@ def read_fasta(spark: SparkSession, paths: list[str]) -> DataFrame:
             .otherwise("")
             .alias("seq"),
             "rec_id",
+            "split_start",
         )
     )
 
