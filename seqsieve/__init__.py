@@ -7,6 +7,7 @@ from seqsieve.operators.search import (
     scan,
     search,
     search_all_of,
+    search_files,
     search_many,
 )
 
@@ -20,5 +21,6 @@ __all__ = [
     "scan",
     "search",
     "search_all_of",
+    "search_files",
     "search_many",
 ]

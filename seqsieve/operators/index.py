@@ -24,13 +24,30 @@ from seqsieve.operators import kmers as K
 from seqsieve.plans.windows import IndexShape
 from seqsieve.session import scratch_folder
 
+SCHEMAS = {
+    "bin_stats": "bin string, n_records bigint, n_indexed bigint, n_kmers bigint,"
+    " residues bigint, n_not_ascii bigint",
+    "bins": "bin string, n_records bigint, n_indexed bigint, n_kmers bigint,"
+    " residues bigint, n_not_ascii bigint, block int, lane int, bin_id bigint",
+    "postings": "kmer string, block int, mask bigint, prefix string",
+    "bloom": "position bigint, block int, mask bigint",
+    "dgrams": "code bigint, block int, mask bigint",
+}
 BINS_PER_GROUP = 4096  # bins numbered together; bounds the sort that numbers them
 BROADCAST_BYTES = 64 << 20  # a side is broadcast only when known to be smaller
 SHARD_RESIDUES = 256 << 20  # residues per directory of stored records ...
 MAX_SHARDS = 20_000  # ... unless that makes too many directories
+SMALL_RESIDUES = 50_000_000
 MAX_LETTERS = 64  # with more distinct letters, wildcards are not spelled out
 
 
+def _read(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table of the index; the schema is given, so opening it runs no job."""
+    return spark.read.schema(SCHEMAS[name.split("_")[0] if name.startswith("dgrams") else name]).parquet(
+        f"{path}/{name}"
+    )
+
+
 @dataclass
 class MotifIndex:
     spark: SparkSession
@@ -42,7 +59,7 @@ class MotifIndex:
 
     def table(self, name: str) -> DataFrame:
         if name not in self._tables:
-            self._tables[name] = self.spark.read.parquet(f"{self.path}/{name}")
+            self._tables[name] = _read(self.spark, self.path, name)
         return self._tables[name]
 
     @property
@@ -121,7 +138,7 @@ def bloom_position(kmer: Column, seed: Column, bits: int) -> Column:
 
 def _prefix_length(molecule: str, residues: int) -> int:
     """Letters of a k-mer that name its directory: few for small indexes, more for large."""
-    step = 0 if residues < 50_000_000 else 1 if residues < 50_000_000_000 else 2
+    step = 0 if residues < SMALL_RESIDUES else 1 if residues < 50_000_000_000 else 2
     return (1 + step) * (2 if molecule == "na" else 1)
 
 
@@ -195,7 +212,7 @@ def build_index(
 
     path = path or scratch_folder(spark)
     _bin_stats(records, k).write.parquet(f"{path}/bin_stats")
-    stats = spark.read.parquet(f"{path}/bin_stats")
+    stats = _read(spark, path, "bin_stats")
     total = stats.agg(
         F.count("*").alias("n_bins"),
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_records", "n_indexed", "residues", "n_not_ascii")],
@@ -205,15 +222,17 @@ def build_index(
     if not total["n_bins"]:
         raise ValueError("nothing to index")
     _number_bins(stats, total["n_bins"]).write.parquet(f"{path}/bins")
-    bins = spark.read.parquet(f"{path}/bins")
+    bins = _read(spark, path, "bins")
 
-    n_blocks = bins.select("block").distinct().count()
+    n_blocks = math.ceil(total["n_bins"] / 64)
+    if total["n_bins"] > BINS_PER_GROUP:  # several groups, each with a last block not full
+        n_blocks = bins.select("block").distinct().count()
     shards = _shards(int(total["residues"]), n_blocks)
     placed = _place(records, bins, total["bin_bytes"])
     if store_records:
         sharded = placed.withColumn("shard", F.col("block") % shards)
         _laid_out(sharded, shards).write.partitionBy("shard").parquet(f"{path}/records")
-        placed = spark.read.parquet(f"{path}/records")
+        placed = spark.read.schema(sharded.schema).parquet(f"{path}/records")
 
     ascii_only = total["n_not_ascii"] == 0
     meta = {
@@ -237,7 +256,7 @@ def build_index(
     # the Bloom layout keeps its bit table only; exact postings are a stage of building it
     home = path if layout == "exact" else scratch_folder(spark)
     _write_postings(postings, meta, f"{home}/postings")
-    stored = spark.read.parquet(f"{home}/postings")
+    stored = _read(spark, home, "postings")
     meta["letters"] = _letters(stored, placed, k, molecule, reduction) if ascii_only else None
     if layout == "bloom":
         seeds = F.explode(F.array(*map(F.lit, range(hash_count)))).alias("seed")
@@ -257,10 +276,13 @@ def build_index(
 
 
 def _write_postings(postings: DataFrame, meta: dict, path: str) -> None:
+    postings = postings.withColumn("prefix", F.substring("kmer", 1, min(meta["prefix"], meta["k"])))
+    if meta["residues"] < SMALL_RESIDUES:
+        postings = postings.repartition("prefix")  # one file per prefix
+    else:
+        postings = postings.repartitionByRange("prefix", "kmer")  # a hot prefix over many tasks
     (
-        postings.withColumn("prefix", F.substring("kmer", 1, min(meta["prefix"], meta["k"])))
-        .repartitionByRange("prefix", "kmer")
-        .sortWithinPartitions("prefix", "kmer", "block")
+        postings.sortWithinPartitions("prefix", "kmer", "block")
         .write.partitionBy("prefix")
         .parquet(path)
     )
@@ -298,7 +320,7 @@ def load_meta(spark: SparkSession, path: str) -> dict:
 def load_index(spark: SparkSession, path: str, records: DataFrame | None = None) -> MotifIndex:
     """Open a stored index; ``records`` is needed when it keeps no copy of them."""
     meta = load_meta(spark, path)
-    bins = spark.read.parquet(f"{path}/bins")
+    bins = _read(spark, path, "bins")
     if meta["store_records"]:
         placed = spark.read.parquet(f"{path}/records")
     elif records is not None:

@@ -20,6 +20,7 @@ from seqsieve.operators.index import BROADCAST_BYTES, MotifIndex
 from seqsieve.operators.kmers import has_lane
 from seqsieve.plans import pattern as P
 from seqsieve.plans.windows import WindowGraph, to_dot, window_graph
+from seqsieve.sources.fasta import read_fasta
 
 
 @dataclass(frozen=True)
@@ -174,6 +175,7 @@ def _texts(records: DataFrame, molecule: str, reduction: str | None) -> DataFram
     return records
 
 
+MAX_LISTED_FILES = 50_000  # paths that may be handed to a reader by name
 MOTIFS_PER_PASS = 64  # motifs without any index filter that share one pass over the records
 
 
@@ -328,3 +330,25 @@ def scan(
     motif = prepare(pattern, reduction=reduction, longest=longest)
     texts = _texts(records, molecule, reduction)
     return _matches(_everywhere(texts, [motif]), [motif]).drop("motif_id")
+
+
+def search_files(
+    index: MotifIndex,
+    pattern: str,
+    *,
+    augment: bool = False,
+    dgrams: bool = False,
+    longest: bool | None = None,
+) -> DataFrame:
+    """``search`` for an index of FASTA files that keeps no copy of the records.
+
+    The candidate bins are paths. They are looked up first, so that only those files
+    are opened; with too many bins to list, all files are read and joined as usual.
+    """
+    if index.n_bins > MAX_LISTED_FILES:
+        return search(index, pattern, augment=augment, dgrams=dgrams, longest=longest)
+    molecule, reduction = index.meta["molecule"], index.meta["reduction"]
+    found = candidate_bins(index, pattern, augment=augment, dgrams=dgrams).toLocalIterator()
+    paths = [row["bin"] for row in found]
+    records = read_fasta(index.spark, paths) if paths else index.records.where(F.lit(False))
+    return scan(records, pattern, molecule=molecule, reduction=reduction, longest=longest)
