@@ -22,19 +22,24 @@ from seqsieve.plans.windows import WindowGraph
 
 ALTERNATIVES_LIMIT = 20_000  # keys over all alternatives before a graph is kept as it is
 BROADCAST_ROWS = 500_000  # lookup rows are short: this is below 50 MB
+PUSHED_KEYS = 10  # Spark pushes longer IN lists to parquet as a range anyway
 BLOCKS_PER_TASK_GROUP = 64
 
 
-def _lookup_rows(index: MotifIndex, rows: list[tuple]) -> DataFrame:
-    """Local table (motif_id, part, needed, key_no, key) of the keys to look up."""
-    columns = list(zip(*rows))
+# Spark's Python API costs a round trip per column object; on this path, which every
+# search takes, expressions are written as SQL text.
+
+
+def _lookup_rows(index: MotifIndex, rows: list[tuple], key: str) -> DataFrame:
+    """Local table (motif_id, part, needed, key_no and ``key``) of what to look up."""
+    motif, part, needed, number, keys = zip(*rows)
     table = pa.table(
         {
-            "motif_id": pa.array(columns[0], pa.string()),
-            "part": pa.array(columns[1], pa.int32()),
-            "needed": pa.array(columns[2], pa.int32()),
-            "key_no": pa.array(columns[3], pa.int32()),
-            "key": pa.array(columns[4], pa.string()),
+            "motif_id": pa.array(motif, pa.string()),
+            "part": pa.array(part, pa.int32()),
+            "needed": pa.array(needed, pa.int32()),
+            "key_no": pa.array(number, pa.int32()),
+            key: pa.array(keys, pa.string() if key == "kmer" else pa.int64()),
         }
     )
     frame = index.spark.createDataFrame(table)
@@ -42,16 +47,16 @@ def _lookup_rows(index: MotifIndex, rows: list[tuple]) -> DataFrame:
 
 
 def _kmer_hits(index: MotifIndex, rows: list[tuple]) -> DataFrame:
-    wanted = _lookup_rows(index, rows)
+    wanted = _lookup_rows(index, rows, "kmer")
     if index.meta["layout"] == "bloom":
         return _bloom_hits(index, wanted)
     keys = sorted({row[4] for row in rows})
     prefix = min(index.meta["prefix"], index.k)
     near = F.col("prefix").isin(sorted({key[:prefix] for key in keys}))  # directories
     near &= F.col("kmer").between(keys[0], keys[-1])  # row groups, sorted by k-mer
-    if len(keys) <= 100:
+    if len(keys) <= PUSHED_KEYS:
         near &= F.col("kmer").isin(keys)
-    return index.table("postings").where(near).drop("prefix").join(wanted, F.col("kmer") == F.col("key")).drop("kmer")
+    return index.table("postings").where(near).join(wanted, "kmer")
 
 
 def _bloom_hits(index: MotifIndex, wanted: DataFrame) -> DataFrame:
@@ -59,36 +64,31 @@ def _bloom_hits(index: MotifIndex, wanted: DataFrame) -> DataFrame:
     hashes, bits = index.meta["hash_count"], index.meta["bin_bits"]
     seeds = F.explode(F.array(*map(F.lit, range(hashes)))).alias("seed")
     probes = wanted.select("*", seeds).withColumn(
-        "position", bloom_position(F.col("key"), F.col("seed"), bits)
+        "position", bloom_position(F.col("kmer"), F.col("seed"), bits)
     )
     return (
         index.table("bloom")
-        .join(F.broadcast(probes), "position")
-        .groupBy("motif_id", "part", "needed", "key_no", "key", "block")
+        .join(probes, "position")
+        .groupBy("motif_id", "part", "needed", "key_no", "kmer", "block")
         .agg(F.bit_and("mask").alias("mask"), F.count("*").alias("found"))
         .where((F.col("found") == hashes) & (F.col("mask") != 0))
-        .drop("found")
     )
 
 
 def _hits(index: MotifIndex, rows: list[tuple]) -> DataFrame:
-    """Postings of the wanted keys: the wanted columns plus block and mask."""
-    columns = ["motif_id", "part", "needed", "key_no", "block", "mask"]
-    found = None
+    """Postings of the wanted keys: motif_id, part, needed, key_no, block and mask."""
     kmers = [row[:4] + (row[4][1:],) for row in rows if row[4][0] == "k"]
-    dgrams = [row[:4] + (row[4][1:],) for row in rows if row[4][0] == "d"]
-    if kmers:
-        found = _kmer_hits(index, kmers).select(columns)
+    dgrams = [row[:4] + (int(row[4][1:]),) for row in rows if row[4][0] == "d"]
+    found = _kmer_hits(index, kmers) if kmers else None
     if dgrams:
-        wanted = _lookup_rows(index, dgrams).withColumn("code", F.col("key").cast("bigint"))
-        codes = [int(row[4]) for row in dgrams]
+        codes = [row[4] for row in dgrams]
         gapped = (
             index.table(index.meta["dgram_table"])
             .where(F.col("code").between(min(codes), max(codes)))
-            .join(wanted, "code")
-            .select(columns)
+            .join(_lookup_rows(index, dgrams, "code"), "code")
         )
-        found = gapped if found is None else found.unionByName(gapped)
+        columns = ["motif_id", "part", "needed", "key_no", "block", "mask"]
+        found = gapped if found is None else found.select(columns).union(gapped.select(columns))
     return found
 
 
@@ -99,10 +99,10 @@ def _by_alternatives(index: MotifIndex, rows: list[tuple]) -> DataFrame:
         # is nothing to combine before it
         .repartition("motif_id", "block")
         .groupBy("motif_id", "part", "needed", "block")
-        .agg(F.bit_and("mask").alias("mask"), F.count("*").alias("found"))
-        .where((F.col("found") == F.col("needed")) & (F.col("mask") != 0))
+        .agg(F.expr("bit_and(mask) AS mask"), F.expr("count(*) AS found"))
+        .where("found = needed AND mask != 0")
         .groupBy("motif_id", "block")
-        .agg(F.bit_or("mask").alias("mask"))
+        .agg(F.expr("bit_or(mask) AS mask"))
     )
 
 

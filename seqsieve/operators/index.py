@@ -95,7 +95,7 @@ class MotifIndex:
         if (self.meta["shards"] or 1) > 1:
             masks = masks.withColumn("shard", F.col("block") % self.meta["shards"])
             keys = ["shard", "block"]
-        return self.records.join(masks, keys).where(K.has_lane("mask", "lane"))
+        return self.records.join(masks, keys).where("(mask & shiftleft(1L, lane)) != 0")
 
 
 def _number_bins(stats: DataFrame, n_bins: int) -> DataFrame:

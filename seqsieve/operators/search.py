@@ -114,12 +114,12 @@ def _candidates(index: MotifIndex, masks: DataFrame, motifs: list[Motif]) -> Dat
         placed = index.in_blocks(F.broadcast(masks) if few else masks)
     texts = _texts(placed, index.meta["molecule"], index.meta["reduction"])
     if len(motifs) == 1 and motifs[0].id == motifs[0].regex:  # its id is the pattern
-        literal, regex = F.lit(motifs[0].literal), F.col("motif_id")
-        texts = texts.withColumn("regex", regex)
-    else:
-        literal, regex = F.col("literal"), F.col("regex")
-        texts = texts.join(_motif_table(index, motifs), "motif_id")
-    return texts.where(F.contains("seq", literal) & (F.regexp_instr("seq", regex) > 0))
+        return texts.where(F.contains("seq", F.lit(motifs[0].literal))).where(
+            "regexp_instr(seq, motif_id) > 0"
+        )
+    return texts.join(_motif_table(index, motifs), "motif_id").where(
+        "contains(seq, literal) AND regexp_instr(seq, regex) > 0"
+    )
 
 
 def _everywhere(texts: DataFrame, motifs: list[Motif]) -> DataFrame:
@@ -146,10 +146,11 @@ def _matches(hits: DataFrame, motifs: list[Motif]) -> DataFrame:
         spans = longest_spans({m.id: m.node for m in motifs})
         found = hits.select(*kept, spans("seq", "motif_id").alias("spans"))
     else:
-        found = hits.select(
+        regex = "regex" if "regex" in hits.columns else "motif_id"
+        found = hits.selectExpr(
             *kept,
-            F.regexp_extract_all("seq", F.col("regex"), F.lit(0)).alias("matches"),
-            F.split("seq", F.col("regex"), -1).alias("pieces"),
+            f"regexp_extract_all(seq, {regex}, 0) AS matches",
+            f"split(seq, {regex}, -1) AS pieces",
         ).select(*kept, spans_from_pieces("matches", "pieces").alias("spans"))
     # every hit has a match; plain inline would add a filter that computes spans twice
     return found.select(*kept, F.inline_outer("spans"))
