@@ -47,9 +47,9 @@ def _lookup_rows(index: MotifIndex, rows: list[tuple], key: str) -> DataFrame:
 
 
 def _kmer_hits(index: MotifIndex, rows: list[tuple]) -> DataFrame:
-    wanted = _lookup_rows(index, rows, "kmer")
     if index.meta["layout"] == "bloom":
-        return _bloom_hits(index, wanted)
+        return _bloom_hits(index, rows)
+    wanted = _lookup_rows(index, rows, "kmer")
     keys = sorted({row[4] for row in rows})
     prefix = min(index.meta["prefix"], index.k)
     near = F.col("prefix").isin(sorted({key[:prefix] for key in keys}))  # directories
@@ -59,17 +59,26 @@ def _kmer_hits(index: MotifIndex, rows: list[tuple]) -> DataFrame:
     return index.table("postings").where(near).join(wanted, "kmer")
 
 
-def _bloom_hits(index: MotifIndex, wanted: DataFrame) -> DataFrame:
+def _bloom_hits(index: MotifIndex, rows: list[tuple]) -> DataFrame:
     """A bin holds a k-mer, up to false positives, when all its hash positions are set."""
     hashes, bits = index.meta["hash_count"], index.meta["bin_bits"]
-    seeds = F.explode(F.array(*map(F.lit, range(hashes)))).alias("seed")
-    probes = wanted.select("*", seeds).withColumn(
-        "position", bloom_position(F.col("kmer"), F.col("seed"), bits)
-    )
+    wanted = _lookup_rows(index, rows, "kmer")
+    # hashing a local table runs on the driver, without a job; the positions then name
+    # the directories to read
+    hashed = wanted.select(
+        "*", *[bloom_position(F.col("kmer"), F.lit(s), bits).alias(f"p{s}") for s in range(hashes)]
+    ).collect()
+    probes = [(*row[:4], row[f"p{s}"]) for row in hashed for s in range(hashes)]
+    positions = sorted({probe[4] for probe in probes})
+    slots = sorted({p // index.meta["slot_bits"] for p in positions})
+    near = F.col("slot").isin(slots) & F.col("position").between(positions[0], positions[-1])
+    if len(positions) <= PUSHED_KEYS:
+        near &= F.col("position").isin(positions)
     return (
         index.table("bloom")
-        .join(probes, "position")
-        .groupBy("motif_id", "part", "needed", "key_no", "kmer", "block")
+        .where(near)
+        .join(_lookup_rows(index, probes, "position"), "position")
+        .groupBy("motif_id", "part", "needed", "key_no", "block")
         .agg(F.bit_and("mask").alias("mask"), F.count("*").alias("found"))
         .where((F.col("found") == hashes) & (F.col("mask") != 0))
     )

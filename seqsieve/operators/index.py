@@ -5,7 +5,7 @@ On disk an index is a folder of parquet tables:
 * ``bins``      one row per bin with its block, lane and counts
 * ``records``   the searchable records, blocks spread over directories (``shard``)
 * ``postings``  (kmer, block, mask), one directory per k-mer prefix, sorted by k-mer
-* ``bloom``     (position, block, mask) instead of postings for the Bloom layout
+* ``bloom``     (position, block, mask), by ranges of positions, instead of postings
 * ``dgrams``    (code, block, mask) of gapped k-mers, when asked for
 * ``meta``      one JSON line with the parameters; written last
 """
@@ -30,14 +30,15 @@ SCHEMAS = {
     "bins": "bin string, n_records bigint, n_indexed bigint, n_kmers bigint,"
     " residues bigint, n_not_ascii bigint, block int, lane int, bin_id bigint",
     "postings": "kmer string, block int, mask bigint, prefix string",
-    "bloom": "position bigint, block int, mask bigint",
+    "bloom": "position bigint, block int, mask bigint, slot int",
     "dgrams": "code bigint, block int, mask bigint",
 }
 BINS_PER_GROUP = 4096  # bins numbered together; bounds the sort that numbers them
 BROADCAST_BYTES = 64 << 20  # a side is broadcast only when known to be smaller
 SHARD_RESIDUES = 256 << 20  # residues per directory of stored records ...
 MAX_SHARDS = 20_000  # ... unless that makes too many directories
-SMALL_RESIDUES = 50_000_000
+BLOOM_SLOTS = (8, 1024)  # directories of Bloom bits of a small or large collection
+TINY_RESIDUES, SMALL_RESIDUES = 1_000_000, 50_000_000
 MAX_LETTERS = 64  # with more distinct letters, wildcards are not spelled out
 
 
@@ -142,13 +143,10 @@ def _prefix_length(molecule: str, residues: int) -> int:
     return (1 + step) * (2 if molecule == "na" else 1)
 
 
-def _letters(postings: DataFrame, records: DataFrame, k: int, molecule: str, reduction) -> list | None:
-    """Letters a wildcard may stand for: those of all k-mers and of too-short records."""
-    short = records.where(F.length("seq") < k).select(
-        F.explode(F.split(alphabet.reduce_alphabet(F.col("seq"), reduction), "")).alias("letter")
-    )
-    indexed = postings.select("kmer").distinct().select(F.explode(F.split("kmer", "")).alias("letter"))
-    found = indexed.unionByName(short).where("letter != ''").distinct().limit(MAX_LETTERS + 1)
+def _letters(postings: DataFrame, molecule: str) -> list | None:
+    """Letters of all k-mers, which a wildcard may stand for; None when there are many."""
+    found = postings.select(F.explode(F.split("kmer", "")).alias("letter"))
+    found = found.where("letter != ''").distinct().limit(MAX_LETTERS + 1)
     letters = {row[0] for row in found.collect()}
     if len(letters) > MAX_LETTERS or any(ord(c) > 127 for c in letters):
         return None
@@ -257,17 +255,10 @@ def build_index(
     home = path if layout == "exact" else scratch_folder(spark)
     _write_postings(postings, meta, f"{home}/postings")
     stored = _read(spark, home, "postings")
-    meta["letters"] = _letters(stored, placed, k, molecule, reduction) if ascii_only else None
+    meta["slot_bits"] = math.ceil(meta["bin_bits"] / BLOOM_SLOTS[total["residues"] >= SMALL_RESIDUES])
+    meta["letters"] = _letters(stored, molecule) if ascii_only else None
     if layout == "bloom":
-        seeds = F.explode(F.array(*map(F.lit, range(hash_count)))).alias("seed")
-        (
-            stored.select("kmer", "block", "mask", seeds)
-            .groupBy(bloom_position(F.col("kmer"), F.col("seed"), meta["bin_bits"]).alias("position"), "block")
-            .agg(F.bit_or("mask").alias("mask"))
-            .repartitionByRange("position")
-            .sortWithinPartitions("position", "block")
-            .write.parquet(f"{path}/bloom")
-        )
+        _write_bloom(stored, meta, f"{path}/bloom")
     index = MotifIndex(spark, path, meta, placed, bins)
     if dgram_gaps:
         add_dgrams(index, *dgram_gaps)
@@ -275,19 +266,42 @@ def build_index(
     return index
 
 
+def _tasks(df: DataFrame, rows: int) -> int:
+    """Shuffle partitions for up to ``rows`` short rows: the configured number or more."""
+    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(configured, min(50_000, rows // 50_000_000))
+
+
 def _write_postings(postings: DataFrame, meta: dict, path: str) -> None:
     postings = postings.withColumn("prefix", F.substring("kmer", 1, min(meta["prefix"], meta["k"])))
-    if meta["residues"] < SMALL_RESIDUES:
-        postings = postings.repartition("prefix")  # one file per prefix
+    if meta["residues"] < TINY_RESIDUES:
+        ranged = postings.repartition(1)
     else:
-        postings = postings.repartitionByRange("prefix", "kmer")  # a hot prefix over many tasks
+        # ranges of k-mers are even: a frequent prefix is spread over many tasks
+        tasks = _tasks(postings, meta["residues"])
+        ranged = postings.repartitionByRange(tasks, "prefix", "kmer")
     (
-        postings.sortWithinPartitions("prefix", "kmer", "block")
+        ranged.sortWithinPartitions("prefix", "kmer", "block")
         .write.partitionBy("prefix")
         .parquet(path)
     )
 
 
+def _write_bloom(postings: DataFrame, meta: dict, path: str) -> None:
+    seeds = F.explode(F.array(*map(F.lit, range(meta["hash_count"])))).alias("seed")
+    position = bloom_position(F.col("kmer"), F.col("seed"), meta["bin_bits"])
+    (
+        postings.select("kmer", "block", "mask", seeds)
+        .groupBy(position.alias("position"), "block")
+        .agg(F.bit_or("mask").alias("mask"))
+        .withColumn("slot", F.floor(F.col("position") / meta["slot_bits"]).cast("int"))
+        .repartitionByRange("slot", "position")
+        .sortWithinPartitions("slot", "position", "block")
+        .write.partitionBy("slot")
+        .parquet(path)
+    )
+
+
 def _write_meta(index: MotifIndex) -> None:
     line = index.spark.range(1).select(F.lit(json.dumps(index.meta)).alias("value"))
     line.coalesce(1).write.mode("overwrite").text(f"{index.path}/meta")

@@ -152,8 +152,10 @@ def split_part_size(records: DataFrame, part_size: int, order: str, size: Column
     totals = spark.read.parquet(f"{folder}/totals")
 
     # first record that ends beyond before + part_size, but not the one the part began with
-    full = _first_above(totals, F.col("before") + part_size, F.col("upto"), part_size)
-    grown = _first_above(totals, F.col("before"), F.col("before"), part_size)
+    width = totals.agg(F.max("upto") * CHUNK / F.count("*")).first()[0]
+    width = max(1, int(width or 1))  # sizes among which about CHUNK records end
+    full = _first_above(totals, F.col("before") + part_size, F.col("upto"), width)
+    grown = _first_above(totals, F.col("before"), F.col("before"), width)
     links = full.join(grown.withColumnRenamed("next", "moved"), "n")
     links = links.where("next is not null and moved is not null").select(
         "n", F.greatest("next", "moved").alias("next")

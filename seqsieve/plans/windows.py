@@ -5,7 +5,8 @@ and yields a small acyclic graph: every edge may demand one indexed key, a k-mer
 a gapped k-mer, and a bin can hold a match only if some path from the start to the
 end finds all its keys in that bin. Whenever the walk cannot or should not be
 precise (long loops, too many windows, characters that were never indexed as such)
-it *breaks*: the window is emptied, which drops constraints and so never loses a bin.
+it *breaks*: windows are shortened or emptied, which drops constraints and so never
+loses a bin.
 """
 
 from __future__ import annotations
@@ -68,8 +69,9 @@ class WindowGraph:
         return kept
 
 
-MAX_WINDOWS = 16_384  # live windows at one pattern position before the walk breaks
-MAX_EDGES = 200_000
+MAX_WINDOWS = 2048  # live windows at one pattern position before they are shortened
+UNSEEN = "\0"  # stands for every character outside the indexed alphabet
+MAX_EDGES = 200_000  # edges before every further wildcard or class breaks
 
 
 def window_graph(node, shape: IndexShape) -> WindowGraph:
@@ -99,25 +101,41 @@ def window_graph(node, shape: IndexShape) -> WindowGraph:
             edge(source, out, ("", None))
         return out
 
+    def shortened(live: dict) -> dict:
+        """Forget the oldest residue of the longest windows, which makes many equal."""
+        longest = max(len(window) for window, _ in live)
+        if longest == 0 or any(pending for _, pending in live):
+            return broken(live)
+        out: dict = {}
+        for (window, pending), source in live.items():
+            edge(source, out, (window[-longest + 1 :] if longest > 1 else "", pending))
+        return out
+
     def spelled(node: P.Chars):
-        """The characters to branch over; None when they cannot be listed."""
-        chars = node.chars
-        if node.negated:
-            chars = None if shape.alphabet is None else shape.alphabet - node.chars
-        elif shape.alphabet is not None:
-            chars = chars & shape.alphabet
+        """The characters to branch over; None when they cannot be listed.
+
+        All characters that no k-mer contains are one: they can only occur in records
+        shorter than k.
+        """
+        known = shape.alphabet
+        if known is None:
+            chars = None if node.negated else node.chars
+        elif node.negated:
+            chars = (known - node.chars) | {UNSEEN}
+        else:
+            chars = frozenset(c if c in known else UNSEEN for c in node.chars)
         if chars is not None and any(ord(c) > 127 for c in chars):
             return None
         return chars
 
     def step(node: P.Chars, live: dict) -> dict:
         chars = spelled(node)
-        if (
-            chars is None
-            or len(live) * len(chars) > MAX_WINDOWS
-            or len(graph.edges) > MAX_EDGES
+        if chars is None or len(chars) > MAX_WINDOWS or (
+            len(chars) > 1 and len(graph.edges) > MAX_EDGES
         ):
             return broken(live)
+        while len(live) * len(chars) > MAX_WINDOWS:
+            live = shortened(live)
         out: dict = {}
         for (window, pending), source in live.items():
             for char in sorted(chars):
@@ -134,6 +152,8 @@ def window_graph(node, shape: IndexShape) -> WindowGraph:
                 needle = -1
                 if len(text) >= k:
                     kmer = text[-k:]
+                    if UNSEEN in kmer:
+                        continue
                     kmer = shape.canonical(kmer) if shape.canonical else kmer
                     needle = graph.key_number(f"k{kmer}")
                 edge(source, out, (text[-keep:], None), needle)
