@@ -185,6 +185,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         .select("kmer")
         .distinct()
         .select("kmer", A.nucleotide_code(F.col("kmer")).alias("code")),
+        "kmers_decoded": lambda s, d: K.kmers(_records(s, d), 4)
+        .select("kmer")
+        .distinct()
+        .select("kmer", A.peptide_from_code(A.peptide_code(F.col("kmer")), 4).alias("decoded")),
         "kmer_postings": lambda s, d: _postings(_peptides(s, d)),
         "short_records": lambda s, d: _records(s, d).where(F.length("seq") < 6).select("bin", "name"),
         "dgram_codes": lambda s, d: K.dgram_windows(_records(s, d), 1, 2, [])
@@ -211,6 +215,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             _peptides(s, d, fine=True), "TRE(TH|AN)E[RS]"
         ),
         "candidate_bins_loop": lambda s, d: S.candidate_bins(_peptides(s, d, fine=True), "THE(RE)?NT"),
+        "candidate_counts": lambda s, d: S.candidate_bins_many(
+            _peptides(s, d, fine=True), {"a": "ANDTHER", "b": "THENT", "c": "THE"}
+        )
+        .groupBy("motif_id")
+        .agg(F.count("*").alias("bins")),
         "candidate_bins_short": lambda s, d: S.candidate_bins(_peptides(s, d, fine=True), "TH(E|ERE)"),
         "candidate_bins_reduced": lambda s, d: S.candidate_bins(
             _index(s, d, fine=True, k=5, reduction="murphy"), "WINDGATE"
@@ -224,7 +233,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "search_na_reverse": lambda s, d: _nucleotide(s, d).where("strand = '-'"),
         "search_na_first": lambda s, d: S.search(_index(s, d, molecule="na", k=6), "(AC|ACG)TA(C|CA)"),
         "search_murphy": lambda s, d: S.search(_index(s, d, k=5, reduction="murphy"), "WIN[DE]G"),
-        "search_li": lambda s, d: S.search(_index(s, d, k=5, reduction="li"), "[FY]LN[DE]"),
+        "search_li": lambda s, d: S.search(_index(s, d, k=5, reduction="li"), "ANDTH[DE]R"),
         "search_longest_bounded": lambda s, d: S.search(_peptides(s, d), "(T|TH|THE)R?N"),
         "search_longest_choice": lambda s, d: S.search(_peptides(s, d), "T|TH|THE|THER"),
         "search_longest_unbounded": lambda s, d: S.search(_peptides(s, d), "(A|AN)+D"),
@@ -453,6 +462,7 @@ def oracle_sql() -> dict[str, str]:
         f"{_kmers_sql(5, _rec(_MURPHY.format(_AA)))} GROUP BY kmer",
         "kmer_codes_aa": f"SELECT kmer, {codes(A.AMINO_ACIDS, 4, 32)} AS code FROM (SELECT DISTINCT kmer FROM {aa4})",
         "kmer_codes_na": f"SELECT kmer, {codes('ACTG', 5, 4)} AS code FROM (SELECT DISTINCT kmer FROM {na5})",
+        "kmers_decoded": f"SELECT DISTINCT kmer, kmer AS decoded FROM {aa4}",
         "kmer_postings": f"SELECT DISTINCT kmer, bin FROM {aa4}",
         "short_records": f"SELECT bin, name FROM {_rec()} WHERE length(seq) < 6",
         "dgram_codes": "SELECT CAST(gap AS INTEGER) AS gap, count(*) AS n, count(DISTINCT code) AS n_codes,"
@@ -480,6 +490,14 @@ def oracle_sql() -> dict[str, str]:
             [f"TRE{m}E{e}" for m in ("TH", "AN") for e in "RS"], 4
         ),
         "candidate_bins_loop": _candidates_sql(["THENT", "THERENT"], 4),
+        "candidate_counts": " UNION ALL ".join(
+            f"SELECT '{i}' AS motif_id, count(*) AS bins FROM ({text})"
+            for i, text in {
+                "a": _candidates_sql(["ANDTHER"], 4),
+                "b": _candidates_sql(["THENT"], 4),
+                "c": f"SELECT DISTINCT bin FROM {_rec(bin=_DOC_BIN)}",
+            }.items()
+        ),
         "candidate_bins_short": f"SELECT DISTINCT bin FROM {_rec(bin=_DOC_BIN)}",
         "candidate_bins_reduced": _candidates_sql(["FIBBGASB"], 5, _MURPHY.format(_AA)),
         "candidate_bins_dgram": "WITH g AS (SELECT bin FROM (SELECT doc_id, bin, seq FROM"
@@ -491,7 +509,7 @@ def oracle_sql() -> dict[str, str]:
         "search_na_reverse": f"SELECT * FROM ({_matches_sql(na_rx, _strands_sql(), 'strand')}) WHERE strand = '-'",
         "search_na_first": _matches_sql("(?:AC|ACG)TA(?:C|CA)", _strands_sql(), "strand"),
         "search_murphy": _matches_sql("FIBBG", _rec(_MURPHY.format(_AA))),
-        "search_li": _matches_sql("FJHB", _rec(_LI.format(_AA))),
+        "search_li": _matches_sql("AHBAHBK", _rec(_LI.format(_AA))),
         "search_longest_bounded": _matches_sql("THERN|THEN|THRN|THN|TRN|TN"),
         "search_longest_choice": _matches_sql("THER|THE|TH|T"),
         "search_longest_unbounded": _matches_sql("(?:AN?)+D"),

@@ -3,6 +3,7 @@
 from seqsieve.operators.index import add_dgrams, build_index, inspect, load_index
 from seqsieve.operators.search import (
     candidate_bins,
+    candidate_bins_many,
     pattern_dot,
     scan,
     search,
@@ -15,6 +16,7 @@ __all__ = [
     "add_dgrams",
     "build_index",
     "candidate_bins",
+    "candidate_bins_many",
     "inspect",
     "load_index",
     "pattern_dot",

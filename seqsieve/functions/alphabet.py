@@ -105,6 +105,17 @@ def peptide_code(kmer: Column) -> Column:
     return F.conv(digits, 32, 10).cast("bigint")
 
 
+def nucleotide_from_code(code: Column, k: int) -> Column:
+    """The k-mer of a nucleotide code."""
+    return F.translate(F.lpad(F.conv(code, 10, 4), k, "0"), "0123", "ACTG")
+
+
+def peptide_from_code(code: Column, k: int) -> Column:
+    """The k-mer of a peptide code; letters that share a code come back as the first."""
+    letters = AMINO_ACIDS + "X"
+    return F.translate(F.lpad(F.conv(code, 10, 32), k, "0"), _DIGITS[: len(letters)], letters)
+
+
 def amino_digits(seq: Column) -> Column:
     """Base-20 digit per amino acid, ``~`` for everything else."""
     table = {a: _DIGITS[i] for i, a in enumerate(AMINO_ACIDS)}

@@ -18,7 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqsieve.operators.index import MotifIndex, bloom_position
+from seqsieve.operators.kmers import has_lane
 from seqsieve.plans.windows import WindowGraph
+from seqsieve.session import ship_package
 
 ALTERNATIVES_LIMIT = 20_000  # keys over all alternatives before a graph is kept as it is
 BROADCAST_ROWS = 500_000  # lookup rows are short: this is below 50 MB
@@ -121,6 +123,7 @@ def _by_graph(index: MotifIndex, graphs: dict[str, WindowGraph]) -> DataFrame:
         for motif, graph in graphs.items()
         for key, number in graph.keys.items()
     ]
+    ship_package(index.spark)
     edges = {m: (g.edges, g.n_states, len(g.keys)) for m, g in graphs.items()}
     shared = index.spark.sparkContext.broadcast(edges)
 
@@ -181,8 +184,6 @@ def candidate_masks(
 
 def bins_of(index: MotifIndex, masks: DataFrame) -> DataFrame:
     """``(motif_id, bin)`` for a table of masks."""
-    from seqsieve.operators.kmers import has_lane
-
     return (
         index.bins.select("bin", "block", "lane")
         .join(masks, "block")

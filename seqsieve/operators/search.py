@@ -20,6 +20,7 @@ from seqsieve.operators.index import BROADCAST_BYTES, MotifIndex
 from seqsieve.operators.kmers import has_lane
 from seqsieve.plans import pattern as P
 from seqsieve.plans.windows import WindowGraph, to_dot, window_graph
+from seqsieve.session import ship_package
 from seqsieve.sources.fasta import read_fasta
 
 
@@ -143,6 +144,7 @@ def _matches(hits: DataFrame, motifs: list[Motif]) -> DataFrame:
     """Explode every hit text into its matches."""
     kept = [c for c in _KEPT if c in hits.columns] + ["motif_id"]
     if motifs[0].needs_walk:
+        ship_package(hits.sparkSession)
         spans = longest_spans({m.id: m.node for m in motifs})
         found = hits.select(*kept, spans("seq", "motif_id").alias("spans"))
     else:
@@ -248,17 +250,26 @@ def search_many(
     return _search(index, prepared, augment, dgrams)
 
 
+def candidate_bins_many(
+    index: MotifIndex, motifs: dict[str, str], *, augment: bool = False, dgrams: bool = False
+) -> DataFrame:
+    """The bins (``motif_id``, ``bin``) a search for each motif of a batch would look at."""
+    prepared = [prepare(p, i, index.meta["reduction"]) for i, p in motifs.items()]
+    if index.n_bins == 1:
+        masks, unfiltered = None, list(motifs)
+    else:
+        graphs = {m.id: graph_of(index, m, augment, dgrams) for m in prepared}
+        masks, unfiltered = candidate_masks(index, graphs)
+    every = F.explode(F.array(*map(F.lit, unfiltered)).cast("array<string>"))
+    out = index.bins.select(every.alias("motif_id"), "bin")
+    return out if masks is None else out.union(bins_of(index, masks))
+
+
 def candidate_bins(
     index: MotifIndex, pattern: str, *, augment: bool = False, dgrams: bool = False
 ) -> DataFrame:
     """The bins (``bin``) a search for ``pattern`` would look at."""
-    motif = prepare(pattern, reduction=index.meta["reduction"])
-    masks, unfiltered = candidate_masks(index, {motif.id: graph_of(index, motif, augment, dgrams)})
-    if index.n_bins == 1 or unfiltered:
-        return index.bins.select("bin")
-    if masks is None:
-        return index.bins.select("bin").where(F.lit(False))
-    return bins_of(index, masks).select("bin")
+    return candidate_bins_many(index, {"": pattern}, augment=augment, dgrams=dgrams).select("bin")
 
 
 def search_all_of(

@@ -1,9 +1,11 @@
-"""Where the engine keeps what it writes for itself."""
+"""What the engine asks of a Spark session: a shared folder, and itself on the workers."""
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -21,3 +23,17 @@ def scratch_folder(spark: SparkSession) -> str:
         shared = tempfile.mkdtemp(prefix="seqsieve-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared.rstrip('/')}/seqsieve-{uuid.uuid4().hex}"
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package, wherever the driver imported it from."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    base = f"{tempfile.mkdtemp(prefix='seqsieve-')}/{package.name}"
+    context.addPyFile(shutil.make_archive(base, "zip", package.parent, package.name))
+    _shipped.add(context.applicationId)

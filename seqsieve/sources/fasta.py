@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from seqsieve.session import ship_package
+
 SUFFIXES = (".fa", ".fa.gz", ".fasta", ".fasta.gz", ".fna", ".fna.gz")
 
 
@@ -144,6 +146,7 @@ def read_fastx(spark: SparkSession, paths: list[str]) -> DataFrame:
     Quality lines may start with any character, so a FASTQ file cannot be cut at line
     ends; files are read in parallel, each by one streaming task.
     """
+    ship_package(spark)
     spark.dataSource.register(FastxSource)
     return spark.read.format("fastx").option("paths", "\n".join(paths)).load()
 
