@@ -40,39 +40,42 @@ def spans_from_pieces(matches: str, pieces: str) -> Column:
 class LongestMatcher:
     """Leftmost-longest spans for patterns no first-match search can express.
 
-    The start of a match comes from ``re``; its longest end from running the position
-    automaton, whose subset states are remembered as they appear.
+    A backward pass over the text notes, per residue, the pattern positions that can
+    consume it and still reach the end of a match. Forward runs keep to those, so they
+    start only where a match starts and stop where it can grow no more. Both passes
+    remember the sets they have seen: one dictionary lookup per residue.
     """
 
     def __init__(self, node) -> None:
-        self.search = re.compile(P.render(node, text_end=r"\Z")).search
-        self.automaton = P.positions(node)
-        self.moves: dict = {}
-
-    def move(self, state: frozenset | None, char: str) -> tuple[frozenset, bool]:
-        auto = self.automaton
-        reachable = (
-            auto.first
-            if state is None
-            else frozenset().union(*(auto.follow[p] for p in state))
-        )
+        self.pattern = P.positions(node)
+        self.steps: dict = {}
+        self.backs: dict = {}
+
+    def back(self, following: frozenset, char: str) -> frozenset:
         marks = (P.START_MARK, P.END_MARK)
-        target = frozenset(
+        return frozenset(
             p
-            for p in reachable
-            if (char in auto.classes[p].chars) != auto.classes[p].negated
-            and not (auto.classes[p].negated and char in marks)
+            for p, residues in enumerate(self.pattern.classes)
+            if (char in residues.chars) != residues.negated
+            and not (residues.negated and char in marks)
+            and (p in self.pattern.last or self.pattern.follow[p] & following)
         )
-        return target, bool(target & auto.last)
 
-    def longest_end(self, text: str, begin: int) -> int:
-        """``text`` carries a mark at both ends; -1 when nothing matches at ``begin``."""
+    def step(self, state: frozenset | None, useful: frozenset) -> tuple[frozenset, bool]:
+        pattern = self.pattern
+        ahead = pattern.first if state is None else frozenset().union(*(pattern.follow[p] for p in state))
+        target = ahead & useful
+        return target, bool(target & pattern.last)
+
+    def longest_end(self, useful: list[frozenset], begin: int) -> int:
+        """End of the longest match at ``begin``, -1 if there is none."""
         state, end = None, -1
-        for i in range(begin, len(text)):
-            step = self.moves.get((state, text[i]))
-            if step is None:
-                step = self.moves[state, text[i]] = self.move(state, text[i])
-            state, accepting = step
+        for i in range(begin, len(useful)):
+            key = (state, useful[i])
+            found = self.steps.get(key)
+            if found is None:
+                found = self.steps[key] = self.step(*key)
+            state, accepting = found
             if not state:
                 break
             if accepting:
@@ -81,27 +84,59 @@ class LongestMatcher:
 
     def spans(self, text: str) -> list[dict]:
         marked = P.START_MARK + text + P.END_MARK
+        useful, state = [], frozenset()
+        for char in reversed(marked):
+            key = (state, char)
+            state = self.backs.get(key)
+            if state is None:
+                state = self.backs[key] = self.back(*key)
+            useful.append(state)
+        useful.reverse()
         out, at = [], 0
-        while (found := self.search(text, at)) is not None:
-            begin = found.start()
-            end = self.longest_end(marked, begin + 1)
-            if begin == 0:
-                end = max(end, self.longest_end(marked, 0))
-            end = min(end - 1, len(text))  # back to coordinates without the marks
-            out.append({"match": text[begin:end], "start": begin, "end": end})
-            at = end
+        while at < len(text):
+            end = self.end_at(text, useful, at)
+            if end > at:
+                out.append({"match": text[at:end], "start": at, "end": end})
+                at = end
+            else:
+                at += 1
         return out
 
+    def end_at(self, text: str, useful: list[frozenset], at: int) -> int:
+        end = self.longest_end(useful, at + 1)
+        if at == 0:
+            end = max(end, self.longest_end(useful, 0))
+        return min(end - 1, len(text))  # back to coordinates without the marks
+
+
+class FirstMatcher(LongestMatcher):
+    """Leftmost-first spans by Python's own matching, which does not recurse.
+
+    It is asked only where a match exists, which spares it hopeless backtracking.
+    """
+
+    def __init__(self, node) -> None:
+        super().__init__(node)
+        self.match = re.compile(P.render(node, text_end=r"\Z")).match
+
+    def end_at(self, text: str, useful: list[frozenset], at: int) -> int:
+        if super().end_at(text, useful, at) <= at:
+            return -1
+        return self.match(text, at).end()
+
 
-def longest_spans(nodes: dict[str, object]):
+def walked_spans(nodes: dict[str, object], longest: bool):
     """Pandas UDF (text, motif id) -> spans; ``nodes`` maps motif ids to patterns."""
 
     @F.pandas_udf(SPAN_TYPE)
     def spans(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        matchers = {motif: LongestMatcher(node) for motif, node in nodes.items()}
+        matcher = LongestMatcher if longest else FirstMatcher
+        matchers = {motif: matcher(node) for motif, node in nodes.items()}
         for texts, motifs in batches:
             yield pd.Series(
-                [matchers[m].spans(t) for t, m in zip(texts, motifs)], dtype=object
+                # other motifs of a batch may pass by when Spark runs this before a join
+                [matchers[m].spans(t) if m in matchers else [] for t, m in zip(texts, motifs)],
+                dtype=object,
             )
 
     return spans

@@ -7,14 +7,14 @@ all records would return; the index only decides which records are looked at.
 from __future__ import annotations
 
 import warnings
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqsieve.functions import alphabet
-from seqsieve.functions.spans import longest_spans, spans_from_pieces
+from seqsieve.functions.spans import spans_from_pieces, walked_spans
 from seqsieve.operators.candidates import BROADCAST_ROWS, bins_of, candidate_masks
 from seqsieve.operators.index import BROADCAST_BYTES, MotifIndex
 from seqsieve.operators.kmers import has_lane
@@ -26,14 +26,15 @@ from seqsieve.sources.fasta import read_fasta
 
 @dataclass(frozen=True)
 class Motif:
-    """One pattern, ready to run: ``needs_walk`` when Java's search cannot be used."""
+    """One pattern, ready to run; ``walk`` is set when Java's search cannot be used,
+    to ``longest`` or ``first`` matches."""
 
     id: str
     text: str
     node: object
     regex: str
     literal: str
-    needs_walk: bool = False
+    walk: str | None = None
 
 
 def prepare(
@@ -50,18 +51,21 @@ def prepare(
     node = P.map_letters(P.parse(pattern), alphabet.REDUCTIONS.get(reduction))
     if P.nullable(node):
         raise ValueError(f"pattern {pattern!r} can match the empty string")
-    runnable, needs_walk = node, False
-    if longest and not P.first_match_is_longest(node):
+    runnable, walk, possessive = node, None, False
+    if P.has_long_group_loop(node):
+        possessive = P.unambiguous(node)
+        walk = None if possessive else "longest" if longest else "first"
+    elif longest and not P.first_match_is_longest(node):
         runnable = P.longest_first(node)
-        needs_walk = runnable is None
-    regex = P.render(node if needs_walk else runnable)
+        walk = "longest" if runnable is None else None
+    regex = P.render(node if walk else runnable, possessive=possessive)
     return Motif(
         regex if motif_id is None else motif_id,
         pattern,
         node,
         regex,
         P.required_literal(node),
-        needs_walk,
+        walk,
     )
 
 
@@ -115,12 +119,10 @@ def _candidates(index: MotifIndex, masks: DataFrame, motifs: list[Motif]) -> Dat
         placed = index.in_blocks(F.broadcast(masks) if few else masks)
     texts = _texts(placed, index.meta["molecule"], index.meta["reduction"])
     if len(motifs) == 1 and motifs[0].id == motifs[0].regex:  # its id is the pattern
-        return texts.where(F.contains("seq", F.lit(motifs[0].literal))).where(
-            "regexp_instr(seq, motif_id) > 0"
-        )
-    return texts.join(_motif_table(index, motifs), "motif_id").where(
-        "contains(seq, literal) AND regexp_instr(seq, regex) > 0"
-    )
+        texts = texts.where(F.contains("seq", F.lit(motifs[0].literal)))
+        return texts if motifs[0].walk else texts.where("regexp_instr(seq, motif_id) > 0")
+    texts = texts.join(_motif_table(index, motifs), "motif_id").where("contains(seq, literal)")
+    return texts if motifs[0].walk else texts.where("regexp_instr(seq, regex) > 0")
 
 
 def _everywhere(texts: DataFrame, motifs: list[Motif]) -> DataFrame:
@@ -143,17 +145,17 @@ def _everywhere(texts: DataFrame, motifs: list[Motif]) -> DataFrame:
 def _matches(hits: DataFrame, motifs: list[Motif]) -> DataFrame:
     """Explode every hit text into its matches."""
     kept = [c for c in _KEPT if c in hits.columns] + ["motif_id"]
-    if motifs[0].needs_walk:
+    if motifs[0].walk:
         ship_package(hits.sparkSession)
-        spans = longest_spans({m.id: m.node for m in motifs})
+        spans = walked_spans({m.id: m.node for m in motifs}, motifs[0].walk == "longest")
         found = hits.select(*kept, spans("seq", "motif_id").alias("spans"))
-    else:
-        regex = "regex" if "regex" in hits.columns else "motif_id"
-        found = hits.selectExpr(
-            *kept,
-            f"regexp_extract_all(seq, {regex}, 0) AS matches",
-            f"split(seq, {regex}, -1) AS pieces",
-        ).select(*kept, spans_from_pieces("matches", "pieces").alias("spans"))
+        return found.select(*kept, F.inline_outer("spans")).where("match IS NOT NULL")
+    regex = "regex" if "regex" in hits.columns else "motif_id"
+    found = hits.selectExpr(
+        *kept,
+        f"regexp_extract_all(seq, {regex}, 0) AS matches",
+        f"split(seq, {regex}, -1) AS pieces",
+    ).select(*kept, spans_from_pieces("matches", "pieces").alias("spans"))
     # every hit has a match; plain inline would add a filter that computes spans twice
     return found.select(*kept, F.inline_outer("spans"))
 
@@ -194,8 +196,8 @@ def _search(index: MotifIndex, motifs: list[Motif], augment: bool, dgrams: bool)
         masks, unfiltered = candidate_masks(index, graphs)
     texts = _texts(index.records, index.meta["molecule"], index.meta["reduction"])
     parts = []
-    for needs_walk in (False, True):
-        chosen = [m for m in motifs if m.needs_walk == needs_walk]
+    for walk in (None, "longest", "first"):
+        chosen = [m for m in motifs if m.walk == walk]
         filtered = [m for m in chosen if m.id not in set(unfiltered)]
         if filtered and masks is not None:
             parts.append(_matches(_candidates(index, masks, filtered), filtered))
@@ -279,11 +281,7 @@ def search_all_of(
     reduction = index.meta["reduction"]
     if not patterns:
         raise ValueError("no patterns given")
-    motifs = [
-        Motif(str(i), p, node := P.map_letters(P.parse(p), alphabet.REDUCTIONS.get(reduction)),
-              P.render(node), P.required_literal(node))
-        for i, p in enumerate(patterns)
-    ]
+    motifs = [_test_for(p, str(i), reduction) for i, p in enumerate(patterns)]
     records = index.records
     if reduction:
         records = records.withColumn("seq", alphabet.reduce_alphabet(F.col("seq"), reduction))
@@ -313,20 +311,36 @@ def search_all_of(
         records = index.in_blocks(common)
         if reduction:
             records = records.withColumn("seq", alphabet.reduce_alphabet(F.col("seq"), reduction))
-        for i in range(len(filtered)):
+        for i, motif in enumerate(sorted(filtered, key=lambda m: m.id)):
             own = F.col("patterns")[i]
-            records = records.where(
-                F.contains("seq", own["literal"]) & (F.regexp_instr("seq", own["regex"]) > 0)
-            )
+            records = records.where(F.contains("seq", own["literal"]))
+            if not motif.walk:
+                records = records.where(F.regexp_instr("seq", own["regex"]) > 0)
     for motif in motifs:
         if motif.id in set(unfiltered):
             records = records.where(_contains_match(motif))
+    walked = [m for m in motifs if m.walk]
+    if walked:
+        ship_package(index.spark)
+        spans = walked_spans({m.id: m.node for m in walked}, longest=True)
+        for motif in walked:
+            records = records.where(F.size(spans("seq", F.lit(motif.id))) > 0)
     kept = [c for c in _KEPT if c in records.columns]
     return records.select(*kept, F.array(*[F.lit(m.text) for m in motifs]).alias("motifs"))
 
 
+def _test_for(pattern: str, motif_id: str, reduction: str | None) -> Motif:
+    """A motif to be tested for only; one that can be empty is found in every record."""
+    node = P.map_letters(P.parse(pattern), alphabet.REDUCTIONS.get(reduction))
+    if P.nullable(node):
+        return Motif(motif_id, pattern, node, regex="", literal="")
+    motif = prepare(pattern, motif_id, reduction, longest=False)
+    return replace(motif, walk="longest") if motif.walk else motif
+
+
 def _contains_match(motif: Motif) -> Column:
-    return F.col("seq").contains(motif.literal) & F.col("seq").rlike(motif.regex)
+    holds = F.col("seq").contains(motif.literal)
+    return holds if motif.walk else holds & F.col("seq").rlike(motif.regex)
 
 
 def scan(

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from seqsieve.functions.spans import LongestMatcher
+from seqsieve.functions.spans import FirstMatcher, LongestMatcher
 from seqsieve.operators.search import prepare
 from seqsieve.plans import pattern as P
 from seqsieve.plans.windows import IndexShape, window_graph
@@ -97,21 +97,26 @@ def random_pattern(rng, letters, depth=2):
 def test_longest_matching_against_brute_force():
     rng = random.Random(5)
     ways = set()
-    for _ in range(600):
-        pattern = random_pattern(rng, "ACD")
+    loops = ["(AC)+D", "(A|CD)+E", "A(CD|E)*A", "(AC?D)+", "(A+C)*D", "(AC|D){1,200}E"] * 20
+    for n in range(600 + len(loops)):
+        pattern = loops[n] if n < len(loops) else random_pattern(rng, "ACD")
         node = P.parse(pattern)
         if P.nullable(node):
             continue
         text = "".join(rng.choice("ACDE") for _ in range(rng.randint(1, 14)))
         expected = brute_longest(node, text)
         motif = prepare(pattern)
-        ways.add((motif.needs_walk, motif.regex == P.render(node)))
+        ways.add((motif.walk, bool(re.search(r"[*+?}]\+", motif.regex)), motif.regex == P.render(node)))
         walked = [(s["start"], s["end"]) for s in LongestMatcher(node).spans(text)]
         assert walked == expected, (pattern, text)
-        if not motif.needs_walk:
+        first = [m.span() for m in re.finditer(P.render(node, text_end=r"\Z"), text)]
+        assert [(s["start"], s["end"]) for s in FirstMatcher(node).spans(text)] == first
+        if not motif.walk:
             regex = motif.regex.replace(r"\z", r"\Z")
             assert [m.span() for m in re.finditer(regex, text)] == expected, (pattern, text)
-    assert len(ways) == 3  # as it is, split by length, walked
+    # as it is, split by length, walked, with loops that give nothing back
+    assert {w[:2] for w in ways} == {(None, False), (None, True), ("longest", False)}
+    assert (None, False, False) in ways
 
 
 def test_window_graph_never_loses_a_matching_text():

@@ -282,3 +282,19 @@ def test_many_matches_in_one_record(spark):
     found = S.scan(data, "AC").orderBy("start").collect()
     assert [(m.start, m.end) for m in found] == [(i, i + 2) for i in range(0, 6000, 2)]
     assert [tuple(m)[2:] for m in S.scan(data, "(AC)+D").collect()] == [(text, 0, 6001)]
+
+
+@pytest.mark.parametrize("molecule", ["aa", "na"])
+def test_long_runs_of_group_loops(spark, molecule):
+    run = "ACG" * 30_000
+    data = frame(spark, [("x", "r", run + "TA"), ("y", "s", "CCCC" + "A" * 50_000), ("z", "t", "ACACG")])
+    index = S.build_index(data, k=3, molecule=molecule)
+    for pattern in ("(A|CG)+T", "(AC|ACG|G)+T", "(AC|G)+T"):
+        found = S.search(index, pattern)
+        if molecule == "na":
+            found = found.where("strand = '+'").drop("strand")
+        assert rows(found) == [("x", "r", run + "T", 0, 90_001)], pattern
+    for longest in (True, False):
+        assert S.search(index, "(A|AA)+CC", longest=longest).where("bin = 'y'").count() == 0
+    hits = S.search_all_of(index, ["(AC|ACG|G)+T", "(A|CG)+TA", "G*"])
+    assert [r["name"] for r in hits.collect()] == ["r"]
