@@ -237,6 +237,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "search_longest_bounded": lambda s, d: S.search(_peptides(s, d), "(T|TH|THE)R?N"),
         "search_longest_choice": lambda s, d: S.search(_peptides(s, d), "T|TH|THE|THER"),
         "search_longest_unbounded": lambda s, d: S.search(_peptides(s, d), "(A|AN)+D"),
+        "search_longest_walked": lambda s, d: S.search(_peptides(s, d), "(A|NA)+ND"),
         "search_many": lambda s, d: S.search_many(_peptides(s, d), BATCH),
         "match_counts": lambda s, d: S.search_many(_peptides(s, d), BATCH)
         .groupBy("motif_id", "bin")
@@ -513,6 +514,7 @@ def oracle_sql() -> dict[str, str]:
         "search_longest_bounded": _matches_sql("THERN|THEN|THRN|THN|TRN|TN"),
         "search_longest_choice": _matches_sql("THER|THE|TH|T"),
         "search_longest_unbounded": _matches_sql("(?:AN?)+D"),
+        "search_longest_walked": _matches_sql("(?:A|NA)+ND"),
         "search_many": _batch_sql(),
         "match_counts": "SELECT motif_id, bin, count(*) AS matches, count(DISTINCT name) AS records"
         f" FROM ({_batch_sql()}) GROUP BY motif_id, bin",

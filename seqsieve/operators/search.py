@@ -52,10 +52,13 @@ def prepare(
     if P.nullable(node):
         raise ValueError(f"pattern {pattern!r} can match the empty string")
     runnable, walk, possessive = node, None, False
-    if P.has_long_group_loop(node):
-        possessive = P.unambiguous(node)
+    if longest and not P.first_match_is_longest(node):
+        simpler = P.factored(node)
+        runnable = simpler if P.first_match_is_longest(simpler) else node
+    if P.has_long_group_loop(runnable):
+        possessive = P.unambiguous(runnable)
         walk = None if possessive else "longest" if longest else "first"
-    elif longest and not P.first_match_is_longest(node):
+    elif longest and not P.first_match_is_longest(runnable):
         runnable = P.longest_first(node)
         walk = "longest" if runnable is None else None
     regex = P.render(node if walk else runnable, possessive=possessive)
