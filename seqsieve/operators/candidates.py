@@ -9,8 +9,6 @@ blocks, over the postings of their keys.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
