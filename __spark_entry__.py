@@ -21,6 +21,14 @@ from seqsieve.session import scratch_folder
 from seqsieve.sources import fasta
 from seqsieve.sources.corpus import document_records
 
+try:
+    import corpus_pipeline
+    from seqsieve.llm import registry as corpus
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "seqsieve.llm"):
+        raise
+    corpus = None
+
 _indexes: dict = {}
 
 
@@ -279,6 +287,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
     for name, pattern in PATTERNS.items():
         out[name] = _pattern_query(pattern)
+    if corpus:
+        out |= corpus.queries()
+        out["pipeline"] = corpus_pipeline.run
     return out
 
 
@@ -540,4 +551,6 @@ def oracle_sql() -> dict[str, str]:
     }
     for name, pattern in PATTERNS.items():
         out[name] = _matches_sql(pattern.replace("(", "(?:"))
+    if corpus:
+        out |= corpus.oracle_sql()
     return out
