@@ -4,19 +4,62 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seqsieve.llm import mixing
+from seqsieve.llm import bpe, mixing, urls
 from seqsieve.llm.common import documents
 
+URL_RULES = [
+    ("allow", "org/"),
+    ("block", "example.org/es/"),
+    ("block", "example.org/en/1"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
+]
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(documents(spark, sf_dir))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(documents(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path(RANKS)
+    return bpe.round_trip(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix_sources": op1_mix_sources}
+    return {f.__name__: f for f in (op1_mix_sources, op3_url_filter, op7_byte_bpe)}
+
+
+_URL_SQL = r"""
+WITH parts AS (
+    SELECT page_id, strpos(coalesce(url, ''), '://') AS at,
+        substring(coalesce(url, ''), strpos(coalesce(url, ''), '://') + 3) AS rest
+    FROM pages),
+split AS (
+    SELECT page_id,
+        CASE WHEN at = 0 THEN '' ELSE
+            translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS host,
+        CASE WHEN at = 0 THEN '' ELSE regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) END AS path
+    FROM parts),
+rules(verdict, rule_host, rule_path) AS (VALUES
+    ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+    ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+fits AS (
+    SELECT page_id, verdict, rule_host || rule_path AS rule,
+        row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC, verdict DESC) AS place
+    FROM split JOIN rules
+    ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+SELECT s.page_id, s.host, s.path, f.rule, coalesce(f.verdict, 'allow') AS verdict
+FROM split s LEFT JOIN (SELECT * FROM fits WHERE place = 1) f ON s.page_id = f.page_id
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_url_filter": _URL_SQL}
