@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seqsieve.llm import bpe, mixing, urls
+from seqsieve.llm import bpe, langid, mixing, risk, urls
 from seqsieve.llm.common import documents
 
 URL_RULES = [
@@ -24,6 +24,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(documents(spark, sf_dir))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(documents(spark, sf_dir, "pages"), URL_RULES)
 
@@ -33,8 +37,12 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.judge(documents(spark, sf_dir), documents(spark, sf_dir, "labels")).drop("n_lines")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op3_url_filter, op7_byte_bpe)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_url_filter, op7_byte_bpe, op9_quality_rules)}
 
 
 _URL_SQL = r"""
