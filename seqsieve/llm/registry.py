@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seqsieve.llm import bpe, jaccard, langid, mixing, risk, urls
+from seqsieve.llm import bpe, jaccard, langid, mixing, pii, risk, urls
 from seqsieve.llm.common import documents
 
 URL_RULES = [
@@ -32,6 +32,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(documents(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(documents(spark, sf_dir)))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir), width=3, share=(9, 10)).drop("row_hash")
 
@@ -46,7 +50,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_url_filter, op5_ngram_jaccard, op7_byte_bpe, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_url_filter, op4_personal_data, op5_ngram_jaccard, op7_byte_bpe, op9_quality_rules)}
 
 
 _URL_SQL = r"""
