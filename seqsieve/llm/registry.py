@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seqsieve.llm import bpe, jaccard, langid, mixing, pii, risk, urls
+from seqsieve.llm import bpe, jaccard, langid, lm, mixing, pii, risk, urls
 from seqsieve.llm.common import documents
 
 URL_RULES = [
@@ -49,8 +49,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.judge(documents(spark, sf_dir), documents(spark, sf_dir, "labels")).drop("n_lines")
 
 
+def op10_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_corpus(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_url_filter, op4_personal_data, op5_ngram_jaccard, op7_byte_bpe, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_url_filter, op4_personal_data, op5_ngram_jaccard, op7_byte_bpe, op9_quality_rules, op10_recurrent_lm)}
 
 
 _URL_SQL = r"""
