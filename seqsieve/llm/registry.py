@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seqsieve.llm import bpe, jaccard, langid, lm, mixing, pii, risk, urls
+from seqsieve.llm import bpe, caps, jaccard, langid, lm, mixing, pii, risk, urls
 from seqsieve.llm.common import documents
 
 URL_RULES = [
@@ -40,6 +40,10 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir), width=3, share=(9, 10)).drop("row_hash")
 
 
+def op6_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.near_vectors(documents(spark, sf_dir, "embeddings"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path(RANKS)
     return bpe.round_trip(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
@@ -54,7 +58,7 @@ def op10_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_url_filter, op4_personal_data, op5_ngram_jaccard, op7_byte_bpe, op9_quality_rules, op10_recurrent_lm)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_url_filter, op4_personal_data, op5_ngram_jaccard, op6_cap_filters, op7_byte_bpe, op9_quality_rules, op10_recurrent_lm)}
 
 
 _URL_SQL = r"""
