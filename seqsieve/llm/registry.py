@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seqsieve.llm import bpe, caps, jaccard, langid, lm, mixing, pii, risk, urls
+from seqsieve.llm import bpe, caps, jaccard, langid, licenses, lm, mixing, pii, risk, urls
 from seqsieve.llm.common import documents
 
 URL_RULES = [
@@ -49,6 +49,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(licenses.scan_licenses(documents(spark, sf_dir)))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.judge(documents(spark, sf_dir), documents(spark, sf_dir, "labels")).drop("n_lines")
 
@@ -58,7 +62,11 @@ def op10_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_url_filter, op4_personal_data, op5_ngram_jaccard, op6_cap_filters, op7_byte_bpe, op9_quality_rules, op10_recurrent_lm)}
+    operators = (
+        op1_mix_sources, op2_language_id, op3_url_filter, op4_personal_data, op5_ngram_jaccard,
+        op6_cap_filters, op7_byte_bpe, op8_license_scan, op9_quality_rules, op10_recurrent_lm,
+    )
+    return {f.__name__: f for f in operators}
 
 
 _URL_SQL = r"""
