@@ -276,15 +276,20 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def _placed(docs: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
+    """doc_id, row_hash, n and the root of its component for every row."""
+    rows, links = similar_classes(docs, width, share)
+    roots = components(links)
+    placed = rows.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    return written(placed.drop("cid"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, share: tuple[int, int] = (4, 5)) -> DataFrame:
     """doc_id, row_hash, n_shingles and component_id (smallest doc_id within reach) of every row.
 
     ``share`` is the least Jaccard similarity as a fraction.
     """
-    rows, links = similar_classes(docs, width, share)
-    roots = components(links)
-    placed = rows.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    placed = written(placed.drop("cid"))
+    placed = _placed(docs, width, share)
     least = written(placed.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least")))
     return placed.join(least, "root", "left").select(
         "doc_id", "row_hash", F.col("n").alias("n_shingles"),
@@ -293,11 +298,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: tuple[int, int] = (4
 
 
 def keep_one(docs: DataFrame, width: int = 5, share: tuple[int, int] = (4, 5)) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates: that of the smallest doc_id
-    (of several rows with it, the one of least text hash, as often as it is repeated)."""
-    found = near_duplicates(docs, width, share)
-    kept = found.groupBy(F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("c"), F.when(F.col("n_shingles") == 0, F.struct("doc_id", "row_hash")).alias("alone")).agg(
-        F.min(F.struct("doc_id", "row_hash")).alias("first")
-    ).select(F.col("first.doc_id").alias("_kept_id"), F.col("first.row_hash").alias("_kept_hash"))
-    match = docs["doc_id"].eqNullSafe(F.col("_kept_id")) & text_hash(docs["text"]).eqNullSafe(F.col("_kept_hash"))
+    """``docs`` with one document of each group of near duplicates: that of the smallest doc_id,
+    null last (of several texts with it, the one of least hash, as often as it is repeated).
+    Documents with empty sets all stay."""
+    placed = _placed(docs, width, share)
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_hash")
+    first = placed.where("n > 0").groupBy("root").agg(F.min(rank).alias("row")).select("row.doc_id", "row.row_hash")
+    kept = written(first.union(placed.where("n = 0").select("doc_id", "row_hash").distinct()).toDF("_kept_id", "_kept_hash"))
+    match = docs["doc_id"].eqNullSafe(kept["_kept_id"]) & (text_hash(docs["text"]) == kept["_kept_hash"])
     return docs.join(kept, match, "left_semi")
