@@ -19,7 +19,7 @@ from seqsieve.operators import split as SP
 from seqsieve.operators.index import MotifIndex, bloom_bits
 from seqsieve.session import scratch_folder
 from seqsieve.sources import fasta
-from seqsieve.sources.corpus import document_records
+from seqsieve.sources.corpus import document_records, letters
 
 try:
     import corpus_pipeline
@@ -41,6 +41,12 @@ def _records(spark: SparkSession, sf: str, molecule: str = "aa", fine: bool = Fa
     return document_records(_documents(spark, sf), molecule, bin)
 
 
+def _letters(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of all letters of a document, not only those of the twenty amino acids."""
+    name = F.col("doc_id").cast("string").alias("name")
+    return _documents(spark, sf).select(F.col("source").alias("bin"), name, letters(F.col("text")).alias("seq"))
+
+
 def _index(spark: SparkSession, sf: str, fine: bool = False, **options) -> MotifIndex:
     """An index over the documents, built once per session and set of options."""
     key = (spark.sparkContext.applicationId, sf, fine, *sorted(options.items()))
@@ -55,12 +61,12 @@ def _peptides(spark: SparkSession, sf: str, fine: bool = False) -> MotifIndex:
 
 
 def _words(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct words of all documents that spell a peptide of five residues or more."""
-    upper = F.upper(F.regexp_replace("text", "[^A-Za-z ]", ""))
+    """Distinct words of all documents that spell a peptide."""
+    upper = F.upper(F.regexp_replace("text", r"[^A-Za-z\x20\x09-\x0D]", ""))
     return (
         _documents(spark, sf)
-        .select(F.explode(F.split(upper, " ")).alias("word"))
-        .where(F.col("word").rlike(f"^[{A.AMINO_ACIDS}]{{5,}}$"))
+        .select(F.explode(F.split(upper, r"[\x20\x09-\x0D]+")).alias("word"))
+        .where(F.col("word").rlike(f"^[{A.AMINO_ACIDS}]+$"))
         .distinct()
     )
 
@@ -80,9 +86,16 @@ PATTERNS = {
     "rx_minmax": "N.{1,3}DHA",
     "rx_group": "AN(D|T)TH(ER|AN)",
     "rx_loop_group": "T(HE)+RT",
-    "rx_wide_gap": "W.{2}[LIVM]D",
+    "rx_wide_gap": "L.{2}[LIVM]D",
+    "search_longest_gap": "C.{0,80}H",
     "rx_deep_class": "[LIVM]{3}D",
 }
+# one branch asks for no k-mer, the other for many that no document holds
+RICH_OR_SHORT = (
+    "HEN|KWV[ACDEFGHIKLMNPQRSTVWY]{2}VWK[ACDEFGHIKLMNPQRSTVWY]{1,2}WVK(N|S)"
+)
+# an id that is another motif's pattern, next to a motif that needs another way of matching
+MIXED = {"THER": "THER", "NDTH": "(A|NA)+NDTH", "m3": "AN(D|T)TH"}
 RICH = "T[ADEFGHIKLMNPQRSTVWY]{2}RE.{1,2}HE(N|S)"
 BATCH = {
     "m1": "TH(A|E)R",
@@ -136,11 +149,32 @@ def _dgram_postings(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _bloom(spark: SparkSession, sf: str) -> MotifIndex:
+    return _index(spark, sf, fine=True, k=4, layout="bloom")
+
+
+def _bloom_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Bins that the Bloom layout proposes and that do hold the k-mers: all of these."""
+    exact = S.candidate_bins(_peptides(spark, sf, fine=True), "LY[AEG]N")
+    return S.candidate_bins(_bloom(spark, sf), "LY[AEG]N").join(exact, "bin")
+
+
+def _bloom_false_share(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether at most the agreed share of the bins without a k-mer is proposed."""
+    index = _bloom(spark, sf)
+    exact = S.candidate_bins(_peptides(spark, sf, fine=True), "LYEN").withColumn("held", F.lit(1))
+    found = S.candidate_bins(index, "LYEN").withColumn("found", F.lit(1))
+    bins = index.bins.select("bin").join(exact, "bin", "left").join(found, "bin", "left").where("held IS NULL")
+    return bins.agg((F.count("found") <= index.meta["fpr"] * F.count("*")).alias("within_rate"))
+
+
 def _prosite(spark: SparkSession, sf: str) -> DataFrame:
-    letter = [F.substring("word", i, 1) for i in range(1, 6)]
+    letter = [F.substr(F.col("word"), F.lit(i) % F.length("word") + 1, F.lit(1)) for i in range(5)]
+    spelled = F.array_join(F.split("word", ""), "-")
     pattern = F.concat(
         F.lit("<"), letter[0], F.lit("-x-["), letter[1], letter[2], F.lit("]-{"), letter[3],
-        F.lit("}-"), letter[4], F.lit("(2,3)-x(2)-{"), letter[0], F.lit("}(2)-"), F.col("word"), F.lit(">"),
+        F.lit("}-"), letter[4], F.lit("(2,3)-x(2)-{"), letter[0], F.lit("}(2)-"), spelled,
+        F.lit("-["), letter[0], F.lit(">]."),
     )
     return _words(spark, sf).select("word", pattern.alias("prosite")).select(
         "word", "prosite", M.prosite_to_regex(F.col("prosite")).alias("regex")
@@ -167,13 +201,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "records_aa": lambda s, d: _records(s, d),
         "records_na": lambda s, d: _records(s, d, "na"),
-        "reduce_murphy": lambda s, d: _records(s, d).select(
+        "reduce_murphy": lambda s, d: _letters(s, d).select(
             "name", A.reduce_alphabet(F.col("seq"), "murphy").alias("seq")
         ),
-        "reduce_li": lambda s, d: _records(s, d).select(
+        "reduce_li": lambda s, d: _letters(s, d).select(
             "name", A.reduce_alphabet(F.col("seq"), "li").alias("seq")
         ),
-        "reverse_complement": lambda s, d: _records(s, d, "na").select(
+        "reverse_complement": lambda s, d: _letters(s, d).select(
             "name", A.reverse_complement(F.col("seq")).alias("seq")
         ),
         "kmers_aa": lambda s, d: K.kmers(_records(s, d), 4).groupBy("bin", "kmer").agg(
@@ -185,7 +219,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "kmers_reduced": lambda s, d: K.kmers(_records(s, d), 5, "aa", "murphy")
         .groupBy("kmer")
         .agg(F.count("*").alias("n")),
-        "kmer_codes_aa": lambda s, d: K.kmers(_records(s, d), 4)
+        "kmer_codes_aa": lambda s, d: K.kmers(_letters(s, d), 4)
         .select("kmer")
         .distinct()
         .select("kmer", A.peptide_code(F.col("kmer")).alias("code")),
@@ -193,27 +227,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         .select("kmer")
         .distinct()
         .select("kmer", A.nucleotide_code(F.col("kmer")).alias("code")),
-        "kmers_decoded": lambda s, d: K.kmers(_records(s, d), 4)
+        "kmers_decoded": lambda s, d: K.kmers(_letters(s, d), 4)
         .select("kmer")
         .distinct()
         .select("kmer", A.peptide_from_code(A.peptide_code(F.col("kmer")), 4).alias("decoded")),
         "kmer_postings": lambda s, d: _postings(_peptides(s, d)),
-        "short_records": lambda s, d: _records(s, d).where(F.length("seq") < 6).select("bin", "name"),
+        "short_records": lambda s, d: _peptides(s, d, fine=True).bins.select("bin", "n_records", "n_indexed"),
         "dgram_codes": lambda s, d: K.dgram_windows(_records(s, d), 1, 2, [])
         .select("gap", A.dgram_code(F.col("gap"), F.col("residues")).alias("code"))
         .groupBy("gap")
         .agg(F.count("*").alias("n"), F.countDistinct("code").alias("n_codes"), F.sum("code").alias("total")),
         "dgram_postings": _dgram_postings,
-        "index_stats": lambda s, d: S.inspect(_peptides(s, d)),
+        "index_stats": lambda s, d: S.inspect(_peptides(s, d)).na.fill(0),  # no Bloom figures
         "bloom_bits": lambda s, d: _peptides(s, d).bins.select(
             "bin", "n_kmers", bloom_bits(F.col("n_kmers"), 0.05).alias("bits")
         ),
         "search_bloom": lambda s, d: S.search(
             _index(s, d, fine=True, k=4, layout="bloom"), "LY[AEG]N"
         ),
-        "bloom_candidates": lambda s, d: S.candidate_bins(
-            _index(s, d, fine=True, k=4, layout="bloom"), "LY[AEG]N"
+        "search_bloom_na": lambda s, d: S.search(_index(s, d, molecule="na", k=6, layout="bloom"), "AC(GA)+T"),
+        "search_bloom_murphy": lambda s, d: S.search(
+            _index(s, d, k=5, reduction="murphy", layout="bloom"), "AN[DE]THE"
         ),
+        "bloom_candidates": _bloom_candidates,
+        "bloom_false_share": _bloom_false_share,
+        "search_rich_or_short": lambda s, d: S.search(_peptides(s, d, fine=True), RICH_OR_SHORT),
+        "search_many_mixed": lambda s, d: S.search_many(_peptides(s, d, fine=True), MIXED),
+        "search_longest_wide": lambda s, d: S.search(_peptides(s, d), "M.{1,2500}K"),
         "rx_anchor_start": lambda s, d: S.search(_peptides(s, d), "^[A-M]+"),
         "rx_anchor_end": lambda s, d: S.search(_peptides(s, d), "E(R|S|T)$"),
         "search_fine_bins": lambda s, d: S.search(_peptides(s, d, fine=True), "N.{1,3}DHA"),
@@ -230,7 +270,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         .agg(F.count("*").alias("bins")),
         "candidate_bins_short": lambda s, d: S.candidate_bins(_peptides(s, d, fine=True), "TH(E|ERE)"),
         "candidate_bins_reduced": lambda s, d: S.candidate_bins(
-            _index(s, d, fine=True, k=5, reduction="murphy"), "WINDGATE"
+            _index(s, d, fine=True, k=5, reduction="murphy"), "THEANDER"
         ),
         "candidate_bins_dgram": lambda s, d: S.candidate_bins(
             _index(s, d, fine=True, k=3, dgram_gaps=(1, 3)), "AND.{2}THE", augment=True, dgrams=True
@@ -240,7 +280,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "search_na": _nucleotide,
         "search_na_reverse": lambda s, d: _nucleotide(s, d).where("strand = '-'"),
         "search_na_first": lambda s, d: S.search(_index(s, d, molecule="na", k=6), "(AC|ACG)TA(C|CA)"),
-        "search_murphy": lambda s, d: S.search(_index(s, d, k=5, reduction="murphy"), "WIN[DE]G"),
+        "search_murphy": lambda s, d: S.search(_index(s, d, k=5, reduction="murphy"), "AN[DE]THE"),
         "search_li": lambda s, d: S.search(_index(s, d, k=5, reduction="li"), "ANDTH[DE]R"),
         "search_longest_bounded": lambda s, d: S.search(_peptides(s, d), "(T|TH|THE)R?N"),
         "search_longest_choice": lambda s, d: S.search(_peptides(s, d), "T|TH|THE|THER"),
@@ -298,6 +338,8 @@ _AA = (
     "regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')),"
     " '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g')"
 )
+_LETTERS = "upper(regexp_replace(text, '[^A-Za-z]', '', 'g'))"
+_SHARED = "translate({}, 'BJOUZ', 'DLXXE')"  # letters without a residue code of their own
 _NA = f"translate({_AA}, 'ACDEFGHIKLMNPQRSTVWY', 'ACGTACGTACGTACGTACGT')"
 _MURPHY = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ABCBBFGHIIKIIBKPBKSSCIFSFB')"
 _LI = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ABCBBFGHIJKJJHKPBKAACIFAFB')"
@@ -364,10 +406,15 @@ def _candidates_sql(strings: list[str], k: int, seq: str = _AA) -> str:
 
 
 _WORDS = (
-    "(SELECT DISTINCT word FROM (SELECT unnest(string_split(upper(regexp_replace(text,"
-    " '[^A-Za-z ]', '', 'g')), ' ')) AS word FROM documents)"
-    " WHERE regexp_full_match(word, '[ACDEFGHIKLMNPQRSTVWY]{5,}'))"
+    "(SELECT DISTINCT word FROM (SELECT unnest(string_split_regex(upper(regexp_replace(text,"
+    r" '[^A-Za-z\x20\x09-\x0D]', '', 'g')), '[\x20\x09-\x0D]+')) AS word FROM documents)"
+    " WHERE regexp_full_match(word, '[ACDEFGHIKLMNPQRSTVWY]+'))"
 )
+#: How many codons code for each amino acid.
+_CODONS = {
+    "A": 4.0, "C": 2.0, "D": 2.0, "E": 2.0, "F": 2.0, "G": 4.0, "H": 2.0, "I": 3.0, "K": 2.0, "L": 6.0,
+    "M": 1.0, "N": 2.0, "P": 4.0, "Q": 2.0, "R": 6.0, "S": 6.0, "T": 4.0, "V": 4.0, "W": 1.0, "Y": 2.0,
+}
 
 
 def _word_map_sql(values: dict) -> str:
@@ -445,44 +492,47 @@ def _dgram_windows_sql(low: int, high: int) -> str:
 def oracle_sql() -> dict[str, str]:
     aa4, na5 = _kmers_sql(4, _rec()), _canonical_sql(_rec(_NA), 5)
 
-    def codes(letters: str, k: int, base: int) -> str:
+    def codes(letters: str, k: int, base: int, kmer: str = "kmer") -> str:
         return " + ".join(
-            f"CAST(strpos('{letters}', substring(kmer, {i + 1}, 1)) - 1 AS BIGINT) * {base ** (k - 1 - i)}"
+            f"CAST(strpos('{letters}', substring({kmer}, {i + 1}, 1)) - 1 AS BIGINT) * {base ** (k - 1 - i)}"
             for i in range(k)
         )
 
-    word = [f"substring(word, {i}, 1)" for i in range(1, 6)]
+    word = [f"substring(word, {i} % length(word) + 1, 1)" for i in range(5)]
     prosite = (
         f"'<' || {word[0]} || '-x-[' || {word[1]} || {word[2]} || ']-{{' || {word[3]} || '}}-' || {word[4]}"
-        f" || '(2,3)-x(2)-{{' || {word[0]} || '}}(2)-' || word || '>'"
+        f" || '(2,3)-x(2)-{{' || {word[0]} || '}}(2)-' || array_to_string(string_split(word, ''), '-')"
+        f" || '-[' || {word[0]} || '>].'"
     )
     converted = (
         f"'^' || {word[0]} || '.[' || {word[1]} || {word[2]} || '][' ||"
         f" replace('ACDEFGHIKLMNPQRSTVWY', {word[3]}, '') || ']' || {word[4]}"
-        f" || '{{2,3}}.{{2}}[^' || {word[0]} || ']{{2}}' || word || '$'"
+        f" || '{{2,3}}.{{2}}[^' || {word[0]} || ']{{2}}' || word || '([' || {word[0]} || ']|$)'"
     )
     na_rx = "AC(?:GA)+T"
     out = {
         "records_aa": f"SELECT * FROM {_rec()}",
         "records_na": f"SELECT * FROM {_rec(_NA)}",
-        "reduce_murphy": f"SELECT name, {_MURPHY.format('seq')} AS seq FROM {_rec()}",
-        "reduce_li": f"SELECT name, {_LI.format('seq')} AS seq FROM {_rec()}",
-        "reverse_complement": f"SELECT name, reverse(translate(seq, 'ACGT', 'TGCA')) AS seq FROM {_rec(_NA)}",
+        "reduce_murphy": f"SELECT name, {_MURPHY.format('seq')} AS seq FROM {_rec(_LETTERS)}",
+        "reduce_li": f"SELECT name, {_LI.format('seq')} AS seq FROM {_rec(_LETTERS)}",
+        "reverse_complement": "SELECT name, reverse(translate(seq, 'ABCDGHKMRTUVY', 'TVGHCDMKYAABR')) AS seq"
+        f" FROM {_rec(_LETTERS)}",
         "kmers_aa": f"SELECT bin, kmer, count(*) AS n FROM {aa4} GROUP BY bin, kmer",
         "kmers_na_canonical": f"SELECT bin, kmer, count(*) AS n FROM {na5} GROUP BY bin, kmer",
         "kmers_reduced": "SELECT kmer, count(*) AS n FROM "
         f"{_kmers_sql(5, _rec(_MURPHY.format(_AA)))} GROUP BY kmer",
-        "kmer_codes_aa": f"SELECT kmer, {codes(A.AMINO_ACIDS, 4, 32)} AS code FROM (SELECT DISTINCT kmer FROM {aa4})",
+        "kmer_codes_aa": f"SELECT kmer, {codes('ACDEFGHIKLMNPQRSTVWYX', 4, 32, _SHARED.format('kmer'))} AS code"
+        f" FROM (SELECT DISTINCT kmer FROM {_kmers_sql(4, _rec(_LETTERS))})",
         "kmer_codes_na": f"SELECT kmer, {codes('ACTG', 5, 4)} AS code FROM (SELECT DISTINCT kmer FROM {na5})",
-        "kmers_decoded": f"SELECT DISTINCT kmer, kmer AS decoded FROM {aa4}",
+        "kmers_decoded": f"SELECT DISTINCT kmer, {_SHARED.format('kmer')} AS decoded FROM {_kmers_sql(4, _rec(_LETTERS))}",
         "kmer_postings": f"SELECT DISTINCT kmer, bin FROM {aa4}",
-        "short_records": f"SELECT bin, name FROM {_rec()} WHERE length(seq) < 6",
+        "short_records": "SELECT bin, count(*) AS n_records, count(*) FILTER (length(seq) >= 4) AS n_indexed"
+        f" FROM {_rec(bin=_DOC_BIN)} GROUP BY bin",
         "dgram_codes": "SELECT CAST(gap AS INTEGER) AS gap, count(*) AS n, count(DISTINCT code) AS n_codes,"
         f" CAST(sum(code) AS BIGINT) AS total FROM {_dgram_windows_sql(1, 2)} GROUP BY gap",
         "dgram_postings": f"SELECT code, count(DISTINCT bin) AS n_bins FROM {_dgram_windows_sql(1, 3)} GROUP BY code",
-        "index_stats": "SELECT 'HIBF' AS index_type, count(*) AS bin_count,"
-        " CAST(ceil(max(n) * -ln(0.05) / pow(ln(2), 2)) AS BIGINT) AS bin_bits, 3 AS hash_count,"
-        " CAST(0.05 AS DOUBLE) AS fpr, 4 AS k, 'aa' AS molecule, 'NONE' AS reduction,"
+        "index_stats": "SELECT 'EXACT' AS index_type, count(*) AS bin_count,"
+        " CAST(0 AS BIGINT) AS bin_bits, 0 AS hash_count, CAST(0 AS DOUBLE) AS fpr, 4 AS k, 'aa' AS molecule, 'NONE' AS reduction,"
         " CAST(sum(r) AS BIGINT) AS n_records, CAST(sum(x) AS BIGINT) AS n_indexed,"
         " CAST(sum(n) AS BIGINT) AS n_kmers FROM (SELECT bin, count(*) AS r,"
         " count(*) FILTER (length(seq) >= 4) AS x, sum(greatest(length(seq) - 3, 0)) AS n"
@@ -491,6 +541,17 @@ def oracle_sql() -> dict[str, str]:
         " FROM (SELECT bin, CAST(sum(greatest(length(seq) - 3, 0)) AS BIGINT) AS n_kmers"
         f" FROM {_rec()} GROUP BY bin)",
         "search_bloom": _matches_sql("LY[AEG]N", _rec(bin=_DOC_BIN)),
+        "search_bloom_na": _matches_sql(na_rx, _strands_sql(), "strand"),
+        "search_bloom_murphy": _matches_sql("ABBSHB", _rec(_MURPHY.format(_AA))),
+        "bloom_candidates": _candidates_sql(["LYAN", "LYEN", "LYGN"], 4),
+        "bloom_false_share": "SELECT true AS within_rate",
+        "search_rich_or_short": _matches_sql(RICH_OR_SHORT.replace("(", "(?:"), _rec(bin=_DOC_BIN)),
+        "search_many_mixed": " UNION ALL ".join(
+            f"SELECT '{i}' AS motif_id, * FROM ({_matches_sql(p.replace('(', '(?:'), _rec(bin=_DOC_BIN))})"
+            for i, p in MIXED.items()
+        ),
+        # the engine's repetitions end at 1,000
+        "search_longest_wide": _matches_sql("M.{1,1000}.{0,1000}.{0,500}K"),
         "rx_anchor_start": "SELECT bin, name, m AS match, 0 AS start, CAST(length(m) AS INTEGER) AS \"end\""
         f" FROM (SELECT bin, name, regexp_extract(seq, '^[A-M]+') AS m FROM {_rec()}) WHERE m != ''",
         "rx_anchor_end": "SELECT bin, name, right(seq, 2) AS match, CAST(length(seq) - 2 AS INTEGER) AS start,"
@@ -511,7 +572,7 @@ def oracle_sql() -> dict[str, str]:
             }.items()
         ),
         "candidate_bins_short": f"SELECT DISTINCT bin FROM {_rec(bin=_DOC_BIN)}",
-        "candidate_bins_reduced": _candidates_sql(["FIBBGASB"], 5, _MURPHY.format(_AA)),
+        "candidate_bins_reduced": _candidates_sql(["SHBABBBK"], 5, _MURPHY.format(_AA)),
         "candidate_bins_dgram": "WITH g AS (SELECT bin FROM (SELECT doc_id, bin, seq FROM"
         f" (SELECT doc_id, {_DOC_BIN} AS bin, {_AA} AS seq FROM documents)) WHERE"
         " regexp_matches(seq, 'AND.{2}THE')) SELECT DISTINCT bin FROM g",
@@ -520,7 +581,7 @@ def oracle_sql() -> dict[str, str]:
         "search_na": _matches_sql(na_rx, _strands_sql(), "strand"),
         "search_na_reverse": f"SELECT * FROM ({_matches_sql(na_rx, _strands_sql(), 'strand')}) WHERE strand = '-'",
         "search_na_first": _matches_sql("(?:AC|ACG)TA(?:C|CA)", _strands_sql(), "strand"),
-        "search_murphy": _matches_sql("FIBBG", _rec(_MURPHY.format(_AA))),
+        "search_murphy": _matches_sql("ABBSHB", _rec(_MURPHY.format(_AA))),
         "search_li": _matches_sql("AHBAHBK", _rec(_LI.format(_AA))),
         "search_longest_bounded": _matches_sql("THERN|THEN|THRN|THN|TRN|TN"),
         "search_longest_choice": _matches_sql("THER|THE|TH|T"),
@@ -538,7 +599,7 @@ def oracle_sql() -> dict[str, str]:
         "prosite_to_regex": f"SELECT word, {prosite} AS prosite, {converted} AS regex FROM {_WORDS}",
         "codon_regex": f"SELECT word, array_to_string({_word_map_sql(M.CODON_PATTERNS)}, '') AS regex FROM {_WORDS}",
         "codon_combinations": "SELECT word, list_product("
-        f"{_word_map_sql({a: float(n) for a, n in M.CODON_COUNTS.items()})}) AS combinations FROM {_WORDS}",
+        f"{_word_map_sql(_CODONS)}) AS combinations FROM {_WORDS}",
         "random_match_score": "SELECT word, list_reduce(range(6, length(word) + 1), lambda r, p:"
         " CASE WHEN p = 6 THEN 0.25 ELSE r * 2 * 0.25 + 2 * 1024 * pow(0.25, p) END, CAST(0.25 AS DOUBLE))"
         f" AS score FROM {_WORDS}",

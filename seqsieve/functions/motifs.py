@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from seqsieve.functions.alphabet import AMINO_ACIDS
+from seqsieve.functions.alphabet import AMINO_ACIDS, BASE_CODES
+from seqsieve.plans.pattern import count_strings, parse
 
 # --- fixed values ------------------------------------------------------------
-# codons of every amino acid as a pattern, and how many the combination count assumes
+# codons of every amino acid as a pattern
 CODON_PATTERNS = {
     "A": "GC(A|C|G|T)",
     "C": "TG(T|C)",
@@ -31,40 +32,52 @@ CODON_PATTERNS = {
     "W": "TGG",
     "Y": "TA(T|C)",
 }
-CODON_COUNTS = {
-    "A": 4, "C": 2, "D": 2, "E": 2, "F": 2, "G": 4, "H": 2, "I": 4, "K": 2,
-    "L": 6, "M": 1, "N": 2, "P": 4, "Q": 2, "R": 6, "S": 6, "T": 4, "V": 4,
-    "W": 1, "Y": 2,
-}
 # -----------------------------------------------------------------------------
 
 
+#: One element of a PROSITE pattern: start, what may stand there, repetition, end.
+_ELEMENT = r"^(<?)(x|[A-Za-z]|\[[A-Za-z<>]+\]|\{[A-Za-z<>]+\})(?:\(([0-9]+(?:,[0-9]+)?)\))?(>?)$"
+
+
 def prosite_to_regex(pattern: Column) -> Column:
-    """PROSITE notation to a motif pattern, element by element.
+    """PROSITE notation to a motif pattern; NULL if an element is malformed.
 
-    ``x`` is any residue, ``[..]`` one of, ``{..}`` none of, ``(n)`` and ``(m,n)``
-    repetitions, ``<`` and ``>`` the ends of the sequence. An excluded set without
-    a repetition is written out as the other amino acids, in alphabetical order.
+    Elements are joined by ``-``: ``x`` is any residue, ``[..]`` one of, ``{..}`` none of,
+    ``(n)`` and ``(m,n)`` repetitions, ``<`` and ``>`` the ends of the sequence, also as a
+    member of ``[..]``; a final period ends the pattern. An excluded set without a
+    repetition is written out as the other amino acids, in alphabetical order.
     """
 
+    def part(token: Column, group: int) -> Column:
+        return F.regexp_extract(token, _ELEMENT, group)
+
+    def choice(core: Column) -> Column:
+        """``[..]``; an end among its members becomes an alternative of its own."""
+        letters = F.translate(core, "[]<>", "")
+        members = F.when(F.length(letters) > 0, F.concat(F.lit("["), letters, F.lit("]")))
+        ends = [F.when(F.contains(core, F.lit(mark)), F.lit(anchor)) for mark, anchor in (("<", "^"), (">", "$"))]
+        several = F.concat(F.lit("("), F.concat_ws("|", ends[0], members, ends[1]), F.lit(")"))
+        return F.when(core.rlike("[<>]"), several).otherwise(members)
+
     def element(token: Column) -> Column:
-        others = F.concat(
-            F.lit("["),
-            F.call_function("translate", F.lit(AMINO_ACIDS), token, F.lit("")),
-            F.lit("]"),
-        )
-        repeated = F.translate(
-            F.replace(F.replace(token, F.lit("{"), F.lit("[^")), F.lit("}"), F.lit("]")), "x()", ".{}"
+        core, times = part(token, 2), part(token, 3)
+        barred = F.translate(core, "{}", "")
+        others = F.call_function("translate", F.lit(AMINO_ACIDS), barred, F.lit(""))
+        none_of = F.when(times == "", F.concat(F.lit("["), others, F.lit("]"))).otherwise(
+            F.concat(F.lit("[^"), barred, F.lit("]"))
         )
-        return (
-            F.when(token == "x", ".")
-            .when(F.contains(token, F.lit("(")), repeated)
-            .when(F.startswith(token, F.lit("{")), others)
-            .otherwise(token)
+        residue = (
+            F.when(core == "x", ".")
+            .when(F.startswith(core, F.lit("[")), choice(core))
+            .when(F.startswith(core, F.lit("{")), none_of)
+            .otherwise(core)
         )
+        repeated = F.when(times == "", "").otherwise(F.concat(F.lit("{"), times, F.lit("}")))
+        start, end = (F.when(part(token, g) != "", a).otherwise("") for g, a in ((1, "^"), (4, "$")))
+        return F.when(token.rlike(_ELEMENT), F.concat(start, residue, repeated, end))
 
-    joined = F.array_join(F.transform(F.split(pattern, "-"), element), "")
-    return F.translate(joined, "<>", "^$")
+    elements = F.transform(F.split(F.regexp_replace(F.trim(pattern), r"\.$", ""), "-"), element)
+    return F.when(~F.exists(elements, lambda e: e.isNull()), F.array_join(elements, ""))
 
 
 def codon_regex(peptide: Column) -> Column:
@@ -76,7 +89,8 @@ def codon_regex(peptide: Column) -> Column:
 
 def codon_combinations(peptide: Column) -> Column:
     """Number of nucleotide sequences coding for a peptide; NULL for other letters."""
-    table = _table({aa: float(n) for aa, n in CODON_COUNTS.items()})
+    strings = {aa: count_strings(parse(codons), len(BASE_CODES)) for aa, codons in CODON_PATTERNS.items()}
+    table = _table({aa: float(n) for aa, n in strings.items()})
     factors = F.transform(F.split(peptide, ""), lambda aa: table[aa])
     product = F.aggregate(factors, F.lit(1.0), lambda acc, n: acc * n)
     return F.when(_is_peptide(peptide), product)

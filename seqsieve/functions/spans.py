@@ -46,11 +46,20 @@ class LongestMatcher:
     remember the sets they have seen: one dictionary lookup per residue.
     """
 
+    #: entries of each memory; a full one is emptied, which only costs time
+    REMEMBERED = 50_000
+
     def __init__(self, node) -> None:
         self.pattern = P.positions(node)
         self.steps: dict = {}
         self.backs: dict = {}
 
+    def remember(self, memory: dict, key, value):
+        if len(memory) >= self.REMEMBERED:
+            memory.clear()
+        memory[key] = value
+        return value
+
     def back(self, following: frozenset, char: str) -> frozenset:
         marks = (P.START_MARK, P.END_MARK)
         return frozenset(
@@ -74,7 +83,7 @@ class LongestMatcher:
             key = (state, useful[i])
             found = self.steps.get(key)
             if found is None:
-                found = self.steps[key] = self.step(*key)
+                found = self.remember(self.steps, key, self.step(*key))
             state, accepting = found
             if not state:
                 break
@@ -89,7 +98,7 @@ class LongestMatcher:
             key = (state, char)
             state = self.backs.get(key)
             if state is None:
-                state = self.backs[key] = self.back(*key)
+                state = self.remember(self.backs, key, self.back(*key))
             useful.append(state)
         useful.reverse()
         out, at = [], 0

@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqsieve.operators.index import MotifIndex, bloom_position
@@ -22,7 +22,7 @@ from seqsieve.session import ship_package
 
 ALTERNATIVES_LIMIT = 20_000  # keys over all alternatives before a graph is kept as it is
 BROADCAST_ROWS = 500_000  # lookup rows are short: this is below 50 MB
-PUSHED_KEYS = 10  # Spark pushes longer IN lists to parquet as a range anyway
+PUSHED_KEYS = 100  # equalities or ranges handed to the reader; with more, wider ranges
 BLOCKS_PER_TASK_GROUP = 64
 
 
@@ -52,13 +52,30 @@ def _kmer_hits(index: MotifIndex, rows: list[tuple]) -> DataFrame:
     wanted = _lookup_rows(index, rows, "kmer")
     keys = sorted({row[4] for row in rows})
     prefix = min(index.meta["prefix"], index.k)
-    near = F.col("prefix").isin(sorted({key[:prefix] for key in keys}))  # directories
-    near &= F.col("kmer").between(keys[0], keys[-1])  # row groups, sorted by k-mer
-    if len(keys) <= PUSHED_KEYS:
-        near &= F.col("kmer").isin(keys)
+    by_prefix: dict[str, list] = {}
+    for key in keys:
+        by_prefix.setdefault(key[:prefix], []).append(key)
+    near = F.col("prefix").isin(sorted(by_prefix))  # directories
+    # row groups, sorted by k-mer: equalities reach the reader each for itself, however
+    # many there are, while longer IN lists do so as one range only
+    spans = [(key, key) for key in keys]
+    if len(spans) > PUSHED_KEYS:
+        spans = [(part[0], part[-1]) for part in by_prefix.values()]
+    if len(spans) > PUSHED_KEYS:
+        spans = [(keys[0], keys[-1])]
+    near &= _any_of("kmer", spans)
     return index.table("postings").where(near).join(wanted, "kmer")
 
 
+def _any_of(column: str, spans: list[tuple]) -> Column:
+    """One of the equalities or ranges, as a balanced tree of ORs."""
+    if len(spans) == 1:
+        low, high = spans[0]
+        return F.col(column) == low if low == high else F.col(column).between(low, high)
+    half = len(spans) // 2
+    return _any_of(column, spans[:half]) | _any_of(column, spans[half:])
+
+
 def _bloom_hits(index: MotifIndex, rows: list[tuple]) -> DataFrame:
     """A bin holds a k-mer, up to false positives, when all its hash positions are set."""
     hashes, bits = index.meta["hash_count"], index.meta["bin_bits"]
@@ -71,9 +88,9 @@ def _bloom_hits(index: MotifIndex, rows: list[tuple]) -> DataFrame:
     probes = [(*row[:4], row[f"p{s}"]) for row in hashed for s in range(hashes)]
     positions = sorted({probe[4] for probe in probes})
     slots = sorted({p // index.meta["slot_bits"] for p in positions})
-    near = F.col("slot").isin(slots) & F.col("position").between(positions[0], positions[-1])
-    if len(positions) <= PUSHED_KEYS:
-        near &= F.col("position").isin(positions)
+    few = len(positions) <= PUSHED_KEYS
+    near = F.col("slot").isin(slots)
+    near &= _any_of("position", [(p, p) for p in positions] if few else [(positions[0], positions[-1])])
     return (
         index.table("bloom")
         .where(near)
@@ -90,10 +107,11 @@ def _hits(index: MotifIndex, rows: list[tuple]) -> DataFrame:
     dgrams = [row[:4] + (int(row[4][1:]),) for row in rows if row[4][0] == "d"]
     found = _kmer_hits(index, kmers) if kmers else None
     if dgrams:
-        codes = [row[4] for row in dgrams]
+        codes = sorted({row[4] for row in dgrams})
+        few = len(codes) <= PUSHED_KEYS
         gapped = (
             index.table(index.meta["dgram_table"])
-            .where(F.col("code").between(min(codes), max(codes)))
+            .where(_any_of("code", [(c, c) for c in codes] if few else [(codes[0], codes[-1])]))
             .join(_lookup_rows(index, dgrams, "code"), "code")
         )
         columns = ["motif_id", "part", "needed", "key_no", "block", "mask"]
@@ -159,12 +177,13 @@ def candidate_masks(
     rich: dict[str, WindowGraph] = {}
     unfiltered: list[str] = []
     for motif, graph in graphs.items():
+        if graph.needs_no_key():
+            unfiltered.append(motif)
+            continue
         alternatives = graph.required_sets(ALTERNATIVES_LIMIT)
         names = {number: key for key, number in graph.keys.items()}
         if alternatives is None:
             rich[motif] = graph
-        elif any(not alternative for alternative in alternatives):
-            unfiltered.append(motif)
         else:
             listed.extend(
                 (motif, part, len(alternative), number, names[number])

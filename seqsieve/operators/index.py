@@ -234,7 +234,7 @@ def build_index(
 
     ascii_only = total["n_not_ascii"] == 0
     meta = {
-        "type": "HIBF" if layout == "exact" else "IBF",
+        "type": "EXACT" if layout == "exact" else "IBF",
         "k": k,
         "molecule": molecule,
         "reduction": reduction,
@@ -347,12 +347,13 @@ def load_index(spark: SparkSession, path: str, records: DataFrame | None = None)
 def inspect(index: MotifIndex) -> DataFrame:
     """One row of parameters and counts; ``index.bins`` lists the bins themselves."""
     meta = index.meta
+    bloom = meta if meta["layout"] == "bloom" else {}  # exact postings have no bits
     return index.bins.agg(
         F.lit(meta["type"]).alias("index_type"),
         F.count("*").alias("bin_count"),
-        F.lit(meta["bin_bits"]).cast("bigint").alias("bin_bits"),
-        F.lit(meta["hash_count"]).alias("hash_count"),
-        F.lit(float(meta["fpr"])).alias("fpr"),
+        F.lit(bloom.get("bin_bits")).cast("bigint").alias("bin_bits"),
+        F.lit(bloom.get("hash_count")).cast("int").alias("hash_count"),
+        F.lit(bloom.get("fpr")).cast("double").alias("fpr"),
         F.lit(meta["k"]).alias("k"),
         F.lit(meta["molecule"]).alias("molecule"),
         F.lit((meta["reduction"] or "none").upper()).alias("reduction"),

@@ -7,6 +7,7 @@ all records would return; the index only decides which records are looked at.
 from __future__ import annotations
 
 import warnings
+from functools import reduce
 from dataclasses import dataclass, replace
 
 import pyarrow as pa
@@ -35,6 +36,8 @@ class Motif:
     regex: str
     literal: str
     walk: str | None = None
+    #: whether Java may try the pattern on a whole text, if only to see that it matches
+    testable: bool = True
 
 
 def prepare(
@@ -69,6 +72,7 @@ def prepare(
         regex,
         P.required_literal(node),
         walk,
+        possessive or not P.has_long_group_loop(node if walk else runnable),
     )
 
 
@@ -98,19 +102,23 @@ def _motif_table(index: MotifIndex, motifs: list[Motif]) -> DataFrame:
             "motif_id": [m.id for m in motifs],
             "regex": [m.regex for m in motifs],
             "literal": [m.literal for m in motifs],
+            "testable": [m.testable for m in motifs],
         }
     )
     table = index.spark.createDataFrame(rows)
     return F.broadcast(table) if len(motifs) <= BROADCAST_ROWS else table
 
 
-def _candidates(index: MotifIndex, masks: DataFrame, motifs: list[Motif]) -> DataFrame:
+def _candidates(index: MotifIndex, masks: DataFrame, motifs: list[Motif], alone: bool) -> DataFrame:
     """Texts of candidate bins that a motif matches, one row per text and motif.
 
-    The pattern comes from a joined table (of a single motif: is its id). That keeps the test behind the joins: as a
-    predicate on the records alone it would be pushed below them and run on every
-    record of a block.
+    ``masks`` may hold other motifs, unless this one is ``alone``.
+    The pattern comes from a joined table (of a motif that is alone: is its id). That keeps
+    the test behind the joins: as a predicate on the records alone it would be pushed below
+    them and run on every record of a block.
     """
+    if not alone:  # masks of other groups are not shipped to the records of this one
+        masks = masks.join(_motif_table(index, motifs).select("motif_id"), "motif_id", "left_semi")
     if index.n_blocks * len(motifs) > BROADCAST_ROWS >= index.n_blocks:
         # too many masks to broadcast: first drop the records no motif wants, by one
         # combined mask per block, so that only the rest is shuffled to its masks
@@ -121,11 +129,13 @@ def _candidates(index: MotifIndex, masks: DataFrame, motifs: list[Motif]) -> Dat
         few = index.n_blocks * len(motifs) <= BROADCAST_ROWS
         placed = index.in_blocks(F.broadcast(masks) if few else masks)
     texts = _texts(placed, index.meta["molecule"], index.meta["reduction"])
-    if len(motifs) == 1 and motifs[0].id == motifs[0].regex:  # its id is the pattern
+    if alone and motifs[0].id == motifs[0].regex:  # its id is the pattern
         texts = texts.where(F.contains("seq", F.lit(motifs[0].literal)))
-        return texts if motifs[0].walk else texts.where("regexp_instr(seq, motif_id) > 0")
+        return texts.where("regexp_instr(seq, motif_id) > 0") if motifs[0].testable else texts
     texts = texts.join(_motif_table(index, motifs), "motif_id").where("contains(seq, literal)")
-    return texts if motifs[0].walk else texts.where("regexp_instr(seq, regex) > 0")
+    if all(m.testable for m in motifs):
+        return texts.where("regexp_instr(seq, regex) > 0")
+    return texts.where("NOT testable OR regexp_instr(seq, regex) > 0")
 
 
 def _everywhere(texts: DataFrame, motifs: list[Motif]) -> DataFrame:
@@ -183,7 +193,7 @@ def _texts(records: DataFrame, molecule: str, reduction: str | None) -> DataFram
     return records
 
 
-MAX_LISTED_FILES = 50_000  # paths that may be handed to a reader by name
+LISTED_FILES = 10_000  # paths handed to one reader by name
 MOTIFS_PER_PASS = 64  # motifs without any index filter that share one pass over the records
 
 
@@ -203,7 +213,7 @@ def _search(index: MotifIndex, motifs: list[Motif], augment: bool, dgrams: bool)
         chosen = [m for m in motifs if m.walk == walk]
         filtered = [m for m in chosen if m.id not in set(unfiltered)]
         if filtered and masks is not None:
-            parts.append(_matches(_candidates(index, masks, filtered), filtered))
+            parts.append(_matches(_candidates(index, masks, filtered, len(motifs) == 1), filtered))
         everywhere = [m for m in chosen if m.id in set(unfiltered)]
         for i in range(0, len(everywhere), MOTIFS_PER_PASS):
             some = everywhere[i : i + MOTIFS_PER_PASS]
@@ -317,7 +327,7 @@ def search_all_of(
         for i, motif in enumerate(sorted(filtered, key=lambda m: m.id)):
             own = F.col("patterns")[i]
             records = records.where(F.contains("seq", own["literal"]))
-            if not motif.walk:
+            if motif.testable:
                 records = records.where(F.regexp_instr("seq", own["regex"]) > 0)
     for motif in motifs:
         if motif.id in set(unfiltered):
@@ -343,7 +353,7 @@ def _test_for(pattern: str, motif_id: str, reduction: str | None) -> Motif:
 
 def _contains_match(motif: Motif) -> Column:
     holds = F.col("seq").contains(motif.literal)
-    return holds if motif.walk else holds & F.col("seq").rlike(motif.regex)
+    return holds & F.col("seq").rlike(motif.regex) if motif.testable else holds
 
 
 def scan(
@@ -371,13 +381,13 @@ def search_files(
 ) -> DataFrame:
     """``search`` for an index of FASTA files that keeps no copy of the records.
 
-    The candidate bins are paths. They are looked up first, so that only those files
-    are opened; with too many bins to list, all files are read and joined as usual.
+    The candidate bins are paths. They are looked up first, so that only those files are
+    opened, by as many readers as it takes.
     """
-    if index.n_bins > MAX_LISTED_FILES:
-        return search(index, pattern, augment=augment, dgrams=dgrams, longest=longest)
     molecule, reduction = index.meta["molecule"], index.meta["reduction"]
     found = candidate_bins(index, pattern, augment=augment, dgrams=dgrams).toLocalIterator()
     paths = [row["bin"] for row in found]
-    records = read_fasta(index.spark, paths) if paths else index.records.where(F.lit(False))
+    groups = [paths[i : i + LISTED_FILES] for i in range(0, len(paths), LISTED_FILES)]
+    readers = [read_fasta(index.spark, group) for group in groups] or [index.records.where(F.lit(False))]
+    records = reduce(DataFrame.unionByName, readers)
     return scan(records, pattern, molecule=molecule, reduction=reduction, longest=longest)

@@ -43,6 +43,14 @@ class WindowGraph:
     def key_number(self, key: str) -> int:
         return self.keys.setdefault(key, len(self.keys))
 
+    def needs_no_key(self) -> bool:
+        """Whether some path through the graph asks for no key at all."""
+        free = {0}
+        for source, target, key in self.edges:
+            if key < 0 and source in free:
+                free.add(target)
+        return self.accept in free
+
     def required_sets(self, limit: int) -> list[frozenset] | None:
         """Alternatives, each a set of keys that must all be present.
 

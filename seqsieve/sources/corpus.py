@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from seqsieve.functions.alphabet import AMINO_ACIDS
 
 
+def letters(text: Column) -> Column:
+    """All letters A-Z of a text, upper-cased: ambiguity codes are among them."""
+    return F.upper(F.regexp_replace(text, "[^A-Za-z]", ""))
+
+
 def amino_text(text: Column) -> Column:
     """The letters of a text that are amino-acid codes, upper-cased."""
-    letters = F.upper(F.regexp_replace(text, "[^A-Za-z]", ""))
-    return F.regexp_replace(letters, f"[^{AMINO_ACIDS}]", "")
+    return F.regexp_replace(letters(text), f"[^{AMINO_ACIDS}]", "")
 
 
 def nucleotide_text(text: Column) -> Column:

@@ -153,14 +153,21 @@ def read_fastx(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 # ---------------------------------------------------------------- motif batches
 def read_motifs(spark: SparkSession, path: str) -> dict[str, str]:
-    """Motif batch: lines of id, tab, pattern; lines without both are skipped."""
+    """Motif batch: lines of id, tab, pattern; lines without both are skipped.
+
+    An id may come again with the same pattern only; with another, it raises.
+    """
     fields = F.split("value", "\t")
     rows = (
         spark.read.text(path)
         .select(F.get(fields, F.lit(0)).alias("id"), F.get(fields, F.lit(1)).alias("motif"))
         .where("motif != ''")
     )
-    return {row["id"]: row["motif"] for row in rows.toLocalIterator()}
+    out: dict[str, str] = {}
+    for row in rows.toLocalIterator():
+        if out.setdefault(row["id"], row["motif"]) != row["motif"]:
+            raise ValueError(f"motif id {row['id']!r} stands for several patterns")
+    return out
 
 
 # ------------------------------------------------------------------------ sinks

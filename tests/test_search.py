@@ -262,7 +262,8 @@ def test_stored_index_can_be_reopened(spark, tmp_path):
     assert index.meta["dgram_gaps"] == [1, 2]
     assert S.search(index, "GATC").count() == 1 + 1
     info = S.inspect(index).first()
-    assert (info.index_type, info.bin_count, info.k, info.n_records) == ("HIBF", 5, 3, 5)
+    assert (info.index_type, info.bin_count, info.k, info.n_records) == ("EXACT", 5, 3, 5)
+    assert (info.bin_bits, info.hash_count, info.fpr) == (None, None, None)
     assert "digraph" in S.pattern_dot(index, "AC(G|T)A")
 
 

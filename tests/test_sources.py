@@ -113,7 +113,7 @@ def test_motif_notations(spark):
         M.random_match_score(F.lit(3), 2, 10, 5).alias("d"),
         M.random_match_score(F.lit(2), 2, 10, 5).alias("e"),
     ).first()
-    assert (row.a, row.b, row.c) == ("ATGAA(A|G)", None, 48.0)
+    assert (row.a, row.b, row.c) == ("ATGAA(A|G)", None, 36.0)
     base = 10 / 16
     assert (row.d, row.e) == (base * 5 * base + 5 * 10 / 64, base)
 
