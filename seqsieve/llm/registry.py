@@ -71,14 +71,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _URL_SQL = r"""
 WITH parts AS (
-    SELECT page_id, strpos(coalesce(url, ''), '://') AS at,
+    SELECT page_id, strpos(coalesce(url, ''), '://') AS mark,
         substring(coalesce(url, ''), strpos(coalesce(url, ''), '://') + 3) AS rest
     FROM pages),
 split AS (
     SELECT page_id,
-        CASE WHEN at = 0 THEN '' ELSE
+        CASE WHEN mark = 0 THEN '' ELSE
             translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS host,
-        CASE WHEN at = 0 THEN '' ELSE regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) END AS path
+        CASE WHEN mark = 0 THEN '' ELSE regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) END AS path
     FROM parts),
 rules(verdict, rule_host, rule_path) AS (VALUES
     ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
