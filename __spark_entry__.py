@@ -192,6 +192,16 @@ def _fasta_round_trip(reader):
     return run
 
 
+def _index_of_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Matches in an index whose bins are the parts that the splitter wrote."""
+    parts = SP.split_n_parts(_sized(spark, sf), 4, "doc_id", SP.record_size(F.col("name"), F.col("seq")))
+    folder = scratch_folder(spark)
+    fasta.write_fasta_parts(parts, folder, "doc_id")
+    records = fasta.read_fasta(spark, [f"{folder}/part=*"])
+    named = records.withColumn("bin", F.regexp_extract("bin", "part=[0-9]+$", 0))
+    return S.search(S.build_index(named, k=4), "LY[AEG]N").drop("rec_id")
+
+
 def _read_parts(spark: SparkSession, folder: str) -> DataFrame:
     # parts are written as .txt files, so they are named by a glob here
     return fasta.read_fasta(spark, [f"{folder}/part=*/*.txt"])
@@ -323,6 +333,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "split_part_count": lambda s, d: SP.split_part_size(
             _sized(s, d), 64, "doc_id", SP.record_size(None, F.col("seq"), "count")
         ).select("doc_id", "part"),
+        "split_sparse_numbers": lambda s, d: SP.split_part_size(
+            _sized(s, d).withColumn("ord", F.col("doc_id") * 1_000_003 + 17), 20_000, "ord",
+            SP.record_size(F.col("name"), F.col("seq")),
+        ).select("doc_id", "part"),
+        "split_giant_record": lambda s, d: SP.split_part_size(
+            _sized(s, d), 20_000, "doc_id",
+            F.when(F.col("doc_id") == 5, 10_000_000).otherwise(SP.record_size(F.col("name"), F.col("seq"))),
+        ).select("doc_id", "part"),
+        "split_first_parts": lambda s, d: SP.split_part_size(
+            _sized(s, d), 20_000, "doc_id", SP.record_size(F.col("name"), F.col("seq")), max_parts=3
+        ).select("doc_id", "part"),
+        "index_of_parts": _index_of_parts,
         "fasta_round_trip": _fasta_round_trip(_read_parts),
     }
     for name, pattern in PATTERNS.items():
@@ -608,6 +630,17 @@ def oracle_sql() -> dict[str, str]:
         "split_n_parts_residues": _n_parts_sql("length(seq)", 150),
         "split_part_size": _split_sql(_SIZE, "f.here > 0 AND f.here + s.size > 20000"),
         "split_part_count": _split_sql("1", "f.here > 0 AND f.here + s.size > 64"),
+        "split_sparse_numbers": _split_sql(_SIZE, "f.here > 0 AND f.here + s.size > 20000"),
+        "split_giant_record": _split_sql(
+            f"CASE WHEN doc_id = 5 THEN 10000000 ELSE {_SIZE} END", "f.here > 0 AND f.here + s.size > 20000"
+        ),
+        "split_first_parts": "SELECT * FROM ("
+        f"{_split_sql(_SIZE, 'f.here > 0 AND f.here + s.size > 20000')}) WHERE part <= 3",
+        "index_of_parts": _matches_sql(
+            "LY[AEG]N",
+            f"(SELECT 'part=' || p.part AS bin, r.name, r.seq FROM ({_n_parts_sql(_SIZE, 4)}) p"
+            f" JOIN {_rec()} r ON r.name = CAST(p.doc_id AS VARCHAR))",
+        ),
         "fasta_round_trip": f"SELECT name, 'document ' || name AS comment, seq FROM {_rec()}",
     }
     for name, pattern in PATTERNS.items():

@@ -53,9 +53,8 @@ def _parser() -> argparse.ArgumentParser:
         tool.add_argument("-i", "--input_pattern", required=True)
 
     split = commands.add_parser("split", help="cut a sequence file into parts")
-    amount = split.add_mutually_exclusive_group(required=True)
-    amount.add_argument("--n-parts", type=int)
-    amount.add_argument("--part-size", type=int)
+    split.add_argument("--n-parts", type=int, help="parts of equal size; with --part-size: the first so many")
+    split.add_argument("--part-size", type=int)
     split.add_argument("--measure", choices=["all", "seq", "count"], default="all")
     split.add_argument("--line-length", type=int, default=100)
     split.add_argument("--eol", choices=["unix", "dos", "mac"], default="unix")
@@ -97,15 +96,17 @@ def _query(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def _split(spark: SparkSession, args: argparse.Namespace) -> None:
+    if not (args.n_parts or args.part_size):
+        raise SystemExit("split needs --n-parts, --part-size or both")
     eol = {"unix": "\n", "dos": "\r\n", "mac": "\r"}[args.eol]
     for number, path in enumerate(args.files):
         records = SP.with_order(fasta.read_fasta(spark, [path]))
         header = F.concat_ws(" ", "name", F.when(F.col("comment") != "", F.col("comment")))
         size = SP.record_size(header, F.col("seq"), args.measure, args.line_length, eol)
-        if args.n_parts:
-            parts = SP.split_n_parts(records, args.n_parts, "ord", size)
+        if args.part_size:
+            parts = SP.split_part_size(records, args.part_size, "ord", size, args.n_parts)
         else:
-            parts = SP.split_part_size(records, args.part_size, "ord", size)
+            parts = SP.split_n_parts(records, args.n_parts, "ord", size)
         folder = f"{args.out_dir}/{number}" if len(args.files) > 1 else args.out_dir
         fasta.write_fasta_parts(parts, folder, "ord", args.line_length, eol)
 

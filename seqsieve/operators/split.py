@@ -2,7 +2,8 @@
 
 Both rules look sequential: where a part ends depends on where it began. They are
 computed here from running totals, which Spark takes chunk by chunk: a window per
-chunk of consecutive records plus a window over one row per chunk.
+chunk of consecutive records plus a window over one row per chunk. Chunks and buckets are
+quantiles wherever numbers or sizes are uneven.
 """
 
 from __future__ import annotations
@@ -55,6 +56,21 @@ def with_order(records: DataFrame) -> DataFrame:
     )
 
 
+def _chunked(rows: DataFrame, order: str) -> DataFrame:
+    """Add ``_chunk``: about CHUNK consecutive records each, whatever their numbers are.
+
+    Nearly dense numbers are simply divided. Others, such as hashes, are dealt to tasks by
+    range; the table written then fixes the chunks.
+    """
+    spread = rows.agg(F.min(order), F.max(order), F.count("*")).first()
+    if spread[2] == 0 or spread[1] - spread[0] <= 4 * spread[2]:
+        return rows.withColumn("_chunk", F.floor((F.col(order) - (spread[0] or 0)) / CHUNK))
+    path = f"{scratch_folder(rows.sparkSession)}/chunks"
+    ranged = rows.repartitionByRange(max(1, spread[2] // CHUNK), order).withColumn("_chunk", F.spark_partition_id())
+    ranged.write.parquet(path)
+    return rows.sparkSession.read.schema(ranged.schema).parquet(path)
+
+
 def _running(
     rows: DataFrame, order: str, values: dict[str, tuple[Callable, Column]], whole: list[str] = ()
 ) -> DataFrame:
@@ -63,7 +79,8 @@ def _running(
     ``fold`` is ``F.sum`` or ``F.min``. Names in ``whole`` also get the aggregate over
     all rows, as ``<name>_all``.
     """
-    rows = rows.withColumn("_chunk", F.floor(F.col(order) / CHUNK))
+    if "_chunk" not in rows.columns:
+        rows = _chunked(rows, order)
     for name, (_, value) in values.items():
         rows = rows.withColumn(f"_{name}", value)
     folds = {name: fold for name, (fold, _) in values.items()}
@@ -85,7 +102,7 @@ def _running(
         before = F.col(f"_{name}_b")
         total = F.coalesce(before, F.lit(0)) + here if fold is F.sum else F.least(before, here)
         joined = joined.withColumn(name, total)
-    return joined.drop("_chunk", *[c for n in folds for c in (f"_{n}", f"_{n}_b")])
+    return joined.drop(*[c for n in folds for c in (f"_{n}", f"_{n}_b")])
 
 
 def split_n_parts(records: DataFrame, n_parts: int, order: str, size: Column) -> DataFrame:
@@ -131,9 +148,13 @@ def split_n_parts(records: DataFrame, n_parts: int, order: str, size: Column) ->
     )
 
 
-def split_part_size(records: DataFrame, part_size: int, order: str, size: Column) -> DataFrame:
+def split_part_size(
+    records: DataFrame, part_size: int, order: str, size: Column, max_parts: int | None = None
+) -> DataFrame:
     """Add ``part``: greedy packing, a record opens a new part when it would overfill one.
 
+    With ``max_parts`` only the records of the first parts are returned.
+
     From running totals every record gets the record that would open the next part if
     a part began with it. The parts are the chain of these links from the first record,
     followed by doubling: every round squares the links, so a chain of n parts takes
@@ -152,10 +173,8 @@ def split_part_size(records: DataFrame, part_size: int, order: str, size: Column
     totals = spark.read.parquet(f"{folder}/totals")
 
     # first record that ends beyond before + part_size, but not the one the part began with
-    width = totals.agg(F.max("upto") * CHUNK / F.count("*")).first()[0]
-    width = max(1, int(width or 1))  # sizes among which about CHUNK records end
-    full = _first_above(totals, F.col("before") + part_size, F.col("upto"), width)
-    grown = _first_above(totals, F.col("before"), F.col("before"), width)
+    full = _first_above(totals, F.col("before") + part_size, F.col("upto"), f"{folder}/full")
+    grown = _first_above(totals, F.col("before"), F.col("before"), f"{folder}/grown")
     links = full.join(grown.withColumnRenamed("next", "moved"), "n")
     links = links.where("next is not null and moved is not null").select(
         "n", F.greatest("next", "moved").alias("next")
@@ -181,23 +200,24 @@ def split_part_size(records: DataFrame, part_size: int, order: str, size: Column
     starts = spark.read.parquet(f"{folder}/starts_{level}").withColumn("_start", one)
     numbered = _running(records, order, {"n": (F.sum, one)})
     flagged = numbered.join(starts, "n", "left").withColumn("_start", F.coalesce("_start", F.lit(0)))
-    return _running(flagged, order, {"part": (F.sum, F.col("_start"))}).select(*records.columns, "part")
+    parts = _running(flagged, order, {"part": (F.sum, F.col("_start"))}).select(*records.columns, "part")
+    return parts if max_parts is None else parts.where(F.col("part") <= max_parts)
 
 
-def _first_above(totals: DataFrame, bound: Column, value: Column, width: int) -> DataFrame:
+def _first_above(totals: DataFrame, bound: Column, value: Column, path: str) -> DataFrame:
     """For every record the first record whose ``value`` exceeds its ``bound``: (n, next).
 
-    Values rise with n. Bounds and values meet in buckets of ``width``; a bound with no
-    larger value in its bucket takes the first value of the next filled bucket.
+    Values rise with n. Bounds and values meet in buckets, quantiles of both together, so
+    that one giant record takes no more room than others; a bound with no larger value in
+    its bucket takes the first value of the next filled bucket. The table written to
+    ``path`` fixes the buckets.
     """
-    values = totals.select(
-        F.floor(value / width).alias("bucket"), value.alias("at"), F.col("n").alias("found"),
-        F.lit(None).cast("bigint").alias("n"),
-    )
-    bounds = totals.select(
-        F.floor(bound / width).alias("bucket"), bound.alias("at"), F.lit(None).cast("bigint").alias("found"),
-        F.col("n"),
-    )
+    none = F.lit(None).cast("bigint")
+    values = totals.select(value.alias("at"), F.col("n").alias("found"), none.alias("n"))
+    bounds = totals.select(bound.alias("at"), none.alias("found"), F.col("n"))
+    both = values.unionByName(bounds).repartitionByRange("at").withColumn("bucket", F.spark_partition_id())
+    both.write.parquet(path)
+    both = totals.sparkSession.read.schema(both.schema).parquet(path)
     # equal values do not exceed a bound: sort them before it, then look at what follows
     onward = (
         Window.partitionBy("bucket")
@@ -205,13 +225,11 @@ def _first_above(totals: DataFrame, bound: Column, value: Column, width: int) ->
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     inside = (
-        values.unionByName(bounds)
-        .withColumn("next", F.min("found").over(onward))
+        both.withColumn("next", F.min("found").over(onward))
         .where("n is not null")
         .select("n", "bucket", "next")
     )
-    firsts = values.groupBy("bucket").agg(F.min("found").alias("first"))
-    filled = bounds.select("bucket").distinct().join(firsts, "bucket", "full_outer")
+    filled = both.groupBy("bucket").agg(F.min("found").alias("first"))
     later = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     fallback = filled.select("bucket", F.min("first").over(later).alias("fallback"))
     return inside.join(fallback, "bucket").select("n", F.coalesce("next", "fallback").alias("next"))

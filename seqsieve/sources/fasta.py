@@ -24,7 +24,7 @@ def expand_paths(spark: SparkSession, paths: list[str]) -> list[str]:
         else:
             out.append(path)
     for path in out:
-        if not path.endswith(SUFFIXES) and "*" not in path:
+        if not path.endswith(SUFFIXES) and "*" not in path and "/part=" not in path:
             raise ValueError(f"{path}: expected one of {', '.join(SUFFIXES)} or .lst")
     if not out:
         raise ValueError("no sequence files given")
@@ -32,7 +32,9 @@ def expand_paths(spark: SparkSession, paths: list[str]) -> list[str]:
 
 
 def _file_bin(path: Column) -> Column:
-    return F.regexp_replace(path, "^file:/+", "/")
+    """The file as the caller would name it; the files of one written part are one bin."""
+    plain = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(F.regexp_replace(plain, "^file:/+", "/"), "(/part=[^/]+)/[^/]+$", "$1")
 
 
 def read_fasta(spark: SparkSession, paths: list[str]) -> DataFrame:
