@@ -2,19 +2,19 @@
 
 E-mail addresses, IP addresses, card and phone numbers are found by pattern and checked.
 They are also the protected entities of an information-theoretic sanitisation: over the
-whole corpus it counts in how many different texts a term stands next to an entity
-(within WINDOW characters), and in how many it and the entity occur at all. The share of
+whole corpus it counts in how many documents a term stands next to an entity (within
+WINDOW characters), and in how many it and the entity occur at all. The share of
 the entity's information that the term discloses is their pointwise mutual information
 over the entity's own information, ``log(N n_et / (n_e n_t)) / log(N / n_e)``. Terms that
 disclose REMOVE of it or more are removed, those from GENERALISE on are generalised,
-wherever they occur, if they stand next to the entity in MIN_TEXTS texts at least.
+wherever they occur, if they stand next to the entity in MIN_TEXTS different texts at least.
 Windows keep the pairs linear in the text; nothing pairs all terms with all entities.
 
 All of it is DataFrame expressions. A start inside a run that already failed is never
 tried again, and no repetition recurses, so long texts take linear time.
 
 Cases: null text is empty; texts are read whole, positions are code points; exact copies
-count as one text in the statistics, and every repeated row is cleaned; an empty table
+are one text where different ones are asked for, and every repeated row is cleaned; an empty table
 gives an empty result; further columns are not looked at.
 """
 
@@ -44,8 +44,6 @@ WINDOW = 48
 TERM_LETTERS = 4
 MIN_TEXTS = 3
 GENERALISE, REMOVE = 0.8, 0.9
-#: So many candidate terms at most are sent to all executors; more are joined by shuffle.
-BROADCAST_TERMS = 50_000
 #: Cards are redacted after the kinds that may hold their digits.
 REDACTED = ["email", "phone", "card", "ip"]
 
@@ -168,26 +166,30 @@ def find_base(docs: DataFrame) -> DataFrame:
     return _texts(docs).select("doc_id", "row_hash", F.transform(base_spans(F.col("text")), kept).alias("spans"))
 
 
-def _occurrences(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(doc_id, row_hash, term, ...) for the given terms in all texts."""
-    words = texts.select("doc_id", "row_hash", F.explode(_terms(F.col("text"))).alias("term"))
-    if terms.count() <= BROADCAST_TERMS:
-        terms = F.broadcast(terms)
-    return words.join(terms, "term")
+def _words(texts: DataFrame) -> DataFrame:
+    """(doc_id, row_hash, term): every text's distinct terms."""
+    return texts.select("doc_id", "row_hash", F.explode(_terms(F.col("text"))).alias("term"))
 
 
 def revealing_terms(docs: DataFrame, base: DataFrame) -> DataFrame:
-    """term and kind (generalised or removed) of the terms that disclose an entity."""
-    near = base.select("row_hash", F.explode("spans").alias("s")).select("row_hash", "s.entity", "s.terms")
-    entities = near.groupBy("entity").agg(F.count_distinct("row_hash").alias("n_e")).where(F.col("n_e") >= MIN_TEXTS)
-    pairs = near.select("row_hash", "entity", F.explode("terms").alias("term")).distinct()
-    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= MIN_TEXTS)
-    pairs = written(pairs.join(entities, "entity"))
-    total = base.agg(F.count_distinct("row_hash")).head()[0]
-    if pairs.isEmpty() or total < 2:
+    """term and kind (generalised or removed) of the terms that disclose an entity.
+
+    All terms are counted before the candidates are looked up, so that no occurrence is
+    joined: the shuffle holds each task's terms once.
+    """
+    entity = F.array_distinct(F.transform("spans", lambda s: s["entity"]))
+    entities = base.select("row_hash", F.explode(entity).alias("entity")).groupBy("entity")
+    entities = entities.agg(F.count("*").alias("n_e"), F.count_distinct("row_hash").alias("texts")).where(F.col("texts") >= MIN_TEXTS)
+    # an entity holds no line feed; strings are told apart faster than structs
+    both = F.flatten(F.transform("spans", lambda s: F.transform(s["terms"], lambda t: F.concat_ws("\n", s["entity"], t))))
+    pairs = base.select("row_hash", F.explode(F.array_distinct(both)).alias("p")).withColumn("p", F.split("p", "\n"))
+    pairs = pairs.groupBy(F.col("p")[0].alias("entity"), F.col("p")[1].alias("term"))
+    pairs = pairs.agg(F.count("*").alias("n_et"), F.count_distinct("row_hash").alias("texts")).where(F.col("texts") >= MIN_TEXTS)
+    pairs = written(pairs.drop("texts").join(entities.drop("texts"), "entity"))
+    total = base.count()
+    if total < 2 or pairs.isEmpty():
         return written(pairs.select("term", F.lit("").alias("kind")).limit(0))
-    seen = _occurrences(_texts(docs), written(pairs.select("term").distinct()))
-    counts = seen.groupBy("term").agg(F.count_distinct("row_hash").alias("n_t"))
+    counts = _words(_texts(docs)).groupBy("term").agg(F.count("*").alias("n_t"))
     own = F.log2(F.lit(float(total)) / F.col("n_e"))
     shared = F.log2(F.lit(float(total)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
     share = F.when(own > 0, shared / own).otherwise(0.0)
@@ -201,7 +203,7 @@ def _term_pattern(terms: Column) -> Column:
 
 def _with_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """doc_id, row_hash, generalised, removed (arrays, null if none) of texts that hold such terms."""
-    found = _occurrences(_texts(docs), terms)
+    found = _words(_texts(docs)).join(terms, "term")
     lists = [F.collect_set(F.when(F.col("kind") == k, F.col("term"))).alias(k) for k in ("generalised", "removed")]
     held = found.groupBy("doc_id", "row_hash").agg(*lists)
     return held.select("doc_id", "row_hash", *[F.when(F.size(k) > 0, F.col(k)).alias(k) for k in ("generalised", "removed")])
