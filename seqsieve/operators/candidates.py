@@ -107,11 +107,15 @@ def _hits(index: MotifIndex, rows: list[tuple]) -> DataFrame:
     dgrams = [row[:4] + (int(row[4][1:]),) for row in rows if row[4][0] == "d"]
     found = _kmer_hits(index, kmers) if kmers else None
     if dgrams:
-        codes = sorted({row[4] for row in dgrams})
-        few = len(codes) <= PUSHED_KEYS
+        by_gap: dict[int, list] = {}
+        for code in sorted({row[4] for row in dgrams}):
+            by_gap.setdefault(code // 20**6, []).append(code)
+        spans = [(code, code) for codes in by_gap.values() for code in codes]
+        if len(spans) > PUSHED_KEYS:
+            spans = [(codes[0], codes[-1]) for codes in by_gap.values()]
         gapped = (
             index.table(index.meta["dgram_table"])
-            .where(_any_of("code", [(c, c) for c in codes] if few else [(codes[0], codes[-1])]))
+            .where(F.col("gap").isin(sorted(by_gap)) & _any_of("code", spans))  # directories, row groups
             .join(_lookup_rows(index, dgrams, "code"), "code")
         )
         columns = ["motif_id", "part", "needed", "key_no", "block", "mask"]

@@ -31,7 +31,7 @@ SCHEMAS = {
     " residues bigint, n_not_ascii bigint, block int, lane int, bin_id bigint",
     "postings": "kmer string, block int, mask bigint, prefix string",
     "bloom": "position bigint, block int, mask bigint, slot int",
-    "dgrams": "code bigint, block int, mask bigint",
+    "dgrams": "code bigint, block int, mask bigint, gap int",
 }
 BINS_PER_GROUP = 4096  # bins numbered together; bounds the sort that numbers them
 BROADCAST_BYTES = 64 << 20  # a side is broadcast only when known to be smaller
@@ -303,8 +303,10 @@ def _write_bloom(postings: DataFrame, meta: dict, path: str) -> None:
 
 
 def _write_meta(index: MotifIndex) -> None:
+    # a new version is added, so that a failure leaves the one before readable
+    index.meta["version"] = index.meta.get("version", 0) + 1
     line = index.spark.range(1).select(F.lit(json.dumps(index.meta)).alias("value"))
-    line.coalesce(1).write.mode("overwrite").text(f"{index.path}/meta")
+    line.coalesce(1).write.mode("append").text(f"{index.path}/meta")
 
 
 def add_dgrams(index: MotifIndex, low: int = 3, high: int = 21) -> MotifIndex:
@@ -314,11 +316,13 @@ def add_dgrams(index: MotifIndex, low: int = 3, high: int = 21) -> MotifIndex:
     if not 0 < low <= high:
         raise ValueError("need 0 < low <= high")
     folder = f"dgrams_{low}_{high}"
+    postings = K.dgram_postings(index.records, low, high).withColumn("gap", F.expr(f"cast(code div {20**6} AS int)"))
+    tasks = _tasks(postings, int(index.meta["residues"]) * (high - low + 1))
     (
-        K.dgram_postings(index.records, low, high)
-        .repartitionByRange("code")
-        .sortWithinPartitions("code", "block")
+        postings.repartitionByRange(tasks, "gap", "code")
+        .sortWithinPartitions("gap", "code", "block")
         .write.mode("overwrite")
+        .partitionBy("gap")
         .parquet(f"{index.path}/{folder}")
     )
     index.meta["dgram_gaps"] = [low, high]
@@ -328,7 +332,8 @@ def add_dgrams(index: MotifIndex, low: int = 3, high: int = 21) -> MotifIndex:
 
 
 def load_meta(spark: SparkSession, path: str) -> dict:
-    return json.loads(spark.read.text(f"{path}/meta").first()[0])
+    versions = spark.read.text(f"{path}/meta").select("value", F.get_json_object("value", "$.version").cast("int").alias("v"))
+    return json.loads(versions.orderBy(F.desc("v")).first()[0])
 
 
 def load_index(spark: SparkSession, path: str, records: DataFrame | None = None) -> MotifIndex:
