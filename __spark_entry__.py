@@ -309,6 +309,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             S.search_all_of(_peptides(s, d), ALL_OF)
         ),
         "prosite_to_regex": _prosite,
+        "class_alternatives": lambda s, d: _words(s, d).select(
+            "word",
+            M.class_to_alternatives(F.concat(F.lit("["), "word", F.lit("]"))).alias("one_of"),
+            M.class_to_alternatives(F.concat(F.lit("[^"), "word", F.lit("]"))).alias("none_of"),
+        ),
         "codon_regex": lambda s, d: _words(s, d).select(
             "word", M.codon_regex(F.col("word")).alias("regex")
         ),
@@ -619,6 +624,10 @@ def oracle_sql() -> dict[str, str]:
             f"bin || chr(9) || '>' || name || chr(9) || 'N --> {' --> '.join(ALL_OF)} --> C' AS value", "source"
         ),
         "prosite_to_regex": f"SELECT word, {prosite} AS prosite, {converted} AS regex FROM {_WORDS}",
+        "class_alternatives": "SELECT word,"
+        " '(' || array_to_string(list_sort(list_distinct(string_split(word, ''))), '|') || ')' AS one_of,"
+        " '(' || coalesce(array_to_string(list_filter(string_split('ACDEFGHIKLMNPQRSTVWY', ''),"
+        f" lambda x: NOT list_contains(string_split(word, ''), x)), '|'), '') || ')' AS none_of FROM {_WORDS}",
         "codon_regex": f"SELECT word, array_to_string({_word_map_sql(M.CODON_PATTERNS)}, '') AS regex FROM {_WORDS}",
         "codon_combinations": "SELECT word, list_product("
         f"{_word_map_sql(_CODONS)}) AS combinations FROM {_WORDS}",

@@ -80,6 +80,15 @@ def prosite_to_regex(pattern: Column) -> Column:
     return F.when(~F.exists(elements, lambda e: e.isNull()), F.array_join(elements, ""))
 
 
+def class_to_alternatives(residues: Column) -> Column:
+    """A residue class as a group of alternatives, in alphabetical order: ``[^...]`` are
+    the amino acids that it does not name. NULL for anything but a class."""
+    named = F.array_sort(F.array_distinct(F.split(F.translate(residues, "[^]", ""), "")))
+    others = F.array_except(F.array(*map(F.lit, AMINO_ACIDS)), named)
+    chosen = F.when(F.startswith(residues, F.lit("[^")), others).otherwise(named)
+    return F.when(residues.rlike(r"^\[\^?[A-Z]+\]$"), F.concat(F.lit("("), F.array_join(chosen, "|"), F.lit(")")))
+
+
 def codon_regex(peptide: Column) -> Column:
     """Pattern of all nucleotide sequences coding for a peptide; NULL for other letters."""
     table = _table(CODON_PATTERNS)
