@@ -136,6 +136,12 @@ def _sized(spark: SparkSession, sf: str) -> DataFrame:
     ).select("doc_id", "name", "seq")
 
 
+def _long_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Matches of a batch made of the documents' own words of 14 residues or more."""
+    words = _words(spark, sf).where(F.length("word") >= 14).select(F.col("word").alias("id"), F.col("word").alias("motif"))
+    return S.search_many(_peptides(spark, sf, fine=True), words).groupBy("motif_id").agg(F.count("*").alias("n"))
+
+
 def _dgrams(spark: SparkSession, sf: str) -> MotifIndex:
     return _index(spark, sf, k=4, dgram_gaps=(1, 3))
 
@@ -297,6 +303,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "search_longest_unbounded": lambda s, d: S.search(_peptides(s, d), "(A|AN)+D"),
         "search_longest_walked": lambda s, d: S.search(_peptides(s, d), "(A|NA)+ND"),
         "search_many": lambda s, d: S.search_many(_peptides(s, d), BATCH),
+        "search_batch_of_words": _long_words,
         "match_counts": lambda s, d: S.search_many(_peptides(s, d), BATCH)
         .groupBy("motif_id", "bin")
         .agg(F.count("*").alias("matches"), F.countDistinct("name").alias("records")),
@@ -615,6 +622,9 @@ def oracle_sql() -> dict[str, str]:
         "search_longest_unbounded": _matches_sql("(?:AN?)+D"),
         "search_longest_walked": _matches_sql("(?:A|NA)+ND"),
         "search_many": _batch_sql(),
+        "search_batch_of_words": "SELECT word AS motif_id, CAST(sum((length(seq) - length(replace(seq, word, '')))"
+        f" // length(word)) AS BIGINT) AS n FROM {_WORDS} JOIN {_rec()} ON contains(seq, word)"
+        " WHERE length(word) >= 14 GROUP BY word",
         "match_counts": "SELECT motif_id, bin, count(*) AS matches, count(DISTINCT name) AS records"
         f" FROM ({_batch_sql()}) GROUP BY motif_id, bin",
         "search_all_of": _all_of_sql(f"bin, name, '{':'.join(ALL_OF)}' AS motifs", _DOC_BIN),

@@ -248,18 +248,18 @@ def search(
 
 def search_many(
     index: MotifIndex,
-    motifs: dict[str, str],
+    motifs: dict[str, str] | DataFrame,
     *,
     augment: bool = False,
     dgrams: bool = False,
     longest: bool | None = None,
 ) -> DataFrame:
-    """All matches of a batch ``{motif id: pattern}``, with ``motif_id``.
+    """All matches of a batch ``{motif id: pattern}`` (or table, see ``plans.pattern.batch``), with ``motif_id``.
 
     The postings are read once for the whole batch and so are the candidate records.
     """
     longest = index.meta["molecule"] == "aa" if longest is None else longest
-    prepared = [prepare(p, i, index.meta["reduction"], longest) for i, p in motifs.items()]
+    prepared = [prepare(p, i, index.meta["reduction"], longest) for i, p in P.batch(motifs).items()]
     if not prepared:
         raise ValueError("no motifs given")
     return _search(index, prepared, augment, dgrams)

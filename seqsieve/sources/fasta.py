@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from seqsieve.plans.pattern import batch
 from seqsieve.session import ship_package
 
 SUFFIXES = (".fa", ".fa.gz", ".fasta", ".fasta.gz", ".fna", ".fna.gz")
@@ -165,11 +166,7 @@ def read_motifs(spark: SparkSession, path: str) -> dict[str, str]:
         .select(F.get(fields, F.lit(0)).alias("id"), F.get(fields, F.lit(1)).alias("motif"))
         .where("motif != ''")
     )
-    out: dict[str, str] = {}
-    for row in rows.toLocalIterator():
-        if out.setdefault(row["id"], row["motif"]) != row["motif"]:
-            raise ValueError(f"motif id {row['id']!r} stands for several patterns")
-    return out
+    return batch(rows)
 
 
 # ------------------------------------------------------------------------ sinks
