@@ -194,6 +194,46 @@ def test_graph_evaluation_gives_the_same_candidates(spark, monkeypatch):
     assert any(0 < len(bins) < 150 for bins in listed)
 
 
+@pytest.mark.parametrize("limit", [0, 20_000])
+def test_key_free_branches_and_ids_that_are_patterns(spark, monkeypatch, limit):
+    """Blocks that hold none of a graph's keys, and ids that another motif would match by."""
+    from seqsieve.operators import candidates
+
+    monkeypatch.setattr(candidates, "ALTERNATIVES_LIMIT", limit)
+    rng = random.Random(11)
+    rows_in = collection(rng, "ACDE", n_bins=40)
+    rows_in += [(f"z{i}", f"z{i}r", rng.choice(["MKLMKLM", "LLL", "KLAC"])) for i in range(100)]
+    index = S.build_index(frame(spark, rows_in), k=4)
+    assert index.n_blocks == 3
+    patterns = ["KL|A[CDE]{2}CA[CDE]{1,2}E(A|C)", "ACDE", "(A|CA)+CD", "KLAC"]
+    while len(patterns) < 16:
+        pattern = random_pattern(rng, "ACDE")
+        pattern = f"KL|{pattern}" if rng.random() < 0.4 else pattern
+        if not P.nullable(P.parse(pattern)) and pattern not in patterns:
+            patterns.append(pattern)
+    batch = dict(zip(patterns[1:] + patterns[:1], patterns))  # every id is another's pattern
+    expected = [
+        (motif, bin, name, seq[s:e], s, e)
+        for motif, pattern in batch.items()
+        for bin, name, seq in rows_in
+        for s, e in brute_longest(P.parse(pattern), seq)
+    ]
+    found = S.search_many(index, batch).select("motif_id", "bin", "name", "match", "start", "end")
+    assert rows(found) == sorted(expected)
+    for motif in list(batch)[:4]:
+        single = S.search(index, batch[motif]).select("bin", "name", "match", "start", "end")
+        assert rows(single) == sorted(e[1:] for e in expected if e[0] == motif)
+
+
+def test_wide_gaps_stay_in_the_jvm(spark):
+    text = "AM" + "C" * 2400 + "K" + "C" * 99 + "K" + "C" * 50 + "K"
+    index = S.build_index(frame(spark, [("a", "a", text), ("b", "b", "MK")]), k=3)
+    found = S.search(index, "M.{1,2500}K")
+    assert [(r.start, r.end) for r in found.collect()] == [(1, 2503)]
+    gap = S.search(index, "C.{0,80}K")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in gap
+
+
 def test_without_broadcasts_nothing_changes(spark, monkeypatch):
     from seqsieve.operators import candidates, search
 

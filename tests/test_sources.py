@@ -74,6 +74,9 @@ def test_fastx_rules(spark, files):
 def test_motif_batches(spark, tmp_path):
     (tmp_path / "m.tsv").write_text('a\tAC+G\n\nno pattern\nb\t"GT\textra\nc\t\n')
     assert fasta.read_motifs(spark, str(tmp_path / "m.tsv")) == {"a": "AC+G", "b": '"GT'}
+    (tmp_path / "n.tsv").write_text("a\tAC+G\na\tAC+G\na\tTTT\n")
+    with pytest.raises(ValueError):
+        fasta.read_motifs(spark, str(tmp_path / "n.tsv"))
 
 
 def test_alphabets(spark):
@@ -102,6 +105,10 @@ def test_motif_notations(spark):
         "L-M-A-[EQ]-G-L-Y-N": "LMA[EQ]GLYN",
         "<M-x-C(2)-x(2,4)-{P}(3)-K>": "^M.C{2}.{2,4}[^P]{3}K$",
         "{ACD}-x": "[EFGHIKLMNPQRSTVWY].",
+        "F-[IVFY]-G-[LM]-M-[G>].": "F[IVFY]G[LM]M([G]|$)",
+        "[<AC](2)-{W}(1,3)>.": "(^|[AC]){2}[^W]{1,3}$",
+        "A--C": None,
+        "A-[B": None,
     }
     df = spark.createDataFrame(list(cases), "string").toDF("p")
     got = {r.p: r.x for r in df.select("p", M.prosite_to_regex(F.col("p")).alias("x")).collect()}
