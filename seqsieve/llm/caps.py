@@ -33,7 +33,7 @@ BLOCKS = 4
 REACH = 0.035
 #: Directions per vector, about: the code's size follows the number of classes.
 DIRECTIONS = 4
-BUCKET = 1024
+BUCKET = 512
 
 
 class ProductCode:
@@ -124,9 +124,13 @@ def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
 def _earlier(filters: list[np.ndarray], this: int) -> np.ndarray:
     """Which pairs share a filter before this one."""
     before = [f[f < this] for f in filters]
-    values, place = np.unique(np.concatenate(before), return_inverse=True)
-    held = np.zeros((len(filters), len(values)), np.float32)
-    held[np.repeat(np.arange(len(filters)), [len(b) for b in before]), place] = 1
+    values, place, counts = np.unique(np.concatenate(before), return_inverse=True, return_counts=True)
+    several = counts > 1
+    column = np.cumsum(several) - 1
+    owner = np.repeat(np.arange(len(filters)), [len(b) for b in before])
+    use = several[place]
+    held = np.zeros((len(filters), int(several.sum())), np.float32)
+    held[owner[use], column[place[use]]] = 1
     return held @ held.T > 0
 
 
