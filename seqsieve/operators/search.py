@@ -82,7 +82,7 @@ def graph_of(index: MotifIndex, motif: Motif, augment: bool = False, dgrams: boo
     node = P.trim(motif.node) if index.meta["molecule"] == "aa" else motif.node
     if augment:
         letters = len(shape.alphabet) if shape.alphabet else len(alphabet.AMINO_ACIDS)
-        node = P.gaps_for_complex_parts(node, letters)
+        node = P.gaps_for_complex_parts(node, letters, index.k)
     return window_graph(node, shape)
 
 
