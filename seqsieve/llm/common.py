@@ -22,7 +22,33 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch_folder(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made and nothing reads any more."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table._scratch)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def most_frequent(counts: DataFrame, limit: int) -> DataFrame:
+    """The rows of highest ``n``, all above some bound, that are ``limit`` at most.
+
+    The bound comes from the numbers of rows by size class, so no task hands on more than
+    it keeps; rows of one class come or go together.
+    """
+    counts = counts.withColumn("_class", F.floor(F.log2("n") * 8).cast("int"))
+    least, total = None, 0
+    for size, rows in sorted(map(tuple, counts.groupBy("_class").count().collect()), reverse=True):
+        total += rows
+        if total > limit:
+            break
+        least = size
+    return counts.where(F.lit(False) if least is None else F.col("_class") >= least).drop("_class")
 
 
 def on_workers(spark: SparkSession) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqsieve.llm.common import written
+from seqsieve.llm.common import forget, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -28,11 +28,13 @@ def components(links: DataFrame) -> DataFrame:
             .select("root", F.least(F.col("best"), rank("root"))["id"].alias("to"))
             .where("root <> to")
         )
-        labels = written(
+        older, labels = labels, written(
             labels.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
         )
         ends = [moved.select(F.col("root").alias(c), F.col("to").alias(f"{c}_to")) for c in ("a", "b")]
         now = edges.join(ends[0], "a", "left").join(ends[1], "b", "left")
         now = now.select(F.coalesce("a_to", "a").alias("x"), F.coalesce("b_to", "b").alias("y")).where("x <> y")
-        edges = written(now.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        former, edges = edges, written(now.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        forget(older, former, moved)
+    forget(edges)
     return labels

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqsieve.llm.common import on_workers, text_hash, written
+from seqsieve.llm.common import forget, most_frequent, on_workers, text_hash, written
 from seqsieve.llm.components import components
 
 #: Tokens seen this often stand behind all others; at most so many are told apart (by
@@ -40,6 +40,12 @@ FREQUENT, MAX_FREQUENT = 8, 300_000
 #: Tokens that a task counts at a time.
 COUNTED = 4_000_000
 _WORDS_KEPT = 200_000
+#: Rows of three numbers, about 10 MB, that may be sent to all executors.
+BROADCAST_PLACES = 300_000
+#: Seeds of the second and third order.
+ORDERS = [0x5851F42D4C957F2D, 0x14057B7EF767814F]
+#: Bits of a token that candidates meet by; a chance meeting is found out later.
+TOKEN_BITS = 44
 
 
 class _WordHashes(dict):
@@ -136,7 +142,7 @@ def _scan(docs: DataFrame, width: int) -> DataFrame:
 def _frequent(scanned: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     pairs = scanned.where("counts IS NOT NULL").select(F.explode(F.arrays_zip("tokens", "counts")).alias("t"))
     counted = pairs.groupBy("t.tokens").agg(F.sum("t.counts").alias("n")).where(F.col("n") >= FREQUENT)
-    top = counted.orderBy(F.desc("n"), "tokens").limit(MAX_FREQUENT).toPandas().sort_values("tokens")
+    top = most_frequent(counted, MAX_FREQUENT).toPandas()
     keys = top["tokens"].to_numpy(np.int64).astype(np.uint64)
     order = np.argsort(keys)
     return keys[order], top["n"].to_numpy(np.int64)[order]
@@ -146,8 +152,15 @@ class _Prefixes:
     def __init__(self, keys: np.ndarray, counts: np.ndarray, share: tuple[int, int]) -> None:
         self.keys, self.counts, self.share = keys, counts, share
 
-    def __call__(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The prefixes under the three orders; for the last two, 32 bits of each token do."""
+    def first(self, found: np.ndarray) -> np.ndarray:
+        """The prefix under the first order, TOKEN_BITS of each token."""
+        return (self._prefixes(found, [0])[0] >> np.uint64(64 - TOKEN_BITS)).astype(np.int64)
+
+    def others(self, found: np.ndarray) -> list[np.ndarray]:
+        """The prefixes under the other orders, 32 bits of each token."""
+        return [x.astype(np.uint32).astype(np.int32) for x in self._prefixes(found, ORDERS)]
+
+    def _prefixes(self, found: np.ndarray, seeds: list[int]) -> list[np.ndarray]:
         num, den = self.share
         length = len(found) - (num * len(found) + den - 1) // den + 1
         counts = np.zeros(len(found), np.int64)
@@ -156,26 +169,23 @@ class _Prefixes:
             counts = np.where(self.keys[at] == found, self.counts[at], 0)
         rare = found[counts == 0]
         out = []
-        for seed in (0, 0x5851F42D4C957F2D, 0x14057B7EF767814F):
+        for seed in seeds:
             if len(rare) >= length:
                 key = _mixed(rare, seed) if seed else rare
                 out.append(np.sort(key)[:length])
             else:
                 key = _mixed(found, seed) if seed else found
                 out.append(key[np.lexsort((key, counts))[:length]])
-        return out[0].astype(np.int64), *(x.astype(np.uint32).astype(np.int32) for x in out[1:])
+        return out
 
 
-def _prefixes(docs: DataFrame, frequent: tuple, width: int, share: tuple[int, int]) -> DataFrame:
-    """One row per class: cid, n, and its prefixes."""
-    shared = docs.sparkSession.sparkContext.broadcast(_Prefixes(*frequent, share))
-    schema = "cid bigint, n bigint, first array<bigint>, second array<int>, third array<int>"
-    arrow = pa.schema(
-        [("cid", pa.int64()), ("n", pa.int64()), ("first", pa.list_(pa.int64())), ("second", pa.list_(pa.int32())), ("third", pa.list_(pa.int32()))]
-    )
+def _classes(docs: DataFrame, prefixes, width: int) -> DataFrame:
+    """A row per class and task that met it: id (small, so that entries stay narrow), cid, n
+    and its prefix under the first order."""
+    arrow = pa.schema([("cid", pa.int64()), ("n", pa.int64()), ("first", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen, prefixes = _WordHashes(), set(), shared.value
+        hashes, seen, prefix = _WordHashes(), set(), prefixes.value.first
         for batch in batches:
             rows: list[list] = [[] for _ in arrow]
             for text in batch.column(0):
@@ -183,12 +193,12 @@ def _prefixes(docs: DataFrame, frequent: tuple, width: int, share: tuple[int, in
                 cid = _signature(found)
                 if len(found) and cid not in seen:
                     seen.add(cid)
-                    for column, value in zip(rows, (cid, len(found), *prefixes(found)), strict=True):
+                    for column, value in zip(rows, (cid, len(found), prefix(found)), strict=True):
                         column.append(value)
             yield _batches(rows, arrow)
 
-    every = docs.select(docs["text"].cast("binary")).mapInArrow(run, schema)
-    return every.groupBy("cid").agg(*[F.any_value(c).alias(c) for c in ("n", "first", "second", "third")])
+    found = docs.select(docs["text"].cast("binary")).mapInArrow(run, "cid bigint, n bigint, first array<bigint>")
+    return found.select(F.monotonically_increasing_id().alias("id"), "*")
 
 
 def _room(a: str, b: str, share: tuple[int, int]) -> Column:
@@ -197,37 +207,41 @@ def _room(a: str, b: str, share: tuple[int, int]) -> Column:
     return (share[0] + share[1]) * left >= share[0] * (F.col(f"{a}.n") + F.col(f"{b}.n"))
 
 
-def _filtered(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share prefix tokens under the second and the third order too."""
-    sides = [classes.select(F.col("cid").alias(c), F.col("second").alias(f"{c}2"), F.col("third").alias(f"{c}3")) for c in "ab"]
-    joined = pairs.join(sides[0], "a").join(sides[1], "b")
-    return joined.where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b")
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
-    """The pairs whose whole sets are as similar as asked for."""
+def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, prefixes, width: int, share: tuple[int, int]) -> DataFrame:
+    """Of the pairs (a, b; a table, used up) those that share prefix tokens under the other
+    orders too and whose whole sets are as similar as asked for."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     places = rows.join(wanted, "cid", "left_semi").groupBy("cid").agg(F.min(F.struct("doc_id", "row_hash")).alias("row"))
-    places = places.select("cid", F.col("row.doc_id").alias("at_id"), F.col("row.row_hash").alias("at_hash"))
+    places = written(places.select("cid", F.col("row.doc_id").alias("at_id"), F.col("row.row_hash").alias("at_hash")))
+    near = F.broadcast(places) if places.count() <= BROADCAST_PLACES else places  # else texts are shuffled to them
     keyed = docs.select("doc_id", text_hash(docs["text"]).alias("row_hash"), docs["text"].cast("binary").alias("text"))
     texts = keyed.join(
-        places, keyed["doc_id"].eqNullSafe(places["at_id"]) & (keyed["row_hash"] == places["at_hash"])
+        near, keyed["doc_id"].eqNullSafe(near["at_id"]) & (keyed["row_hash"] == near["at_hash"])
     ).select("cid", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _WordHashes()
+        hashes, others = _WordHashes(), prefixes.value.others
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                sets = [tokens(text.as_py() or b"", width, hashes).astype(np.int64) for text in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["cid", "tokens"])
-
-    sets = texts.mapInArrow(run, "cid bigint, tokens array<bigint>")
-    sets = written(sets.groupBy("cid").agg(F.any_value("tokens").alias("tokens")))
+                sets = [tokens(text.as_py() or b"", width, hashes) for text in part.column(1)]
+                found = [others(s) for s in sets]
+                columns = [part.column(0), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))]
+                columns += [pa.array([f[i] for f in found], pa.list_(pa.int32())) for i in range(len(ORDERS))]
+                yield pa.RecordBatch.from_arrays(columns, names=["cid", "tokens", "second", "third"])
+
+    # repeated rows come up several times: the pairs below are made distinct again
+    sets = written(texts.mapInArrow(run, "cid bigint, tokens array<bigint>, second array<int>, third array<int>"))
+    sides = [sets.select(F.col("cid").alias(c), F.col("second").alias(f"{c}2"), F.col("third").alias(f"{c}3")) for c in "ab"]
+    met = pairs.join(sides[0], "a").join(sides[1], "b").where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3"))
+    met = written(met.select("a", "b").distinct())
     sides = [sets.select(F.col("cid").alias(c), F.col("tokens").alias(f"t{c}")) for c in "ab"]
     common = F.size(F.array_intersect("ta", "tb"))
     union = F.size("ta") + F.size("tb") - common
-    return pairs.join(sides[0], "a").join(sides[1], "b").where(share[1] * common >= share[0] * union).select("a", "b")
+    links = met.join(sides[0], "a").join(sides[1], "b").where(share[1] * common >= share[0] * union).select("a", "b").distinct()
+    links = written(links)
+    forget(sets, met, pairs, places)
+    return links
 
 
 def similar_classes(docs: DataFrame, width: int = 5, share: tuple[int, int] = (4, 5)) -> tuple[DataFrame, DataFrame]:
@@ -237,21 +251,22 @@ def similar_classes(docs: DataFrame, width: int = 5, share: tuple[int, int] = (4
     docs = docs.select("doc_id", "text")
     scanned = written(_scan(docs, width))
     rows = scanned.where("cid IS NOT NULL").drop("tokens", "counts")
-    classes = written(_prefixes(docs, _frequent(scanned), width, share))
-    entries = classes.select("cid", "n", F.posexplode("first").alias("pos", "token"))
-    shared = written(
-        entries.groupBy("token")
-        .agg(F.min(F.struct("pos", "n", "cid")).alias("hub"), F.min("cid").alias("least"), F.max("cid").alias("most"))
-        .where("least <> most")
-        .select("token", "hub")
-    )
-    entries = written(entries.join(shared, "token").select("token", "cid", "n", "pos", "hub"))
+    prefixes = docs.sparkSession.sparkContext.broadcast(_Prefixes(*_frequent(scanned), share))
+    classes = written(_classes(docs, prefixes, width))
+    entries = classes.select("id", "n", F.posexplode("first").alias("pos", "token"))
+    # a token that occurs once leads nowhere; counting needs the narrowest rows
+    shared = written(entries.groupBy("token").agg(F.count("*").alias("times")).where("times > 1").select("token"))
+    entries = entries.join(shared, "token").join(classes.select("id", "cid"), "id")
+    entries = written(entries.select("token", "cid", "n", "pos").distinct())
+    hubs = written(entries.groupBy("token").agg(F.min(F.struct("pos", "n", "cid")).alias("hub")))
+    entries_, entries = entries, written(entries.join(hubs, "token").select("token", "cid", "n", "pos", "hub"))
+    forget(classes, shared, hubs, entries_)
     to_hub = entries.where((F.col("cid") != F.col("hub.cid")) & (
         (share[0] + share[1]) * F.least(F.col("n") - F.col("pos"), F.col("hub.n") - F.col("hub.pos"))
         >= share[0] * (F.col("n") + F.col("hub.n"))
     ))
     pairs = written(_ordered(to_hub.select(F.col("cid").alias("a"), F.col("hub.cid").alias("b"))).distinct())
-    links = written(_verified(written(_filtered(pairs, classes)), docs, rows, width, share))
+    links = _verified(written(pairs), docs, rows, prefixes, width, share)
     roots = components(links)
 
     root = lambda side, c: roots.select(F.col("node").alias(c), F.col("root").alias(side))
@@ -268,8 +283,9 @@ def similar_classes(docs: DataFrame, width: int = 5, share: tuple[int, int] = (4
         .where(_room("x", "y", share))
     )
     more = _ordered(crossing.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))).distinct()
-    more = written(_filtered(more.join(pairs, ["a", "b"], "left_anti"), classes))
-    return rows, links.unionByName(_verified(more, docs, rows, width, share))
+    more = written(more.join(pairs, ["a", "b"], "left_anti"))
+    forget(entries, pairs, placed, roots)
+    return rows, written(links.unionByName(_verified(more, docs, rows, prefixes, width, share)))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:

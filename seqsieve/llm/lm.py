@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqsieve.llm.common import crc_remainder, on_workers, uniform, written
+from seqsieve.llm.common import crc_remainder, most_frequent, on_workers, uniform, written
 from seqsieve.llm.gru import GatedModel
 
 CLASSES, CLASS_SIZE = 48, 48
@@ -131,7 +131,7 @@ def learn(docs: DataFrame, sample_tokens: int = SAMPLE_TOKENS) -> tuple[Scorer,
     groups = {row.g: (row.n, row.v) for row in sums}
     documents = docs.count()
     tokens = sum(n for n, _ in groups.values())
-    top = counts.orderBy(F.desc("n"), "word").limit(KNOWN).toPandas()
+    top = most_frequent(counts, KNOWN).toPandas().sort_values(["n", "word"], ascending=[False, True])
     kinds = sum(v for _, v in groups.values()) + (documents > 0)
     words = [bytes(w) for w in top["word"]]
     scorer = Scorer(words, top["n"].tolist(), tokens + documents, kinds, documents, groups)
