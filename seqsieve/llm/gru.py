@@ -128,13 +128,13 @@ class GatedModel:
         """The gates' input by id, as a table."""
         self.table = self.p["embed"] @ self.p["input"] + self.p["bias"]
 
-    def train(self, docs: list[np.ndarray], passes: int = 3, rate: float = 0.01) -> None:
-        """``docs``: ids of whole documents, each ending in 0."""
+    def train(self, docs: list[np.ndarray], passes: int = 3, rate: float = 0.01, lanes: int = LANES) -> None:
+        """``docs``: ids of documents or parts of them; each starts from the empty state."""
         if not docs:
             self.freeze()
             return
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
-        ids, owner = _lay_out(docs, LANES)
+        ids, owner = _lay_out(docs, lanes)
         before, starts = _shifted(ids, owner)
         step = 0
         for _ in range(passes):

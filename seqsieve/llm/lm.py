@@ -3,8 +3,15 @@
 Words are counted over all training documents. The model knows the most frequent ones
 and, by their last two bytes, groups of all others; a word of a group has the group's
 probability times its share of the group's counts (plus 0.1, and as much for all words
-never seen). The recurrent weights are trained on a sample of whole training documents of
-about SAMPLE_TOKENS words; counts, classes and shares come from all of them.
+never seen). Counts, classes, shares and the recurrent weights come from all of them.
+
+The recurrent weights are trained in PASSES over all training documents. A pass trains the
+weights so far on each shard of about SHARD_TOKENS words, in Spark, and takes the mean of
+what comes out, weighted by words, as the weights for the next. They start from what the
+driver learns on about SAMPLE_TOKENS words, so that the shards' weights can be averaged.
+Shards follow from id, text and place alone. Training starts afresh within a document every
+PIECE words, so a long document is trained on whole, by several tasks; scores carry the
+state through.
 
 Counts of the KNOWN most frequent words, a list of bounded size, go to the workers; those
 of all others are joined to the few occurrences of such words in each document.
@@ -28,13 +35,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqsieve.llm.common import crc_remainder, most_frequent, on_workers, uniform, written
+from seqsieve.llm.common import crc_remainder, forget, most_frequent, on_workers, text_hash, uniform, written
 from seqsieve.llm.gru import GatedModel
 
 CLASSES, CLASS_SIZE = 48, 48
 GROUPS = 64
 KNOWN = 200_000
 SAMPLE_TOKENS = 250_000
+PASSES, SHARD_TOKENS, SHARD_LANES = 3, 1_000_000, 256
+PIECE = 16_384
+#: Weights that travel in one row.
+CHUNK = 4096
 #: Words that a task counts before it hands them on; tokens that it scores at a time.
 COUNTED, SCORED = 400_000, 1_500_000
 
@@ -135,13 +146,74 @@ def learn(docs: DataFrame, sample_tokens: int = SAMPLE_TOKENS) -> tuple[Scorer,
     kinds = sum(v for _, v in groups.values()) + (documents > 0)
     words = [bytes(w) for w in top["word"]]
     scorer = Scorer(words, top["n"].tolist(), tokens + documents, kinds, documents, groups)
-    rate = min(1.0, sample_tokens / max(1, tokens))
-    sample = docs.where(uniform(F.col("doc_id"), F.lit("recurrent sample")) < rate).select(docs["text"].cast("binary"))
-    texts = [row[0] for row in sample.collect()]
-    scorer.model.train([scorer.encode(words_of(text))[0] for text in sorted(texts, key=lambda t: t or b"")])
+    pieces = written(_pieces(docs, scorer))
+    rate = min(1.0, sample_tokens / max(1, tokens + documents))
+    sample = [row.ids for row in pieces.where(F.col("draw") < rate).select("ids").collect()]
+    scorer.model.train([_ids(x) for x in sorted(sample)])
+    for _ in range(PASSES):
+        _train_pass(pieces, scorer.model, -(-(tokens + documents) // SHARD_TOKENS))
+    forget(pieces)
     return scorer, counts
 
 
+def _ids(piece: bytes) -> np.ndarray:
+    return np.frombuffer(piece, "<u2").astype(np.int64)
+
+
+def _pieces(docs: DataFrame, scorer: Scorer) -> DataFrame:
+    """All rows as ids in pieces of PIECE words at most, and a number in [0, 1) of each."""
+    shared = docs.sparkSession.sparkContext.broadcast(scorer)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = shared.value
+        for batch in batches:
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = scorer.encode(words_of(text.as_py()))[0].astype("<u2")
+                parts = [ids[at : at + PIECE].tobytes() for at in range(0, len(ids), PIECE)]
+                columns = [pa.array([row] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "place", "ids"])
+
+    keyed = docs.select(F.xxhash64("doc_id", text_hash(F.col("text"))).alias("row"), docs["text"].cast("binary"))
+    cut = keyed.mapInArrow(run, "row bigint, place bigint, ids binary")
+    return cut.select(uniform(F.col("row"), F.col("place"), F.lit("recurrent piece")).alias("draw"), "ids")
+
+
+def _train_pass(pieces: DataFrame, model: GatedModel, shards: int) -> None:
+    """Trains ``model`` once on all pieces: the mean of the weights that each shard arrives at."""
+    if not shards:
+        return
+    names = sorted(model.p)
+    shared = pieces.sparkSession.sparkContext.broadcast(model.p)
+
+    def train(table: pa.Table) -> pa.Table:
+        own = GatedModel(CLASSES, CLASS_SIZE)
+        own.p = {k: v.copy() for k, v in shared.value.items()}
+        docs = [_ids(x) for x in sorted(table.column("ids").to_pylist())]
+        own.train(docs, passes=1, lanes=SHARD_LANES)
+        weights = np.concatenate([own.p[k].ravel() for k in names]).astype("<f4")
+        chunks = [weights[at : at + CHUNK].tobytes() for at in range(0, len(weights), CHUNK)]
+        shard, size = table.column("shard")[0].as_py(), sum(map(len, docs))
+        columns = [pa.array(range(len(chunks)), pa.int64()), *(pa.array([x] * len(chunks), pa.int64()) for x in (shard, size))]
+        return pa.table([*columns, pa.array(chunks, pa.binary())], names=["chunk", "shard", "size", "weights"])
+
+    def mean(table: pa.Table) -> pa.Table:
+        total, sizes = 0.0, 0
+        for _, size, weights in sorted(zip(*(table.column(c).to_pylist() for c in ("shard", "size", "weights")), strict=True)):
+            total, sizes = total + size * np.frombuffer(weights, "<f4").astype(float), sizes + size
+        found = pa.array([(total / sizes).astype("<f4").tobytes()], pa.binary())
+        return pa.table([table.column("chunk")[:1].combine_chunks(), found], names=["chunk", "weights"])
+
+    # as many partitions as asked for: by size they would be merged into too few tasks
+    dealt = pieces.withColumn("shard", F.floor(F.col("draw") * shards)).repartition(2 * shards, "shard")
+    trained = dealt.groupBy("shard").applyInArrow(train, "chunk bigint, shard bigint, size bigint, weights binary")
+    rows = trained.groupBy("chunk").applyInArrow(mean, "chunk bigint, weights binary").collect()
+    weights = np.frombuffer(b"".join(row.weights for row in sorted(rows)), "<f4")
+    for k in names:
+        model.p[k] = weights[: model.p[k].size].reshape(model.p[k].shape).copy()
+        weights = weights[model.p[k].size :]
+    model.freeze()
+
+
 def _score_known(docs: DataFrame, scorer: Scorer) -> DataFrame:
     """Per row all that needs no counts of rare words, and its rare words."""
     shared = docs.sparkSession.sparkContext.broadcast(scorer)

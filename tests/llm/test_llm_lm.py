@@ -147,3 +147,19 @@ def test_rare_words_join_their_counts(table, words, monkeypatch):
     for r in lm.score_corpus(docs).collect():
         assert r.n_known == whole[r.doc_id].n_known
         assert r.base_score == pytest.approx(whole[r.doc_id].base_score)
+
+
+def test_all_training_documents_teach_the_recurrent_weights(table, words, monkeypatch):
+    """Also those that the first sample leaves out, and the ends of long ones, in any partitions."""
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 3_000)
+    monkeypatch.setattr(lm, "PIECE", 1_000)
+    rows = [(i, words(i, 40, 50), "en", "s") for i in range(60)] + [(60, words(60, 5_000, 50) + " a b" * 2_000, "en", "s")]
+    docs = table(rows)
+    scorer, _ = lm.learn(docs, sample_tokens=0)  # a draw that takes nothing
+    monkeypatch.setattr(lm, "PASSES", 0)
+    untrained, _ = lm.learn(docs, sample_tokens=0)
+    text = [scorer.encode(lm.words_of(b"a b " * 50))[0]]
+    assert scorer.model.score(text)[0] > 0.5 * untrained.model.score(text)[0]
+    monkeypatch.setattr(lm, "PASSES", 3)
+    again, _ = lm.learn(docs.repartition(7), sample_tokens=0)
+    assert all(np.array_equal(again.model.p[k], v) for k, v in scorer.model.p.items())
