@@ -2,11 +2,10 @@
 
 Around each word that every notice has some form of (license, copyright and the like), each
 template is laid so that its own such words fall on it, which gives the candidate blocks:
-windows a little longer than the template. A block is compressed alone and with the template
-as a raw zstandard dictionary; the size saved, over what the template saves on itself, ranks
-templates and places. In that order, the first one is taken whose wording differs in few
-enough words: insertions, deletions and replacements against the best-fitting part of the
-block, counted exactly.
+windows a little longer than the template. A block counts if its wording differs in few
+enough words: insertions, deletions and replacements against its best-fitting part, counted
+exactly. That part is compressed alone and with the template as a raw zstandard dictionary;
+the bytes saved, over what the template saves on itself, rank templates and places.
 
 Cases: null and empty texts have no findings; texts are read whole, and only windows of
 texts that hold an anchor word are compressed; equal blocks are judged once per task, within
@@ -64,8 +63,8 @@ TEMPLATES = [
 ANCHOR = re.compile(r"licen[cs]|copyright|copyleft", re.IGNORECASE)
 _word = re.compile(r"[^\x20\x09-\x0D]+")
 _edge = re.compile(r"^\W+|\W+$")
-#: Least share of the template's own saving, and differing words allowed per word of template.
-LEAST_SAVED, DIFFERENCES = 0.5, 0.1
+#: Differing words allowed per word of template.
+DIFFERENCES = 0.1
 _BLOCKS_KEPT = 20_000
 
 
@@ -92,15 +91,19 @@ class Template:
         return zstandard.ZstdCompressor(level=9, dict_data=content, write_content_size=False)
 
     @cached_property
-    def own_saving(self) -> float:
-        return self._saving(" ".join(self.words).encode())
+    def own_saving(self) -> int:
+        return max(1, self._saving(" ".join(self.words).encode()))
 
-    def _saving(self, block: bytes) -> float:
-        alone = len(_alone().compress(block))
-        return (alone - len(self.with_dictionary.compress(block))) / alone
+    @cached_property
+    def allowed(self) -> int:
+        """Words that may differ."""
+        return int(DIFFERENCES * len(self.words))
+
+    def _saving(self, block: bytes) -> int:
+        return len(_alone().compress(block)) - len(self.with_dictionary.compress(block))
 
     def saved(self, block: list[str]) -> float:
-        """Share of the block's compressed size that knowing the template saves, over the template's own."""
+        """Bytes that knowing the template saves on the compressed words, over those it saves on itself."""
         return self._saving(" ".join(block).encode()) / self.own_saving
 
     def fit(self, block: list[str]) -> tuple[int, int, int]:
@@ -134,16 +137,16 @@ class Scanner:
         self.known: dict = {}
 
     def _judged(self, which: int, block: tuple[str, ...]) -> tuple | None:
-        """(saved, differing, start, end) of a block worth a comparison of wordings."""
+        """(saved, differing, start, end) of a block whose wording is near enough."""
         key = (which, block)
         if key not in self.known:
             if len(self.known) >= _BLOCKS_KEPT:
                 self.known.clear()
             template, found = self.templates[which], None
-            if len(set(block) & set(template.words)) >= LEAST_SAVED * len(set(template.words)):
-                saved = template.saved(list(block))
-                if saved >= LEAST_SAVED:
-                    found = (saved, *template.fit(list(block)))
+            if len(set(template.words).difference(block)) <= template.allowed:  # each differs once at least
+                differing, start, end = template.fit(list(block))
+                if differing <= template.allowed and start < end:
+                    found = (template.saved(list(block[start:end])), differing, start, end)  # neighbours have no say
             self.known[key] = found
         return self.known[key]
 
@@ -165,7 +168,7 @@ class Scanner:
                     first = max(0, at - anchor - slack)
                     block = tuple(words[first : at - anchor + len(template.words) + slack])
                     found = self._judged(which, block)
-                    if found and found[1] <= DIFFERENCES * len(template.words) and found[2] < found[3]:
+                    if found:
                         saved, differing, start, end = found
                         ranked.append((-saved * len(template.words), differing, first + start, first + end, which))
         taken: list[tuple] = []

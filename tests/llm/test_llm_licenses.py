@@ -55,3 +55,12 @@ def test_operator_edges(table):
     assert licenses.scan_licenses(table([])).collect() == []
     with pytest.raises(ValueError):
         licenses.Scanner([("x", "no anchor here")])
+
+
+def test_long_neighbours_hide_no_notice():
+    for before, notice, after in [
+        ("our work", "licensed under cc by 4.0", "https://creativecommons.org/licenses/by/4.0 see"),
+        ("our code", "released under the mit license", "see https://github.com/somebody/something-long/blob/main/README.md"),
+    ]:
+        got = SCANNER.scan(f"{before} {notice} {after}")
+        assert [f[1:4] for f in got] == [(len(before) + 1, len(before) + 1 + len(notice), 0)]
