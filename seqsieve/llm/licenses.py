@@ -61,21 +61,98 @@ TEMPLATES = [
     ),
 ]
 ANCHOR = re.compile(r"licen[cs]|copyright|copyleft", re.IGNORECASE)
+#: Further wordings that the operator knows by default: (license, wording, words that must be there).
+_GNU = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0}General"
+    " Public License as published by the Free Software Foundation, either version {1} of the License, or (at your"
+    " option) any later version."
+)
+_BSD_START = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the"
+    " following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list"
+    " of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright"
+    " notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided"
+    " with the distribution."
+)
+_BSD_END = (
+    ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,'
+    " INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE"
+    " DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,"
+    " SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR"
+    " SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY,"
+    " WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE"
+    " OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+#: SPDX identifier, words that tell it, how notices call it.
+_CALLED = [
+    ("Apache-2.0", "apache 2.0", "the Apache License, Version 2.0"), ("MIT", "mit", "the MIT License"),
+    ("BSD-2-Clause", "bsd 2-clause", "the BSD 2-Clause License"), ("BSD-3-Clause", "bsd 3-clause", "the BSD 3-Clause License"),
+    ("ISC", "isc", "the ISC License"), ("MPL-2.0", "mozilla 2.0", "the Mozilla Public License, version 2.0"),
+    ("GPL-2.0", "gnu general 2", "the GNU General Public License, version 2"),
+    ("GPL-3.0", "gnu general 3", "the GNU General Public License, version 3"),
+    ("LGPL-2.1", "gnu lesser 2.1", "the GNU Lesser General Public License, version 2.1"),
+    ("LGPL-3.0", "gnu lesser 3", "the GNU Lesser General Public License, version 3"),
+    ("AGPL-3.0", "gnu affero 3", "the GNU Affero General Public License, version 3"), ("Unlicense", "unlicense", "the Unlicense"),
+    ("CC-BY-4.0", "cc by 4.0", "CC BY 4.0"), ("CC-BY-SA-4.0", "cc by-sa 4.0", "CC BY-SA 4.0"), ("CC-BY-NC-4.0", "cc by-nc 4.0", "CC BY-NC 4.0"),
+    ("CC-BY-ND-4.0", "cc by-nd 4.0", "CC BY-ND 4.0"), ("CC-BY-NC-SA-4.0", "cc by-nc-sa 4.0", "CC BY-NC-SA 4.0"),
+    ("CC-BY-NC-ND-4.0", "cc by-nc-nd 4.0", "CC BY-NC-ND 4.0"), ("CC0-1.0", "cc0 1.0", "CC0 1.0"),
+]
+COMMON = [
+    *TEMPLATES,
+    *[(name, f"{verb} {called}.", needed) for name, needed, called in _CALLED for verb in ("Licensed under", "Released under") if ANCHOR.search(verb + called)],
+    *[(name, f"SPDX-License-Identifier: {form}", form.lower()) for name, *_ in _CALLED for form in ((name,) if "GPL" not in name else (name, f"{name}-only", f"{name}-or-later"))],
+    ("GPL-2.0", _GNU.format("", "2"), "2"), ("LGPL-2.1", _GNU.format("Lesser ", "2.1"), "lesser 2.1"),
+    ("LGPL-3.0", _GNU.format("Lesser ", "3"), "lesser 3"), ("AGPL-3.0", _GNU.format("Affero ", "3"), "affero 3"),
+    ("BSD-2-Clause", _BSD_START + _BSD_END),
+    (
+        "BSD-3-Clause",
+        _BSD_START + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse"
+        " or promote products derived from this software without specific prior written permission." + _BSD_END,
+    ),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby"
+        " granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ),
+    (
+        "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not"
+        " distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ),
+    (
+        "MIT",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE'
+        " WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS"
+        " OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR"
+        " OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "Unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish,"
+        " use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any"
+        " purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author"
+        " or authors of this software dedicate any and all copyright interest in the software to the public domain.",
+    ),
+]
 _word = re.compile(r"[^\x20\x09-\x0D]+")
 _edge = re.compile(r"^\W+|\W+$")
-#: Differing words allowed per word of template.
-DIFFERENCES = 0.1
+#: Differing words allowed per word of template, and in those of 4 and of 6 words on at least.
+DIFFERENCES, LEAST_DIFFERENCES = 0.1, ((4, 1), (6, 2))
+#: Words that tell licenses apart: none may come, go or be replaced.
+_TELLING = {w for _, needed, _ in _CALLED for w in needed.split()} | {"by", "by-nc", "by-sa", "gpl", "lgpl", "agpl", "bsd", "3.0", "1.0"}
 _BLOCKS_KEPT = 20_000
 
 
 def _plain(word: str) -> str:
-    return _edge.sub("", word).lower()
+    """Without marks around it, in lower case and American spelling."""
+    return _edge.sub("", word).lower().replace("licenc", "licens")
 
 
 @dataclass
 class Template:
     name: str
     text: str
+    needed: str = ""
 
     @cached_property
     def words(self) -> list[str]:
@@ -97,7 +174,26 @@ class Template:
     @cached_property
     def allowed(self) -> int:
         """Words that may differ."""
-        return int(DIFFERENCES * len(self.words))
+        return max(int(DIFFERENCES * len(self.words)), *(n for least, n in LEAST_DIFFERENCES if least <= len(self.words)), 0, 0)
+
+    @cached_property
+    def telling(self) -> frozenset[str]:
+        """The words that must be there; in short notices, all that tell licenses apart."""
+        short = _TELLING.intersection(self.words) if len(self.words) < 20 else ()
+        return frozenset(self.needed.split()).union(short)
+
+    def may_be_in(self, words: set[str]) -> bool:
+        """Each word that is not there differs once at least."""
+        return self.telling <= words and len(self.kinds - words) <= self.allowed
+
+    @cached_property
+    def kinds(self) -> frozenset[str]:
+        return frozenset(self.words)
+
+    def tells(self, words: Iterable[str]) -> bool:
+        """Whether such words name this license and no other."""
+        words = set(words)
+        return self.telling <= words and (not self.telling or _TELLING.intersection(words).issubset(self.words))
 
     def _saving(self, block: bytes) -> int:
         return len(_alone().compress(block)) - len(self.with_dictionary.compress(block))
@@ -130,7 +226,7 @@ def _alone() -> zstandard.ZstdCompressor:
 
 
 class Scanner:
-    def __init__(self, templates: Iterable[tuple[str, str]]) -> None:
+    def __init__(self, templates: Iterable[tuple[str, ...]]) -> None:
         self.templates = [Template(*t) for t in templates]
         if not all(t.anchors for t in self.templates):
             raise ValueError("a template without an anchor word finds nothing")
@@ -143,9 +239,9 @@ class Scanner:
             if len(self.known) >= _BLOCKS_KEPT:
                 self.known.clear()
             template, found = self.templates[which], None
-            if len(set(template.words).difference(block)) <= template.allowed:  # each differs once at least
+            if template.may_be_in(set(block)):
                 differing, start, end = template.fit(list(block))
-                if differing <= template.allowed and start < end:
+                if differing <= template.allowed and start < end and template.tells(block[start:end]):
                     found = (template.saved(list(block[start:end])), differing, start, end)  # neighbours have no say
             self.known[key] = found
         return self.known[key]
@@ -157,16 +253,16 @@ class Scanner:
         spans = [m.span() for m in _word.finditer(text)]
         words = [_plain(text[a:b]) for a, b in spans]
         ranked = []
+        all_words = set(words)
+        possible = [(i, t) for i, t in enumerate(self.templates) if t.may_be_in(all_words)]
         for at, word in enumerate(words):
             if not ANCHOR.search(word):
                 continue
-            for which, template in enumerate(self.templates):
+            for which, template in possible:
                 slack = 2 + len(template.words) // 10
-                for anchor in template.anchors:
-                    if template.words[anchor] != word:
-                        continue
+                for anchor in template.anchors:  # any form may stand for any other
                     first = max(0, at - anchor - slack)
-                    block = tuple(words[first : at - anchor + len(template.words) + slack])
+                    block = tuple(words[first : max(0, at - anchor + len(template.words) + slack)])
                     found = self._judged(which, block)
                     if found:
                         saved, differing, start, end = found
@@ -181,7 +277,7 @@ class Scanner:
         return sorted(taken, key=lambda t: t[1])
 
 
-def scan_licenses(docs: DataFrame, templates: Iterable[tuple[str, str]] = tuple(TEMPLATES)) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: Iterable[tuple[str, ...]] = tuple(COMMON)) -> DataFrame:
     """doc_id and findings (array of license, start, end, differences, saved) of every row."""
     spark = docs.sparkSession
     on_workers(spark)

@@ -64,3 +64,17 @@ def test_long_neighbours_hide_no_notice():
     ]:
         got = SCANNER.scan(f"{before} {notice} {after}")
         assert [f[1:4] for f in got] == [(len(before) + 1, len(before) + 1 + len(notice), 0)]
+
+
+def test_other_wordings_and_other_licenses():
+    scanner = licenses.Scanner(licenses.COMMON)
+    for text, name in [
+        ("Licensed under the MIT License", "MIT"), ("Licensed under the Apache License 2.0", "Apache-2.0"), ("Released under the MIT Licence", "MIT"),
+        ("Licensed under the GNU Lesser General Public License, version 3", "LGPL-3.0"), ("SPDX-License-Identifier: BSD-3-Clause", "BSD-3-Clause"),
+        ("This work is licensed under the GNU General Public License version 2", "GPL-2.0"), ("distributed under the ISC License", "ISC"),
+    ]:
+        assert [f[0] for f in scanner.scan(f"see here {text} and so on")] == [name], text
+    for name, text, *_ in licenses.COMMON:
+        assert name in [f[0] for f in scanner.scan(f"{filler(3)} {text} {filler(4)}")]
+    assert scanner.scan("Released under the BSD License.") == [] and scanner.scan("a license to thrill") == []
+    assert [f[0] for f in SCANNER.scan("under the GNU Lesser General Public License, version 3")] == []
