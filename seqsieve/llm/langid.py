@@ -25,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqsieve.llm.common import crc_remainder, on_workers, uniform
@@ -33,7 +33,8 @@ from seqsieve.llm.common import crc_remainder, on_workers, uniform
 ORDER = 3
 #: Characters of sample per language, about, and of all languages together.
 SAMPLE_CHARS, SAMPLE_TOTAL = 400_000, 4_000_000
-MAX_LANGUAGES = 1000
+#: Texts of a language that are learned from at least, and parts of the range of hashes.
+LEAST_TEXTS, CELLS = 8, 4096
 BLOCK = 1 << 20
 UNKNOWN = "und"
 
@@ -157,20 +158,29 @@ class Model:
 def learn(docs: DataFrame, sample_chars: int = SAMPLE_CHARS) -> Model:
     """A model from the labelled rows of ``docs`` (doc_id, text, lang).
 
-    The classifier is fitted on a sample: whole texts drawn by a hash of doc_id, at a rate
-    that makes about ``sample_chars`` characters per language. Strings are counted on Spark;
-    the driver gets distinct strings with counts, at most as many as the sample has bytes.
+    The classifier is fitted on a sample: texts of each language in the order of a hash of
+    id and text, until they have about ``sample_chars`` characters, and LEAST_TEXTS at least
+    (all, if there are fewer). Strings are counted on Spark; the driver gets distinct strings
+    with counts, at most as many as the sample has bytes.
     """
     on_workers(docs.sparkSession)
     labelled = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "lang", "text")
-    sizes = labelled.groupBy("lang").agg(F.sum(F.length("text")).alias("chars")).limit(MAX_LANGUAGES + 1).collect()
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    budget = min(sample_chars, SAMPLE_TOTAL // max(1, len(sizes)))
-    rate = F.lit(0.0)
-    for row in sizes:
-        rate = F.when(F.col("lang") == row.lang, min(1.0, budget / max(1, row.chars))).otherwise(rate)
-    sample = labelled.where(uniform(F.col("doc_id"), F.lit("language sample")) < rate)
+    labelled = labelled.withColumn("draw", uniform(F.col("doc_id"), F.col("text"), F.lit("language sample")))
+    # no language is sorted as a whole: a cell is a small part of the range of hashes
+    cell = F.floor(F.col("draw") * CELLS).cast("int")
+    cells = labelled.groupBy("lang", cell.alias("cell")).agg(F.count("*").alias("texts"), F.sum(F.length("text")).alias("chars"))
+    before = Window.partitionBy("lang").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    sums = [F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("texts", "chars")]
+    kinds = labelled.select("lang").distinct().count()
+    budget = min(sample_chars, SAMPLE_TOTAL // max(1, kinds))
+    wanted = (F.col("texts_before") < LEAST_TEXTS) | (F.col("chars_before") < budget)
+    taken = cells.select("lang", "cell", *sums).where(wanted)
+    sample = labelled.withColumn("cell", cell).join(F.broadcast(taken), ["lang", "cell"]).select("lang", "text", "draw", "texts_before", "chars_before")
+    # within the last cell the same rule, text by text
+    row = Window.partitionBy("lang", "texts_before").orderBy("draw", "text").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = [F.coalesce(F.count("text").over(row), F.lit(0)), F.coalesce(F.sum(F.length("text")).over(row), F.lit(0))]
+    sample = sample.withColumn("t", F.col("texts_before") + earlier[0]).withColumn("c", F.col("chars_before") + earlier[1])
+    sample = sample.where((F.col("t") < LEAST_TEXTS) | (F.col("c") < budget)).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -57,3 +57,14 @@ def test_edges(table):
     assert langid.identify(table([])).collect() == []
     untaught = langid.identify(table([(1, "words", None, "s")])).collect()
     assert [(r.lang_pred, r.score) for r in untaught] == [("und", 0.0)]
+
+
+def test_every_labelled_language_is_learned(table):
+    """Few very long texts, many languages, and rows that share a null id."""
+    long = [(i, f"{word} " * 4_000, word, "s") for word in ("alpha", "beta", "gamma", "delta") for i in range(3)]
+    assert langid.learn(table(long), sample_chars=100).languages == ["alpha", "beta", "delta", "gamma"]
+    many = [(None, f"some words of {i}", f"l{i:04}", "s") for i in range(1100)]
+    assert len(langid.learn(table(many)).languages) == 1100
+    same = [(None, f"text {chr(97 + i % 26)}{chr(97 + i // 26)}" * 20, "en", "s") for i in range(300)]
+    tree = langid.learn(table(same), sample_chars=1_000).trees[0]
+    assert 500 < tree.contexts[0][1].sum() < 5_000
