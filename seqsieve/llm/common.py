@@ -82,3 +82,30 @@ def same_key(left: DataFrame, right: DataFrame, names: Iterable[str]) -> Column:
     for name in names:
         condition = condition & left[name].eqNullSafe(right[name])
     return condition
+
+
+def join_few(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", rows: str | None = None) -> DataFrame:
+    """``left`` joined with ``right``, which has one row per key, where some keys of ``left`` are hot.
+
+    Keys that more than a thousandth of the rows share are fewer than a thousand; their rows of
+    ``right`` are broadcast. The others are joined as usual. Nulls are equal to nulls. ``rows``
+    names a column of ``right`` with the rows of each key, if known; it is not handed on.
+    """
+    least = max(left.count(), 1000)
+    counts = right.withColumnRenamed(rows, "count") if rows else left.groupBy(*keys).count()
+    right = right.drop(rows) if rows else right
+    hot = written(counts.where(F.col("count") * 1000 > least).select(*keys, F.lit(True).alias("_hot")))
+
+    def matched(a: DataFrame, b: DataFrame, kind: str) -> DataFrame:
+        renamed = b.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in b.columns])
+        condition = F.lit(True)
+        for c in keys:
+            condition = condition & a[c].eqNullSafe(renamed[f"_r_{c}"])
+        return a.join(renamed, condition, kind).drop(*[f"_r_{c}" for c in keys])
+
+    if hot.isEmpty():
+        return matched(left, right, how)
+    marked = matched(left, F.broadcast(hot), "left")
+    heated, cold = marked.where("_hot").drop("_hot"), marked.where("_hot IS NULL").drop("_hot")
+    few = matched(right, F.broadcast(hot), "inner").drop("_hot")
+    return matched(heated, F.broadcast(few), how).unionByName(matched(cold, right, how))
