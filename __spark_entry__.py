@@ -136,10 +136,23 @@ def _sized(spark: SparkSession, sf: str) -> DataFrame:
     ).select("doc_id", "name", "seq")
 
 
-def _long_words(spark: SparkSession, sf: str) -> DataFrame:
-    """Matches of a batch made of the documents' own words of 14 residues or more."""
-    words = _words(spark, sf).where(F.length("word") >= 14).select(F.col("word").alias("id"), F.col("word").alias("motif"))
-    return S.search_many(_peptides(spark, sf, fine=True), words).groupBy("motif_id").agg(F.count("*").alias("n"))
+def _batch_of_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Matches of a batch made of all words of the documents that have a k-mer."""
+    index = _peptides(spark, sf, fine=True)
+    words = _words(spark, sf).where(F.length("word") >= index.k).select(F.col("word").alias("id"), F.col("word").alias("motif"))
+    return S.search_many(index, words).groupBy("motif_id").agg(F.count("*").alias("n"))
+
+
+def _short_motifs() -> dict[str, str]:
+    """1,000 motifs that demand no k-mer of four: each is looked for in every record."""
+    ends = ["", "[AE]", "[^A]", ".", "R?", "(S|T)?", "N{2}", "[LIVM]{1,2}", "$", "D+"]
+    stems = [a + b for a in "ACDEFGHIKL" for b in "AEINORSTLH"]
+    return {f"{stem}{end}": f"{stem}{end}" for stem in stems for end in ends}
+
+
+def _unfiltered_batch(spark: SparkSession, sf: str) -> DataFrame:
+    found = S.search_many(_peptides(spark, sf, fine=True), _short_motifs())
+    return found.groupBy("motif_id").agg(F.count("*").alias("n"), F.countDistinct("name").alias("records"))
 
 
 def _dgrams(spark: SparkSession, sf: str) -> MotifIndex:
@@ -303,7 +316,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "search_longest_unbounded": lambda s, d: S.search(_peptides(s, d), "(A|AN)+D"),
         "search_longest_walked": lambda s, d: S.search(_peptides(s, d), "(A|NA)+ND"),
         "search_many": lambda s, d: S.search_many(_peptides(s, d), BATCH),
-        "search_batch_of_words": _long_words,
+        "search_batch_of_words": _batch_of_words,
+        "search_unfiltered_batch": _unfiltered_batch,
         "match_counts": lambda s, d: S.search_many(_peptides(s, d), BATCH)
         .groupBy("motif_id", "bin")
         .agg(F.count("*").alias("matches"), F.countDistinct("name").alias("records")),
@@ -505,6 +519,14 @@ def _batch_sql() -> str:
     )
 
 
+def _unfiltered_sql() -> str:
+    rows = ", ".join(f"('{i}', '{p.replace('(', '(?:')}')" for i, p in _short_motifs().items())
+    return (
+        f"SELECT motif_id, CAST(sum(len(regexp_extract_all(seq, rx))) AS BIGINT) AS n, count(DISTINCT name) AS records"
+        f" FROM (VALUES {rows}) AS m(motif_id, rx) JOIN {_rec()} ON regexp_matches(seq, rx) GROUP BY motif_id"
+    )
+
+
 def _dgram_windows_sql(low: int, high: int) -> str:
     """Gapped k-mers from the residue codes behind every position."""
     ahead = ", ".join(f"lead(c, {j}) OVER w AS c{j}" for j in range(1, high + 6))
@@ -622,9 +644,14 @@ def oracle_sql() -> dict[str, str]:
         "search_longest_unbounded": _matches_sql("(?:AN?)+D"),
         "search_longest_walked": _matches_sql("(?:A|NA)+ND"),
         "search_many": _batch_sql(),
-        "search_batch_of_words": "SELECT word AS motif_id, CAST(sum((length(seq) - length(replace(seq, word, '')))"
-        f" // length(word)) AS BIGINT) AS n FROM {_WORDS} JOIN {_rec()} ON contains(seq, word)"
-        " WHERE length(word) >= 14 GROUP BY word",
+        "search_batch_of_words": f"WITH words AS (SELECT word FROM {_WORDS} WHERE length(word) >= 4),"
+        f" recs AS (SELECT name, seq FROM {_rec()}),"
+        " starts AS (SELECT DISTINCT name, substring(seq, i, 4) AS kmer FROM (SELECT name, seq,"
+        " unnest(range(1, length(seq) - 2)) AS i FROM recs WHERE length(seq) >= 4)),"
+        " pairs AS (SELECT word, name FROM words JOIN starts ON substring(word, 1, 4) = kmer)"
+        " SELECT word AS motif_id, CAST(sum((length(seq) - length(replace(seq, word, ''))) // length(word)) AS BIGINT) AS n"
+        " FROM pairs JOIN recs USING (name) WHERE contains(seq, word) GROUP BY word",
+        "search_unfiltered_batch": _unfiltered_sql(),
         "match_counts": "SELECT motif_id, bin, count(*) AS matches, count(DISTINCT name) AS records"
         f" FROM ({_batch_sql()}) GROUP BY motif_id, bin",
         "search_all_of": _all_of_sql(f"bin, name, '{':'.join(ALL_OF)}' AS motifs", _DOC_BIN),

@@ -3,7 +3,8 @@
 On disk an index is a folder of parquet tables:
 
 * ``bins``      one row per bin with its block, lane and counts
-* ``records``   the searchable records, blocks spread over directories (``shard``)
+* ``records``   the searchable records, blocks spread over directories (``shard``), sorted
+  by bin and written in small pages, so that a reader of some bins skips the others
 * ``postings``  (kmer, block, mask), one directory per k-mer prefix, sorted by k-mer
 * ``bloom``     (position, block, mask), by ranges of positions, instead of postings
 * ``dgrams``    (code, block, mask) of gapped k-mers, when asked for
@@ -16,6 +17,7 @@ import json
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +41,8 @@ SHARD_RESIDUES = 256 << 20  # residues per directory of stored records ...
 MAX_SHARDS = 20_000  # ... unless that makes too many directories
 BLOOM_SLOTS = (8, 1024)  # directories of Bloom bits of a small or large collection
 TINY_RESIDUES, SMALL_RESIDUES = 1_000_000, 50_000_000
+PAGE_BYTES, PAGE_ROWS = 64 << 10, 1000  # of stored records: what a reader can skip
+PUSHED_SPANS = 128  # ranges of bins handed to the reader; more are joined at their least gaps
 MAX_LETTERS = 64  # with more distinct letters, wildcards are not spelled out
 
 
@@ -86,7 +90,25 @@ class MotifIndex:
             else None,
         )
 
-    def in_blocks(self, masks: DataFrame) -> DataFrame:
+    def of_bins(self, bins: np.ndarray | None) -> DataFrame:
+        """Records of the given bins (sorted numbers; None: all) and, at worst, of some between them.
+
+        The numbers become ranges that the reader tests against directories, row groups
+        and pages, so that most of what is not asked for is not read.
+        """
+        if bins is None or not len(bins):
+            return self.records if bins is None else self.records.where(F.lit(False))
+        # indexes written by earlier versions have no bin numbers in their records
+        if len(bins) == self.n_bins or "bin_id" not in self.records.columns:
+            return self.records
+        wanted = " OR ".join(f"bin_id BETWEEN {low} AND {high}" for low, high in spans_of(bins, PUSHED_SPANS))
+        shards = self.meta["shards"] or 1
+        if shards > 1:
+            near = np.unique((bins >> 6) % shards)
+            wanted = f"({wanted}) AND shard IN ({', '.join(map(str, near))})"
+        return self.records.where(wanted)
+
+    def in_blocks(self, masks: DataFrame, bins: np.ndarray | None = None) -> DataFrame:
         """Records joined with rows per block (given ``block``, ``mask``), lanes tested.
 
         The join names the directory column too, so that Spark reads only directories
@@ -96,7 +118,17 @@ class MotifIndex:
         if (self.meta["shards"] or 1) > 1:
             masks = masks.withColumn("shard", F.col("block") % self.meta["shards"])
             keys = ["shard", "block"]
-        return self.records.join(masks, keys).where("(mask & shiftleft(1L, lane)) != 0")
+        return self.of_bins(bins).join(masks, keys).where("(mask & shiftleft(1L, lane)) != 0")
+
+
+def spans_of(numbers: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    """Sorted different numbers as at most ``limit`` ranges, joined where the gaps are least."""
+    gaps = np.diff(numbers)
+    cuts = np.flatnonzero(gaps > 1)
+    if len(cuts) >= limit:
+        cuts = np.sort(cuts[np.argsort(-gaps[cuts], kind="stable")[: limit - 1]])
+    starts, ends = np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(numbers) - 1]])
+    return list(zip(numbers[starts].tolist(), numbers[ends].tolist(), strict=True))
 
 
 def _number_bins(stats: DataFrame, n_bins: int) -> DataFrame:
@@ -158,7 +190,7 @@ def _letters(postings: DataFrame, molecule: str) -> list | None:
 
 
 def _place(records: DataFrame, bins: DataFrame, bin_bytes: int) -> DataFrame:
-    slots = bins.select("bin", "block", "lane")
+    slots = bins.select("bin", "block", "lane", "bin_id")
     return records.join(F.broadcast(slots) if bin_bytes <= BROADCAST_BYTES else slots, "bin")
 
 
@@ -168,14 +200,28 @@ def _shards(residues: int, n_blocks: int) -> int:
 
 
 def _laid_out(placed: DataFrame, shards: int) -> DataFrame:
-    """Arrange records for writing: a shard per task, a hot shard over several tasks.
+    """Arrange records for writing: a shard per task, a hot shard over several tasks, by bin.
 
     A collection of one shard is spread over all cores instead, so that reading it
     back is parallel too.
     """
     if shards == 1:
-        return placed.repartition(placed.sparkSession.sparkContext.defaultParallelism)
-    return placed.hint("rebalance", "shard")  # adaptive execution splits what is too large
+        tasks = placed.sparkSession.sparkContext.defaultParallelism
+        spread = placed.repartitionByRange(tasks, "bin_id", F.xxhash64("name"))  # a large bin over several
+    else:
+        spread = placed.hint("rebalance", "shard")  # adaptive execution splits what is too large
+    return spread.sortWithinPartitions("shard", "bin_id")
+
+
+def _write_records(placed: DataFrame, shards: int, path: str) -> None:
+    (
+        _laid_out(placed, shards)
+        .write.partitionBy("shard")
+        .option("parquet.page.size", PAGE_BYTES)
+        .option("parquet.page.row.count.limit", PAGE_ROWS)
+        .option("parquet.enable.dictionary#seq", "false")  # a dictionary would be read whole
+        .parquet(path)
+    )
 
 
 def build_index(
@@ -229,7 +275,7 @@ def build_index(
     placed = _place(records, bins, total["bin_bytes"])
     if store_records:
         sharded = placed.withColumn("shard", F.col("block") % shards)
-        _laid_out(sharded, shards).write.partitionBy("shard").parquet(f"{path}/records")
+        _write_records(sharded, shards, f"{path}/records")
         placed = spark.read.schema(sharded.schema).parquet(f"{path}/records")
 
     ascii_only = total["n_not_ascii"] == 0

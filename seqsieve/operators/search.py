@@ -15,12 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqsieve.functions import alphabet
+from seqsieve.functions.literals import held_numbers
 from seqsieve.functions.spans import spans_from_pieces, walked_spans
-from seqsieve.operators.candidates import BROADCAST_ROWS, bins_of, candidate_masks
+from seqsieve.operators.candidates import BROADCAST_ROWS, Candidates, bins_of, candidate_masks
 from seqsieve.operators.index import BROADCAST_BYTES, MotifIndex
 from seqsieve.operators.kmers import has_lane
 from seqsieve.plans import pattern as P
-from seqsieve.plans.windows import WindowGraph, to_dot, window_graph
+from seqsieve.plans.windows import IndexShape, WindowGraph, to_dot, window_graph
 from seqsieve.session import ship_package
 from seqsieve.sources.fasta import read_fasta
 
@@ -76,16 +77,19 @@ def prepare(
     )
 
 
-def graph_of(index: MotifIndex, motif: Motif, augment: bool = False, dgrams: bool = False) -> WindowGraph:
+def motif_graph(motif: Motif, shape: IndexShape, molecule: str, augment: bool = False) -> WindowGraph:
     """Window graph of a motif; ``augment`` turns path-rich parts into gaps."""
-    shape = index.shape(with_dgrams=augment and dgrams)
-    node = P.trim(motif.node) if index.meta["molecule"] == "aa" else motif.node
+    node = P.trim(motif.node) if molecule == "aa" else motif.node
     if augment:
         letters = len(shape.alphabet) if shape.alphabet else len(alphabet.AMINO_ACIDS)
-        node = P.gaps_for_complex_parts(node, letters, index.k)
+        node = P.gaps_for_complex_parts(node, letters, shape.k)
     return window_graph(node, shape)
 
 
+def graph_of(index: MotifIndex, motif: Motif, augment: bool = False, dgrams: bool = False) -> WindowGraph:
+    return motif_graph(motif, index.shape(with_dgrams=augment and dgrams), index.meta["molecule"], augment)
+
+
 def pattern_dot(index: MotifIndex, pattern: str, augment: bool = False, dgrams: bool = False) -> str:
     """Graphviz text of the window graph of ``pattern``."""
     motif = prepare(pattern, reduction=index.meta["reduction"])
@@ -94,6 +98,7 @@ def pattern_dot(index: MotifIndex, pattern: str, augment: bool = False, dgrams:
 
 # ------------------------------------------------------------------ scanning
 _KEPT = ("bin", "name", "rec_id", "strand")
+TRIED_EACH = 16  # motifs that are tried on a text one after another; more are one automaton
 
 
 def _motif_table(index: MotifIndex, motifs: list[Motif]) -> DataFrame:
@@ -109,26 +114,31 @@ def _motif_table(index: MotifIndex, motifs: list[Motif]) -> DataFrame:
     return F.broadcast(table) if len(motifs) <= BROADCAST_ROWS else table
 
 
-def _candidates(index: MotifIndex, masks: DataFrame, motifs: list[Motif], alone: bool) -> DataFrame:
+def _candidates(index: MotifIndex, found: Candidates, motifs: list[Motif], alone: bool) -> DataFrame:
     """Texts of candidate bins that a motif matches, one row per text and motif.
 
-    ``masks`` may hold other motifs, unless this one is ``alone``.
-    The pattern comes from a joined table (of a motif that is alone: is its id). That keeps
-    the test behind the joins: as a predicate on the records alone it would be pushed below
-    them and run on every record of a block.
+    ``found`` may hold masks of other motifs, unless this one is ``alone``. Then, if the bins
+    are known, the records of those are scanned for it. Otherwise the pattern comes from a
+    joined table (of a motif that is alone: is its id). That keeps the test behind the joins:
+    as a predicate on the records alone it would be pushed below them and run on every
+    record of a block.
     """
+    molecule, reduction = index.meta["molecule"], index.meta["reduction"]
+    if alone and found.bins is not None:
+        return _everywhere(_texts(index.of_bins(found.bins), molecule, reduction), motifs)
+    masks = found.masks
     if not alone:  # masks of other groups are not shipped to the records of this one
         masks = masks.join(_motif_table(index, motifs).select("motif_id"), "motif_id", "left_semi")
     if index.n_blocks * len(motifs) > BROADCAST_ROWS >= index.n_blocks:
         # too many masks to broadcast: first drop the records no motif wants, by one
         # combined mask per block, so that only the rest is shuffled to its masks
         combined = F.broadcast(masks.groupBy("block").agg(F.bit_or("mask").alias("mask")))
-        placed = index.in_blocks(combined).drop("mask").join(masks, "block")
+        placed = index.in_blocks(combined, found.bins).drop("mask").join(masks, "block")
         placed = placed.where(has_lane("mask", "lane"))
     else:
         few = index.n_blocks * len(motifs) <= BROADCAST_ROWS
-        placed = index.in_blocks(F.broadcast(masks) if few else masks)
-    texts = _texts(placed, index.meta["molecule"], index.meta["reduction"])
+        placed = index.in_blocks(F.broadcast(masks) if few else masks, found.bins)
+    texts = _texts(placed, molecule, reduction)
     if alone and motifs[0].id == motifs[0].regex:  # its id is the pattern
         texts = texts.where(F.contains("seq", F.lit(motifs[0].literal)))
         return texts.where("regexp_instr(seq, motif_id) > 0") if motifs[0].testable else texts
@@ -144,6 +154,14 @@ def _everywhere(texts: DataFrame, motifs: list[Motif]) -> DataFrame:
         return texts.where(_contains_match(motifs[0])).select(
             "*", F.lit(motifs[0].id).alias("motif_id"), F.lit(motifs[0].regex).alias("regex")
         )
+    if len(motifs) > TRIED_EACH:
+        ship_package(texts.sparkSession)
+        held = held_numbers([m.literal for m in motifs])
+        rows = [(n, m.id, m.regex, m.testable) for n, m in enumerate(motifs)]
+        table = texts.sparkSession.createDataFrame(rows, "number int, motif_id string, regex string, testable boolean")
+        hits = texts.select("*", F.explode(held("seq")).alias("number"))
+        # as in _candidates, the test reads the joined pattern and stays behind the join
+        return hits.join(F.broadcast(table), "number").where("NOT testable OR regexp_instr(seq, regex) > 0").drop("number", "testable")
     tests = [
         F.when(
             _contains_match(m),
@@ -158,7 +176,7 @@ def _everywhere(texts: DataFrame, motifs: list[Motif]) -> DataFrame:
 def _matches(hits: DataFrame, motifs: list[Motif]) -> DataFrame:
     """Explode every hit text into its matches."""
     kept = [c for c in _KEPT if c in hits.columns] + ["motif_id"]
-    if motifs[0].walk:
+    if motifs and motifs[0].walk:
         ship_package(hits.sparkSession)
         spans = walked_spans({m.id: m.node for m in motifs}, motifs[0].walk == "longest")
         found = hits.select(*kept, spans("seq", "motif_id").alias("spans"))
@@ -194,30 +212,30 @@ def _texts(records: DataFrame, molecule: str, reduction: str | None) -> DataFram
 
 
 LISTED_FILES = 10_000  # paths handed to one reader by name
-MOTIFS_PER_PASS = 64  # motifs without any index filter that share one pass over the records
+
+
+def _look_up(index: MotifIndex, motifs: list[Motif], augment: bool, dgrams: bool) -> Candidates:
+    if index.n_bins == 1:
+        warnings.warn("the index has one bin only: scanning all records", stacklevel=4)
+        return Candidates(None, [m.id for m in motifs])
+    return candidate_masks(index, {m.id: graph_of(index, m, augment, dgrams) for m in motifs})
 
 
 def _search(index: MotifIndex, motifs: list[Motif], augment: bool, dgrams: bool) -> DataFrame:
-    by_id = {m.id: m for m in motifs}
-    if len(by_id) != len(motifs):
+    if len({m.id for m in motifs}) != len(motifs):
         raise ValueError("motif ids must be distinct")
-    masks, unfiltered = None, list(by_id)
-    if index.n_bins == 1:
-        warnings.warn("the index has one bin only: scanning all records", stacklevel=3)
-    else:
-        graphs = {m.id: graph_of(index, m, augment, dgrams) for m in motifs}
-        masks, unfiltered = candidate_masks(index, graphs)
+    looked_up = _look_up(index, motifs, augment, dgrams)
+    unfiltered = set(looked_up.unfiltered)
     texts = _texts(index.records, index.meta["molecule"], index.meta["reduction"])
     parts = []
     for walk in (None, "longest", "first"):
         chosen = [m for m in motifs if m.walk == walk]
-        filtered = [m for m in chosen if m.id not in set(unfiltered)]
-        if filtered and masks is not None:
-            parts.append(_matches(_candidates(index, masks, filtered, len(motifs) == 1), filtered))
-        everywhere = [m for m in chosen if m.id in set(unfiltered)]
-        for i in range(0, len(everywhere), MOTIFS_PER_PASS):
-            some = everywhere[i : i + MOTIFS_PER_PASS]
-            parts.append(_matches(_everywhere(texts, some), some))
+        filtered = [m for m in chosen if m.id not in unfiltered]
+        if filtered and looked_up.masks is not None:
+            parts.append(_matches(_candidates(index, looked_up, filtered, len(motifs) == 1), filtered))
+        everywhere = [m for m in chosen if m.id in unfiltered]
+        if everywhere:
+            parts.append(_matches(_everywhere(texts, everywhere), everywhere))
     if not parts:  # no motif can match anywhere: no rows, but all columns
         parts.append(_matches(_everywhere(texts.where(F.lit(False)), motifs[:1]), motifs[:1]))
     out = parts[0]
@@ -254,27 +272,37 @@ def search_many(
     dgrams: bool = False,
     longest: bool | None = None,
 ) -> DataFrame:
-    """All matches of a batch ``{motif id: pattern}`` (or table, see ``plans.pattern.batch``), with ``motif_id``.
+    """All matches of a batch ``{motif id: pattern}`` with ``motif_id``.
 
-    The postings are read once for the whole batch and so are the candidate records.
+    A batch may also be a table (``id``, ``motif``) of any size, see ``operators.batches``;
+    in it an id may stand for several patterns. The postings are read once for the whole
+    batch and so are the candidate records.
     """
     longest = index.meta["molecule"] == "aa" if longest is None else longest
-    prepared = [prepare(p, i, index.meta["reduction"], longest) for i, p in P.batch(motifs).items()]
+    if isinstance(motifs, DataFrame):
+        from seqsieve.operators import batches  # made of the parts of this module
+
+        return batches.search_table(index, motifs, augment, dgrams, longest)
+    prepared = [prepare(p, i, index.meta["reduction"], longest) for i, p in motifs.items()]
     if not prepared:
         raise ValueError("no motifs given")
     return _search(index, prepared, augment, dgrams)
 
 
 def candidate_bins_many(
-    index: MotifIndex, motifs: dict[str, str], *, augment: bool = False, dgrams: bool = False
+    index: MotifIndex, motifs: dict[str, str] | DataFrame, *, augment: bool = False, dgrams: bool = False
 ) -> DataFrame:
     """The bins (``motif_id``, ``bin``) a search for each motif of a batch would look at."""
+    if isinstance(motifs, DataFrame):
+        from seqsieve.operators import batches
+
+        return batches.candidates_table(index, motifs, augment, dgrams)
     prepared = [prepare(p, i, index.meta["reduction"]) for i, p in motifs.items()]
     if index.n_bins == 1:
-        masks, unfiltered = None, list(motifs)
+        found = Candidates(None, list(motifs))
     else:
-        graphs = {m.id: graph_of(index, m, augment, dgrams) for m in prepared}
-        masks, unfiltered = candidate_masks(index, graphs)
+        found = candidate_masks(index, {m.id: graph_of(index, m, augment, dgrams) for m in prepared})
+    masks, unfiltered = found.masks, found.unfiltered
     every = F.explode(F.array(*map(F.lit, unfiltered)).cast("array<string>"))
     out = index.bins.select(every.alias("motif_id"), "bin")
     return out if masks is None else out.union(bins_of(index, masks))
@@ -298,12 +326,8 @@ def search_all_of(
     records = index.records
     if reduction:
         records = records.withColumn("seq", alphabet.reduce_alphabet(F.col("seq"), reduction))
-    if index.n_bins == 1:
-        warnings.warn("the index has one bin only: scanning all records", stacklevel=2)
-        masks, unfiltered = None, [m.id for m in motifs]
-    else:
-        graphs = {m.id: graph_of(index, m, augment, dgrams) for m in motifs}
-        masks, unfiltered = candidate_masks(index, graphs)
+    found = _look_up(index, motifs, augment, dgrams)
+    masks, unfiltered = found.masks, found.unfiltered
     filtered = [m for m in motifs if m.id not in set(unfiltered)]
     if filtered and masks is None:
         records = records.where(F.lit(False))
@@ -321,7 +345,7 @@ def search_all_of(
         size = index.n_blocks * sum(len(m.regex) + 64 for m in filtered)
         common = F.broadcast(common) if size <= BROADCAST_BYTES else common
         # as in _candidates, tests that read the joined patterns stay behind the join
-        records = index.in_blocks(common)
+        records = index.in_blocks(common, found.bins)
         if reduction:
             records = records.withColumn("seq", alphabet.reduce_alphabet(F.col("seq"), reduction))
         for i, motif in enumerate(sorted(filtered, key=lambda m: m.id)):

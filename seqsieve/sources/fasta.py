@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from seqsieve.plans.pattern import batch
 from seqsieve.session import ship_package
 
 SUFFIXES = (".fa", ".fa.gz", ".fasta", ".fasta.gz", ".fna", ".fna.gz")
@@ -155,18 +154,14 @@ def read_fastx(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 # ---------------------------------------------------------------- motif batches
-def read_motifs(spark: SparkSession, path: str) -> dict[str, str]:
-    """Motif batch: lines of id, tab, pattern; lines without both are skipped.
+def read_motifs(spark: SparkSession, path: str) -> DataFrame:
+    """Motif batch (``id``, ``motif``): lines of id, tab, pattern; lines without both are skipped.
 
-    An id may come again with the same pattern only; with another, it raises.
+    An id may stand for several patterns; it then has the matches of each.
     """
     fields = F.split("value", "\t")
-    rows = (
-        spark.read.text(path)
-        .select(F.get(fields, F.lit(0)).alias("id"), F.get(fields, F.lit(1)).alias("motif"))
-        .where("motif != ''")
-    )
-    return batch(rows)
+    rows = spark.read.text(path).select(F.get(fields, F.lit(0)).alias("id"), F.get(fields, F.lit(1)).alias("motif"))
+    return rows.where("motif != ''")
 
 
 # ------------------------------------------------------------------------ sinks

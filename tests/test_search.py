@@ -136,7 +136,9 @@ def collection(rng, letters, n_bins=9):
     ],
     ids=str,
 )
-def test_indexed_search_equals_brute_force(spark, options):
+def test_indexed_search_equals_brute_force(spark, options, monkeypatch):
+    from seqsieve.operators import candidates
+
     rng = random.Random(str(options))
     nucleotide = options.get("molecule") == "na"
     letters = "ACGTNU" if nucleotide else "ACDEKX"
@@ -169,6 +171,10 @@ def test_indexed_search_equals_brute_force(spark, options):
     for extra in ({}, {"augment": True, "dgrams": True}):
         found = S.search_many(index, batch, **extra).select(columns)
         assert rows(found) == sorted(expected)
+    table = spark.createDataFrame(list(batch.items()), "id string, motif string")
+    assert rows(S.search_many(index, table, **extra).select(columns)) == sorted(expected)
+    monkeypatch.setattr(candidates, "FETCHED_MASKS", 0)  # lookups that are never settled first
+    assert rows(S.search_many(index, batch).select(columns)) == sorted(expected)
     some = list(batch)[:3]
     for motif in some:
         single = S.search(index, batch[motif]).select(columns[1:])
@@ -188,18 +194,22 @@ def test_graph_evaluation_gives_the_same_candidates(spark, monkeypatch):
     patterns = ["AC(D|EE)A", "A[CD]E.A", "(AC|CA)+DE", "AAA|CCC"]
     listed = [rows(S.candidate_bins(index, p)) for p in patterns]
     found = [rows(S.search(index, p)) for p in patterns]
+    monkeypatch.setattr(candidates, "FETCHED_MASKS", 0)
+    assert [rows(S.candidate_bins(index, p)) for p in patterns] == listed
     monkeypatch.setattr(candidates, "ALTERNATIVES_LIMIT", 0)
     assert [rows(S.candidate_bins(index, p)) for p in patterns] == listed
     assert [rows(S.search(index, p)) for p in patterns] == found
     assert any(0 < len(bins) < 150 for bins in listed)
 
 
-@pytest.mark.parametrize("limit", [0, 20_000])
+@pytest.mark.parametrize("limit", [0, 20_000, None])
 def test_key_free_branches_and_ids_that_are_patterns(spark, monkeypatch, limit):
     """Blocks that hold none of a graph's keys, and ids that another motif would match by."""
     from seqsieve.operators import candidates
 
-    monkeypatch.setattr(candidates, "ALTERNATIVES_LIMIT", limit)
+    if limit is not None:
+        monkeypatch.setattr(candidates, "FETCHED_MASKS", 0)
+        monkeypatch.setattr(candidates, "ALTERNATIVES_LIMIT", limit)
     rng = random.Random(11)
     rows_in = collection(rng, "ACDE", n_bins=40)
     rows_in += [(f"z{i}", f"z{i}r", rng.choice(["MKLMKLM", "LLL", "KLAC"])) for i in range(100)]
@@ -241,6 +251,7 @@ def test_without_broadcasts_nothing_changes(spark, monkeypatch):
     index = S.build_index(frame(spark, collection(rng, "ACDE", n_bins=150)), k=3)
     batch = {"a": "AC(D|EE)A", "b": "A[CD]E.A", "c": "A"}
     usual = rows(S.search_many(index, batch))
+    monkeypatch.setattr(candidates, "FETCHED_MASKS", 0)
     for limit in (0, 4):
         monkeypatch.setattr(candidates, "BROADCAST_ROWS", limit)
         monkeypatch.setattr(search, "BROADCAST_ROWS", limit)
