@@ -133,7 +133,9 @@ def interactions(docs: DataFrame, labels: DataFrame) -> DataFrame:
         return F.col("size") - never + F.coalesce(F.try_element_at(F.col("left"), past.cast("int")), F.lit(0))
 
     spark = docs.sparkSession
-    table = F.broadcast(spark.createDataFrame(orders(), "filter_order string, step int, past int, next int"))
+    steps = [(n, *order) for n, order in enumerate(orders())]
+    table = F.broadcast(spark.createDataFrame(steps, "n int, filter_order string, step int, past int, next int"))
+    parts = parts.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(len(steps) - 1))))
     past, number = F.col("past"), F.col("next")
     own = F.call_function("shiftleft", F.lit(1), number)
     share = F.aggregate(
@@ -141,7 +143,7 @@ def interactions(docs: DataFrame, labels: DataFrame) -> DataFrame:
         F.lit(0).cast("bigint"),
         lambda total, s: total + step(s, number, "removed") * _orders_with(s),
     )
-    return parts.join(table).select(
+    return parts.join(table, "n").select(
         "part", "filter_order", "step",
         surviving(past.bitwiseOR(own)).alias("kept"),
         step(past, number, "removed").alias("removed"),
