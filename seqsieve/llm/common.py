@@ -94,7 +94,8 @@ def join_few(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inn
     least = max(left.count(), 1000)
     counts = right.withColumnRenamed(rows, "count") if rows else left.groupBy(*keys).count()
     right = right.drop(rows) if rows else right
-    hot = written(counts.where(F.col("count") * 1000 > least).select(*keys, F.lit(True).alias("_hot")))
+    hot = counts.where(F.col("count") * 1000 > least).select(*keys, F.lit(True).alias("_hot"))
+    hot = written(hot.repartition(1))  # less than a thousand rows
 
     def matched(a: DataFrame, b: DataFrame, kind: str) -> DataFrame:
         renamed = b.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in b.columns])

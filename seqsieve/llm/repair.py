@@ -371,14 +371,14 @@ def _whole(symbols: DataFrame) -> DataFrame:
     strings = symbols.groupBy("conv_id", piece).agg(F.sort_array(F.collect_list(F.struct("at", "letter"))).alias("rows"))
     strings = strings.select("conv_id", "piece", F.array_join(F.transform("rows", lambda r: r["letter"]), "").alias("letters"))
     pieces = written(strings.mapInArrow(_solved(arrow), schema))
-    several = written(pieces.groupBy("conv_id").count().where("count > 1").select("conv_id"))
-    if several.isEmpty():
-        return pieces
-    same = pieces.conv_id.eqNullSafe(several.conv_id)
-    done, open_ = pieces.join(several, same, "left_anti"), pieces.join(several, same, "left_semi")
     # pieces are numbered anew, without holes: a sort of one row per PIECE rows of text
-    number = F.row_number().over(Window.partitionBy("conv_id").orderBy("piece")) - 1
-    open_ = written(open_.withColumn("piece", number.cast("bigint")))
+    ordered = Window.partitionBy("conv_id").orderBy("piece")
+    every = Window.partitionBy("conv_id")
+    marked = pieces.withColumn("_of", F.count("*").over(every)).withColumn("_number", F.row_number().over(ordered) - 1)
+    done, open_ = marked.where("_of = 1").drop("_of", "_number"), marked.where("_of > 1")
+    if open_.isEmpty():
+        return done
+    open_ = written(open_.withColumn("piece", F.col("_number").cast("bigint")).drop("_of", "_number"))
     while True:
         group = F.floor(F.col("piece") / FAN_IN).alias("group")
         merged = open_.withColumn("group", group).groupBy("conv_id", "group").applyInArrow(
@@ -469,7 +469,7 @@ def repair(conversations: DataFrame) -> DataFrame:
         F.coalesce(F.max("turn") - F.min("turn") + 1 - F.count("turn"), F.lit(0)).cast("bigint").alias("gaps")
     )
     every = conversations.select("conv_id").distinct()
-    for part in (turns, faults, written(digests)):
+    for part in (turns, faults, digests):
         part = part.withColumnRenamed("conv_id", "_same")
         every = every.join(part, every["conv_id"].eqNullSafe(part["_same"]), "left").drop("_same")
     zeros = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
