@@ -21,12 +21,10 @@ from seqsieve.session import scratch_folder
 from seqsieve.sources import fasta
 from seqsieve.sources.corpus import document_records, letters
 
-try:
+try:  # the corpus operators may be absent, or a library that only they need
     import corpus_pipeline
     from seqsieve.llm import registry as corpus
-except ModuleNotFoundError as missing:
-    if missing.name not in ("corpus_pipeline", "seqsieve.llm"):
-        raise
+except ImportError:
     corpus = None
 
 _indexes: dict = {}
@@ -143,6 +141,18 @@ def _batch_of_words(spark: SparkSession, sf: str) -> DataFrame:
     return S.search_many(index, words).groupBy("motif_id").agg(F.count("*").alias("n"))
 
 
+def _joined_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents of a language as one record: long texts, which are searched in slices."""
+    docs = _records(spark, sf).join(_documents(spark, sf).select(F.col("doc_id").cast("string").alias("name"), "lang"), "name")
+    rows = F.sort_array(F.collect_list(F.struct(F.col("name").cast("bigint").alias("n"), "seq")))
+    joined = docs.groupBy(F.coalesce("lang", F.lit("")).alias("bin")).agg(rows.alias("rows"))
+    joined = joined.select("bin", F.col("bin").alias("name"), F.array_join(F.transform("rows", lambda r: r["seq"]), "").alias("seq"))
+    key = (spark.sparkContext.applicationId, sf, "joined")
+    if key not in _indexes:
+        _indexes[key] = S.build_index(joined, k=4)
+    return S.search(_indexes[key], "(T|TH|THE)R?N").groupBy("bin", "match").agg(F.count("*").alias("n"), F.sum("start").alias("starts"))
+
+
 def _short_motifs() -> dict[str, str]:
     """1,000 motifs that demand no k-mer of four: each is looked for in every record."""
     ends = ["", "[AE]", "[^A]", ".", "R?", "(S|T)?", "N{2}", "[LIVM]{1,2}", "$", "D+"]
@@ -311,6 +321,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "search_na_first": lambda s, d: S.search(_index(s, d, molecule="na", k=6), "(AC|ACG)TA(C|CA)"),
         "search_murphy": lambda s, d: S.search(_index(s, d, k=5, reduction="murphy"), "AN[DE]THE"),
         "search_li": lambda s, d: S.search(_index(s, d, k=5, reduction="li"), "ANDTH[DE]R"),
+        "search_murphy_original": lambda s, d: S.search(
+            _index(s, d, k=5, reduction="murphy"), "AN[DE]THE", original=True
+        ),
+        "search_joined_sources": _joined_sources,
         "search_longest_bounded": lambda s, d: S.search(_peptides(s, d), "(T|TH|THE)R?N"),
         "search_longest_choice": lambda s, d: S.search(_peptides(s, d), "T|TH|THE|THER"),
         "search_longest_unbounded": lambda s, d: S.search(_peptides(s, d), "(A|AN)+D"),
@@ -639,6 +653,15 @@ def oracle_sql() -> dict[str, str]:
         "search_na_first": _matches_sql("(?:AC|ACG)TA(?:C|CA)", _strands_sql(), "strand"),
         "search_murphy": _matches_sql("ABBSHB", _rec(_MURPHY.format(_AA))),
         "search_li": _matches_sql("AHBAHBK", _rec(_LI.format(_AA))),
+        "search_murphy_original": "SELECT m.*, substring(r.seq, m.start + 1, m.\"end\" - m.start) AS original FROM"
+        f" ({_matches_sql('ABBSHB', _rec(_MURPHY.format(_AA)))}) m JOIN {_rec()} r USING (name)",
+        "search_joined_sources": "WITH joined AS (SELECT bin, string_agg(seq, '' ORDER BY doc_id) AS seq FROM (SELECT doc_id,"
+        f" coalesce(lang, '') AS bin, {_AA} AS seq FROM documents) GROUP BY bin), found AS (SELECT bin,"
+        " regexp_extract_all(seq, 'THERN|THEN|THRN|THN|TRN|TN') AS mm,"
+        " string_split_regex(seq, 'THERN|THEN|THRN|THN|TRN|TN') AS pp FROM joined), listed AS (SELECT bin, unnest(mm) AS match,"
+        " unnest(pp[1:len(mm)]) AS piece, unnest(range(1, len(mm) + 1)) AS i FROM found), placed AS (SELECT bin, match,"
+        " sum(length(piece) + length(match)) OVER (PARTITION BY bin ORDER BY i) - length(match) AS start FROM listed)"
+        " SELECT bin, match, count(*) AS n, CAST(sum(start) AS BIGINT) AS starts FROM placed GROUP BY bin, match",
         "search_longest_bounded": _matches_sql("THERN|THEN|THRN|THN|TRN|TN"),
         "search_longest_choice": _matches_sql("THER|THE|TH|T"),
         "search_longest_unbounded": _matches_sql("(?:AN?)+D"),

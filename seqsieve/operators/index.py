@@ -28,9 +28,9 @@ from seqsieve.session import scratch_folder
 
 SCHEMAS = {
     "bin_stats": "bin string, n_records bigint, n_indexed bigint, n_kmers bigint,"
-    " residues bigint, n_not_ascii bigint",
+    " residues bigint, n_not_ascii bigint, longest int",
     "bins": "bin string, n_records bigint, n_indexed bigint, n_kmers bigint,"
-    " residues bigint, n_not_ascii bigint, block int, lane int, bin_id bigint",
+    " residues bigint, n_not_ascii bigint, longest int, block int, lane int, bin_id bigint",
     "postings": "kmer string, block int, mask bigint, prefix string",
     "bloom": "position bigint, block int, mask bigint, slot int",
     "dgrams": "code bigint, block int, mask bigint, gap int",
@@ -154,6 +154,7 @@ def _bin_stats(records: DataFrame, k: int) -> DataFrame:
         F.sum(F.greatest(size - (k - 1), F.lit(0)).cast("bigint")).alias("n_kmers"),
         F.sum(size.cast("bigint")).alias("residues"),
         F.count_if(F.octet_length("seq") != size).alias("n_not_ascii"),
+        F.max(size).alias("longest"),
     )
 
 
@@ -261,6 +262,7 @@ def build_index(
         F.count("*").alias("n_bins"),
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_records", "n_indexed", "residues", "n_not_ascii")],
         F.coalesce(F.max("n_kmers"), F.lit(0)).alias("largest_bin"),
+        F.coalesce(F.max("longest"), F.lit(0)).alias("longest"),
         F.coalesce(F.sum(F.octet_length("bin") + 32), F.lit(0)).alias("bin_bytes"),
     ).first().asDict()
     if not total["n_bins"]:

@@ -19,6 +19,7 @@ from seqsieve.functions.literals import held_numbers
 from seqsieve.functions.spans import spans_from_pieces, walked_spans
 from seqsieve.operators.candidates import BROADCAST_ROWS, Candidates, bins_of, candidate_masks
 from seqsieve.operators.index import BROADCAST_BYTES, MotifIndex
+from seqsieve.operators import slices
 from seqsieve.operators.kmers import has_lane
 from seqsieve.plans import pattern as P
 from seqsieve.plans.windows import IndexShape, WindowGraph, to_dot, window_graph
@@ -114,7 +115,7 @@ def _motif_table(index: MotifIndex, motifs: list[Motif]) -> DataFrame:
     return F.broadcast(table) if len(motifs) <= BROADCAST_ROWS else table
 
 
-def _candidates(index: MotifIndex, found: Candidates, motifs: list[Motif], alone: bool) -> DataFrame:
+def _candidates(index: MotifIndex, found: Candidates, motifs: list[Motif], alone: bool, original: bool) -> DataFrame:
     """Texts of candidate bins that a motif matches, one row per text and motif.
 
     ``found`` may hold masks of other motifs, unless this one is ``alone``. Then, if the bins
@@ -125,7 +126,7 @@ def _candidates(index: MotifIndex, found: Candidates, motifs: list[Motif], alone
     """
     molecule, reduction = index.meta["molecule"], index.meta["reduction"]
     if alone and found.bins is not None:
-        return _everywhere(_texts(index.of_bins(found.bins), molecule, reduction), motifs)
+        return _everywhere(_texts(index.of_bins(found.bins), molecule, reduction, original), motifs)
     masks = found.masks
     if not alone:  # masks of other groups are not shipped to the records of this one
         masks = masks.join(_motif_table(index, motifs).select("motif_id"), "motif_id", "left_semi")
@@ -138,7 +139,7 @@ def _candidates(index: MotifIndex, found: Candidates, motifs: list[Motif], alone
     else:
         few = index.n_blocks * len(motifs) <= BROADCAST_ROWS
         placed = index.in_blocks(F.broadcast(masks) if few else masks, found.bins)
-    texts = _texts(placed, molecule, reduction)
+    texts = _texts(placed, molecule, reduction, original)
     if alone and motifs[0].id == motifs[0].regex:  # its id is the pattern
         texts = texts.where(F.contains("seq", F.lit(motifs[0].literal)))
         return texts.where("regexp_instr(seq, motif_id) > 0") if motifs[0].testable else texts
@@ -173,25 +174,48 @@ def _everywhere(texts: DataFrame, motifs: list[Motif]) -> DataFrame:
     return texts.select("*", hit).select("*", "hit.*").drop("hit")
 
 
-def _matches(hits: DataFrame, motifs: list[Motif]) -> DataFrame:
-    """Explode every hit text into its matches."""
+def _matches(hits: DataFrame, motifs: list[Motif], cut: bool = False) -> DataFrame:
+    """Explode every hit text into its matches; with ``cut``, slice by slice."""
     kept = [c for c in _KEPT if c in hits.columns] + ["motif_id"]
     if motifs and motifs[0].walk:
         ship_package(hits.sparkSession)
         spans = walked_spans({m.id: m.node for m in motifs}, motifs[0].walk == "longest")
-        found = hits.select(*kept, spans("seq", "motif_id").alias("spans"))
+        plain = ["plain_seq"] if "plain_seq" in hits.columns else []
+        found = hits.select(*kept, *plain, spans("seq", "motif_id").alias("spans"))
+        found = found.select(*kept, _with_original(F.col("spans"), plain).alias("spans"))
         return found.select(*kept, F.inline_outer("spans")).where("match IS NOT NULL")
-    regex = "regex" if "regex" in hits.columns else "motif_id"
-    found = hits.selectExpr(
-        *kept,
+    if cut:
+        return slices.in_slices(hits, kept, max(slices.reach(m.node) for m in motifs), _native_spans)
+    found = _native_spans(hits)
+    return found.select(*kept, "match", "start", "end", *(["original"] if "original" in found.columns else []))
+
+
+def _native_spans(texts: DataFrame) -> DataFrame:
+    """The columns of ``texts``, without the text, for every match."""
+    regex = "regex" if "regex" in texts.columns else "motif_id"
+    others = [c for c in texts.columns if c != "seq"]
+    found = texts.selectExpr(
+        *others,
         f"regexp_extract_all(seq, {regex}, 0) AS matches",
         f"split(seq, {regex}, -1) AS pieces",
-    ).select(*kept, spans_from_pieces("matches", "pieces").alias("spans"))
-    # every hit has a match; plain inline would add a filter that computes spans twice
-    return found.select(*kept, F.inline_outer("spans"))
+    )
+    if "_begin" not in texts.columns:
+        # every hit has a match; plain inline would add a filter that computes spans twice
+        return found.select(*others, _with_original(spans_from_pieces("matches", "pieces"), others).alias("spans")).select(
+            *[c for c in others if c != "plain_seq"], F.inline_outer("spans")
+        )
+    found = found.where("size(matches) > 0").select(*others, spans_from_pieces("matches", "pieces").alias("spans"))
+    return found.select(*others, F.inline("spans"))
+
+
+def _with_original(spans: Column, columns: list[str]) -> Column:
+    """Spans with the residues they stand for, where the unreduced text is at hand."""
+    if "plain_seq" not in columns:
+        return spans
+    return F.transform(spans, lambda s: s.withField("original", F.substring("plain_seq", s["start"] + 1, s["end"] - s["start"])))
 
 
-def _texts(records: DataFrame, molecule: str, reduction: str | None) -> DataFrame:
+def _texts(records: DataFrame, molecule: str, reduction: str | None, original: bool = False) -> DataFrame:
     """What patterns are matched against: both strands, or the reduced residues.
 
     Both strands come out of one read of the record.
@@ -206,6 +230,8 @@ def _texts(records: DataFrame, molecule: str, reduction: str | None) -> DataFram
         )
         others = [c for c in records.columns if c != "seq"]
         return records.select(*others, F.inline_outer(strands)).withColumnRenamed("text", "seq")
+    if original:
+        records = records.withColumn("plain_seq", F.col("seq"))
     if reduction:
         return records.withColumn("seq", alphabet.reduce_alphabet(F.col("seq"), reduction))
     return records
@@ -221,21 +247,25 @@ def _look_up(index: MotifIndex, motifs: list[Motif], augment: bool, dgrams: bool
     return candidate_masks(index, {m.id: graph_of(index, m, augment, dgrams) for m in motifs})
 
 
-def _search(index: MotifIndex, motifs: list[Motif], augment: bool, dgrams: bool) -> DataFrame:
+def _search(index: MotifIndex, motifs: list[Motif], augment: bool, dgrams: bool, original: bool = False) -> DataFrame:
     if len({m.id for m in motifs}) != len(motifs):
         raise ValueError("motif ids must be distinct")
     looked_up = _look_up(index, motifs, augment, dgrams)
     unfiltered = set(looked_up.unfiltered)
-    texts = _texts(index.records, index.meta["molecule"], index.meta["reduction"])
+    texts = _texts(index.records, index.meta["molecule"], index.meta["reduction"], original)
     parts = []
-    for walk in (None, "longest", "first"):
-        chosen = [m for m in motifs if m.walk == walk]
+    # long records are cut for the motifs that allow it; a text is then not tested whole before
+    long = index.meta.get("longest", 0) > slices.CUT and not index.meta["n_not_ascii"] and not original
+    cuttable = {m.id for m in motifs if long and not m.walk and slices.reach(m.node)}
+    motifs = [replace(m, testable=False) if m.id in cuttable else m for m in motifs]
+    for walk, cut in ((None, False), (None, True), ("longest", False), ("first", False)):
+        chosen = [m for m in motifs if m.walk == walk and (m.id in cuttable) == cut]
         filtered = [m for m in chosen if m.id not in unfiltered]
         if filtered and looked_up.masks is not None:
-            parts.append(_matches(_candidates(index, looked_up, filtered, len(motifs) == 1), filtered))
+            parts.append(_matches(_candidates(index, looked_up, filtered, len(motifs) == 1, original), filtered, cut))
         everywhere = [m for m in chosen if m.id in unfiltered]
         if everywhere:
-            parts.append(_matches(_everywhere(texts, everywhere), everywhere))
+            parts.append(_matches(_everywhere(texts, everywhere), everywhere, cut))
     if not parts:  # no motif can match anywhere: no rows, but all columns
         parts.append(_matches(_everywhere(texts.where(F.lit(False)), motifs[:1]), motifs[:1]))
     out = parts[0]
@@ -251,17 +281,21 @@ def search(
     augment: bool = False,
     dgrams: bool = False,
     longest: bool | None = None,
+    original: bool = False,
 ) -> DataFrame:
     """All matches of one pattern: bin, name, match, start, end (and strand for nucleotides).
 
     Coordinates are 0-based and half-open; on the ``-`` strand they refer to the
     reverse complement of the record. With a reduced alphabet ``match`` is in reduced
-    letters. ``augment`` skips path-rich parts of the pattern when looking up k-mers,
-    ``dgrams`` bridges them with gapped k-mers if the index has them.
+    letters; ``original`` adds the record's own letters under it. ``augment`` skips
+    path-rich parts of the pattern when looking up k-mers, ``dgrams`` bridges them with
+    gapped k-mers if the index has them.
     """
     longest = index.meta["molecule"] == "aa" if longest is None else longest
     motif = prepare(pattern, reduction=index.meta["reduction"], longest=longest)
-    return _search(index, [motif], augment, dgrams).drop("motif_id")
+    if original and index.meta["molecule"] == "na":
+        raise ValueError("matches of nucleotides are the record's own letters")
+    return _search(index, [motif], augment, dgrams, original).drop("motif_id")
 
 
 def search_many(

@@ -259,6 +259,7 @@ def test_without_broadcasts_nothing_changes(spark, monkeypatch):
 
 
 def test_many_groups_of_bins_and_shards(spark, monkeypatch):
+    from seqsieve.operators import candidates
     from seqsieve.operators import index as I
 
     rng = random.Random(6)
@@ -273,7 +274,10 @@ def test_many_groups_of_bins_and_shards(spark, monkeypatch):
     assert all(0 <= r.lane < 64 for r in slots)
     found = S.search(index, "AC.A")
     assert rows(found) == usual
-    assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString()
+    assert "shard" in found._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1].split("]")[0]
+    monkeypatch.setattr(candidates, "FETCHED_MASKS", 0)
+    assert rows(S.search(index, "AC.A")) == usual
+    assert "dynamicpruning" in S.search(index, "AC.A")._jdf.queryExecution().executedPlan().toString()
 
 
 def test_long_records_are_sliced(spark, monkeypatch):
@@ -350,3 +354,14 @@ def test_long_runs_of_group_loops(spark, molecule):
         assert S.search(index, "(A|AA)+CC", longest=longest).where("bin = 'y'").count() == 0
     hits = S.search_all_of(index, ["(AC|ACG|G)+T", "(A|CG)+TA", "G*"])
     assert [r["name"] for r in hits.collect()] == ["r"]
+
+
+def test_original_letters_of_reduced_matches(spark):
+    data = [("b", "r", "XADRNBX"), ("c", "s", "SKDDA")]
+    for k in (2, 3):
+        index = S.build_index(frame(spark, data), k=k, reduction="murphy")
+        for pattern in ("KB", "D", "(B|BB)+", "(BB|B)+A?"):
+            for row in S.search(index, pattern, original=True).collect():
+                seq = {n: t for _, n, t in data}[row.name]
+                assert row.original == seq[row.start : row.end]
+                assert "".join(A.REDUCTIONS["murphy"].get(c, c) for c in row.original) == row.match
