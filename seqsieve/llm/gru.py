@@ -19,7 +19,9 @@ SCORED_LANES, SCORED_WINDOW = 256, 64
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    out = np.exp(-x)
+    out += 1
+    return np.reciprocal(out, out=out)
 
 
 def pack(lengths: list[int], lanes: int) -> list[list[int]]:
@@ -92,62 +94,86 @@ class GatedModel:
         return out
 
     def _log_probabilities(self, hidden: np.ndarray, ids: np.ndarray, grads: dict | None = None):
-        """Natural log probabilities of ``ids`` after the states; with ``grads``, their gradients too."""
+        """Natural log probabilities of ``ids`` after the states; with ``grads``, their gradients too.
+
+        The rows are taken in the order of their classes, so that each class is one stretch.
+        """
         p = self.p
-        classes, within = np.divmod(ids, self.size)
+        order = np.argsort(ids, kind="stable")
+        hidden, sorted_ids = hidden[order], ids[order]
+        classes, within = np.divmod(sorted_ids, self.size)
         at = np.arange(len(ids))
-        scores = hidden @ p["class"] + p["class_bias"]
-        scores -= scores.max(1, keepdims=True)
-        exp = np.exp(scores)
-        total = exp.sum(1)
-        out = scores[at, classes] - np.log(total)
+        scores = hidden @ p["class"]
+        scores += p["class_bias"]
+        found, total = self._softmax(scores, classes, at)
         back = None
         if grads is not None:
-            wrong = exp / total[:, None]
-            wrong[at, classes] -= 1
-            grads["class"], grads["class_bias"] = hidden.T @ wrong, wrong.sum(0)
-            back = wrong @ p["class"].T
+            scores /= total[:, None]
+            scores[at, classes] -= 1
+            grads["class"], grads["class_bias"] = hidden.T @ scores, scores.sum(0)
+            back = scores @ p["class"].T
             grads["word"], grads["word_bias"] = np.zeros_like(p["word"]), np.zeros_like(p["word_bias"])
-        order = np.argsort(classes, kind="stable")
-        bounds = np.searchsorted(classes[order], np.arange(self.classes + 1))
+        bounds = np.searchsorted(classes, np.arange(self.classes + 1))
         for c in np.flatnonzero(np.diff(bounds)):
-            rows = order[bounds[c] : bounds[c + 1]]
-            scores = hidden[rows] @ p["word"][c].T + p["word_bias"][c]
-            scores -= scores.max(1, keepdims=True)
-            exp = np.exp(scores)
-            total = exp.sum(1)
-            out[rows] += scores[np.arange(len(rows)), within[rows]] - np.log(total)
+            rows = slice(bounds[c], bounds[c + 1])
+            scores = hidden[rows] @ p["word"][c].T
+            scores += p["word_bias"][c]
+            here = at[: bounds[c + 1] - bounds[c]]
+            log, total = self._softmax(scores, within[rows], here)
+            found[rows] += log
             if grads is not None:
-                wrong = exp / total[:, None]
-                wrong[np.arange(len(rows)), within[rows]] -= 1
-                grads["word"][c], grads["word_bias"][c] = wrong.T @ hidden[rows], wrong.sum(0)
-                back[rows] += wrong @ p["word"][c]
+                scores /= total[:, None]
+                scores[here, within[rows]] -= 1
+                grads["word"][c], grads["word_bias"][c] = scores.T @ hidden[rows], scores.sum(0)
+                back[rows] += scores @ p["word"][c]
+        out = np.empty_like(found)
+        out[order] = found
+        if back is not None:
+            unsorted = np.empty_like(back)
+            unsorted[order] = back
+            back = unsorted
         return out, back
 
+    @staticmethod
+    def _softmax(scores: np.ndarray, chosen: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log probabilities of the chosen columns and the sums; ``scores`` become their exponentials."""
+        scores -= scores.max(1, keepdims=True)
+        own = scores[at, chosen]
+        np.exp(scores, out=scores)
+        total = scores.sum(1)
+        return own - np.log(total), total
+
     def freeze(self) -> None:
         """The gates' input by id, as a table."""
         self.table = self.p["embed"] @ self.p["input"] + self.p["bias"]
 
-    def train(self, docs: list[np.ndarray], passes: int = 3, rate: float = 0.01, lanes: int = LANES) -> None:
-        """``docs``: ids of documents or parts of them; each starts from the empty state."""
+    def train(self, docs: list[np.ndarray], passes: int = 3, rate: float = 0.01, lanes: int = LANES, moments: dict | None = None) -> None:
+        """``docs``: ids of documents or parts of them; each starts from the empty state.
+
+        ``moments`` carries the optimizer's state from call to call.
+        """
         if not docs:
             self.freeze()
             return
-        moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
+        moments = {} if moments is None else moments
+        if not moments:
+            moments |= {"step": 0, **{k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}}
         ids, owner = _lay_out(docs, lanes)
         before, starts = _shifted(ids, owner)
-        step = 0
         for _ in range(passes):
             h = np.zeros((ids.shape[1], HIDDEN), np.float32)
             for at in range(0, len(ids), WINDOW):
-                step += 1
+                moments["step"] += 1
+                step = moments["step"]
                 window = slice(at, at + WINDOW)
-                grads, h = self._window(ids[window], before[window], starts[window], h)
+                live = (ids[window] >= 0).any(0)  # lanes that have ended are left behind
+                grads, h[live] = self._window(ids[window][:, live], before[window][:, live], starts[window][:, live], h[live])
+                scale = rate * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
                 for k, g in grads.items():
                     first, second = moments[k]
                     first += 0.1 * (g - first)
-                    second += 0.01 * (g * g - second)
-                    scale = rate * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
+                    g *= g
+                    second += 0.01 * (g - second)
                     self.p[k] -= scale * first / (np.sqrt(second) + 1e-6)
         self.freeze()
 
@@ -177,8 +203,9 @@ class GatedModel:
         flat, used = to_gates.reshape(-1, 3 * n), before.reshape(-1)
         vectors = p["embed"][used]
         grads["input"], grads["bias"] = vectors.T @ flat, flat.sum(0)
-        grads["embed"] = np.zeros_like(p["embed"])
-        np.add.at(grads["embed"], used, flat @ p["input"].T)
+        pulled = flat @ p["input"].T
+        columns = [np.bincount(used, weights=pulled[:, i], minlength=len(p["embed"])) for i in range(n)]
+        grads["embed"] = np.stack(columns, axis=1).astype(p["embed"].dtype)
         count = np.float32(max(1, live.sum()))
         return {k: g / count for k, g in grads.items()}, hidden[-1]
 

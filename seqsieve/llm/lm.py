@@ -5,11 +5,11 @@ and, by their last two bytes, groups of all others; a word of a group has the gr
 probability times its share of the group's counts (plus 0.1, and as much for all words
 never seen). Counts, classes, shares and the recurrent weights come from all of them.
 
-The recurrent weights are trained in PASSES over all training documents. A pass trains the
-weights so far on each shard of about SHARD_TOKENS words, in Spark, and takes the mean of
-what comes out, weighted by words, as the weights for the next. They start from what the
-driver learns on about SAMPLE_TOKENS words, so that the shards' weights can be averaged.
-Shards follow from id, text and place alone. Training starts afresh within a document every
+Every text becomes ids once; they are stored, and serve training and scoring. The recurrent
+weights learn in one pass over all training documents, which ROUNDS share out: in a round, each
+of at most TASKS tasks trains the weights so far on its documents, SHARD_TOKENS words at a time,
+and the mean of what the tasks arrive at, weighted by words, goes into the next round. Who trains
+on what follows from id, text and place alone. Training starts afresh within a document every
 PIECE words, so a long document is trained on whole, by several tasks; scores carry the
 state through.
 
@@ -35,17 +35,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqsieve.llm.common import crc_remainder, forget, most_frequent, on_workers, text_hash, uniform, written
+from seqsieve.llm.common import crc_remainder, most_frequent, on_workers, uniform, written
 from seqsieve.llm.gru import GatedModel
 
 CLASSES, CLASS_SIZE = 48, 48
 GROUPS = 64
 KNOWN = 200_000
-SAMPLE_TOKENS = 250_000
-PASSES, SHARD_TOKENS, SHARD_LANES = 3, 1_000_000, 256
-PIECE = 16_384
-#: Weights that travel in one row.
-CHUNK = 4096
+ROUNDS, SHARD_TOKENS, SHARD_LANES = 3, 1_000_000, 512
+#: Tasks of a round, and weights that one task averages; so TASKS / FAN_IN come to the driver.
+TASKS, FAN_IN = 4096, 64
+PIECE = 4096
 #: Words that a task counts before it hands them on; tokens that it scores at a time.
 COUNTED, SCORED = 400_000, 1_500_000
 
@@ -116,6 +115,7 @@ class Scorer:
         self.share = np.concatenate([np.zeros(min(len(words), inside)), np.log10(c[inside:] + 0.1) - self.group_log[outside]])
         self.model = GatedModel(CLASSES, CLASS_SIZE)
         self.model.set_frequencies(self.frequency)
+        self.model.freeze()
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "places"}
@@ -134,8 +134,8 @@ class Scorer:
         return ids, float(self.base[at[known]].sum()), float(self.share[at[known]].sum()), int(known.sum()), Counter(others)
 
 
-def learn(docs: DataFrame, sample_tokens: int = SAMPLE_TOKENS) -> tuple[Scorer, DataFrame]:
-    """A scorer from all rows of ``docs``, and the table of all word counts."""
+def count(docs: DataFrame) -> tuple[Scorer, DataFrame]:
+    """A scorer with what all rows of ``docs`` count, its recurrent weights untrained, and the table of all word counts."""
     counts = written(count_words(docs))
     group = F.crc32(F.substring("word", -2, 2)) % GROUPS
     sums = counts.groupBy(group.cast("int").alias("g")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
@@ -145,117 +145,132 @@ def learn(docs: DataFrame, sample_tokens: int = SAMPLE_TOKENS) -> tuple[Scorer,
     top = most_frequent(counts, KNOWN).toPandas().sort_values(["n", "word"], ascending=[False, True])
     kinds = sum(v for _, v in groups.values()) + (documents > 0)
     words = [bytes(w) for w in top["word"]]
-    scorer = Scorer(words, top["n"].tolist(), tokens + documents, kinds, documents, groups)
-    pieces = written(_pieces(docs, scorer))
-    rate = min(1.0, sample_tokens / max(1, tokens + documents))
-    sample = [row.ids for row in pieces.where(F.col("draw") < rate).select("ids").collect()]
-    scorer.model.train([_ids(x) for x in sorted(sample)])
-    for _ in range(PASSES):
-        _train_pass(pieces, scorer.model, -(-(tokens + documents) // SHARD_TOKENS))
-    forget(pieces)
-    return scorer, counts
+    return Scorer(words, top["n"].tolist(), tokens + documents, kinds, documents, groups), counts
 
 
-def _ids(piece: bytes) -> np.ndarray:
-    return np.frombuffer(piece, "<u2").astype(np.int64)
+def _ids(stored: bytes) -> np.ndarray:
+    return np.frombuffer(stored, "<u2").astype(np.int64)
 
 
-def _pieces(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """All rows as ids in pieces of PIECE words at most, and a number in [0, 1) of each."""
+def encode(docs: DataFrame, scorer: Scorer) -> DataFrame:
+    """Per row its ids, all that needs no counts of rare words, and its rare words; written, so that row_id stays."""
+    on_workers(docs.sparkSession)
+    docs = docs.select("doc_id", "text").withColumn("row_id", F.monotonically_increasing_id())
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
+    rare = T.StructType().add("word", "binary").add("times", "long").add("share", "double")
+    schema = T.StructType([docs.schema["row_id"], docs.schema["doc_id"]]).add("n_tokens", "long").add("n_known", "long")
+    schema = schema.add("base_score", "double").add("share", "double").add("rare", T.ArrayType(rare)).add("ids", "binary")
+    item = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64()), ("share", pa.float64())]))
+    types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), item, pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = shared.value
         for batch in batches:
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = scorer.encode(words_of(text.as_py()))[0].astype("<u2")
-                parts = [ids[at : at + PIECE].tobytes() for at in range(0, len(ids), PIECE)]
-                columns = [pa.array([row] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "place", "ids"])
-
-    keyed = docs.select(F.xxhash64("doc_id", text_hash(F.col("text"))).alias("row"), docs["text"].cast("binary"))
-    cut = keyed.mapInArrow(run, "row bigint, place bigint, ids binary")
-    return cut.select(uniform(F.col("row"), F.col("place"), F.lit("recurrent piece")).alias("draw"), "ids")
-
-
-def _train_pass(pieces: DataFrame, model: GatedModel, shards: int) -> None:
-    """Trains ``model`` once on all pieces: the mean of the weights that each shard arrives at."""
-    if not shards:
-        return
+            at = 0
+            while at < len(batch):  # a batch of long texts goes on in parts
+                rows, size, begin = [], 0, at
+                while at < len(batch) and size < SCORED:
+                    found, base, share, known, others = scorer.encode(words_of(batch.column(2)[at].as_py()))
+                    few = [{"word": w, "times": n, "share": -float(scorer.group_log[_group(w)])} for w, n in others.items()]
+                    rows.append((len(found), known + scorer.end_known, base + scorer.end_base, share, few, found.astype("<u2").tobytes()))
+                    size += len(found)
+                    at += 1
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                keys = [batch.column(c).slice(begin, at - begin) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*keys, *columns], names=schema.names)
+
+    return written(docs.select("row_id", "doc_id", docs["text"].cast("binary")).mapInArrow(run, schema))
+
+
+def train(encoded: DataFrame, model: GatedModel) -> None:
+    """Trains ``model`` on all rows, in ROUNDS over disjoint parts of them."""
+    tokens = encoded.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    place = F.explode(F.sequence(F.lit(0), F.col("n_tokens") - 1, F.lit(PIECE))).alias("place")
+    cut = encoded.select("doc_id", F.col("ids").alias("all"), F.xxhash64("ids").alias("hash"), place)
+    piece = F.substring("all", (F.col("place") * 2 + 1).cast("int"), F.lit(2 * PIECE))
+    draw = uniform(F.col("doc_id"), F.col("hash"), F.col("place"), F.lit("recurrent piece"))
+    pieces = cut.select(draw.alias("draw"), piece.alias("ids"))
+    for number in range(ROUNDS if tokens else 0):
+        low, high = number / ROUNDS, (number + 1) / ROUNDS
+        own = pieces.where((F.col("draw") >= low) & (F.col("draw") < high))
+        _train_round(own, model, min(TASKS, -(-tokens // (ROUNDS * SHARD_TOKENS))))
+
+
+def _train_round(pieces: DataFrame, model: GatedModel, tasks: int) -> None:
     names = sorted(model.p)
     shared = pieces.sparkSession.sparkContext.broadcast(model.p)
+    schema = "task bigint, size bigint, weights binary"
 
-    def train(table: pa.Table) -> pa.Table:
+    def stored(task: int, size: int, weights: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array([task], pa.int64()), pa.array([size], pa.int64()), pa.array([weights.astype("<f4").tobytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["task", "size", "weights"])
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = GatedModel(CLASSES, CLASS_SIZE)
         own.p = {k: v.copy() for k, v in shared.value.items()}
-        docs = [_ids(x) for x in sorted(table.column("ids").to_pylist())]
-        own.train(docs, passes=1, lanes=SHARD_LANES)
-        weights = np.concatenate([own.p[k].ravel() for k in names]).astype("<f4")
-        chunks = [weights[at : at + CHUNK].tobytes() for at in range(0, len(weights), CHUNK)]
-        shard, size = table.column("shard")[0].as_py(), sum(map(len, docs))
-        columns = [pa.array(range(len(chunks)), pa.int64()), *(pa.array([x] * len(chunks), pa.int64()) for x in (shard, size))]
-        return pa.table([*columns, pa.array(chunks, pa.binary())], names=["chunk", "shard", "size", "weights"])
+        moments: dict = {}
+        docs, size, total, task = [], 0, 0, None
+        for batch in batches:
+            for number, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                task = number if task is None else task
+                docs.append(_ids(ids.as_py()))
+                size += len(docs[-1])
+                if size >= SHARD_TOKENS:
+                    own.train(docs, passes=1, lanes=SHARD_LANES, moments=moments)
+                    docs, size, total = [], 0, total + size
+        if docs:
+            own.train(docs, passes=1, lanes=SHARD_LANES, moments=moments)
+        if task is not None:
+            yield stored(task, total + size, np.concatenate([own.p[k].ravel() for k in names]))
 
     def mean(table: pa.Table) -> pa.Table:
-        total, sizes = 0.0, 0
-        for _, size, weights in sorted(zip(*(table.column(c).to_pylist() for c in ("shard", "size", "weights")), strict=True)):
-            total, sizes = total + size * np.frombuffer(weights, "<f4").astype(float), sizes + size
-        found = pa.array([(total / sizes).astype("<f4").tobytes()], pa.binary())
-        return pa.table([table.column("chunk")[:1].combine_chunks(), found], names=["chunk", "weights"])
+        weights, sizes = 0.0, 0
+        for task, size, own in sorted(zip(*(table.column(c).to_pylist() for c in ("task", "size", "weights")), strict=True)):
+            weights, sizes = weights + size * np.frombuffer(own, "<f4").astype(float), sizes + size
+        return pa.Table.from_batches([stored(table.column("task")[0].as_py() // FAN_IN, sizes, weights / sizes)])
 
     # as many partitions as asked for: by size they would be merged into too few tasks
-    dealt = pieces.withColumn("shard", F.floor(F.col("draw") * shards)).repartition(2 * shards, "shard")
-    trained = dealt.groupBy("shard").applyInArrow(train, "chunk bigint, shard bigint, size bigint, weights binary")
-    rows = trained.groupBy("chunk").applyInArrow(mean, "chunk bigint, weights binary").collect()
-    weights = np.frombuffer(b"".join(row.weights for row in sorted(rows)), "<f4")
+    dealt = pieces.withColumn("task", F.pmod(F.xxhash64("draw"), F.lit(tasks))).repartition(tasks, "task")
+    trained = dealt.sortWithinPartitions("task", "draw", "ids").select("task", "ids").mapInArrow(train, schema)
+    if tasks > FAN_IN:
+        trained = trained.groupBy(F.floor(F.col("task") / FAN_IN)).applyInArrow(mean, schema)
+    rows = trained.collect()
+    if not rows:
+        return
+    table = pa.table({n: [row[n] for row in rows] for n in ("task", "size", "weights")})
+    weights = np.frombuffer(mean(table).column("weights")[0].as_py(), "<f4")
     for k in names:
         model.p[k] = weights[: model.p[k].size].reshape(model.p[k].shape).copy()
         weights = weights[model.p[k].size :]
     model.freeze()
 
 
-def _score_known(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """Per row all that needs no counts of rare words, and its rare words."""
-    shared = docs.sparkSession.sparkContext.broadcast(scorer)
-    rare = T.StructType().add("word", "binary").add("times", "long").add("share", "double")
-    schema = T.StructType([docs.schema["row_id"], docs.schema["doc_id"]]).add("n_tokens", "long").add("n_known", "long")
-    schema = schema.add("base_score", "double").add("score", "double").add("rare", T.ArrayType(rare))
-    item = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64()), ("share", pa.float64())]))
-
-    def settle(scorer: Scorer, ids: list, rows: list) -> Iterator[pa.RecordBatch]:
-        scores = scorer.model.score(ids)
-        columns = list(zip(*rows, strict=True))
-        columns[5] = [share + score for share, score in zip(columns[5], scores.tolist(), strict=True)]
-        types = [rows[0][0].type, rows[0][1].type, pa.int64(), pa.int64(), pa.float64(), pa.float64(), item]
-        plain = [[x.as_py() for x in columns[0]], [x.as_py() for x in columns[1]], *columns[2:]]
-        arrays = [pa.array(c, t) for c, t in zip(plain, types, strict=True)]
-        yield pa.RecordBatch.from_arrays(arrays, names=["row_id", "doc_id", "n_tokens", "n_known", "base_score", "score", "rare"])
+def _recurrent(encoded: DataFrame, model: GatedModel) -> DataFrame:
+    """row_id and the model's score of the ids."""
+    shared = encoded.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = shared.value
-        ids, rows, size = [], [], 0
+        def settle(rows: list, docs: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(shared.value.score(docs), pa.float64())], names=["row_id", "recurrent"])
+
+        rows, docs, size = [], [], 0
         for batch in batches:
-            for row_id, doc_id, text in zip(*batch.columns, strict=True):
-                found, base, share, known, others = scorer.encode(words_of(text.as_py()))
-                rare = [{"word": w, "times": n, "share": -float(scorer.group_log[_group(w)])} for w, n in others.items()]
-                rows.append((row_id, doc_id, len(found), known + scorer.end_known, base + scorer.end_base, share, rare))
-                ids.append(found)
-                size += len(found)
+            for row, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows.append(row)
+                docs.append(_ids(ids.as_py()))
+                size += len(docs[-1])
                 if size >= SCORED:
-                    yield from settle(scorer, ids, rows)
-                    ids, rows, size = [], [], 0
+                    yield settle(rows, docs)
+                    rows, docs, size = [], [], 0
         if rows:
-            yield from settle(scorer, ids, rows)
+            yield settle(rows, docs)
 
-    return docs.select("row_id", "doc_id", docs["text"].cast("binary")).mapInArrow(run, schema)
+    return encoded.select("row_id", "ids").mapInArrow(run, "row_id bigint, recurrent double")
 
 
-def score(docs: DataFrame, scorer: Scorer, counts: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row."""
-    on_workers(docs.sparkSession)
-    keyed = docs.select("doc_id", "text").withColumn("row_id", F.monotonically_increasing_id())
-    known = written(_score_known(keyed, scorer))  # row ids are settled here
-    rare = known.select("row_id", F.explode("rare").alias("r")).select("row_id", "r.word", "r.times", "r.share")
+def score(encoded: DataFrame, scorer: Scorer, counts: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score of every encoded row."""
+    rare = encoded.select("row_id", F.explode("rare").alias("r")).select("row_id", "r.word", "r.times", "r.share")
     c = F.coalesce(F.col("n"), F.lit(0))
     own = F.log10(c + F.lit(0.1))
     sums = (
@@ -267,15 +282,17 @@ def score(docs: DataFrame, scorer: Scorer, counts: DataFrame) -> DataFrame:
             F.sum(F.col("times") * (own + F.col("share"))).alias("more_score"),
         )
     )
-    whole = known.drop("rare").join(sums, "row_id", "left")
+    whole = encoded.drop("rare", "ids").join(_recurrent(encoded, scorer.model), "row_id").join(sums, "row_id", "left")
     plus = lambda a, b: (F.col(a) + F.coalesce(F.col(b), F.lit(0)))
     return whole.select(
         "doc_id", "n_tokens", plus("n_known", "more_known").alias("n_known"), F.lit(scorer.total).cast("long").alias("train_tokens"),
-        plus("base_score", "more_base").alias("base_score"), plus("score", "more_score").alias("score"),
+        plus("base_score", "more_base").alias("base_score"), (plus("share", "more_score") + F.col("recurrent")).alias("score"),
     )
 
 
 def score_corpus(docs: DataFrame) -> DataFrame:
     """Scores of all rows by what the rows that are not held out teach."""
-    scorer, counts = learn(docs.where(~held_out()))
-    return score(docs, scorer, counts).select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    scorer, counts = count(docs.where(~held_out()))
+    encoded = encode(docs, scorer)
+    train(encoded.where(~held_out()), scorer.model)
+    return score(encoded, scorer, counts).select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -150,16 +150,35 @@ def test_rare_words_join_their_counts(table, words, monkeypatch):
 
 
 def test_all_training_documents_teach_the_recurrent_weights(table, words, monkeypatch):
-    """Also those that the first sample leaves out, and the ends of long ones, in any partitions."""
-    monkeypatch.setattr(lm, "SHARD_TOKENS", 3_000)
-    monkeypatch.setattr(lm, "PIECE", 1_000)
-    rows = [(i, words(i, 40, 50), "en", "s") for i in range(60)] + [(60, words(60, 5_000, 50) + " a b" * 2_000, "en", "s")]
+    """Also the ends of long ones, in any partitions, with the means taken in groups."""
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 600)
+    monkeypatch.setattr(lm, "SHARD_LANES", 8)
+    monkeypatch.setattr(lm, "PIECE", 500)
+    monkeypatch.setattr(lm, "FAN_IN", 2)
+    rows = [(i, words(i, 40, 50), "en", "s") for i in range(60)] + [(60, words(60, 3_000, 50) + " a b" * 4_000, "en", "s")]
     docs = table(rows)
-    scorer, _ = lm.learn(docs, sample_tokens=0)  # a draw that takes nothing
-    monkeypatch.setattr(lm, "PASSES", 0)
-    untrained, _ = lm.learn(docs, sample_tokens=0)
-    text = [scorer.encode(lm.words_of(b"a b " * 50))[0]]
-    assert scorer.model.score(text)[0] > 0.5 * untrained.model.score(text)[0]
-    monkeypatch.setattr(lm, "PASSES", 3)
-    again, _ = lm.learn(docs.repartition(7), sample_tokens=0)
+
+    def learned(docs):
+        scorer, _ = lm.count(docs)
+        text = [scorer.encode(lm.words_of(b"a b " * 50))[0]]
+        before = scorer.model.score(text)[0]
+        lm.train(lm.encode(docs, scorer), scorer.model)
+        return scorer, before, scorer.model.score(text)[0]
+
+    scorer, before, after = learned(docs)
+    assert after > 0.9 * before
+    again, _, _ = learned(docs.repartition(7))
     assert all(np.array_equal(again.model.p[k], v) for k, v in scorer.model.p.items())
+
+
+def test_scores_equal_a_scalar_replay(table, words):
+    """The model's share of a score, word by word with plain loops, for short documents."""
+    rows = [(i, words(i, 12, 40), "en", "s") for i in range(40)] + [(41, "", "en", "s"), (42, None, "en", "s")]
+    docs = table(rows)
+    scorer, counts = lm.count(docs)
+    encoded = lm.encode(docs, scorer)
+    lm.train(encoded, scorer.model)
+    got = {r.doc_id: r.score for r in lm.score(encoded, scorer, counts).collect()}
+    for i, text, *_ in rows:
+        ids, _, share, _, others = scorer.encode(lm.words_of((text or "").encode()))
+        assert not others and got[i] == pytest.approx(share + plain_score(scorer.model, ids), rel=1e-4)
