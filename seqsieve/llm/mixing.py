@@ -10,8 +10,8 @@ higher, and so on: a reduction tree per source, whose blocks split hot sources.
 
 Cases: null text and text without words have size 0 and never move a source; a null
 source is a source of its own and comes last; an empty table gives an empty result;
-rows with equal ``doc_id``, ``source`` and ``text`` share one decision (each row gets the
-same copies); further columns are not looked at.
+rows with equal ``doc_id``, ``source`` and ``text`` are one unit, of which as many rows take one
+more copy as their fractions add up to, the last one by rounding; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -93,7 +93,8 @@ def _level(items: DataFrame, unit_type: str) -> DataFrame:
 
 
 def decide(docs: DataFrame, cycle: tuple = CYCLE, max_copies: int = MAX_COPIES, seed: int = 7) -> DataFrame:
-    """One row per distinct document: KEY, size, rows, source_size, target, copies (of each row)."""
+    """One row per distinct document: KEY, size, rows, source_size, target, whole (copies of each row)
+    and extra (how many of its rows take one copy more)."""
     units = written(_rows(docs).groupBy(*KEY, "size").agg(F.count("*").alias("rows")))
     targets = written(source_targets(units, cycle, max_copies))
     largest = targets.agg(F.max("n_units")).head()[0] or 0
@@ -101,14 +102,17 @@ def decide(docs: DataFrame, cycle: tuple = CYCLE, max_copies: int = MAX_COPIES,
     known = (
         units.alias("u")
         .join(targets.alias("t"), F.col("u.source").eqNullSafe(F.col("t.source")))
-        .select("u.*", "source_size", "target", "n_units", F.floor(share).alias("whole"), (share - F.floor(share)).alias("p"))
+        .select("u.*", "source_size", "target", "n_units", (F.col("rows") * (share - F.floor(share))).alias("part"))
+        # of the fractions of equal rows only what is left after whole rows is rounded
+        .withColumn("more", F.floor("part"))
+        .withColumn("p", F.col("part") - F.col("more"))
     )
     settled = (F.col("p") == 0) | (F.col("size") == 0)
     ids = [F.col("doc_id"), F.col("row_hash"), F.lit(seed)]
     level_of = lambda n: F.greatest(F.lit(1), F.ceil(F.col("n_units") / n))
     unit = F.struct(
-        uniform(*ids).alias("u"), "doc_id", "row_hash", "size", "rows",
-        (F.col("size") * F.col("rows")).cast("double").alias("weight"), "p",
+        uniform(*ids).alias("u"), "doc_id", "row_hash", "size", "rows", "more",
+        F.col("size").cast("double").alias("weight"), "p",
     )
     items = known.where(~settled).select(
         "source", "n_units", F.pmod(F.xxhash64(*ids, F.lit("block")), level_of(BLOCK)).alias("block"), unit.alias("unit")
@@ -139,9 +143,9 @@ def decide(docs: DataFrame, cycle: tuple = CYCLE, max_copies: int = MAX_COPIES,
     rounded = last
     for part in decided:
         rounded = rounded.unionByName(part)
-    rounded = rounded.select("source", "unit.doc_id", "unit.row_hash", "unit.size", "unit.rows", F.col("unit.p").alias("extra"))
+    rounded = rounded.select("source", "unit.doc_id", "unit.row_hash", "unit.size", "unit.rows", "unit.more", F.col("unit.p").alias("extra"))
     plain = known.where(settled).select(
-        "source", "doc_id", "row_hash", "size", "rows",
+        "source", "doc_id", "row_hash", "size", "rows", "more",
         (uniform(*ids) < F.col("p")).cast("double").alias("extra"),
     )
     return (
@@ -150,26 +154,48 @@ def decide(docs: DataFrame, cycle: tuple = CYCLE, max_copies: int = MAX_COPIES,
         .join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
         .select(
             "d.doc_id", "d.source", "d.row_hash", "d.size", "d.rows", "t.source_size", "t.target",
-            (F.floor(share) + F.col("extra")).cast("bigint").alias("copies"),
+            F.floor(share).cast("bigint").alias("whole"), (F.col("more") + F.col("extra")).cast("bigint").alias("extra"),
         )
     )
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, source_size, target, taken, source, copies."""
-    return decide(docs, **options).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies",
-        F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("rows"))).alias("row"),
-    ).drop("row")
+    rows = decide(docs, **options).select("*", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("rows"))).alias("row"))
+    copies = F.col("whole") + (F.col("row") <= F.col("extra")).cast("bigint")
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), "source", copies.alias("copies"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: every row of ``docs`` as often as the mix takes it."""
-    choice = decide(docs, **options).where(F.col("copies") > 0).select(*[F.col(c).alias(f"_mix_{c}") for c in [*KEY, "copies"]])
+    choice = decide(docs, **options).where("whole + extra > 0")
+    choice = choice.select(*[F.col(c).alias(f"_mix_{c}") for c in [*KEY, "rows", "whole", "extra"]])
     match = (
         docs["doc_id"].eqNullSafe(F.col("_mix_doc_id"))
         & docs["source"].eqNullSafe(F.col("_mix_source"))
         & (text_hash(docs["text"]) == F.col("_mix_row_hash"))
     )
+    names = list(docs.columns)
+    taken = docs.join(choice, match).select(*[docs[c] for c in names], *choice.columns)
+    # all rows of a unit take the same unless only some take one more; those are numbered
+    even = F.col("_mix_extra") % F.col("_mix_rows") == 0
+    same = taken.where(even).withColumn("_mix_copies", F.col("_mix_whole") + F.floor(F.col("_mix_extra") / F.col("_mix_rows")))
+    several = taken.where(~even).withColumn("_mix_part", F.spark_partition_id()).withColumn("_mix_nth", F.monotonically_increasing_id())
+    several = written(several)
+    unit = [f"_mix_{c}" for c in KEY]
+    # by unit and task, and then by the tasks of a unit, so that no unit is sorted as one group
+    inside = F.row_number().over(Window.partitionBy(*unit, "_mix_part").orderBy("_mix_nth"))
+    counts = several.groupBy(*unit, "_mix_part").agg(F.count("*").alias("_mix_n"))
+    before = F.sum("_mix_n").over(Window.partitionBy(*unit).orderBy("_mix_part")) - F.col("_mix_n")
+    offsets = counts.withColumn("_mix_before", before).select(*[F.col(c).alias(f"{c}_of") for c in [*unit, "_mix_part"]], "_mix_before")
+    numbered = several.withColumn("_mix_row", inside)
+    here = F.lit(True)
+    for c in [*unit, "_mix_part"]:
+        here = here & numbered[c].eqNullSafe(offsets[f"{c}_of"])
+    numbered = numbered.join(offsets, here)
+    one_more = (F.col("_mix_row") + F.col("_mix_before") <= F.col("_mix_extra")).cast("bigint")
+    numbered = numbered.withColumn("_mix_copies", F.col("_mix_whole") + one_more)
+    columns = [*names, "_mix_copies"]
+    both = same.select(columns).unionByName(numbered.select(columns))
     copy = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_mix_copies")))
-    return docs.join(choice, match).select(*[docs[c] for c in docs.columns], copy.alias("_mix_copy")).drop("_mix_copy")
+    return both.where("_mix_copies > 0").select(*names, copy.alias("_mix_copy")).drop("_mix_copy")
