@@ -1,6 +1,6 @@
 """Indexed motif search over binned sequence collections, on Spark."""
 
-from seqsieve.operators.index import add_dgrams, build_index, inspect, load_index
+from seqsieve.operators.index import add_dgrams, append, append_stream, build_index, compact, inspect, load_index
 from seqsieve.operators.search import (
     candidate_bins,
     candidate_bins_many,
@@ -14,9 +14,12 @@ from seqsieve.operators.search import (
 
 __all__ = [
     "add_dgrams",
+    "append",
+    "append_stream",
     "build_index",
     "candidate_bins",
     "candidate_bins_many",
+    "compact",
     "inspect",
     "load_index",
     "pattern_dot",

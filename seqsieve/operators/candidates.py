@@ -57,7 +57,13 @@ def _lookup_rows(index: MotifIndex, rows: list[tuple], key: str) -> DataFrame:
 def _kmer_hits(index: MotifIndex, rows: list[tuple]) -> DataFrame:
     if index.meta["layout"] == "bloom":
         return _bloom_hits(index, rows)
-    return _near_kmers(index, sorted({row[4] for row in rows})).join(_lookup_rows(index, rows, "kmer"), "kmer")
+    found = _near_kmers(index, sorted({row[4] for row in rows})).join(_lookup_rows(index, rows, "kmer"), "kmer")
+    return joined_segments(index, found, "motif_id", "part", "needed", "key_no", "block")
+
+
+def joined_segments(index: MotifIndex, found: DataFrame, *key: str) -> DataFrame:
+    """One mask per key and block, where segments may have brought one each."""
+    return found.groupBy(*key).agg(F.bit_or("mask").alias("mask")) if index.segments else found
 
 
 def _near_kmers(index: MotifIndex, keys: list[str]) -> DataFrame:
@@ -111,10 +117,10 @@ def _bloom_hits(index: MotifIndex, rows: list[tuple]) -> DataFrame:
     """A bin holds a k-mer, up to false positives, when all its hash positions are set."""
     at = _bloom_probes(index, sorted({row[4] for row in rows}))
     probes = [(*row[:4], position) for row in rows for position in at[row[4]]]
+    found = _near_positions(index, sorted({probe[4] for probe in probes})).join(_lookup_rows(index, probes, "position"), "position")
+    found = joined_segments(index, found, "motif_id", "part", "needed", "key_no", "position", "block")
     return (
-        _near_positions(index, sorted({probe[4] for probe in probes}))
-        .join(_lookup_rows(index, probes, "position"), "position")
-        .groupBy("motif_id", "part", "needed", "key_no", "block")
+        found.groupBy("motif_id", "part", "needed", "key_no", "block")
         .agg(F.bit_and("mask").alias("mask"), F.count("*").alias("found"))
         .where((F.col("found") == index.meta["hash_count"]) & (F.col("mask") != 0))
     )
@@ -139,6 +145,7 @@ def _hits(index: MotifIndex, rows: list[tuple]) -> DataFrame:
     if dgrams:
         near = _near_dgrams(index, sorted({row[4] for row in dgrams}))
         gapped = near.join(_lookup_rows(index, dgrams, "code"), "code")
+        gapped = joined_segments(index, gapped, "motif_id", "part", "needed", "key_no", "block")
         columns = ["motif_id", "part", "needed", "key_no", "block", "mask"]
         found = gapped if found is None else found.select(columns).union(gapped.select(columns))
     return found
@@ -219,7 +226,7 @@ def _held(index: MotifIndex, keys: list[str]) -> tuple[np.ndarray, dict[str, np.
         for i, name in enumerate(names):
             if name not in held:
                 held[name] = np.zeros(len(blocks), np.int64)
-            held[name][place[i]] = masks[i]
+            held[name][place[i]] |= masks[i]  # a block may have a mask per segment
     if "b" in sources:
         nothing = np.zeros(len(blocks), np.int64)
         for kmer, probe in at.items():

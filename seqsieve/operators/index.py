@@ -9,13 +9,20 @@ On disk an index is a folder of parquet tables:
 * ``bloom``     (position, block, mask), by ranges of positions, instead of postings
 * ``dgrams``    (code, block, mask) of gapped k-mers, when asked for
 * ``meta``      one JSON line with the parameters; written last
+* ``segments``  what was appended later, each a folder of the same tables
+
+Appended records get blocks of their own unless their bin is known; a key may then have a mask
+per segment for one block, and lookups join them by ``bit_or``. A segment counts from the
+moment ``meta`` names it, so what a failed attempt leaves behind is never read.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import uuid
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -25,6 +32,7 @@ from seqsieve.functions import alphabet
 from seqsieve.operators import kmers as K
 from seqsieve.plans.windows import IndexShape
 from seqsieve.session import scratch_folder
+from seqsieve.sources.fasta import records_of, stream_fasta
 
 SCHEMAS = {
     "bin_stats": "bin string, n_records bigint, n_indexed bigint, n_kmers bigint,"
@@ -46,11 +54,23 @@ PUSHED_SPANS = 128  # ranges of bins handed to the reader; more are joined at th
 MAX_LETTERS = 64  # with more distinct letters, wildcards are not spelled out
 
 
-def _read(spark: SparkSession, path: str, name: str) -> DataFrame:
+def _read(spark: SparkSession, path: str, name: str, segments: tuple = ()) -> DataFrame:
     """A table of the index; the schema is given, so opening it runs no job."""
-    return spark.read.schema(SCHEMAS[name.split("_")[0] if name.startswith("dgrams") else name]).parquet(
-        f"{path}/{name}"
-    )
+    return _of_segments(spark, path, name, segments, SCHEMAS[name.split("_")[0] if name.startswith("dgrams") else name])
+
+
+def _of_segments(spark: SparkSession, path: str, name: str, segments: tuple, schema) -> DataFrame:
+    homes = [path, *(f"{path}/segments/{segment}" for segment in segments)]
+    return reduce(DataFrame.unionByName, [spark.read.schema(schema).parquet(f"{home}/{name}") for home in homes])
+
+
+def _read_bins(spark: SparkSession, path: str, segments: tuple = ()) -> DataFrame:
+    bins = _read(spark, path, "bins", segments)
+    if not segments:
+        return bins
+    sums = [F.sum(c).alias(c) for c in ("n_records", "n_indexed", "n_kmers", "residues", "n_not_ascii")]
+    merged = bins.groupBy("bin", "block", "lane", "bin_id").agg(*sums, F.max("longest").alias("longest"))
+    return merged.select(bins.columns)
 
 
 @dataclass
@@ -64,9 +84,13 @@ class MotifIndex:
 
     def table(self, name: str) -> DataFrame:
         if name not in self._tables:
-            self._tables[name] = _read(self.spark, self.path, name)
+            self._tables[name] = _read(self.spark, self.path, name, self.segments)
         return self._tables[name]
 
+    @property
+    def segments(self) -> tuple:
+        return tuple(self.meta.get("segments", ()))
+
     @property
     def k(self) -> int:
         return self.meta["k"]
@@ -258,13 +282,7 @@ def build_index(
     path = path or scratch_folder(spark)
     _bin_stats(records, k).write.parquet(f"{path}/bin_stats")
     stats = _read(spark, path, "bin_stats")
-    total = stats.agg(
-        F.count("*").alias("n_bins"),
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_records", "n_indexed", "residues", "n_not_ascii")],
-        F.coalesce(F.max("n_kmers"), F.lit(0)).alias("largest_bin"),
-        F.coalesce(F.max("longest"), F.lit(0)).alias("longest"),
-        F.coalesce(F.sum(F.octet_length("bin") + 32), F.lit(0)).alias("bin_bytes"),
-    ).first().asDict()
+    total = _totals(stats)
     if not total["n_bins"]:
         raise ValueError("nothing to index")
     _number_bins(stats, total["n_bins"]).write.parquet(f"{path}/bins")
@@ -273,7 +291,7 @@ def build_index(
     n_blocks = math.ceil(total["n_bins"] / 64)
     if total["n_bins"] > BINS_PER_GROUP:  # several groups, each with a last block not full
         n_blocks = bins.select("block").distinct().count()
-    shards = _shards(int(total["residues"]), n_blocks)
+    shards = _shards(total["residues"], n_blocks)
     placed = _place(records, bins, total["bin_bytes"])
     if store_records:
         sharded = placed.withColumn("shard", F.col("block") % shards)
@@ -289,13 +307,13 @@ def build_index(
         "layout": layout,
         "fpr": fpr,
         "hash_count": hash_count,
-        "bin_bits": bloom_bits(int(total["largest_bin"]), fpr),
+        "bin_bits": bloom_bits(total["largest_bin"], fpr),
         "dgram_gaps": list(dgram_gaps) if dgram_gaps else None,
         "store_records": store_records,
         "n_blocks": n_blocks,
         "shards": shards if store_records else None,
         "prefix": _prefix_length(molecule, total["residues"]),
-        **{c: int(v) for c, v in total.items()},
+        **total,
     }
 
     postings = K.kmer_postings(placed, k, molecule, reduction, ascii_only)
@@ -364,19 +382,30 @@ def add_dgrams(index: MotifIndex, low: int = 3, high: int = 21) -> MotifIndex:
     if not 0 < low <= high:
         raise ValueError("need 0 < low <= high")
     folder = f"dgrams_{low}_{high}"
-    postings = K.dgram_postings(index.records, low, high).withColumn("gap", F.expr(f"cast(code div {20**6} AS int)"))
-    tasks = _tasks(postings, int(index.meta["residues"]) * (high - low + 1))
+    _write_dgrams(index.records, (low, high), int(index.meta["residues"]), f"{index.path}/{folder}")
+    for segment in index.segments:  # the table above has what they hold, too
+        empty = index.spark.createDataFrame([], SCHEMAS["dgrams"])
+        empty.write.mode("overwrite").parquet(f"{index.path}/segments/{segment}/{folder}")
+    index.meta["dgram_gaps"] = [low, high]
+    index.meta["dgram_table"] = folder
+    _write_meta(index)
+    return index
+
+
+def _write_dgrams(records: DataFrame, gaps: tuple, residues: int, path: str) -> None:
+    postings = K.dgram_postings(records, *gaps).withColumn("gap", F.expr(f"cast(code div {20**6} AS int)"))
+    _range_dgrams(postings, gaps, residues, path)
+
+
+def _range_dgrams(postings: DataFrame, gaps: tuple, residues: int, path: str) -> None:
+    tasks = _tasks(postings, residues * (gaps[1] - gaps[0] + 1))
     (
         postings.repartitionByRange(tasks, "gap", "code")
         .sortWithinPartitions("gap", "code", "block")
         .write.mode("overwrite")
         .partitionBy("gap")
-        .parquet(f"{index.path}/{folder}")
+        .parquet(path)
     )
-    index.meta["dgram_gaps"] = [low, high]
-    index.meta["dgram_table"] = folder
-    _write_meta(index)
-    return index
 
 
 def load_meta(spark: SparkSession, path: str) -> dict:
@@ -387,9 +416,11 @@ def load_meta(spark: SparkSession, path: str) -> dict:
 def load_index(spark: SparkSession, path: str, records: DataFrame | None = None) -> MotifIndex:
     """Open a stored index; ``records`` is needed when it keeps no copy of them."""
     meta = load_meta(spark, path)
-    bins = _read(spark, path, "bins")
+    segments = tuple(meta.get("segments", ()))
+    bins = _read_bins(spark, path, segments)
     if meta["store_records"]:
-        placed = spark.read.parquet(f"{path}/records")
+        schema = spark.read.parquet(f"{path}/records").schema
+        placed = _of_segments(spark, path, "records", segments, schema)
     elif records is not None:
         placed = _place(records, bins, meta["bin_bytes"])
     else:
@@ -397,6 +428,130 @@ def load_index(spark: SparkSession, path: str, records: DataFrame | None = None)
     return MotifIndex(spark, path, meta, placed, bins)
 
 
+# ------------------------------------------------------------------------ growing
+_SUMMED = ("n_records", "n_indexed", "residues", "n_not_ascii")
+
+
+def _totals(stats: DataFrame) -> dict:
+    total = stats.agg(
+        F.count("*").alias("n_bins"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _SUMMED],
+        F.coalesce(F.max("n_kmers"), F.lit(0)).alias("largest_bin"),
+        F.coalesce(F.max("longest"), F.lit(0)).alias("longest"),
+        F.coalesce(F.sum(F.octet_length("bin") + 32), F.lit(0)).alias("bin_bytes"),
+    ).first().asDict()
+    return {name: int(value) for name, value in total.items()}
+
+
+def append(index: MotifIndex, records: DataFrame, batch: tuple[str, int] | None = None) -> MotifIndex:
+    """The index with more records, of new bins or of known ones, as one more segment.
+
+    Only the new records are read and indexed. ``batch`` names a stream and the number of
+    its batch; a batch that is in already changes nothing. The Bloom layout keeps the number
+    of bits it was built with, so large additions raise its rate of false positives until
+    the index is compacted.
+    """
+    spark, meta = index.spark, dict(index.meta)
+    if not meta["store_records"]:
+        raise ValueError("an index that stores no records cannot be appended to")
+    streams = dict(meta.get("streams", {}))
+    if batch and streams.get(batch[0], -1) >= batch[1]:
+        return index
+    name = uuid.uuid4().hex
+    path = f"{index.path}/segments/{name}"
+    columns = [c for c in index.records.columns if c not in ("block", "lane", "bin_id", "shard")]
+    records = records.select(columns)
+    _bin_stats(records, meta["k"]).write.parquet(f"{path}/bin_stats")
+    stats = _read(spark, path, "bin_stats")
+    slots = index.bins.select(F.col("bin").alias("_bin"), "block", "lane", "bin_id")
+    known = stats.join(slots, F.col("bin") == F.col("_bin")).drop("_bin")
+    fresh = stats.join(slots, F.col("bin") == F.col("_bin"), "left_anti")
+    n_fresh = fresh.count()
+    first = (index.bins.agg(F.max("block")).first()[0] or 0) + 1
+    numbered = _number_bins(fresh, max(n_fresh, 1)).withColumn("block", F.col("block") + first)
+    numbered = numbered.withColumn("bin_id", F.col("block").cast("bigint") * 64 + F.col("lane"))
+    known.select(index.bins.columns).union(numbered.select(index.bins.columns)).write.parquet(f"{path}/bins")
+    bins = _read(spark, path, "bins")
+    total = _totals(stats)
+    if not total["n_bins"]:
+        return index
+    placed = _place(records, bins, total["bin_bytes"]).withColumn("shard", F.col("block") % meta["shards"])
+    _write_records(placed, meta["shards"], f"{path}/records")
+    placed = spark.read.schema(placed.schema).parquet(f"{path}/records")
+    ascii_only = total["n_not_ascii"] == 0
+    sized = meta | {"residues": total["residues"]}
+    postings = K.kmer_postings(placed, meta["k"], meta["molecule"], meta["reduction"], ascii_only)
+    home = path if meta["layout"] == "exact" else scratch_folder(spark)
+    _write_postings(postings, sized, f"{home}/postings")
+    stored = _read(spark, home, "postings")
+    if meta["layout"] == "bloom":
+        _write_bloom(stored, meta, f"{path}/bloom")
+    if meta["dgram_gaps"]:
+        _write_dgrams(placed, meta["dgram_gaps"], total["residues"], f"{path}/{meta['dgram_table']}")
+    letters = _letters(stored, meta["molecule"]) if ascii_only else None
+    meta["letters"] = sorted({*meta["letters"], *letters}) if letters is not None and meta["letters"] is not None else None
+    meta["segments"] = [*index.segments, name]
+    meta["n_bins"] += n_fresh
+    meta["n_blocks"] += bins.where(F.col("block") >= first).select("block").distinct().count()
+    for column in _SUMMED:
+        meta[column] += total[column]
+    for column in ("largest_bin", "longest"):
+        meta[column] = max(meta.get(column, 0), total[column])
+    meta["bin_bytes"] += total["bin_bytes"]
+    if batch:
+        meta["streams"] = streams | {batch[0]: batch[1]}
+    grown = MotifIndex(spark, index.path, meta, index.records, index.bins)
+    _write_meta(grown)
+    return load_index(spark, index.path)
+
+
+def append_stream(index: MotifIndex, files: str, checkpoint: str):
+    """Appends FASTA files as they arrive in a folder, a segment per micro-batch.
+
+    Returns the query, which stops when all files there are in. A batch that is run again
+    after a failure is not added twice.
+    """
+    path, spark = index.path, index.spark
+
+    def add(chunks: DataFrame, number: int) -> None:  # to what earlier batches have made of it
+        append(load_index(spark, path), records_of(chunks), (checkpoint, number))
+
+    stream = stream_fasta(spark, files)
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def compact(index: MotifIndex, path: str | None = None) -> MotifIndex:
+    """The same index in one piece, in another folder.
+
+    Exact postings of the segments are merged without a look at the records; the Bloom
+    layout is built anew with the bits that its largest bin needs now.
+    """
+    spark, meta = index.spark, dict(index.meta)
+    path = path or scratch_folder(spark)
+    plain = [c for c in index.records.columns if c not in ("block", "lane", "bin_id", "shard")]
+    if meta["layout"] == "bloom":
+        gaps = tuple(meta["dgram_gaps"]) if meta["dgram_gaps"] else None
+        return build_index(
+            index.records.select(plain), k=meta["k"], molecule=meta["molecule"], reduction=meta["reduction"],
+            layout="bloom", fpr=meta["fpr"], hash_count=meta["hash_count"], dgram_gaps=gaps, path=path,
+        )
+    index.bins.write.parquet(f"{path}/bins")
+    placed = index.records.drop("shard")
+    meta["shards"] = _shards(meta["residues"], meta["n_blocks"])
+    meta["prefix"] = _prefix_length(meta["molecule"], meta["residues"])
+    sharded = placed.withColumn("shard", F.col("block") % meta["shards"])
+    _write_records(sharded, meta["shards"], f"{path}/records")
+    merged = index.table("postings").groupBy("kmer", "block").agg(F.bit_or("mask").alias("mask"))
+    _write_postings(merged, meta, f"{path}/postings")
+    if meta["dgram_gaps"]:
+        gapped = index.table(meta["dgram_table"]).groupBy("gap", "code", "block").agg(F.bit_or("mask").alias("mask"))
+        _range_dgrams(gapped, meta["dgram_gaps"], meta["residues"], f"{path}/{meta['dgram_table']}")
+    meta["segments"] = []
+    whole = MotifIndex(spark, path, meta, index.records, index.bins)
+    _write_meta(whole)
+    return load_index(spark, path)
+
+
 def inspect(index: MotifIndex) -> DataFrame:
     """One row of parameters and counts; ``index.bins`` lists the bins themselves."""
     meta = index.meta

@@ -44,14 +44,26 @@ def read_fasta(spark: SparkSession, paths: list[str]) -> DataFrame:
     Files start with a record. ``rec_id`` is unique and rises in file order within the
     file split that begins at byte ``split_start``.
     """
-    chunks = spark.read.option("lineSep", "\n>").text(expand_paths(spark, paths))
+    return records_of(_chunks(spark.read.option("lineSep", "\n>").text(expand_paths(spark, paths))))
+
+
+def stream_fasta(spark: SparkSession, folder: str) -> DataFrame:
+    """Files as they arrive in a folder, in pieces of which ``records_of`` makes records, batch by batch."""
+    return _chunks(spark.readStream.option("lineSep", "\n>").text(folder))
+
+
+def _chunks(text: DataFrame) -> DataFrame:
+    return text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split_start"))
+
+
+def records_of(chunks: DataFrame) -> DataFrame:
     record = F.regexp_replace("value", r"^\s*>", "")
     header = F.rtrim(F.substring_index("record", "\n", 1), F.lit("\r"))
     return (
         chunks.select(
-            _file_bin(F.col("_metadata.file_path")).alias("bin"),
+            _file_bin(F.col("file")).alias("bin"),
             F.monotonically_increasing_id().alias("rec_id"),
-            F.col("_metadata.file_block_start").alias("split_start"),
+            "split_start",
             record.alias("record"),
         )
         .where("trim(record) != ''")
