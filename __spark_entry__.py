@@ -153,6 +153,34 @@ def _joined_sources(spark: SparkSession, sf: str) -> DataFrame:
     return S.search(_indexes[key], "(T|TH|THE)R?N").groupBy("bin", "match").agg(F.count("*").alias("n"), F.sum("start").alias("starts"))
 
 
+def _search_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """What one search counted inside its own job."""
+    found, figures = S.search_observed(_peptides(spark, sf, fine=True), "LY[AEG]N")
+    found.write.format("noop").mode("overwrite").save()
+    counted = figures()
+    return spark.createDataFrame([(counted["candidate_bins"], counted["records_matched"], counted["matches"])],
+                                 "candidate_bins bigint, records_matched bigint, matches bigint")
+
+
+def _parts_named(spark: SparkSession, sf: str) -> DataFrame:
+    """Names and contents of the files a splitter writes."""
+    parts = SP.split_n_parts(_sized(spark, sf), 12, "doc_id", SP.record_size(F.col("name"), F.col("seq")))
+    folder = scratch_folder(spark)
+    fasta.write_fasta_files(parts, folder, "docs", "doc_id")
+    files = spark.read.text(folder, wholetext=True)
+    name = F.regexp_extract("_metadata.file_path", "[^/]+$", 0)
+    return files.select(name.alias("file"), F.length("value").cast("bigint").alias("size"), F.md5(F.col("value").cast("binary")).alias("content"))
+
+
+def _index_appended(spark: SparkSession, sf: str) -> DataFrame:
+    """Matches in an index that was built of some documents and grew by the others."""
+    docs = _documents(spark, sf)
+    index = S.build_index(document_records(docs.where("doc_id % 3 = 0")), k=4)
+    for rest in (1, 2):
+        index = S.append(index, document_records(docs.where(F.col("doc_id") % 3 == rest)))
+    return S.search(index, "LY[AEG]N")
+
+
 def _short_motifs() -> dict[str, str]:
     """1,000 motifs that demand no k-mer of four: each is looked for in every record."""
     ends = ["", "[AE]", "[^A]", ".", "R?", "(S|T)?", "N{2}", "[LIVM]{1,2}", "$", "D+"]
@@ -385,6 +413,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             _sized(s, d), 20_000, "doc_id", SP.record_size(F.col("name"), F.col("seq")), max_parts=3
         ).select("doc_id", "part"),
         "index_of_parts": _index_of_parts,
+        "search_stats": _search_stats,
+        "fasta_parts_named": _parts_named,
+        "index_appended": _index_appended,
         "fasta_round_trip": _fasta_round_trip(_read_parts),
     }
     for name, pattern in PATTERNS.items():
@@ -710,6 +741,14 @@ def oracle_sql() -> dict[str, str]:
             f"(SELECT 'part=' || p.part AS bin, r.name, r.seq FROM ({_n_parts_sql(_SIZE, 4)}) p"
             f" JOIN {_rec()} r ON r.name = CAST(p.doc_id AS VARCHAR))",
         ),
+        "index_appended": _matches_sql("LY[AEG]N"),
+        "search_stats": "SELECT (SELECT count(*) FROM ("
+        f"{_candidates_sql(['LYAN', 'LYEN', 'LYGN'], 4)})) AS candidate_bins, count(DISTINCT name) AS records_matched,"
+        f" count(*) AS matches FROM ({_matches_sql('LY[AEG]N')})",
+        "fasta_parts_named": "SELECT 'docs.part-' || lpad(CAST(part AS VARCHAR), 2, '0') || '.fasta' AS file,"
+        " length(content) AS size, md5(content) AS content FROM (SELECT part, string_agg('>' || name || chr(10) ||"
+        " regexp_replace(regexp_replace(seq, '(.{100})', '\\1' || chr(10), 'g'), '\\n$', '') || chr(10), '' ORDER BY p.doc_id) AS content"
+        f" FROM ({_n_parts_sql(_SIZE, 12)}) p JOIN {_rec()} r ON r.name = CAST(p.doc_id AS VARCHAR) GROUP BY part)",
         "fasta_round_trip": f"SELECT name, 'document ' || name AS comment, seq FROM {_rec()}",
     }
     for name, pattern in PATTERNS.items():

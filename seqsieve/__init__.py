@@ -10,6 +10,7 @@ from seqsieve.operators.search import (
     search_all_of,
     search_files,
     search_many,
+    search_observed,
 )
 
 __all__ = [
@@ -28,4 +29,5 @@ __all__ = [
     "search_all_of",
     "search_files",
     "search_many",
+    "search_observed",
 ]

@@ -59,6 +59,8 @@ def _parser() -> argparse.ArgumentParser:
     split.add_argument("--line-length", type=int, default=100)
     split.add_argument("--eol", choices=["unix", "dos", "mac"], default="unix")
     split.add_argument("--out-dir", required=True)
+    split.add_argument("--part-num-prefix", default=".part-", help="between a file's name and the part's number")
+    split.add_argument("--nopad", action="store_true", help="do not pad part numbers to equal width")
     split.add_argument("files", nargs="+")
     return top
 
@@ -72,7 +74,7 @@ def _query(spark: SparkSession, args: argparse.Namespace) -> None:
     index = S.load_index(spark, args.index)
     pattern = sys.stdin.read().split()[0] if args.pattern == "-" else args.pattern
     options = {"augment": args.augment, "dgrams": args.gapped}
-    begin = time.perf_counter()
+    begin, figures = time.perf_counter(), None
     if args.draw:
         with open(args.draw, "w") as out:
             out.write(S.pattern_dot(index, pattern, **options))
@@ -82,16 +84,21 @@ def _query(spark: SparkSession, args: argparse.Namespace) -> None:
     elif args.conj:
         lines = fasta.conjunction_lines(S.search_all_of(index, pattern.split(":"), **options))
     else:
-        if args.verbose:
+        found = None
+        if args.verbose and args.output:
+            found, figures = S.search_observed(index, pattern, **options)
+        elif args.verbose:  # lines that are printed one by one do not report what was counted
             count = S.candidate_bins(index, pattern, **options).count()
-            print(f"Narrowed search to {count} possible bins", file=sys.stderr)
-        lines = fasta.match_lines(S.search(index, pattern, **options))
+            print(f"candidate_bins: {count}", file=sys.stderr)
+        lines = fasta.match_lines(S.search(index, pattern, **options) if found is None else found)
     if args.output:
         writer = lines.write.partitionBy("motif_id") if "motif_id" in lines.columns else lines.write
         writer.text(args.output)
     else:
         _show(lines)
     if args.verbose:
+        for name, value in (figures() if figures else {}).items():
+            print(f"{name}: {value}", file=sys.stderr)
         print(f"Query time: {time.perf_counter() - begin:.3f}", file=sys.stderr)
 
 
@@ -99,7 +106,7 @@ def _split(spark: SparkSession, args: argparse.Namespace) -> None:
     if not (args.n_parts or args.part_size):
         raise SystemExit("split needs --n-parts, --part-size or both")
     eol = {"unix": "\n", "dos": "\r\n", "mac": "\r"}[args.eol]
-    for number, path in enumerate(args.files):
+    for path in args.files:
         records = SP.with_order(fasta.read_fasta(spark, [path]))
         header = F.concat_ws(" ", "name", F.when(F.col("comment") != "", F.col("comment")))
         size = SP.record_size(header, F.col("seq"), args.measure, args.line_length, eol)
@@ -107,8 +114,11 @@ def _split(spark: SparkSession, args: argparse.Namespace) -> None:
             parts = SP.split_part_size(records, args.part_size, "ord", size, args.n_parts)
         else:
             parts = SP.split_n_parts(records, args.n_parts, "ord", size)
-        folder = f"{args.out_dir}/{number}" if len(args.files) > 1 else args.out_dir
-        fasta.write_fasta_parts(parts, folder, "ord", args.line_length, eol)
+        base, dot, extension = path.rstrip("/").rsplit("/", 1)[-1].removesuffix(".gz").rpartition(".")
+        fasta.write_fasta_files(
+            parts, args.out_dir, base or extension, "ord", prefix=args.part_num_prefix, pad=not args.nopad,
+            extension=dot + extension if base else "", line_length=args.line_length, eol=eol,
+        )
 
 
 def main(argv: list[str] | None = None) -> None:

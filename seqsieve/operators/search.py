@@ -7,11 +7,12 @@ all records would return; the index only decides which records are looked at.
 from __future__ import annotations
 
 import warnings
+from collections.abc import Callable
 from functools import reduce
 from dataclasses import dataclass, replace
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from seqsieve.functions import alphabet
@@ -298,6 +299,43 @@ def search(
     return _search(index, [motif], augment, dgrams, original).drop("motif_id")
 
 
+def search_observed(
+    index: MotifIndex,
+    pattern: str,
+    *,
+    augment: bool = False,
+    dgrams: bool = False,
+    longest: bool | None = None,
+) -> tuple[DataFrame, Callable[[], dict]]:
+    """``search`` and, to be called when its rows have been written or collected, what that counted.
+
+    candidate_bins, records_read, records_matched and matches are counted inside the search's
+    own job; nothing is read again for them.
+    """
+    longest = index.meta["molecule"] == "aa" if longest is None else longest
+    motif = prepare(pattern, reduction=index.meta["reduction"], longest=longest)
+    looked_up = _look_up(index, [motif], augment, dgrams)
+    everywhere = looked_up.bins is None and looked_up.masks is None
+    if everywhere:
+        records, n_bins = index.records, index.n_bins
+    elif looked_up.bins is not None:
+        records, n_bins = index.of_bins(looked_up.bins), len(looked_up.bins)
+    else:  # too many masks to have been fetched
+        records = index.in_blocks(looked_up.masks.select("block", "mask"))
+        n_bins = looked_up.masks.agg(F.coalesce(F.sum(F.bit_count("mask")), F.lit(0))).first()[0]
+    if motif.id in looked_up.unfiltered:
+        records, n_bins = index.records, index.n_bins
+    if not n_bins:
+        empty = _matches(_everywhere(_texts(index.records.where(F.lit(False)), index.meta["molecule"], index.meta["reduction"]), [motif]), [motif])
+        return empty.drop("motif_id"), lambda: {"candidate_bins": 0, "records_read": 0, "records_matched": 0, "matches": 0}
+    counted = {name: Observation() for name in ("records_read", "records_matched", "matches")}
+    one = F.count(F.lit(1)).alias("n")
+    texts = _texts(records.observe(counted["records_read"], one), index.meta["molecule"], index.meta["reduction"])
+    hits = _everywhere(texts, [motif]).observe(counted["records_matched"], one)
+    found = _matches(hits, [motif]).drop("motif_id").observe(counted["matches"], one)
+    return found, lambda: {"candidate_bins": int(n_bins), **{name: seen.get["n"] for name, seen in counted.items()}}
+
+
 def search_many(
     index: MotifIndex,
     motifs: dict[str, str] | DataFrame,

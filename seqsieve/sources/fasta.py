@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -230,3 +231,48 @@ def write_fasta_parts(
         .partitionBy("part")
         .text(path)
     )
+
+
+def write_fasta_files(
+    parts: DataFrame,
+    folder: str,
+    base: str,
+    order: str,
+    *,
+    prefix: str = ".part-",
+    pad: bool = True,
+    extension: str = ".fasta",
+    line_length: int = 100,
+    eol: str = "\n",
+) -> list[str]:
+    """Write records carrying ``part`` to one file per part; returns the files' paths.
+
+    A file is named ``base``, ``prefix``, the part's number (padded to equal width) and
+    ``extension``. One task streams a part, in order. The files are written aside and moved
+    when all are complete, so the folder never shows a part that is not whole.
+    """
+    spark = parts.sparkSession
+    if "comment" not in parts.columns:
+        parts = parts.withColumn("comment", F.lit(""))
+    aside = f"{folder.rstrip('/')}/_writing-{uuid.uuid4().hex}"
+    (
+        parts.repartition("part")
+        .sortWithinPartitions("part", order)
+        .select("part", fasta_text(line_length, eol).alias("value"))
+        .write.option("lineSep", eol)
+        .partitionBy("part")
+        .text(aside)
+    )
+    # names only from here on: one listing and one move per part
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    files = path_of(aside).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = {int(s.getPath().getParent().getName().split("=")[1]): s.getPath() for s in files.globStatus(path_of(f"{aside}/part=*/part-*")) or ()}
+    width = len(str(max(found))) if pad and found else 0
+    targets = []
+    for number, source in sorted(found.items()):
+        target = f"{folder.rstrip('/')}/{base}{prefix}{number:0{width}d}{extension}"
+        if not files.rename(source, path_of(target)):
+            raise OSError(f"cannot write {target}: it exists or the folder is not writable")
+        targets.append(target)
+    files.delete(path_of(aside), True)
+    return targets

@@ -151,7 +151,44 @@ def test_command_line(spark, files, capsys):
     main(["rev_translate", "-i", "MW"])
     assert capsys.readouterr().out.split() == ["A.", "ATGTGG"]
     main(["split", "--n-parts", "2", "--out-dir", str(files / "parts"), str(files / "f1.fa")])
-    assert sorted(p.name for p in (files / "parts").iterdir() if p.is_dir()) == ["part=1", "part=2"]
+    written = {p.name: p.read_text() for p in (files / "parts").iterdir() if not p.name.startswith(".")}
+    assert written == {"f1.part-1.fa": ">Snippet1.1\nAACCGG\n", "f1.part-2.fa": ">Snippet1.2\nAACGG\n"}
+    main(["query", "-v", idx, "AC+G"])
+    assert "candidate_bins: 1" in capsys.readouterr().err
+    main(["query", "-v", "-o", str(files / "found"), idx, "AC+G"])
+    figures = dict(line.split(": ") for line in capsys.readouterr().err.splitlines() if ": " in line and " " not in line.split(": ")[0])
+    assert figures["candidate_bins"] == "1" and figures["matches"] == "2" and figures["records_matched"] == "2"
+
+
+@pytest.mark.parametrize("pad, eol", [(True, "\n"), (False, "\r\n")])
+def test_part_files(spark, tmp_path, pad, eol):
+    rows = [(i, i % 11 + 1, f"n{i}", "c" if i % 2 else "", "ACDEF" * (i % 7)) for i in range(60)]
+    parts = spark.createDataFrame(rows, "ord int, part int, name string, comment string, seq string").repartition(5)
+    paths = fasta.write_fasta_files(parts, str(tmp_path / "p"), "x", "ord", prefix="_", pad=pad, extension=".fa", line_length=10, eol=eol)
+    assert [p.rsplit("/", 1)[-1] for p in paths] == [f"x_{n:02d}.fa" if pad else f"x_{n}.fa" for n in range(1, 12)]
+    for number, path in enumerate(paths, 1):
+        want = ""
+        for _, part, name, comment, seq in rows:
+            if part == number:
+                lines = [seq[i : i + 10] for i in range(0, len(seq), 10)] or [""]
+                want += eol.join([f">{name} {comment}".rstrip(), *lines]) + eol
+        assert open(path, newline="").read() == want
+    assert not [p for p in (tmp_path / "p").iterdir() if p.name.startswith("_writing")]
+    with pytest.raises(OSError):  # a part that is there already is not replaced
+        fasta.write_fasta_files(parts, str(tmp_path / "p"), "x", "ord", prefix="_", pad=pad, extension=".fa")
+
+
+def test_what_a_search_counts(spark):
+    data = [(f"b{i}", f"r{i}", "ACDEACD" if i % 4 == 0 else "KKKLLL") for i in range(200)]
+    index = S.build_index(spark.createDataFrame(data, "bin string, name string, seq string"), k=3)
+    found, figures = S.search_observed(index, "ACD")
+    assert found.count() == 100
+    seen = figures()
+    assert seen["candidate_bins"] == seen["records_matched"] == 50 and seen["matches"] == 100 and 50 <= seen["records_read"] <= 200
+    for pattern, bins, matches in (("WWW", 0, 0), ("K+", 200, 150)):
+        found, figures = S.search_observed(index, pattern)
+        assert found.count() == matches
+        assert (figures()["candidate_bins"], figures()["matches"]) == (bins, matches)
 
 
 def test_searching_only_candidate_files(spark, files):
