@@ -181,6 +181,32 @@ def _index_appended(spark: SparkSession, sf: str) -> DataFrame:
     return S.search(index, "LY[AEG]N")
 
 
+def _motif_file(spark: SparkSession, sf: str) -> DataFrame:
+    """A batch that is read from a file: a motif for every letter that a word begins with."""
+    lines = _words(spark, sf).select(F.substring("word", 1, 1).alias("letter")).distinct()
+    folder = scratch_folder(spark)
+    lines.select(F.concat("letter", F.lit("\t"), "letter", F.lit("[AE]RT"))).write.text(folder)
+    found = S.search_many(_peptides(spark, sf), fasta.read_motifs(spark, folder))
+    return found.groupBy("motif_id", "bin").agg(F.count("*").alias("n"))
+
+
+def _manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of files that a manifest lists."""
+    records = _sized(spark, sf).withColumn("comment", F.concat(F.lit("document "), "name"))
+    parts = SP.split_n_parts(records, 3, "doc_id", SP.record_size(F.col("name"), F.col("seq")))
+    folder = scratch_folder(spark)
+    paths = fasta.write_fasta_files(parts, folder, "docs", "doc_id")
+    spark.createDataFrame([(p,) for p in paths], "path string").coalesce(1).write.text(f"{folder}-all.lst")
+    return fasta.read_fasta(spark, [f"{folder}-all.lst"]).select("name", "comment", "seq")
+
+
+def _one_bin(spark: SparkSession, sf: str) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf, "one bin")
+    if key not in _indexes:
+        _indexes[key] = S.build_index(_records(spark, sf).withColumn("bin", F.lit("all")), k=4)
+    return S.search(_indexes[key], "LY[AEG]N")
+
+
 def _short_motifs() -> dict[str, str]:
     """1,000 motifs that demand no k-mer of four: each is looked for in every record."""
     ends = ["", "[AE]", "[^A]", ".", "R?", "(S|T)?", "N{2}", "[LIVM]{1,2}", "$", "D+"]
@@ -414,6 +440,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ).select("doc_id", "part"),
         "index_of_parts": _index_of_parts,
         "search_stats": _search_stats,
+        "motif_file": _motif_file,
+        "manifest_records": _manifest,
+        "search_one_bin": _one_bin,
+        "search_loaded_index": lambda s, d: S.search(S.load_index(s, _peptides(s, d).path), "LY[AEG]N"),
+        "search_no_candidates": lambda s, d: S.search(_peptides(s, d, fine=True), "WWWWWWWW"),
         "fasta_parts_named": _parts_named,
         "index_appended": _index_appended,
         "fasta_round_trip": _fasta_round_trip(_read_parts),
@@ -742,6 +773,13 @@ def oracle_sql() -> dict[str, str]:
             f" JOIN {_rec()} r ON r.name = CAST(p.doc_id AS VARCHAR))",
         ),
         "index_appended": _matches_sql("LY[AEG]N"),
+        "motif_file": "SELECT letter AS motif_id, bin, CAST(sum(len(regexp_extract_all(seq, letter || '[AE]RT'))) AS BIGINT) AS n"
+        f" FROM (SELECT DISTINCT substring(word, 1, 1) AS letter FROM {_WORDS}) JOIN {_rec()} ON regexp_matches(seq, letter || '[AE]RT')"
+        " GROUP BY letter, bin",
+        "manifest_records": f"SELECT name, 'document ' || name AS comment, seq FROM {_rec()}",
+        "search_one_bin": _matches_sql("LY[AEG]N", _rec(bin="'all'")),
+        "search_loaded_index": _matches_sql("LY[AEG]N"),
+        "search_no_candidates": _matches_sql("WWWWWWWW", _rec(bin=_DOC_BIN)),
         "search_stats": "SELECT (SELECT count(*) FROM ("
         f"{_candidates_sql(['LYAN', 'LYEN', 'LYGN'], 4)})) AS candidate_bins, count(DISTINCT name) AS records_matched,"
         f" count(*) AS matches FROM ({_matches_sql('LY[AEG]N')})",

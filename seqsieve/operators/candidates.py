@@ -31,6 +31,7 @@ BROADCAST_ROWS = 500_000  # lookup rows are short: this is below 50 MB
 PUSHED_KEYS = 100  # equalities or ranges handed to the reader; with more, wider ranges
 BLOCKS_PER_TASK_GROUP = 64
 FETCHED_MASKS = 500_000  # masks fetched at once: below 20 MB
+BROADCAST_EDGES = 1_000_000  # edges of graphs shipped together: below 50 MB
 FETCHED_EDGES = 500_000  # edges of graphs that are evaluated on the driver
 
 
@@ -165,6 +166,19 @@ def _by_alternatives(index: MotifIndex, rows: list[tuple]) -> DataFrame:
     )
 
 
+def _in_groups(graphs: dict[str, WindowGraph]) -> list[dict[str, WindowGraph]]:
+    """Graphs that are broadcast together: up to BROADCAST_EDGES edges, or one graph (which has a limit of its own)."""
+    groups: list[dict] = []
+    size = BROADCAST_EDGES + 1
+    for motif, graph in graphs.items():
+        size += len(graph.edges)
+        if size > BROADCAST_EDGES:
+            groups.append({})
+            size = len(graph.edges)
+        groups[-1][motif] = graph
+    return groups
+
+
 def _by_graph(index: MotifIndex, graphs: dict[str, WindowGraph]) -> DataFrame:
     rows = [
         (motif, 0, 0, number, key)
@@ -313,8 +327,7 @@ def candidate_masks(index: MotifIndex, graphs: dict[str, WindowGraph]) -> Candid
                 for number in sorted(alternative)
             )
     found = [_by_alternatives(index, listed)] if listed else []
-    if rich:
-        found.append(_by_graph(index, rich))
+    found += [_by_graph(index, group) for group in _in_groups(rich)]
     masks = None
     for frame in found:
         masks = frame if masks is None else masks.unionByName(frame)
