@@ -142,3 +142,13 @@ def test_many_unfiltered_motifs_share_a_pass(spark):
     columns = ["motif_id", "bin", "name", "match", "start", "end"]
     want = sorted((m, *r) for m, p in motifs.items() for r in rows(S.scan(index.records, p).select(columns[1:])))
     assert rows(S.search_many(index, motifs).select(columns)) == want
+
+
+def test_graphs_are_broadcast_in_bounded_groups():
+    class Graph:
+        def __init__(self, n):
+            self.edges = range(n)
+
+    sizes = [600_000, 500_000, 10, 2_000_000, 5]
+    groups = candidates._in_groups({str(i): Graph(n) for i, n in enumerate(sizes)})
+    assert [sorted(g) for g in groups] == [["0"], ["1", "2"], ["3"], ["4"]] and candidates._in_groups({}) == []
