@@ -1,21 +1,26 @@
 """Personal data: fixed patterns, and terms that give protected entities away.
 
 E-mail addresses, IP addresses, card and phone numbers are found by pattern and checked.
-They are also the protected entities of an information-theoretic sanitisation: over the
-whole corpus it counts in how many documents a term stands next to an entity (within
-WINDOW characters), and in how many it and the entity occur at all. The share of
-the entity's information that the term discloses is their pointwise mutual information
-over the entity's own information, ``log(N n_et / (n_e n_t)) / log(N / n_e)``. Terms that
-disclose REMOVE of it or more are removed, those from GENERALISE on are generalised,
-wherever they occur, if they stand next to the entity in MIN_TEXTS different texts at least.
-Windows keep the pairs linear in the text; nothing pairs all terms with all entities.
+They are also the protected entities of an information-theoretic sanitisation: it counts in
+how many of all documents an entity occurs (``n_e``), a term (``n_t``), and both (``n_et``,
+the term outside the matches). The share of the entity's information that the term discloses
+is their pointwise mutual information over the entity's own information,
+``log(N n_et / (n_e n_t)) / log(N / n_e)``. Terms that disclose REMOVE of any entity or more
+are removed, those from GENERALISE on are generalised, wherever they occur. A name in the one
+text that holds an address discloses all of it; so does one that comes in copies with it.
+
+No pair is left out by a least count, a length or a distance. From ``n_et <= n_e`` follows that
+a term can only reach the threshold with ``n_t <= n_e^g N^(1-g)`` (g: GENERALISE); pairs beyond
+that are dropped before the shuffle where the term is one of the COMMON most frequent. Entities
+that lie in the same documents have the same shares and count once, so a list of addresses that
+no other document has is one entity to its document's terms.
 
 All of it is DataFrame expressions. A start inside a run that already failed is never
 tried again, and no repetition recurses, so long texts take linear time.
 
 Cases: null text is empty; texts are read whole, positions are code points; exact copies
-are one text where different ones are asked for, and every repeated row is cleaned; an empty table
-gives an empty result; further columns are not looked at.
+and repeated rows are documents of their own, and every one is cleaned; a single document discloses
+nothing, as all of its terms are in all documents; an empty table gives an empty result; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqsieve.llm.common import text_hash, written
+from seqsieve.llm.common import join_few, most_frequent, text_hash, written
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
@@ -40,10 +45,11 @@ PATTERNS = {
     "phone": ("+", r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 KINDS = [*PATTERNS, "generalised", "removed"]
-WINDOW = 48
-TERM_LETTERS = 4
-MIN_TEXTS = 3
 GENERALISE, REMOVE = 0.8, 0.9
+#: Terms (of COMMON_LETTERS at most) whose counts are broadcast, the most frequent ones.
+COMMON, COMMON_LETTERS = 50_000, 64
+#: Hash buckets of disclosing terms that are broadcast.
+BUCKETS = 1 << 20
 #: Cards are redacted after the kinds that may hold their digits.
 REDACTED = ["email", "phone", "card", "ip"]
 
@@ -92,7 +98,7 @@ def _parts(text: Column, pattern: Column) -> Column:
 
 
 def _spans(text: Column, pattern: Column, kind: str) -> Column:
-    """All matches with their places and surroundings; ``text`` holds one at least."""
+    """All matches with their places; ``text`` holds one at least."""
 
     def placed(x: Column) -> Column:
         found, between = x["found"], x["between"]
@@ -103,7 +109,6 @@ def _spans(text: Column, pattern: Column, kind: str) -> Column:
             return F.struct(
                 (F.get(ends, i) - F.length(match)).alias("start"), F.lit(KINDS.index(kind)).alias("rank"),
                 F.get(ends, i).alias("end"), match.alias("match"),
-                F.right(F.get(between, i), F.lit(WINDOW)).alias("before"), F.left(F.get(between, i + 1), F.lit(WINDOW)).alias("after"),
             )
 
         return _let(_running_sum(widths), lambda ends: F.transform(F.sequence(F.lit(0), F.size(found) - 1), lambda i: one(i, ends)))
@@ -111,7 +116,7 @@ def _spans(text: Column, pattern: Column, kind: str) -> Column:
     return _let(_parts(text, pattern), placed)
 
 
-SPAN = "array<struct<start:int,rank:int,end:int,match:string,before:string,after:string>>"
+SPAN = "array<struct<start:int,rank:int,end:int,match:string>>"
 
 
 def _checked(kind: str) -> Callable[[Column], Column]:
@@ -139,16 +144,28 @@ def base_spans(text: Column) -> Column:
     return F.concat(*parts)
 
 
-def _terms(text: Column) -> Column:
-    words = F.split(F.lower(text), r"[^\p{L}]+")
-    return F.array_distinct(F.filter(words, lambda w: F.length(w) >= TERM_LETTERS))
+def _replaced(text: Column, pattern: Column, tag: str, valid: Callable[[Column], Column]) -> Column:
+    def joined(x: Column) -> Column:
+        tags = F.transform(x["found"], lambda m: F.when(valid(m), tag).otherwise(m))
+        return F.array_join(F.zip_with(x["between"], F.concat(tags, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+
+    return _let(_parts(text, pattern), joined)
+
 
+def _without_base(text: Column, tag: Callable[[str], str]) -> Column:
+    """``text`` with checked matches replaced by the tag of their kind."""
+    def clean(kind: str) -> Callable[[Column], Column]:
+        replaced = lambda t: _replaced(t, F.lit(PATTERNS[kind][1]), tag(kind), partial(_valid, kind))
+        return lambda t: F.when(_tried(t, kind), replaced(t)).otherwise(t)
+
+    for kind in REDACTED:
+        text = _let(text, clean(kind))
+    return text
 
-def _surroundings(span: Column) -> Column:
-    """The terms around a match, without words that the window cuts."""
-    before = F.when(F.length(span["before"]) < WINDOW, span["before"]).otherwise(F.regexp_replace(span["before"], r"^[\p{L}]+", ""))
-    after = F.when(F.length(span["after"]) < WINDOW, span["after"]).otherwise(F.regexp_replace(span["after"], r"[\p{L}]+$", ""))
-    return _terms(F.concat_ws(" ", before, after))
+
+def _terms(text: Column) -> Column:
+    words = F.split(F.lower(text), r"[^\p{L}]+")
+    return F.array_distinct(F.filter(words, lambda w: w != ""))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -157,13 +174,13 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def find_base(docs: DataFrame) -> DataFrame:
-    """doc_id, row_hash and base spans of every row, with the terms around each span."""
-
-    def kept(span: Column) -> Column:
-        entity = F.lower(span["match"])
-        return F.struct(span["start"], span["rank"], span["end"], entity.alias("entity"), _surroundings(span).alias("terms"))
-
-    return _texts(docs).select("doc_id", "row_hash", F.transform(base_spans(F.col("text")), kept).alias("spans"))
+    """doc_id, row_hash and base spans of every row; entities (hashed) and terms beside them of rows with any."""
+    spans = F.transform(base_spans(F.col("text")), lambda s: F.struct(s["start"], s["rank"], s["end"], F.xxhash64(F.lower(s["match"])).alias("entity")))
+    found = _texts(docs).select("doc_id", "row_hash", "text", spans.alias("spans"))
+    entities = F.array_distinct(F.transform("spans", lambda s: s["entity"]))
+    beside = F.when(F.size("spans") > 0, _terms(_without_base(F.col("text"), lambda kind: " ")))
+    plain = F.transform("spans", lambda s: F.struct(s["start"], s["rank"], s["end"]))
+    return found.select("doc_id", "row_hash", plain.alias("spans"), entities.alias("entities"), beside.alias("terms"))
 
 
 def _words(texts: DataFrame) -> DataFrame:
@@ -171,39 +188,58 @@ def _words(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", "row_hash", F.explode(_terms(F.col("text"))).alias("term"))
 
 
-def revealing_terms(docs: DataFrame, base: DataFrame) -> DataFrame:
-    """term and kind (generalised or removed) of the terms that disclose an entity.
+def _entity_sets(held: DataFrame) -> DataFrame:
+    """row and sets (array of n_e and two sums that tell sets of documents apart) of rows with entities.
 
-    All terms are counted before the candidates are looked up, so that no occurrence is
-    joined: the shuffle holds each task's terms once.
+    Entities that many rows hold are not the key of a shuffle.
     """
-    entity = F.array_distinct(F.transform("spans", lambda s: s["entity"]))
-    entities = base.select("row_hash", F.explode(entity).alias("entity")).groupBy("entity")
-    entities = entities.agg(F.count("*").alias("n_e"), F.count_distinct("row_hash").alias("texts")).where(F.col("texts") >= MIN_TEXTS)
-    # an entity holds no line feed; strings are told apart faster than structs
-    both = F.flatten(F.transform("spans", lambda s: F.transform(s["terms"], lambda t: F.concat_ws("\n", s["entity"], t))))
-    pairs = base.select("row_hash", F.explode(F.array_distinct(both)).alias("p")).withColumn("p", F.split("p", "\n"))
-    pairs = pairs.groupBy(F.col("p")[0].alias("entity"), F.col("p")[1].alias("term"))
-    pairs = pairs.agg(F.count("*").alias("n_et"), F.count_distinct("row_hash").alias("texts")).where(F.col("texts") >= MIN_TEXTS)
-    pairs = written(pairs.drop("texts").join(entities.drop("texts"), "entity"))
+    places = held.select("row", F.explode("entities").alias("entity"))
+    sums = [F.count("*").alias("n_e"), F.bit_xor(F.xxhash64("row")).alias("a"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("b")]
+    sets = written(places.groupBy("entity").agg(*sums)).select("entity", F.struct("n_e", "a", "b").alias("set"), "n_e")
+    both = join_few(places, sets, ["entity"], rows="n_e")
+    return both.groupBy("row").agg(F.collect_set("set").alias("sets"))
+
+
+def revealing_terms(docs: DataFrame, base: DataFrame) -> DataFrame:
+    """term and kind (generalised or removed) of the terms that disclose an entity; ``base`` is written."""
     total = base.count()
-    if total < 2 or pairs.isEmpty():
-        return written(pairs.select("term", F.lit("").alias("kind")).limit(0))
-    counts = _words(_texts(docs)).groupBy("term").agg(F.count("*").alias("n_t"))
-    own = F.log2(F.lit(float(total)) / F.col("n_e"))
-    shared = F.log2(F.lit(float(total)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
+    held = base.where(F.size("entities") > 0)
+    if total < 2 or held.isEmpty():
+        return base.select(F.lit("").alias("term"), F.lit("").alias("kind")).limit(0)
+    held = written(held.select(F.monotonically_increasing_id().alias("row"), "entities", "terms"))
+    counts = written(_words(_texts(docs)).groupBy("term").agg(F.count("*").alias("n_t")))
+    short = counts.where(F.length("term") <= COMMON_LETTERS).select("term", F.col("n_t").alias("n"))
+    # with a margin for rounding; what passes here is judged by its share
+    reach = lambda n_e: F.pow(n_e, F.lit(GENERALISE)) * F.lit(float(total) ** (1 - GENERALISE) * 1.000001)
+    rows = held.select("row", "terms").join(_entity_sets(held), "row")
+    largest = F.array_max(F.transform("sets", lambda s: s["n_e"]))
+    beside = rows.select("sets", reach(largest).alias("reach"), F.explode("terms").alias("term"))
+    beside = beside.join(F.broadcast(most_frequent(short, COMMON)), "term", "left")
+    able = lambda most: F.col("n").isNull() | (F.col("n") <= most)
+    pairs = beside.where(able(F.col("reach"))).select("term", "n", F.explode("sets").alias("set")).where(able(reach(F.col("set.n_e"))))
+    pairs = pairs.groupBy("term", "set").agg(F.count("*").alias("n_et"))
+    own = F.log2(F.lit(float(total)) / F.col("set.n_e"))
+    shared = F.log2(F.lit(float(total)) * F.col("n_et") / (F.col("set.n_e") * F.col("n_t")))
     share = F.when(own > 0, shared / own).otherwise(0.0)
     rated = pairs.join(counts, "term").groupBy("term").agg(F.max(share).alias("share")).where(F.col("share") >= GENERALISE)
     return written(rated.select("term", F.when(F.col("share") >= REMOVE, "removed").otherwise("generalised").alias("kind")))
 
 
 def _term_pattern(terms: Column) -> Column:
-    return F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.sort_array(terms), "|"), F.lit(r")(?!\p{L})"))
+    """Any of the terms as a whole word, outside the tags of redaction; alternatives by first letter."""
+    ordered = F.sort_array(terms)
+    begun = lambda c: F.transform(F.filter(ordered, lambda t: F.left(t, F.lit(1)) == c), lambda t: F.substr(t, F.lit(2)))
+    heads = F.array_distinct(F.transform(ordered, lambda t: F.left(t, F.lit(1))))
+    branches = F.transform(heads, lambda c: F.concat(c, F.lit("(?:"), F.array_join(begun(c), "|"), F.lit(")")))
+    tags = rf"(?<!\[(?=(?:{'|'.join([*REDACTED, 'term'])})\]))"
+    return F.concat(F.lit(rf"(?iu)(?<!\p{{L}}){tags}(?:"), F.array_join(branches, "|"), F.lit(r")(?!\p{L})"))
 
 
 def _with_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """doc_id, row_hash, generalised, removed (arrays, null if none) of texts that hold such terms."""
-    found = _words(_texts(docs)).join(terms, "term")
+    words = _words(_texts(docs)).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)))
+    buckets = terms.select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).alias("bucket")).distinct()
+    found = words.join(F.broadcast(buckets), "bucket", "left_semi").join(terms, "term")
     lists = [F.collect_set(F.when(F.col("kind") == k, F.col("term"))).alias(k) for k in ("generalised", "removed")]
     held = found.groupBy("doc_id", "row_hash").agg(*lists)
     return held.select("doc_id", "row_hash", *[F.when(F.size(k) > 0, F.col(k)).alias(k) for k in ("generalised", "removed")])
@@ -218,7 +254,7 @@ def find(docs: DataFrame) -> DataFrame:
     base = written(find_base(docs))
     terms = revealing_terms(docs, base)
     plain = lambda s: F.struct(s["start"], s["rank"], s["end"])
-    spans = base.select("doc_id", "row_hash", F.array_sort(F.transform("spans", plain)).alias("base"))
+    spans = base.select("doc_id", "row_hash", F.array_sort("spans").alias("base"))
     if terms.isEmpty():
         return spans.select("doc_id", "base", F.col("base").alias("spans"))
     held, texts = _with_terms(docs, terms), _texts(docs)
@@ -239,14 +275,6 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
-def _replaced(text: Column, pattern: Column, tag: str, valid: Callable[[Column], Column]) -> Column:
-    def joined(x: Column) -> Column:
-        tags = F.transform(x["found"], lambda m: F.when(valid(m), tag).otherwise(m))
-        return F.array_join(F.zip_with(x["between"], F.concat(tags, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-
-    return _let(_parts(text, pattern), joined)
-
-
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with base matches as ``[kind]``, generalised terms as ``[term]``, removed ones gone.
 
