@@ -48,7 +48,7 @@ KINDS = [*PATTERNS, "generalised", "removed"]
 GENERALISE, REMOVE = 0.8, 0.9
 #: Terms (of COMMON_LETTERS at most) whose counts are broadcast, the most frequent ones.
 COMMON, COMMON_LETTERS = 50_000, 64
-#: Hash buckets of disclosing terms that are broadcast.
+#: Hashes of disclosing terms that are broadcast, at most.
 BUCKETS = 1 << 20
 #: Cards are redacted after the kinds that may hold their digits.
 REDACTED = ["email", "phone", "card", "ip"]
@@ -237,9 +237,10 @@ def _term_pattern(terms: Column) -> Column:
 
 def _with_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """doc_id, row_hash, generalised, removed (arrays, null if none) of texts that hold such terms."""
-    words = _words(_texts(docs)).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)))
-    buckets = terms.select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).alias("bucket")).distinct()
-    found = words.join(F.broadcast(buckets), "bucket", "left_semi").join(terms, "term")
+    # up to BUCKETS terms their hashes are told apart, more are folded: what passes is joined either way
+    key = F.xxhash64("term") if terms.count() <= BUCKETS else F.pmod(F.xxhash64("term"), F.lit(BUCKETS))
+    passing = F.broadcast(terms.select(key.alias("key")).distinct())
+    found = _words(_texts(docs)).withColumn("key", key).join(passing, "key", "left_semi").drop("key").join(terms, "term")
     lists = [F.collect_set(F.when(F.col("kind") == k, F.col("term"))).alias(k) for k in ("generalised", "removed")]
     held = found.groupBy("doc_id", "row_hash").agg(*lists)
     return held.select("doc_id", "row_hash", *[F.when(F.size(k) > 0, F.col(k)).alias(k) for k in ("generalised", "removed")])
