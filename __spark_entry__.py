@@ -141,6 +141,17 @@ def _batch_of_words(spark: SparkSession, sf: str) -> DataFrame:
     return S.search_many(index, words).groupBy("motif_id").agg(F.count("*").alias("n"))
 
 
+def _profile_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows like the words of a length: a profile per length, its weights the numbers of words."""
+    words = _words(spark, sf).where("length(word) >= 4").withColumn("profile_id", F.length("word").cast("string"))
+    letters = words.select("profile_id", F.posexplode(F.split("word", "(?<=.)(?=.)")).alias("position", "residue"))
+    cells = letters.groupBy("profile_id", "position", "residue").agg(F.count("*").alias("weight"))
+    best = cells.groupBy("profile_id", "position").agg(F.max("weight").alias("best"))
+    least = best.groupBy("profile_id").agg((F.sum("best") * F.lit(0.75)).alias("threshold"))
+    found = S.search_profiles(_peptides(spark, sf, fine=True), cells, least)
+    return found.withColumn("score", F.col("score").cast("bigint"))
+
+
 def _joined_sources(spark: SparkSession, sf: str) -> DataFrame:
     """All documents of a language as one record: long texts, which are searched in slices."""
     docs = _records(spark, sf).join(_documents(spark, sf).select(F.col("doc_id").cast("string").alias("name"), "lang"), "name")
@@ -385,6 +396,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "search_longest_walked": lambda s, d: S.search(_peptides(s, d), "(A|NA)+ND"),
         "search_many": lambda s, d: S.search_many(_peptides(s, d), BATCH),
         "search_batch_of_words": _batch_of_words,
+        "search_profiles": _profile_words,
         "search_unfiltered_batch": _unfiltered_batch,
         "match_counts": lambda s, d: S.search_many(_peptides(s, d), BATCH)
         .groupBy("motif_id", "bin")
@@ -595,6 +607,25 @@ def _batch_sql() -> str:
     )
 
 
+def _profiles_sql() -> str:
+    return (
+        f"WITH words AS (SELECT word, length(word) AS size FROM {_WORDS} WHERE length(word) >= 4),"
+        " cells AS (SELECT size, p, substring(word, p, 1) AS residue, count(*) AS weight FROM"
+        " (SELECT word, size, unnest(range(1, size + 1)) AS p FROM words) GROUP BY ALL),"
+        " least AS (SELECT size, 0.75 * sum(best) AS threshold FROM (SELECT size, p, max(weight) AS best FROM cells"
+        " GROUP BY size, p) GROUP BY size),"
+        " coded AS (SELECT CAST(size AS INTEGER) AS size, CAST(p AS INTEGER) AS p, ascii(residue) AS r, weight FROM cells),"
+        " places AS (SELECT doc_id, q, ascii(seq[q]) AS r FROM (SELECT doc_id, seq, CAST(unnest(range(1, length(seq) + 1)) AS INTEGER) AS q"
+        f" FROM (SELECT doc_id, {_AA} AS seq FROM documents))),"
+        " scored AS (SELECT doc_id, size, q - p + 1 AS i, sum(weight) AS score FROM places JOIN coded USING (r)"
+        " WHERE q >= p GROUP BY doc_id, size, q - p + 1 HAVING count(*) = size)"
+        " SELECT CAST(size AS VARCHAR) AS profile_id, bin, name, CAST(i - 1 AS INTEGER) AS start,"
+        ' CAST(i - 1 + size AS INTEGER) AS "end", substring(seq, i, size) AS match, CAST(score AS BIGINT) AS score'
+        " FROM scored JOIN least USING (size) JOIN (SELECT CAST(name AS BIGINT) AS doc_id, * FROM"
+        f" {_rec(bin=_DOC_BIN)}) USING (doc_id) WHERE score >= threshold"
+    )
+
+
 def _unfiltered_sql() -> str:
     rows = ", ".join(f"('{i}', '{p.replace('(', '(?:')}')" for i, p in _short_motifs().items())
     return (
@@ -729,6 +760,7 @@ def oracle_sql() -> dict[str, str]:
         "search_longest_unbounded": _matches_sql("(?:AN?)+D"),
         "search_longest_walked": _matches_sql("(?:A|NA)+ND"),
         "search_many": _batch_sql(),
+        "search_profiles": _profiles_sql(),
         "search_batch_of_words": f"WITH words AS (SELECT word FROM {_WORDS} WHERE length(word) >= 4),"
         f" recs AS (SELECT name, seq FROM {_rec()}),"
         " starts AS (SELECT DISTINCT name, substring(seq, i, 4) AS kmer FROM (SELECT name, seq,"

@@ -1,6 +1,7 @@
 """Indexed motif search over binned sequence collections, on Spark."""
 
 from seqsieve.operators.index import add_dgrams, append, append_stream, build_index, compact, inspect, load_index
+from seqsieve.operators.profiles import search_profiles
 from seqsieve.operators.search import (
     candidate_bins,
     candidate_bins_many,
@@ -30,4 +31,5 @@ __all__ = [
     "search_files",
     "search_many",
     "search_observed",
+    "search_profiles",
 ]
