@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from seqsieve.functions import alphabet
 from seqsieve.operators import kmers as K
+from seqsieve.operators import postings as R
 from seqsieve.plans.windows import IndexShape
 from seqsieve.session import scratch_folder
 from seqsieve.sources.fasta import records_of, stream_fasta
@@ -316,10 +317,9 @@ def build_index(
         **total,
     }
 
-    postings = K.kmer_postings(placed, k, molecule, reduction, ascii_only)
     # the Bloom layout keeps its bit table only; exact postings are a stage of building it
     home = path if layout == "exact" else scratch_folder(spark)
-    _write_postings(postings, meta, f"{home}/postings")
+    _write_kmers(placed, meta, ascii_only, f"{home}/postings")
     stored = _read(spark, home, "postings")
     meta["slot_bits"] = math.ceil(meta["bin_bits"] / BLOOM_SLOTS[total["residues"] >= SMALL_RESIDUES])
     meta["letters"] = _letters(stored, molecule) if ascii_only else None
@@ -332,10 +332,24 @@ def build_index(
     return index
 
 
-def _tasks(df: DataFrame, rows: int) -> int:
-    """Shuffle partitions for up to ``rows`` short rows: the configured number or more."""
+def _tasks(df: DataFrame, rows: int = 0) -> int:
+    """Shuffle partitions for ``rows`` short rows: the configured number or more."""
     configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(configured, min(50_000, rows // 50_000_000))
+    return max(configured, min(50_000, rows // R.ROWS_PER_TASK))
+
+
+def _write_kmers(placed: DataFrame, meta: dict, ascii_only: bool, path: str) -> None:
+    """Postings of records in their blocks."""
+    if meta["molecule"] == "aa" and meta["k"] <= R.PACKED_K:
+        tasks = 1 if meta["residues"] < TINY_RESIDUES else _tasks(placed)
+        _store_postings(R.ranged_kmers(placed, meta, ascii_only, tasks), meta, path)
+    else:
+        _write_postings(K.kmer_postings(placed, meta["k"], meta["molecule"], meta["reduction"], ascii_only), meta, path)
+
+
+def _store_postings(ranged: DataFrame, meta: dict, path: str) -> None:
+    prefixed = ranged.withColumn("prefix", F.substring("kmer", 1, min(meta["prefix"], meta["k"])))
+    prefixed.sortWithinPartitions("prefix", "kmer", "block").write.partitionBy("prefix").parquet(path)
 
 
 def _write_postings(postings: DataFrame, meta: dict, path: str) -> None:
@@ -344,24 +358,23 @@ def _write_postings(postings: DataFrame, meta: dict, path: str) -> None:
         ranged = postings.repartition(1)
     else:
         # ranges of k-mers are even: a frequent prefix is spread over many tasks
-        tasks = _tasks(postings, meta["residues"])
+        tasks = _tasks(postings, meta["residues"] // 30)
         ranged = postings.repartitionByRange(tasks, "prefix", "kmer")
-    (
-        ranged.sortWithinPartitions("prefix", "kmer", "block")
-        .write.partitionBy("prefix")
-        .parquet(path)
-    )
+    _store_postings(ranged, meta, path)
 
 
 def _write_bloom(postings: DataFrame, meta: dict, path: str) -> None:
     seeds = F.explode(F.array(*map(F.lit, range(meta["hash_count"])))).alias("seed")
     position = bloom_position(F.col("kmer"), F.col("seed"), meta["bin_bits"])
+    tasks = _tasks(postings, postings.count() * meta["hash_count"])
     (
         postings.select("kmer", "block", "mask", seeds)
-        .groupBy(position.alias("position"), "block")
-        .agg(F.bit_or("mask").alias("mask"))
+        .select(position.alias("position"), "block", "mask")
         .withColumn("slot", F.floor(F.col("position") / meta["slot_bits"]).cast("int"))
-        .repartitionByRange("slot", "position")
+        # few k-mers share a position, so all are brought together at once, in tasks of bounded size
+        .repartitionByRange(tasks, "slot", "position")
+        .groupBy("slot", "position", "block")
+        .agg(F.bit_or("mask").alias("mask"))
         .sortWithinPartitions("slot", "position", "block")
         .write.partitionBy("slot")
         .parquet(path)
@@ -382,7 +395,7 @@ def add_dgrams(index: MotifIndex, low: int = 3, high: int = 21) -> MotifIndex:
     if not 0 < low <= high:
         raise ValueError("need 0 < low <= high")
     folder = f"dgrams_{low}_{high}"
-    _write_dgrams(index.records, (low, high), int(index.meta["residues"]), f"{index.path}/{folder}")
+    _write_dgrams(index.records, (low, high), index.meta, f"{index.path}/{folder}")
     for segment in index.segments:  # the table above has what they hold, too
         empty = index.spark.createDataFrame([], SCHEMAS["dgrams"])
         empty.write.mode("overwrite").parquet(f"{index.path}/segments/{segment}/{folder}")
@@ -392,15 +405,13 @@ def add_dgrams(index: MotifIndex, low: int = 3, high: int = 21) -> MotifIndex:
     return index
 
 
-def _write_dgrams(records: DataFrame, gaps: tuple, residues: int, path: str) -> None:
-    postings = K.dgram_postings(records, *gaps).withColumn("gap", F.expr(f"cast(code div {20**6} AS int)"))
-    _range_dgrams(postings, gaps, residues, path)
+def _write_dgrams(records: DataFrame, gaps: tuple, meta: dict, path: str) -> None:
+    _store_dgrams(R.ranged_dgrams(records, meta, gaps, _tasks(records)), path)
 
 
-def _range_dgrams(postings: DataFrame, gaps: tuple, residues: int, path: str) -> None:
-    tasks = _tasks(postings, residues * (gaps[1] - gaps[0] + 1))
+def _store_dgrams(ranged: DataFrame, path: str) -> None:
     (
-        postings.repartitionByRange(tasks, "gap", "code")
+        ranged.withColumn("gap", F.expr(f"cast(code div {20**6} AS int)"))
         .sortWithinPartitions("gap", "code", "block")
         .write.mode("overwrite")
         .partitionBy("gap")
@@ -479,15 +490,14 @@ def append(index: MotifIndex, records: DataFrame, batch: tuple[str, int] | None
     _write_records(placed, meta["shards"], f"{path}/records")
     placed = spark.read.schema(placed.schema).parquet(f"{path}/records")
     ascii_only = total["n_not_ascii"] == 0
-    sized = meta | {"residues": total["residues"]}
-    postings = K.kmer_postings(placed, meta["k"], meta["molecule"], meta["reduction"], ascii_only)
+    sized = meta | total | {"n_blocks": math.ceil(total["n_bins"] / 64)}
     home = path if meta["layout"] == "exact" else scratch_folder(spark)
-    _write_postings(postings, sized, f"{home}/postings")
+    _write_kmers(placed, sized, ascii_only, f"{home}/postings")
     stored = _read(spark, home, "postings")
     if meta["layout"] == "bloom":
         _write_bloom(stored, meta, f"{path}/bloom")
     if meta["dgram_gaps"]:
-        _write_dgrams(placed, meta["dgram_gaps"], total["residues"], f"{path}/{meta['dgram_table']}")
+        _write_dgrams(placed, meta["dgram_gaps"], sized, f"{path}/{meta['dgram_table']}")
     letters = _letters(stored, meta["molecule"]) if ascii_only else None
     meta["letters"] = sorted({*meta["letters"], *letters}) if letters is not None and meta["letters"] is not None else None
     meta["segments"] = [*index.segments, name]
@@ -541,11 +551,14 @@ def compact(index: MotifIndex, path: str | None = None) -> MotifIndex:
     meta["prefix"] = _prefix_length(meta["molecule"], meta["residues"])
     sharded = placed.withColumn("shard", F.col("block") % meta["shards"])
     _write_records(sharded, meta["shards"], f"{path}/records")
-    merged = index.table("postings").groupBy("kmer", "block").agg(F.bit_or("mask").alias("mask"))
-    _write_postings(merged, meta, f"{path}/postings")
+    stored = index.table("postings").select("kmer", "block", "mask")
+    ranged = stored.repartitionByRange(_tasks(stored, stored.count()), "kmer")
+    _store_postings(ranged.groupBy("kmer", "block").agg(F.bit_or("mask").alias("mask")), meta, f"{path}/postings")
     if meta["dgram_gaps"]:
-        gapped = index.table(meta["dgram_table"]).groupBy("gap", "code", "block").agg(F.bit_or("mask").alias("mask"))
-        _range_dgrams(gapped, meta["dgram_gaps"], meta["residues"], f"{path}/{meta['dgram_table']}")
+        stored = index.table(meta["dgram_table"])
+        ranged = stored.repartitionByRange(_tasks(stored, stored.count()), "gap", "code")
+        gapped = ranged.groupBy("gap", "code", "block").agg(F.bit_or("mask").alias("mask")).select("code", "block", "mask")
+        _store_dgrams(gapped, f"{path}/{meta['dgram_table']}")
     meta["segments"] = []
     whole = MotifIndex(spark, path, meta, index.records, index.bins)
     _write_meta(whole)
