@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from seqsieve.functions import alphabet
 from seqsieve.functions.literals import held_numbers
+from seqsieve.functions.many import many_spans, table
 from seqsieve.functions.spans import spans_from_pieces, walked_spans
 from seqsieve.operators.candidates import BROADCAST_ROWS, Candidates, bins_of, candidate_masks
 from seqsieve.operators.index import BROADCAST_BYTES, MotifIndex
@@ -265,6 +266,8 @@ def _search(index: MotifIndex, motifs: list[Motif], augment: bool, dgrams: bool,
         if filtered and looked_up.masks is not None:
             parts.append(_matches(_candidates(index, looked_up, filtered, len(motifs) == 1, original), filtered, cut))
         everywhere = [m for m in chosen if m.id in unfiltered]
+        if walk is None and not cut and not original:
+            everywhere = _in_one_pass(index, texts, everywhere, parts)
         if everywhere:
             parts.append(_matches(_everywhere(texts, everywhere), everywhere, cut))
     if not parts:  # no motif can match anywhere: no rows, but all columns
@@ -275,6 +278,18 @@ def _search(index: MotifIndex, motifs: list[Motif], augment: bool, dgrams: bool,
     return out
 
 
+def _in_one_pass(index: MotifIndex, texts: DataFrame, motifs: list[Motif], parts: list[DataFrame]) -> list[Motif]:
+    """Adds the matches of the motifs that one pass over the texts can find; returns the others."""
+    if len(motifs) <= TRIED_EACH or index.meta["n_not_ascii"]:
+        return motifs
+    nodes = {m.id: m.node for m in motifs if table(m.node) is not None}
+    if nodes:
+        ship_package(texts.sparkSession)
+        kept = [c for c in _KEPT if c in texts.columns]
+        parts.append(many_spans(texts.select(*kept, "seq"), nodes).select(*kept, "motif_id", "match", "start", "end"))
+    return [m for m in motifs if m.id not in nodes]
+
+
 def search(
     index: MotifIndex,
     pattern: str,
