@@ -77,70 +77,84 @@ class GatedModel:
         self.p["word_bias"] = np.maximum(own, -30).astype(np.float32)
 
     def _steps(self, before: np.ndarray, starts: np.ndarray, h: np.ndarray, keep: list | None) -> np.ndarray:
-        """Hidden states of a window; ``before``: the id before each step; ``starts``: new documents."""
-        p, n = self.p, HIDDEN
-        gates = self.table[before]
-        out = np.empty((*before.shape, n), np.float32)
+        """Hidden states of a window; ``before``: the id before each step; ``starts``: new documents.
+
+        Inside, lanes lie along the last axis, so that every operation runs over long rows.
+        """
+        n = HIDDEN
+        gates = np.ascontiguousarray(self.table[before].transpose(0, 2, 1))
+        state = np.ascontiguousarray(self.p["state"].T)
+        alive = (~starts).astype(np.float32)
+        out = np.empty((len(before), n, before.shape[1]), np.float32)
+        h = np.ascontiguousarray(h.T)
         for t in range(len(before)):
-            h = np.where(starts[t][:, None], np.float32(0), h)
-            inner = h @ p["state"]
-            zr = _sigmoid(gates[t, :, : 2 * n] + inner[:, : 2 * n])
-            z, r = zr[:, :n], zr[:, n:]
-            new = np.tanh(gates[t, :, 2 * n :] + r * inner[:, 2 * n :])
+            h = h * alive[t]
+            inner = state @ h
+            zr = gates[t, : 2 * n]
+            zr += inner[: 2 * n]
+            zr = _sigmoid(zr)
+            z, r = zr[:n], zr[n:]
+            new = r * inner[2 * n :]
+            new += gates[t, 2 * n :]
+            np.tanh(new, out=new)
             if keep is not None:
-                keep.append((h, z, r, new, inner[:, 2 * n :]))
-            h = new + z * (h - new)
+                keep.append((h, zr, new, inner[2 * n :]))
+            h = h - new
+            h *= z
+            h += new
             out[t] = h
-        return out
+        return out.transpose(0, 2, 1)
 
     def _log_probabilities(self, hidden: np.ndarray, ids: np.ndarray, grads: dict | None = None):
         """Natural log probabilities of ``ids`` after the states; with ``grads``, their gradients too.
 
-        The rows are taken in the order of their classes, so that each class is one stretch.
+        The states are taken in the order of their classes, so that each class is one stretch,
+        and lie along the last axis.
         """
         p = self.p
-        order = np.argsort(ids, kind="stable")
-        hidden, sorted_ids = hidden[order], ids[order]
+        order = np.argsort(ids.astype(np.uint16), kind="stable")  # of short numbers by radix
+        hidden, sorted_ids = np.ascontiguousarray(hidden[order].T), ids[order]
         classes, within = np.divmod(sorted_ids, self.size)
         at = np.arange(len(ids))
-        scores = hidden @ p["class"]
-        scores += p["class_bias"]
+        scores = p["class"].T @ hidden
+        scores += p["class_bias"][:, None]
         found, total = self._softmax(scores, classes, at)
         back = None
         if grads is not None:
-            scores /= total[:, None]
-            scores[at, classes] -= 1
-            grads["class"], grads["class_bias"] = hidden.T @ scores, scores.sum(0)
-            back = scores @ p["class"].T
+            scores /= total
+            scores[classes, at] -= 1
+            grads["class"], grads["class_bias"] = (scores @ hidden.T).T, scores.sum(1)
+            back = p["class"] @ scores
             grads["word"], grads["word_bias"] = np.zeros_like(p["word"]), np.zeros_like(p["word_bias"])
         bounds = np.searchsorted(classes, np.arange(self.classes + 1))
         for c in np.flatnonzero(np.diff(bounds)):
             rows = slice(bounds[c], bounds[c + 1])
-            scores = hidden[rows] @ p["word"][c].T
-            scores += p["word_bias"][c]
+            own = hidden[:, rows]
+            scores = p["word"][c] @ own
+            scores += p["word_bias"][c][:, None]
             here = at[: bounds[c + 1] - bounds[c]]
             log, total = self._softmax(scores, within[rows], here)
             found[rows] += log
             if grads is not None:
-                scores /= total[:, None]
-                scores[here, within[rows]] -= 1
-                grads["word"][c], grads["word_bias"][c] = scores.T @ hidden[rows], scores.sum(0)
-                back[rows] += scores @ p["word"][c]
+                scores /= total
+                scores[within[rows], here] -= 1
+                grads["word"][c], grads["word_bias"][c] = scores @ own.T, scores.sum(1)
+                back[:, rows] += p["word"][c].T @ scores
         out = np.empty_like(found)
         out[order] = found
         if back is not None:
-            unsorted = np.empty_like(back)
-            unsorted[order] = back
+            unsorted = np.empty((len(ids), HIDDEN), back.dtype)
+            unsorted[order] = back.T
             back = unsorted
         return out, back
 
     @staticmethod
     def _softmax(scores: np.ndarray, chosen: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log probabilities of the chosen columns and the sums; ``scores`` become their exponentials."""
-        scores -= scores.max(1, keepdims=True)
-        own = scores[at, chosen]
+        """Log probabilities of the chosen rows and the sums by column; ``scores`` become their exponentials."""
+        scores -= scores.max(0)
+        own = scores[chosen, at]
         np.exp(scores, out=scores)
-        total = scores.sum(1)
+        total = scores.sum(0)
         return own - np.log(total), total
 
     def freeze(self) -> None:
@@ -185,27 +199,38 @@ class GatedModel:
         live = ids >= 0
         grads: dict = {}
         _, back = self._log_probabilities(hidden[live], ids[live], grads)
-        to_hidden = np.zeros_like(hidden)
+        to_hidden = np.zeros(ids.shape + (n,), back.dtype)
         to_hidden[live] = back
-        to_gates = np.zeros((*ids.shape, 3 * n), np.float32)
-        grads["state"] = np.zeros_like(p["state"])
-        carried = np.zeros_like(h)
+        to_hidden = np.ascontiguousarray(to_hidden.transpose(0, 2, 1))
+        # what does not depend on later steps, for all steps at once
+        h0, zr, new, inner = (np.stack(part) for part in zip(*kept, strict=True))
+        z = zr[:, :n]
+        slope = zr * (1 - zr)
+        by_new = (1 - z) * (1 - new * new)
+        by_z = (h0 - new) * slope[:, :n]
+        by_r = inner * slope[:, n:]
+        to_gates = np.empty((len(ids), 3 * n, ids.shape[1]), back.dtype)
+        through = np.empty_like(to_gates)  # the same, but for the candidate's state behind its gate
+        state, alive = np.ascontiguousarray(p["state"]), (~starts).astype(np.float32)
+        carried = np.zeros((n, ids.shape[1]), back.dtype)
         for t in range(len(ids) - 1, -1, -1):
-            h0, z, r, new, inner = kept[t]
-            d = to_hidden[t] + carried
-            d_new = d * (1 - z) * (1 - new * new)
-            d_z = d * (h0 - new) * z * (1 - z)
-            d_r = d_new * inner * r * (1 - r)
-            through = np.concatenate([d_z, d_r, d_new * r], axis=1)
-            to_gates[t] = np.concatenate([d_z, d_r, d_new], axis=1)
-            grads["state"] += h0.T @ through
-            carried = (d * z + through @ p["state"].T) * ~starts[t][:, None]
-        flat, used = to_gates.reshape(-1, 3 * n), before.reshape(-1)
-        vectors = p["embed"][used]
-        grads["input"], grads["bias"] = vectors.T @ flat, flat.sum(0)
-        pulled = flat @ p["input"].T
-        columns = [np.bincount(used, weights=pulled[:, i], minlength=len(p["embed"])) for i in range(n)]
-        grads["embed"] = np.stack(columns, axis=1).astype(p["embed"].dtype)
+            carried += to_hidden[t]
+            gates, inside = to_gates[t], through[t]
+            np.multiply(carried, by_new[t], out=gates[2 * n :])
+            np.multiply(carried, by_z[t], out=gates[:n])
+            np.multiply(gates[2 * n :], by_r[t], out=gates[n : 2 * n])
+            inside[: 2 * n] = gates[: 2 * n]
+            np.multiply(gates[2 * n :], zr[t, n:], out=inside[2 * n :])
+            carried *= z[t]
+            carried += state @ inside
+            carried *= alive[t]
+        flatly = lambda x: x.transpose(1, 0, 2).reshape(x.shape[1], -1)
+        grads["state"] = flatly(h0) @ flatly(through).T
+        flat, used = flatly(to_gates), before.reshape(-1)
+        grads["input"], grads["bias"] = (flat @ p["embed"][used]).T, flat.sum(1)
+        pulled = p["input"] @ flat
+        rows = [np.bincount(used, weights=row, minlength=len(p["embed"])) for row in pulled]
+        grads["embed"] = np.stack(rows, axis=1).astype(p["embed"].dtype)
         count = np.float32(max(1, live.sum()))
         return {k: g / count for k, g in grads.items()}, hidden[-1]
 

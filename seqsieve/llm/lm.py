@@ -41,7 +41,7 @@ from seqsieve.llm.gru import GatedModel
 CLASSES, CLASS_SIZE = 48, 48
 GROUPS = 64
 KNOWN = 200_000
-ROUNDS, SHARD_TOKENS, SHARD_LANES = 3, 1_000_000, 512
+ROUNDS, SHARD_TOKENS, SHARD_LANES = 3, 2_000_000, 512
 #: Tasks of a round, and weights that one task averages; so TASKS / FAN_IN come to the driver.
 TASKS, FAN_IN = 4096, 64
 PIECE = 4096
@@ -160,24 +160,33 @@ def encode(docs: DataFrame, scorer: Scorer) -> DataFrame:
     rare = T.StructType().add("word", "binary").add("times", "long").add("share", "double")
     schema = T.StructType([docs.schema["row_id"], docs.schema["doc_id"]]).add("n_tokens", "long").add("n_known", "long")
     schema = schema.add("base_score", "double").add("share", "double").add("rare", T.ArrayType(rare)).add("ids", "binary")
-    item = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64()), ("share", pa.float64())]))
-    types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), item, pa.binary()]
+    types = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+
+    def listed(scorer: Scorer, rare: list[Counter]) -> pa.Array:
+        """The rare words of each row, as arrays of all rows together."""
+        words = [word for own in rare for word in own]
+        times = [n for own in rare for n in own.values()]
+        shares = -scorer.group_log[np.fromiter(map(_group, words), np.int64, len(words))]
+        offsets = np.cumsum([0, *map(len, rare)]).astype(np.int32)
+        items = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times, pa.int64()), pa.array(shares)], ["word", "times", "share"])
+        return pa.ListArray.from_arrays(pa.array(offsets), items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = shared.value
         for batch in batches:
             at = 0
             while at < len(batch):  # a batch of long texts goes on in parts
-                rows, size, begin = [], 0, at
+                rows, rare, stored, size, begin = [], [], [], 0, at
                 while at < len(batch) and size < SCORED:
                     found, base, share, known, others = scorer.encode(words_of(batch.column(2)[at].as_py()))
-                    few = [{"word": w, "times": n, "share": -float(scorer.group_log[_group(w)])} for w, n in others.items()]
-                    rows.append((len(found), known + scorer.end_known, base + scorer.end_base, share, few, found.astype("<u2").tobytes()))
+                    rows.append((len(found), known + scorer.end_known, base + scorer.end_base, share))
+                    rare.append(others)
+                    stored.append(found.astype("<u2").tobytes())
                     size += len(found)
                     at += 1
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
                 keys = [batch.column(c).slice(begin, at - begin) for c in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*keys, *columns], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*keys, *columns, listed(scorer, rare), pa.array(stored, pa.binary())], names=schema.names)
 
     return written(docs.select("row_id", "doc_id", docs["text"].cast("binary")).mapInArrow(run, schema))
 

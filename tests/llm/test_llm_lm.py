@@ -182,3 +182,13 @@ def test_scores_equal_a_scalar_replay(table, words):
     for i, text, *_ in rows:
         ids, _, share, _, others = scorer.encode(lm.words_of((text or "").encode()))
         assert not others and got[i] == pytest.approx(share + plain_score(scorer.model, ids), rel=1e-4)
+
+
+def test_a_long_piece_leaves_no_lanes_idle():
+    rng = np.random.default_rng(5)
+    lengths, left = [lm.PIECE], lm.SHARD_TOKENS - lm.PIECE
+    while left > 0:
+        lengths.append(min(left, int(rng.integers(1, 1200))))
+        left -= lengths[-1]
+    ids, _ = gru._lay_out([np.zeros(n, np.int64) for n in lengths], lm.SHARD_LANES)
+    assert (ids >= 0).mean() > 0.9
