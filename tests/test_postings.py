@@ -61,3 +61,13 @@ def test_bloom_bits_take_tasks_by_their_rows(spark, monkeypatch, tmp_path):
     postings = spark.range(1000).selectExpr("hex(id) AS kmer", "0 AS block", "1L AS mask")
     I._write_bloom(postings, {"hash_count": 2, "bin_bits": 5000, "slot_bits": 5000}, str(tmp_path / "bloom"))
     assert len(list((tmp_path / "bloom").glob("slot=*/*.parquet"))) > 8
+
+
+def test_rows_are_shuffled_and_folded_as_arrays(placed, monkeypatch):
+    """Row by row, the aggregation of gapped k-mers took most of an index's time."""
+    monkeypatch.setattr(R, "STRETCH", 100)
+    monkeypatch.setattr(R, "SENT_ROWS", 64)  # many chunks of a range
+    monkeypatch.setattr(R, "HELD_ROWS", 1000)  # a range is folded more than once
+    got = R.ranged_dgrams(placed.repartition(6), meta(4), (1, 3), 2)
+    assert "Aggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    assert rows(got) == rows(K.dgram_postings(placed, 1, 3))
