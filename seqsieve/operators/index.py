@@ -104,6 +104,15 @@ class MotifIndex:
     def n_blocks(self) -> int:
         return self.meta["n_blocks"]
 
+    @property
+    def pieced(self) -> bool:
+        """Whether records are stored in pieces (``slices.joined``), which the counts of records then count."""
+        return "piece_begin" in self.records.columns
+
+    def need_whole_records(self) -> None:
+        if self.pieced:
+            raise ValueError("records in pieces can be searched by search and search_many only")
+
     def shape(self, with_dgrams: bool) -> IndexShape:
         letters = self.meta["letters"]
         return IndexShape(

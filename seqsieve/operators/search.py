@@ -42,6 +42,8 @@ class Motif:
     walk: str | None = None
     #: whether Java may try the pattern on a whole text, if only to see that it matches
     testable: bool = True
+    #: whether leftmost-longest matches are wanted
+    longest: bool = True
 
 
 def prepare(
@@ -77,6 +79,7 @@ def prepare(
         P.required_literal(node),
         walk,
         possessive or not P.has_long_group_loop(node if walk else runnable),
+        longest,
     )
 
 
@@ -179,6 +182,8 @@ def _everywhere(texts: DataFrame, motifs: list[Motif]) -> DataFrame:
 def _matches(hits: DataFrame, motifs: list[Motif], cut: bool = False) -> DataFrame:
     """Explode every hit text into its matches; with ``cut``, slice by slice."""
     kept = [c for c in _KEPT if c in hits.columns] + ["motif_id"]
+    if cut and "piece_begin" in hits.columns:
+        return slices.in_pieces(hits, kept, {m.id: (m.node, m.longest) for m in motifs}, _native_spans)
     if motifs and motifs[0].walk:
         ship_package(hits.sparkSession)
         spans = walked_spans({m.id: m.node for m in motifs}, motifs[0].walk == "longest")
@@ -259,6 +264,11 @@ def _search(index: MotifIndex, motifs: list[Motif], augment: bool, dgrams: bool,
     # long records are cut for the motifs that allow it; a text is then not tested whole before
     long = index.meta.get("longest", 0) > slices.CUT and not index.meta["n_not_ascii"] and not original
     cuttable = {m.id for m in motifs if long and not m.walk and slices.reach(m.node)}
+    if index.pieced:
+        near = [m for m in motifs if not m.walk and 0 < (slices.reach(m.node) or 0) <= slices.BEHIND]
+        if len(near) < len(motifs) or original or index.meta["molecule"] == "na":
+            raise ValueError(f"records in pieces take peptide patterns of {slices.BEHIND} residues at most, without anchors")
+        cuttable = {m.id for m in motifs}
     motifs = [replace(m, testable=False) if m.id in cuttable else m for m in motifs]
     for walk, cut in ((None, False), (None, True), ("longest", False), ("first", False)):
         chosen = [m for m in motifs if m.walk == walk and (m.id in cuttable) == cut]
@@ -327,6 +337,7 @@ def search_observed(
     candidate_bins, records_read, records_matched and matches are counted inside the search's
     own job; nothing is read again for them.
     """
+    index.need_whole_records()
     longest = index.meta["molecule"] == "aa" if longest is None else longest
     motif = prepare(pattern, reduction=index.meta["reduction"], longest=longest)
     looked_up = _look_up(index, [motif], augment, dgrams)
@@ -406,6 +417,7 @@ def search_all_of(
     index: MotifIndex, patterns: list[str], *, augment: bool = False, dgrams: bool = False
 ) -> DataFrame:
     """Records that every pattern matches somewhere, in any order: bin, name, motifs."""
+    index.need_whole_records()
     reduction = index.meta["reduction"]
     if not patterns:
         raise ValueError("no patterns given")

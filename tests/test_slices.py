@@ -62,3 +62,69 @@ def test_long_records_are_read_by_many_tasks(spark, monkeypatch):
     found = S.search(index, "AC.E")
     assert found.count() == len(S.scan(index.records, "AC.E").collect()) > 0
     assert sum(n > 0 for n in tasks[0]) > 3
+
+
+def in_parts(rng, data):
+    """Texts cut into parts, some empty or null, in any order."""
+    out = []
+    for bin, name, text in data:
+        at, parts = 0, [None, ""]
+        while at < len(text):
+            parts.append(text[at : at + rng.randrange(1, 300)])
+            at += len(parts[-1])
+        out += [(bin, name, i, part) for i, part in enumerate(parts)]
+    rng.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("longest", [True, False])
+def test_joined_records_equal_whole_ones(spark, monkeypatch, longest):
+    monkeypatch.setattr(slices, "PIECE", 128)
+    monkeypatch.setattr(slices, "LEAD", 40)
+    monkeypatch.setattr(slices, "BEHIND", 16)
+    rng = random.Random(7)
+    data = long_texts(rng)
+    parts = spark.createDataFrame(in_parts(rng, data), "bin string, name string, n int, seq string").repartition(3)
+    pieces = slices.joined(parts, "n")
+    held = sorted((r.bin, r.name, r.piece_begin, r.piece_first, r.piece_size, r.seq) for r in pieces.collect())
+    assert held == sorted(
+        (b, n, at, max(at - 40, 0), len(t), t[max(at - 40, 0) : at + 128 + 16]) for b, n, t in data for at in range(0, max(len(t), 1), 128)
+    )
+    index, whole = S.build_index(pieces, k=3), S.build_index(frame(spark, data), k=3)
+    unsettled = []
+    usual = slices._in_order
+    monkeypatch.setattr(slices, "_in_order", lambda *a: unsettled.append(a) or usual(*a))
+    for p in PATTERNS:
+        assert rows(S.search(index, p, longest=longest)) == rows(S.search(whole, p, longest=longest)), p
+    assert unsettled  # repeats whose seams do not agree
+    found = S.search_many(index, {p: p for p in PATTERNS[:3]})
+    assert rows(found) == rows(S.search_many(whole, {p: p for p in PATTERNS[:3]}).select(found.columns))
+    for refused in ("A+", "^A", "A.{20}C"):
+        with pytest.raises(ValueError):
+            S.search(index, refused)
+    with pytest.raises(ValueError):
+        S.search_all_of(index, ["AC"])
+
+
+def test_joined_rows_that_repeat_and_one_long_part(spark):
+    long = "ACDE" * 20_000
+    parts = [("b", "r", 2, long), ("b", "r", 1, "DD"), ("b", "r", 2, "AA"), ("b", "r", 1, "DD"), ("c", "s", None, None)]
+    pieces = slices.joined(spark.createDataFrame(parts, "bin string, name string, n int, seq string"), "n").collect()
+    text = "DDDD" + "AA" + long
+    own = [r.seq[r.piece_begin - r.piece_first :][: slices.PIECE] for r in sorted(pieces, key=lambda r: r.piece_begin) if r.bin == "b"]
+    assert "".join(own) == text and {r.piece_size for r in pieces} == {len(text), 0}
+
+
+def test_no_row_holds_all_documents_of_a_language(spark, tmp_path):
+    import __spark_entry__ as E
+
+    docs = [(i, "the ten thereafter then " * 100, ("en", None)[i % 5 == 0], "web") for i in range(300)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {(r.bin, r.match): (r.n, r.starts) for r in E.queries()["search_joined_sources"](spark, str(tmp_path)).collect()}
+    for bin, n in (("en", 240), ("", 60)):
+        text = "THETENTHEREAFTERTHEN" * 100 * n
+        for match in ("THEN", "TEN"):
+            starts = [i for i in range(len(text)) if text.startswith(match, i)] if match == "THEN" else []
+            assert found.get((bin, match), (0, 0)) == (len(starts), sum(starts))
+    index = E._indexes[spark.sparkContext.applicationId, str(tmp_path), "joined"]
+    assert index.records.selectExpr("max(length(seq))").first()[0] <= slices.PIECE + slices.LEAD + slices.BEHIND
