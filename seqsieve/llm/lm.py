@@ -31,6 +31,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,8 +46,8 @@ ROUNDS, SHARD_TOKENS, SHARD_LANES = 3, 2_000_000, 512
 #: Tasks of a round, and weights that one task averages; so TASKS / FAN_IN come to the driver.
 TASKS, FAN_IN = 4096, 64
 PIECE = 4096
-#: Words that a task counts before it hands them on; tokens that it scores at a time.
-COUNTED, SCORED = 400_000, 1_500_000
+#: Tokens that a task scores at a time; bytes of text that it cuts into words at a time.
+SCORED, CUT = 1_500_000, 16_000_000
 
 
 def held_out() -> Column:
@@ -57,6 +58,34 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()  # of bytes: A-Z, ASCII white space
 
 
+def _cut(texts: pa.Array) -> Iterator[tuple[slice, np.ndarray, np.ndarray, pa.Array]]:
+    """The words of binary ``texts``, about CUT bytes at a time: the rows, the number of words of each,
+    every word's place among the distinct ones, and those."""
+    plain, kind = (pa.large_binary(), pa.large_string()) if pa.types.is_large_binary(texts.type) else (pa.binary(), pa.string())
+    texts = pc.fill_null(texts, b"")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    begin = 0
+    while begin < len(texts):
+        done = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, done + CUT, "right")))
+        part = texts.slice(begin, end - begin)
+        # as strings only in name: nothing is decoded, and bytes that are no UTF-8 pass
+        part = pa.Array.from_buffers(kind, len(part), part.buffers(), offset=part.offset)
+        split = pc.ascii_split_whitespace(pc.ascii_lower(part))
+        bounds = split.offsets.to_numpy()
+        words = split.flatten().dictionary_encode()
+        places, distinct = words.indices.to_numpy(), words.dictionary
+        distinct = pa.Array.from_buffers(plain, len(distinct), distinct.buffers()).cast(pa.binary())
+        lengths = np.diff(bounds).astype(np.int64)
+        empty = pc.index(distinct, b"").as_py()
+        if empty >= 0:  # white space at the ends
+            full = places != empty
+            lengths = np.diff(np.concatenate([[0], np.cumsum(full)])[bounds - bounds[0]])
+            places = places[full]
+        yield slice(begin, end), lengths, places, distinct
+        begin = end
+
+
 def _group(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % GROUPS
 
@@ -66,21 +95,11 @@ def count_words(docs: DataFrame) -> DataFrame:
     on_workers(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-
-        def emit() -> Iterator[pa.RecordBatch]:
-            keys, n = list(counts), list(counts.values())
-            for at in range(0, len(keys), 50_000):
-                columns = [pa.array(keys[at : at + 50_000], pa.binary()), pa.array(n[at : at + 50_000], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["word", "n"])
-            counts.clear()
-
         for batch in batches:
-            for text in batch.column(0):
-                counts.update(words_of(text.as_py()))
-                if len(counts) > COUNTED:
-                    yield from emit()
-        yield from emit()
+            for _, _, places, distinct in _cut(batch.column(0)):
+                counts = np.bincount(places, minlength=len(distinct))
+                counts = pa.RecordBatch.from_arrays([distinct, pa.array(counts, pa.int64())], names=["word", "n"])
+                yield counts.filter(pc.field("n") > 0)
 
     parts = docs.select(docs["text"].cast("binary")).mapInArrow(run, "word binary, n bigint")
     return parts.groupBy("word").agg(F.sum("n").alias("n"))
@@ -120,18 +139,27 @@ class Scorer:
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "places"}
 
+    def look_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each word its id, its part of the base score, its log10 share, and its group if it is an other word, else -1.
+
+        An other word has 0 for what its count decides.
+        """
+        if "places" not in self.__dict__:
+            self.places = pa.array(self.words, pa.binary())
+        at = pc.fill_null(pc.index_in(words, value_set=self.places), -1).to_numpy(zero_copy_only=False)
+        known, others = at >= 0, np.flatnonzero(at < 0)
+        ids, base, share = np.zeros(len(words), np.int64), np.zeros(len(words)), np.zeros(len(words))
+        ids[known], base[known], share[known] = self.ids[at[known]], self.base[at[known]], self.share[at[known]]
+        group = np.full(len(words), -1)
+        group[others] = list(map(_group, words.take(pa.array(others)).to_pylist()))
+        ids[others] = self.group_ids[group[others]]
+        return ids, base, share, group
+
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, float, float, int, Counter]:
         """Ids with the end; of known words the base score, log10 shares and number; the other words."""
-        if "places" not in self.__dict__:
-            self.places = {word: i for i, word in enumerate(self.words)}
-        at = np.fromiter(map(self.places.get, words, repeat(-1)), np.int64, len(words))
-        known = at >= 0
-        ids = np.zeros(len(words) + 1, np.int64)
-        ids[:-1][known] = self.ids[at[known]]
-        others = [words[i] for i in np.flatnonzero(~known)]
-        if others:
-            ids[:-1][~known] = self.group_ids[list(map(_group, others))]
-        return ids, float(self.base[at[known]].sum()), float(self.share[at[known]].sum()), int(known.sum()), Counter(others)
+        ids, base, share, group = self.look_up(pa.array(words, pa.binary()))
+        others = Counter(words[i] for i in np.flatnonzero(group >= 0))
+        return np.append(ids, 0), float(base.sum()), float(share.sum()), int((group < 0).sum()), others
 
 
 def count(docs: DataFrame) -> tuple[Scorer, DataFrame]:
@@ -160,33 +188,39 @@ def encode(docs: DataFrame, scorer: Scorer) -> DataFrame:
     rare = T.StructType().add("word", "binary").add("times", "long").add("share", "double")
     schema = T.StructType([docs.schema["row_id"], docs.schema["doc_id"]]).add("n_tokens", "long").add("n_known", "long")
     schema = schema.add("base_score", "double").add("share", "double").add("rare", T.ArrayType(rare)).add("ids", "binary")
-    types = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
-    def listed(scorer: Scorer, rare: list[Counter]) -> pa.Array:
+    def listed(rows: int, owners: np.ndarray, places: np.ndarray, distinct: pa.Array, shares: np.ndarray) -> pa.Array:
         """The rare words of each row, as arrays of all rows together."""
-        words = [word for own in rare for word in own]
-        times = [n for own in rare for n in own.values()]
-        shares = -scorer.group_log[np.fromiter(map(_group, words), np.int64, len(words))]
-        offsets = np.cumsum([0, *map(len, rare)]).astype(np.int32)
-        items = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times, pa.int64()), pa.array(shares)], ["word", "times", "share"])
-        return pa.ListArray.from_arrays(pa.array(offsets), items)
+        pairs, times = np.unique(owners * len(distinct) + places, return_counts=True)
+        owners, places = np.divmod(pairs, max(1, len(distinct)))
+        offsets = np.searchsorted(owners, np.arange(rows + 1)).astype(np.int32)
+        items = [distinct.take(pa.array(places)), pa.array(times, pa.int64()), pa.array(shares[places])]
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(items, ["word", "times", "share"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = shared.value
         for batch in batches:
-            at = 0
-            while at < len(batch):  # a batch of long texts goes on in parts
-                rows, rare, stored, size, begin = [], [], [], 0, at
-                while at < len(batch) and size < SCORED:
-                    found, base, share, known, others = scorer.encode(words_of(batch.column(2)[at].as_py()))
-                    rows.append((len(found), known + scorer.end_known, base + scorer.end_base, share))
-                    rare.append(others)
-                    stored.append(found.astype("<u2").tobytes())
-                    size += len(found)
-                    at += 1
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-                keys = [batch.column(c).slice(begin, at - begin) for c in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*keys, *columns, listed(scorer, rare), pa.array(stored, pa.binary())], names=schema.names)
+            for rows, lengths, places, distinct in _cut(batch.column(2)):
+                ends = np.cumsum(lengths + 1)  # each row's words and then its end
+                starts, size = ends - lengths - 1, int(ends[-1])
+                inside = np.ones(size, bool)
+                inside[ends - 1] = False
+
+                def laid(by_word: np.ndarray, end: float) -> np.ndarray:
+                    out = np.full(size, end, by_word.dtype)  # noqa: B023
+                    out[inside] = by_word[places]  # noqa: B023
+                    return out
+
+                ids, base, share, group = scorer.look_up(distinct)
+                sums = [((group < 0).astype(np.int64), int(scorer.end_known)), (base, scorer.end_base), (share, 0.0)]
+                sums = [np.add.reduceat(laid(*part), starts) for part in sums]
+                rare = np.flatnonzero(group[places] >= 0)
+                owners = np.repeat(np.arange(len(lengths)), lengths)[rare]
+                stored = [None, pa.py_buffer(np.append(0, 2 * ends).astype(np.int32)), pa.py_buffer(laid(ids.astype("<u2"), 0))]
+                columns = [pa.array(lengths + 1), *map(pa.array, sums), listed(len(lengths), owners, places[rare], distinct, -scorer.group_log[group])]
+                keys = [batch.column(c).slice(rows.start, len(lengths)) for c in (0, 1)]
+                columns = [*keys, *columns, pa.Array.from_buffers(pa.binary(), len(lengths), stored)]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return written(docs.select("row_id", "doc_id", docs["text"].cast("binary")).mapInArrow(run, schema))
 

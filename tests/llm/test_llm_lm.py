@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from seqsieve.llm import gru, lm
@@ -192,3 +193,46 @@ def test_a_long_piece_leaves_no_lanes_idle():
         left -= lengths[-1]
     ids, _ = gru._lay_out([np.zeros(n, np.int64) for n in lengths], lm.SHARD_LANES)
     assert (ids >= 0).mean() > 0.9
+
+
+@pytest.mark.parametrize("kind", [pa.binary(), pa.large_binary()])
+def test_texts_are_cut_into_words_without_objects_for_each(monkeypatch, kind):
+    """Whatever the bytes, the nulls, the slice and the size of a part."""
+    texts = [None, b"", b" \t\n", b"a  B\xff\xc3 \x0bA a", *(bytes([97, i, 66, i, i]) for i in range(256)), b"long word " * 500, b"end"]
+    for size in (1, 40, 10**6):
+        monkeypatch.setattr(lm, "CUT", size)
+        got = []
+        for rows, lengths, places, distinct in lm._cut(pa.array([b"before", *texts], kind).slice(1)):
+            words = [distinct[i].as_py() for i in places]
+            assert rows.stop - rows.start == len(lengths) and len(words) == lengths.sum()
+            for n in lengths:
+                got.append(words[:n])
+                words = words[n:]
+        assert got == [lm.words_of(t) for t in texts]
+    assert list(lm._cut(pa.array([], kind))) == []
+
+
+def test_large_weights_do_not_overflow():
+    model, docs = small_model(7), docs_of(8, [30, 9])
+    assert model.bounded
+    model.p["word_bias"][0] += 2_000
+    model.p["class_bias"] -= 2_000
+    model.freeze()
+    assert not model.bounded
+    plain = small_model(7)  # a softmax takes no notice of what all its scores have in common
+    assert np.allclose(model.score(docs), [plain_score(plain, d) for d in docs], rtol=1e-4)
+
+
+def test_lanes_that_have_ended_have_no_gradients():
+    model, docs = small_model(9), docs_of(10, [12, 2, 5])
+    ids, owner = gru._lay_out(docs, 3)
+    before, starts = gru._shifted(ids, owner)
+    grads, _ = model._window(ids, before, starts, np.zeros((3, gru.HIDDEN)))
+    summed = {}
+    for doc in docs:
+        ids, owner = gru._lay_out([doc], 1)
+        own, _ = model._window(ids, *gru._shifted(ids, owner), np.zeros((1, gru.HIDDEN)))
+        for k, g in own.items():
+            summed[k] = summed.get(k, 0) + g * len(doc)
+    total = sum(map(len, docs))
+    assert all(np.allclose(g, summed[k] / total, atol=1e-5) for k, g in grads.items())
