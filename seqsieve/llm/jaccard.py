@@ -213,34 +213,46 @@ def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, prefixes, widt
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     places = rows.join(wanted, "cid", "left_semi").groupBy("cid").agg(F.min(F.struct("doc_id", "row_hash")).alias("row"))
     places = written(places.select("cid", F.col("row.doc_id").alias("at_id"), F.col("row.row_hash").alias("at_hash")))
-    near = F.broadcast(places) if places.count() <= BROADCAST_PLACES else places  # else texts are shuffled to them
     keyed = docs.select("doc_id", text_hash(docs["text"]).alias("row_hash"), docs["text"].cast("binary").alias("text"))
-    texts = keyed.join(
-        near, keyed["doc_id"].eqNullSafe(near["at_id"]) & (keyed["row_hash"] == near["at_hash"])
-    ).select("cid", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, others = _WordHashes(), prefixes.value.others
+    def texts(places: DataFrame) -> DataFrame:
+        near = F.broadcast(places) if places.count() <= BROADCAST_PLACES else places  # else texts are shuffled to them
+        match = keyed["doc_id"].eqNullSafe(near["at_id"]) & (keyed["row_hash"] == near["at_hash"])
+        return keyed.join(near, match).select("cid", "text")
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+        hashes = _WordHashes()
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                sets = [tokens(text.as_py() or b"", width, hashes) for text in part.column(1)]
-                found = [others(s) for s in sets]
-                columns = [part.column(0), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))]
-                columns += [pa.array([f[i] for f in found], pa.list_(pa.int32())) for i in range(len(ORDERS))]
-                yield pa.RecordBatch.from_arrays(columns, names=["cid", "tokens", "second", "third"])
+                yield part.column(0), [tokens(text.as_py() or b"", width, hashes) for text in part.column(1)]
+
+    def prefixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        others = prefixes.value.others
+        for cids, sets in sets_of(batches):
+            found = [others(s) for s in sets]
+            columns = [pa.array([f[i] for f in found], pa.list_(pa.int32())) for i in range(len(ORDERS))]
+            yield pa.RecordBatch.from_arrays([cids, *columns], names=["cid", "second", "third"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cids, sets in sets_of(batches):
+            yield pa.RecordBatch.from_arrays([cids, pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], names=["cid", "tokens"])
 
     # repeated rows come up several times: the pairs below are made distinct again
-    sets = written(texts.mapInArrow(run, "cid bigint, tokens array<bigint>, second array<int>, third array<int>"))
-    sides = [sets.select(F.col("cid").alias(c), F.col("second").alias(f"{c}2"), F.col("third").alias(f"{c}3")) for c in "ab"]
+    heads = written(texts(places).mapInArrow(prefixed, "cid bigint, second array<int>, third array<int>"))
+    sides = [heads.select(F.col("cid").alias(c), F.col("second").alias(f"{c}2"), F.col("third").alias(f"{c}3")) for c in "ab"]
     met = pairs.join(sides[0], "a").join(sides[1], "b").where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3"))
     met = written(met.select("a", "b").distinct())
+    # whole sets are made, written and shuffled of the few classes that are left only
+    left = met.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    fewer = written(places.join(left, "cid", "left_semi"))
+    sets = written(texts(fewer).mapInArrow(whole, "cid bigint, tokens array<bigint>"))
     sides = [sets.select(F.col("cid").alias(c), F.col("tokens").alias(f"t{c}")) for c in "ab"]
     common = F.size(F.array_intersect("ta", "tb"))
     union = F.size("ta") + F.size("tb") - common
     links = met.join(sides[0], "a").join(sides[1], "b").where(share[1] * common >= share[0] * union).select("a", "b").distinct()
     links = written(links)
-    forget(sets, met, pairs, places)
+    forget(heads, sets, met, pairs, places, fewer)
     return links
 
 
@@ -253,10 +265,10 @@ def similar_classes(docs: DataFrame, width: int = 5, share: tuple[int, int] = (4
     rows = scanned.where("cid IS NOT NULL").drop("tokens", "counts")
     prefixes = docs.sparkSession.sparkContext.broadcast(_Prefixes(*_frequent(scanned), share))
     classes = written(_classes(docs, prefixes, width))
-    entries = classes.select("id", "n", F.posexplode("first").alias("pos", "token"))
+    entries = classes.select("id", F.posexplode("first").alias("pos", "token"))
     # a token that occurs once leads nowhere; counting needs the narrowest rows
     shared = written(entries.groupBy("token").agg(F.count("*").alias("times")).where("times > 1").select("token"))
-    entries = entries.join(shared, "token").join(classes.select("id", "cid"), "id")
+    entries = entries.join(shared, "token").join(classes.select("id", "cid", "n"), "id")
     entries = written(entries.select("token", "cid", "n", "pos").distinct())
     hubs = written(entries.groupBy("token").agg(F.min(F.struct("pos", "n", "cid")).alias("hub")))
     entries_, entries = entries, written(entries.join(hubs, "token").select("token", "cid", "n", "pos", "hub"))

@@ -84,3 +84,26 @@ def test_components_of_chains_and_stars(spark):
     for node, root in got.items():
         groups.setdefault(root, set()).add(node)
     assert sorted(map(sorted, groups.values())) == [list(range(61)), list(range(1000, 1050)), [5000, 5001]]
+
+
+def test_whole_sets_are_shuffled_of_pairs_that_share_all_prefixes_only(table, monkeypatch):
+    """A passage that texts share makes candidates, but none of their sets is written."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passages = [[word() for _ in range(8)] for _ in range(12)]
+    texts = [" ".join([*(word() for _ in range(80)), *passages[i % 12], *(word() for _ in range(80))]) for i in range(60)]
+    texts += [texts[0] + " x", texts[0] + " y"]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    tables, kept = {}, jaccard.written
+
+    def written(df):
+        out = kept(df)
+        for kind in ("second", "tokens"):
+            if "cid" in df.columns and kind in df.columns and "counts" not in df.columns:
+                tables.setdefault(kind, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "written", written)
+    got = jaccard.near_duplicates(table(rows), 3, (9, 10)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain(rows, 3, 9, 10)
+    assert sum(tables["second"]) > 3 * sum(tables["tokens"]) > 0
