@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -71,3 +72,29 @@ def test_rows_are_shuffled_and_folded_as_arrays(placed, monkeypatch):
     got = R.ranged_dgrams(placed.repartition(6), meta(4), (1, 3), 2)
     assert "Aggregate" not in got._jdf.queryExecution().executedPlan().toString()
     assert rows(got) == rows(K.dgram_postings(placed, 1, 3))
+
+
+def test_chunks_travel_packed():
+    """A row of a chunk took 20 bytes, whatever it held."""
+    draw = np.random.default_rng(4)
+    key = np.sort(draw.integers(0, 200_000_000, 50_000).astype(np.uint64))
+    block, mask = draw.integers(0, 100, len(key)).astype(np.int32), np.left_shift(np.int64(1), draw.integers(0, 64, len(key)))
+    bounds = np.array([50_000_000, 50_000_001, 120_000_000], np.int64)
+    batches = list(R._chunks((key, block, mask), bounds))
+    assert sum(batch.column("data").nbytes for batch in batches) < 5 * len(key)
+    for got, want in zip(zip(*map(R._unpacked, batches), strict=True), (key, block, mask), strict=True):
+        assert np.array_equal(np.concatenate(got), want)
+    for rows in ((np.array([2**64 - 1], np.uint64), np.array([7], np.int32), np.array([-1])), tuple(np.zeros(0, k) for k in (np.uint64, np.int32, np.int64))):
+        assert all(np.array_equal(a, b) for a, b in zip(R._unpacked_chunk(R._packed_chunk(list(rows)), len(rows[0])), rows, strict=True))
+
+
+def test_gapped_kmers_are_stored_as_steps(placed, tmp_path):
+    """As a dictionary or plain numbers, codes took most of the table."""
+    import pyarrow.parquet as pq
+
+    I._store_dgrams(R.ranged_dgrams(placed, meta(4), (1, 3), 1), str(tmp_path / "dgrams"))
+    files = list((tmp_path / "dgrams").glob("gap=*/*.parquet"))
+    columns = [c for f in files for c in map(pq.read_metadata(f).row_group(0).column, range(3)) if c.path_in_schema == "code"]
+    assert columns and all("DELTA_BINARY_PACKED" in c.encodings for c in columns)
+    stored = placed.sparkSession.read.parquet(str(tmp_path / "dgrams")).select("code", "block", "mask")
+    assert rows(stored) == rows(K.dgram_postings(placed, 1, 3))
