@@ -20,7 +20,7 @@ from seqsieve.plans import pattern as P
 END = 128  # stands behind every text; no ASCII text has it
 STATES = 200  # of a motif's table
 CHARS = 1 << 20  # of texts that are searched together
-HIT = "array<struct<number:int,start:int,end:int>>"
+GROUPS = "array<struct<number:int,spans:array<struct<start:int,end:int>>>>"
 
 
 def head(node) -> str | None:
@@ -69,21 +69,27 @@ def table(node) -> tuple[np.ndarray, np.ndarray, int] | None:
 
 def _ends(data: np.ndarray, begins: np.ndarray, steps: np.ndarray, accepts: np.ndarray, state: int) -> np.ndarray:
     """The end of the longest match at each place where the head stands, 0 if there is none."""
-    end = np.where(accepts[state], begins + 2, 0)
-    open_, at, states = np.arange(len(begins)), begins + 2, np.full(len(begins), state, np.int16)
-    while len(open_):
-        char = data[at]
-        states = steps[states, char]
-        hit = accepts[states]
-        end[open_[hit]] = at[hit] + (char[hit] != END)
-        going = (states != 0) & (char != END)
-        open_, at, states = open_[going], at[going] + 1, states[going]
+    end = begins + 2 if accepts[state] else np.zeros_like(begins)
+    ahead = steps.any(axis=1)  # states that a further letter can change
+    if not ahead[state]:
+        return end
+    open_, at, states = None, begins + 2, None
+    while len(at):
+        char = data.take(at)
+        states = steps[state].take(char) if states is None else steps[states, char]
+        hit = np.flatnonzero(accepts.take(states))
+        end[hit if open_ is None else open_.take(hit)] = at.take(hit) + (char.take(hit) != END)
+        going = np.flatnonzero(ahead.take(states) & (char != END))
+        open_ = going if open_ is None else open_.take(going)
+        at, states = at.take(going) + 1, states.take(going)
     return end
 
 
 def _apart(begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Which matches a search from left to right takes: none begins in one that it took."""
     taken = np.ones(len(begins), bool)
+    if (begins[1:] >= ends[:-1]).all():
+        return taken
     new = np.concatenate([[True], begins[1:] >= np.maximum.accumulate(ends)[:-1]])
     alone = new & np.concatenate([new[1:], [True]])
     free = 0
@@ -100,7 +106,7 @@ def hits_of(texts: list[str], tables: list[tuple[str, tuple]]) -> pa.Array:
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
     first = np.cumsum(sizes) - sizes
     pairs = data[:-1].astype(np.uint16) * np.uint16(256) + data[1:]
-    order = np.argsort(pairs, kind="stable")
+    order = np.argsort(pairs, kind="stable").astype(np.int32)
     pairs = pairs[order]
     found: list[tuple[np.ndarray, ...]] = []
     for number, (start, (steps, accepts, state)) in enumerate(tables):
@@ -114,7 +120,8 @@ def hits_of(texts: list[str], tables: list[tuple[str, tuple]]) -> pa.Array:
             own = _apart(begins, ends)
             found.append((np.full(int(own.sum()), number, np.int32), begins[own], ends[own]))
     number, begins, ends = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-    text = np.searchsorted(first, begins, "right") - 1
+    # numbers of texts that fit 16 bits are sorted digit by digit
+    text = np.arange(len(texts), dtype=np.uint16 if len(texts) < 1 << 16 else np.int64).repeat(sizes).take(begins)
     order = np.argsort(text, kind="stable")
     text = text[order]
     parts = [number[order], begins[order] - first[text], ends[order] - first[text]]
@@ -123,6 +130,20 @@ def hits_of(texts: list[str], tables: list[tuple[str, tuple]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), spans)
 
 
+def grouped(hits: pa.ListArray) -> pa.ListArray:
+    """The same by motif: per text and motif its number and spans, so that a motif is named once per text."""
+    number, start, end = (c.to_numpy() for c in hits.values.flatten())
+    offsets = hits.offsets.to_numpy()
+    first = np.ones(len(number) + 1, bool)
+    first[1:-1] = number[1:] != number[:-1]
+    first[offsets] = True
+    cuts = np.flatnonzero(first)
+    spans = pa.StructArray.from_arrays([pa.array(start), pa.array(end)], ["start", "end"])
+    lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), spans)
+    groups = pa.StructArray.from_arrays([pa.array(number[cuts[:-1]]), lists], ["number", "spans"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(cuts, offsets).astype(np.int32)), groups)
+
+
 def many_spans(texts: DataFrame, nodes: dict[str, object]) -> DataFrame:
     """``texts`` (seq is ASCII) with motif_id, match, start and end, for motifs that have a table."""
     columns = texts.columns
@@ -137,11 +158,13 @@ def many_spans(texts: DataFrame, nodes: dict[str, object]) -> DataFrame:
                 size += len(seq) + 1
                 if size >= CHARS or i == len(seqs):
                     part = batch.slice(begin, i - begin)
-                    yield pa.RecordBatch.from_arrays([*part.columns, hits_of(seqs[begin:i], tables)], names=[*columns, "_hits"])
+                    yield pa.RecordBatch.from_arrays([*part.columns, grouped(hits_of(seqs[begin:i], tables))], names=[*columns, "_hits"])
                     begin, size = i, 0
 
-    schema = T.StructType([*texts.schema.fields, T.StructField("_hits", T._parse_datatype_string(HIT))])
+    schema = T.StructType([*texts.schema.fields, T.StructField("_hits", T._parse_datatype_string(GROUPS))])
     names = texts.sparkSession.createDataFrame(list(enumerate(nodes)), "number int, motif_id string")
     hits = texts.mapInArrow(run, schema).select(*columns, F.inline("_hits"))
     match = F.substring(F.col("seq").cast("binary"), F.col("start") + 1, F.col("end") - F.col("start")).cast("string")
-    return hits.join(F.broadcast(names), "number").select(*columns, "motif_id", match.alias("match"), "start", "end")
+    # named before the spans become rows
+    rows = hits.join(F.broadcast(names), "number").select(*columns, "motif_id", F.inline("spans"))
+    return rows.select(*columns, "motif_id", match.alias("match"), "start", "end")

@@ -258,7 +258,7 @@ def _search(index: MotifIndex, motifs: list[Motif], augment: bool, dgrams: bool,
     if len({m.id for m in motifs}) != len(motifs):
         raise ValueError("motif ids must be distinct")
     looked_up = _look_up(index, motifs, augment, dgrams)
-    unfiltered = set(looked_up.unfiltered)
+    unfiltered = set(looked_up.unfiltered)  # and those that need no row per text and motif
     texts = _texts(index.records, index.meta["molecule"], index.meta["reduction"], original)
     parts = []
     # long records are cut for the motifs that allow it; a text is then not tested whole before
@@ -270,6 +270,12 @@ def _search(index: MotifIndex, motifs: list[Motif], augment: bool, dgrams: bool,
             raise ValueError(f"records in pieces take peptide patterns of {slices.BEHIND} residues at most, without anchors")
         cuttable = {m.id for m in motifs}
     motifs = [replace(m, testable=False) if m.id in cuttable else m for m in motifs]
+    # where all texts are read in one pass anyway, it finds the filtered motifs, too, instead of a row per text and motif
+    if not original and not index.pieced:
+        free = {m.id for m in motifs if not m.walk and m.id not in cuttable}
+        if len(_tabled(index, [m for m in motifs if m.id in free and m.id in unfiltered])) > TRIED_EACH:
+            more = _tabled(index, [m for m in motifs if m.id in free and m.id not in unfiltered])
+            unfiltered |= more.keys() if len(more) > TRIED_EACH else set()
     for walk, cut in ((None, False), (None, True), ("longest", False), ("first", False)):
         chosen = [m for m in motifs if m.walk == walk and (m.id in cuttable) == cut]
         filtered = [m for m in chosen if m.id not in unfiltered]
@@ -288,11 +294,16 @@ def _search(index: MotifIndex, motifs: list[Motif], augment: bool, dgrams: bool,
     return out
 
 
+def _tabled(index: MotifIndex, motifs: list[Motif]) -> dict[str, object]:
+    """Trees of the motifs that one pass over the texts can find, if there are many."""
+    if len(motifs) <= TRIED_EACH or index.meta["n_not_ascii"]:
+        return {}
+    return {m.id: m.node for m in motifs if table(m.node) is not None}
+
+
 def _in_one_pass(index: MotifIndex, texts: DataFrame, motifs: list[Motif], parts: list[DataFrame]) -> list[Motif]:
     """Adds the matches of the motifs that one pass over the texts can find; returns the others."""
-    if len(motifs) <= TRIED_EACH or index.meta["n_not_ascii"]:
-        return motifs
-    nodes = {m.id: m.node for m in motifs if table(m.node) is not None}
+    nodes = _tabled(index, motifs)
     if nodes:
         ship_package(texts.sparkSession)
         kept = [c for c in _KEPT if c in texts.columns]
